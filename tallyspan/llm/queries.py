@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspan.llm import chat, mixing, urls
+from tallyspan.llm import chat, media, mixing, packing, simhash, urls
 from tallyspan.llm.common import table
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -17,10 +23,23 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.sampling_table(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op9_mixing_sources)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op4_packing, op5_media_columns, op9_mixing_sources, op10_simhash)}
 ORACLES = {"op1_chat_formatting": chat.ORACLE, "op2_url_filters": urls.ORACLE, "op9_mixing_sources": mixing.ORACLE}
