@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspan.llm import chat, embeddings, media, mixing, packing, simhash, substring, urls
+from tallyspan.llm import bloom_lm, chat, embeddings, media, mixing, packing, quality, simhash, substring, urls
 from tallyspan.llm.common import table
 
 
@@ -35,10 +35,18 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.sampling_table(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -49,5 +57,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op3_embedding_dedup, op4_packing, op5_media_columns, op7_substring_dedup, op9_mixing_sources, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op3_embedding_dedup, op4_packing, op5_media_columns, op6_quality_classifier, op7_substring_dedup, op8_lm_scoring, op9_mixing_sources, op10_simhash)}
 ORACLES = {"op1_chat_formatting": chat.ORACLE, "op2_url_filters": urls.ORACLE, "op9_mixing_sources": mixing.ORACLE}
