@@ -71,7 +71,7 @@ def unpack(table: pa.Table):
 
 
 def repeated_keys(table: pa.Table) -> pa.Table:
-    """(owner, keys): each owner's keys of a bucket that occur twice or more in all."""
+    """(owner, key): each owner's keys of a bucket that occur twice or more in all."""
     keys, checks, owners, weights = unpack(table)
     order = np.lexsort((checks, keys)) if checks is not None else np.argsort(keys, kind="stable")
     k = keys[order]
@@ -89,10 +89,13 @@ def repeated_keys(table: pa.Table) -> pa.Table:
     if len(own):
         keep = np.r_[True, (own[1:] != own[:-1]) | (key[1:] != key[:-1])]
         own, key = own[keep], key[keep]
-    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
-    raw, ends = key.astype("<u8").tobytes(), [*first[1:].tolist(), len(own)]
-    lists = [raw[8 * a : 8 * b] for a, b in zip(first.tolist(), ends)]
-    return pa.table({"owner": pa.array(own[first], pa.int64()), "keys": pa.array(lists, pa.binary())})
+    return pa.table({"owner": pa.array(own, pa.int64()), "key": pa.array(key.view(np.int64), pa.int64())})
 
 
-REPEATED = "owner long, keys binary"
+REPEATED = "owner long, key long"
+
+
+def key_lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The keys of each row of an array<long> column."""
+    values, at = column.flatten().to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at - at[0], at[1:] - at[0])]

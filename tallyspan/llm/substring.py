@@ -176,7 +176,7 @@ def _window_keys(window: int, buckets: int):
     def run(batches):
         out = blobs.Gather(buckets)
         for batch in batches:
-            raw, shared = texts(batch), batch.column("keys").to_pylist()
+            raw, shared = texts(batch), blobs.key_lists(batch.column("keys"))
             counts, ids = batch.column("n").to_numpy(), batch.column("owner").to_numpy()
             for a in range(0, len(raw), 64):
                 part = slice(a, a + 64)
@@ -187,7 +187,7 @@ def _window_keys(window: int, buckets: int):
                 hit = np.zeros(len(pos), bool)
                 for i, known in enumerate(shared[part]):
                     x, y = np.searchsorted(t, [i, i + 1])
-                    hit[x:y] = np.isin(keys[x:y], np.concatenate([np.frombuffer(k, "<u8") for k in known]))
+                    hit[x:y] = np.isin(keys[x:y], known)
                 pos, t = pos[hit], t[hit]
                 # the symbol starts before .. before + reach - 1 words after the window does
                 near = pos[:, None] - parsed.before - np.arange(parsed.reach)
@@ -215,13 +215,13 @@ def kept_words(words: list[bytes], names: np.ndarray, repeated: np.ndarray, wind
 def _removals(window: int, with_text: bool):
     def run(batches):
         for batch in batches:
-            raw, repeated = texts(batch), batch.column("keys").to_pylist()
+            raw, repeated = texts(batch), blobs.key_lists(batch.column("keys"))
             for a in range(0, len(raw), 64):
                 n_kept, sha, text = [], [], []
                 for t, known in zip(raw[a : a + 64], repeated[a : a + 64]):
                     words = t.split()
                     names = Parsed([words], window).names
-                    kept = kept_words(words, names, np.concatenate([np.frombuffer(k, "<u8") for k in known]), window)
+                    kept = kept_words(words, names, known, window)
                     joined = b" ".join(kept)
                     n_kept.append(len(kept))
                     sha.append(hashlib.sha256(joined).hexdigest())
@@ -242,13 +242,13 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, buckets: int |
     rows = documents.where("text is not null").select("text")
     symbols = rows.mapInArrow(_symbol_keys(window, buckets), blobs.SCHEMA)
     shared = symbols.groupBy("bucket").applyInArrow(blobs.repeated_keys, blobs.REPEATED)
-    shared = shared.groupBy("owner").agg(F.collect_list("keys").alias("keys"))
+    shared = shared.groupBy("owner").agg(F.collect_list("key").alias("keys"))
     # equal texts become one where they are read, before the exchange
     once = rows.select(F.xxhash64("text").alias("owner"), "text").groupBy("owner").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
     candidates = stored(once.join(shared, "owner"))
     windows = candidates.mapInArrow(_window_keys(window, buckets), blobs.SCHEMA)
     repeated = windows.groupBy("bucket").applyInArrow(blobs.repeated_keys, blobs.REPEATED)
-    return candidates, repeated.groupBy("owner").agg(F.collect_list("keys").alias("keys"))
+    return candidates, repeated.groupBy("owner").agg(F.collect_list("key").alias("keys"))
 
 
 def removals(documents: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
