@@ -24,19 +24,18 @@ def contains_any(c: Column, words: Iterable[str]) -> Column:
     return out
 
 
+_NUMBER = r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+
+
 def accounting_number(c: Column) -> Column:
     """Amount in accounting notation: signs of currency and percent dropped, parentheses or a minus negate."""
-    bare = strip(F.regexp_replace(strip(c), r"[$€£%]", ""))
-    paren = bare.startswith("(") & bare.endswith(")")
-    inner = strip(F.when(paren, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare))
-    dash = ~paren & inner.startswith("-")
-    digits = F.regexp_replace(F.when(dash, F.substring(inner, F.lit(2), F.length(inner))).otherwise(inner), ",", "")
-    n = F.when(digits.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), digits.try_cast("double"))
-    return F.when(paren | dash, -n).otherwise(n)
+    bare = F.regexp_replace(c, r"[$€£%,]", "")
+    part = lambda before, after: F.nullif(F.regexp_extract(bare, rf"(?U)^\s*{before}{_NUMBER}{after}\s*$", 1), F.lit("")).try_cast("double")
+    return F.coalesce(-part(r"\(\s*", r"\s*\)"), -part(r"-\s*", ""), part("", ""))
 
 
-def values_equivalent(a: Column, b: Column) -> Column:
-    x, y = accounting_number(a), accounting_number(b)
+def same_value(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """values_equivalent() of texts a, b whose amounts x, y are known: amounts are parsed once a row, not once a pair."""
     return (
         F.when(a.isNull() & b.isNull(), True)
         .when(a.isNull() | b.isNull(), False)
@@ -45,6 +44,10 @@ def values_equivalent(a: Column, b: Column) -> Column:
     )
 
 
+def values_equivalent(a: Column, b: Column) -> Column:
+    return same_value(a, b, accounting_number(a), accounting_number(b))
+
+
 def bbox_iou(a: str, b: str) -> Column:
     """Intersection over union of boxes with columns {a}x0 .. {a}y1; 0 where one is missing or they only touch."""
     c = F.col

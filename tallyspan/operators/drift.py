@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_ORDER = Window.partitionBy("entity").orderBy("eval_seq")
+def _order():
+    return Window.partitionBy("entity").orderBy("eval_seq")
+
 
 
 def locked_labels(locked: DataFrame) -> DataFrame:
@@ -16,7 +18,7 @@ def locked_labels(locked: DataFrame) -> DataFrame:
 
 def drift_compare(sets: DataFrame) -> DataFrame:
     """+ added, removed, unchanged, is_baseline, changed. The prior set is that of the filing before."""
-    out = sets.withColumn("prior", F.lag("labels").over(_ORDER))
+    out = sets.withColumn("prior", F.lag("labels").over(_order()))
     base = F.col("prior").isNull()
     out = out.withColumns(
         {
@@ -31,7 +33,7 @@ def drift_compare(sets: DataFrame) -> DataFrame:
 
 def drift_nodes(compared: DataFrame) -> DataFrame:
     """One node for each stretch of equal sets."""
-    run = F.sum(F.col("changed").cast("int")).over(_ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(F.col("changed").cast("int")).over(_order().rowsBetween(Window.unboundedPreceding, 0))
     return compared.withColumn("node", run.cast("int"))
 
 
@@ -49,7 +51,11 @@ def drift_flags(compared: DataFrame) -> DataFrame:
 
 def label_change_rows(compared: DataFrame) -> DataFrame:
     """(entity, eval_seq, label, change): one row for each label of the three sets."""
-    kinds = [F.transform(F.col(k), lambda x, k=k: F.struct(x.alias("label"), F.lit(k).alias("change"))) for k in ("added", "removed", "unchanged")]
+
+    def named(kind: str):
+        return F.transform(F.col(kind), lambda x: F.struct(x.alias("label"), F.lit(kind).alias("change")))
+
+    kinds = [named(k) for k in ("added", "removed", "unchanged")]
     return compared.select("entity", "eval_seq", F.explode(F.concat(*kinds)).alias("x")).select("entity", "eval_seq", "x.label", "x.change")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspan.functions import words
-from tallyspan.functions.exprs import accounting_number, bbox_iou, percent, ratio, strip, values_equivalent
+from tallyspan.functions.exprs import accounting_number, bbox_iou, percent, ratio, same_value, strip
 
 
 def truth(items: DataFrame) -> DataFrame:
@@ -33,15 +33,17 @@ def extracted(items: DataFrame) -> DataFrame:
 
 def match_candidates(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFrame:
     """Pairs on one page of one filing with a score; the join is an equi-join, the rest a residual."""
+    gt = gt.withColumns({"gt_num": accounting_number(F.col("gt_value")), "_gl": F.lower(strip(F.col("gt_label")))})
+    ext = ext.withColumns({"num": accounting_number(F.col("value")), "_el": F.lower(strip(F.col("label")))})
     pairs = gt.join(ext, ["job_id", "page"])
     pairs = pairs.withColumns(
         {
             "iou": bbox_iou("g", ""),
-            "value_eq": values_equivalent(F.col("gt_value"), F.col("value")),
-            "label_eq": F.lower(strip(F.col("gt_label"))) == F.lower(strip(F.col("label"))),
+            "value_eq": same_value(F.col("gt_value"), F.col("value"), F.col("gt_num"), F.col("num")),
+            "label_eq": F.col("_gl") == F.col("_el"),
         }
     )
-    pairs = pairs.where((F.col("iou") >= iou) | F.col("value_eq") | F.col("label_eq"))
+    pairs = pairs.drop("_gl", "_el").where((F.col("iou") >= iou) | F.col("value_eq") | F.col("label_eq"))
     return pairs.withColumn("score", F.col("iou") * 2 + F.col("value_eq").cast("int") * 2 + F.col("label_eq").cast("int"))
 
 
@@ -72,7 +74,7 @@ def match_status(matches: DataFrame, candidates: DataFrame, iou: float = 0.5) ->
 
 
 def failure_pattern(diffs: DataFrame) -> DataFrame:
-    a, b = accounting_number(F.col("gt_value")), accounting_number(F.col("value"))
+    a, b = F.col("gt_num"), F.col("num")
     flipped = (a * b < 0) & (F.abs(F.abs(a) - F.abs(b)) <= F.greatest(F.abs(a), F.abs(b)) * 1e-3)
     s = F.col("status")
     pattern = (
@@ -87,7 +89,7 @@ def failure_pattern(diffs: DataFrame) -> DataFrame:
     return diffs.withColumn("pattern", pattern)
 
 
-DIFF = ["job_id", "page", "item_pos", "record_index", "gt_value", "value", "status", "is_optional", "iou"]
+DIFF = ["job_id", "page", "item_pos", "record_index", "gt_num", "num", "status", "is_optional", "iou"]
 
 
 def missed_items(gt: DataFrame, matches: DataFrame) -> DataFrame:
@@ -104,8 +106,8 @@ def item_diffs(gt: DataFrame, ext: DataFrame) -> DataFrame:
     matches = greedy_match(cands)
     none = lambda kind: F.lit(None).cast(kind)
     hit = match_status(matches, cands).select(*DIFF)
-    lost = missed_items(gt, matches).withColumns({"record_index": none("int"), "value": none("string"), "status": F.lit("missed_item"), "iou": F.lit(0.0)}).select(*DIFF)
-    more = spurious_items(ext, matches).withColumns({"item_pos": none("int"), "gt_value": none("string"), "status": F.lit("spurious_item"), "is_optional": F.lit(False), "iou": F.lit(0.0)}).select(*DIFF)
+    lost = missed_items(gt, matches).withColumns({"record_index": none("int"), "gt_num": none("double"), "num": none("double"), "status": F.lit("missed_item"), "iou": F.lit(0.0)}).select(*DIFF)
+    more = spurious_items(ext, matches).withColumns({"item_pos": none("int"), "gt_num": none("double"), "num": none("double"), "status": F.lit("spurious_item"), "is_optional": F.lit(False), "iou": F.lit(0.0)}).select(*DIFF)
     return failure_pattern(hit.unionByName(lost).unionByName(more))
 
 

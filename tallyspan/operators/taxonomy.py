@@ -105,6 +105,6 @@ def taxonomy_append(taxonomy: DataFrame, terms: DataFrame) -> DataFrame:
 
 def call_rate_audit(log: DataFrame, per_minute: int = 30) -> DataFrame:
     """(client, seq, calls_60s, over): calls of a client in the 60 seconds up to each call."""
-    w = Window.partitionBy("client").orderBy(F.unix_micros("ts")).rangeBetween(-60_000_000, 0)
+    w = Window.partitionBy("client").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)
     out = log.withColumn("calls_60s", F.count(F.lit(1)).over(w))
     return out.select("client", "seq", "calls_60s", (F.col("calls_60s") > per_minute).alias("over"))
