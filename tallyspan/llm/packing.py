@@ -28,8 +28,8 @@ from tallyspan.llm.common import drop_stored, ship, stored, texts
 ship(__name__)
 
 LENGTH, END_ID = 2048, 0
-#: Pieces to a group, groups that one round makes one of, and words a task remembers.
-GROUP, FAN_IN, REMEMBERED = 40_000, 32, 300_000
+#: Pieces to a group, groups that one round makes one of, words a task remembers, distinct words looked up at a time.
+GROUP, FAN_IN, REMEMBERED, AT_ONCE = 40_000, 32, 900_000, 60_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -58,7 +58,7 @@ class WordIds:
         """Little-endian ids of each text, in blocks of texts whose words fit the memory."""
         block, need = [], set()
         for words in [*all_words, None]:
-            if words is None or len(need) > self.most:
+            if words is None or len(need) > AT_ONCE:
                 self.learn(need)
                 for w in block:
                     try:
