@@ -15,7 +15,9 @@ the lower doc_id. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
@@ -30,29 +32,79 @@ ship(__name__)
 LENGTH, END_ID = 2048, 0
 #: Pieces to a group, groups that one round makes one of, words a task remembers, distinct words looked up at a time.
 GROUP, FAN_IN, REMEMBERED, AT_ONCE = 40_000, 32, 900_000, 60_000
+#: ASCII marks that may follow the letters of a word.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
-    """Token ids by word: the tokenizer drops blanks and never joins across them, so words stand alone."""
+    """Token ids by word: the tokenizer drops blanks and never joins across them, so words stand alone.
+
+    Most words are letters with marks after them. The tokenizer folds case and parts letters from
+    marks, so such a word has the ids of its lower-case letters, then those of its marks. Letters are
+    looked up many at a time in one text of blanks between; where that text does not give one
+    word end for each word (letters whose lower case holds a mark), they are looked up apart.
+    """
 
     def __init__(self, path: str, most: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        size = max(self.tokenizer.get_vocab().values()) + 1
+        self.is_end = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.is_end[i] = token.endswith("</w>")
+
+    def _keep(self, words: list[bytes], raw: bytes, ends: np.ndarray) -> None:
+        at = 0
+        for w, end in zip(words, (4 * ends).tolist()):
+            self.known[w] = raw[at:end]
+            at = end
+
+    def _apart(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+            of = np.array([-1 if x is None else x for x in got.word_ids], np.int64)
+            self._keep(part, np.array(got.ids, "<u4").tobytes(), np.searchsorted(of, np.arange(1, len(part) + 1)))
+
+    def _letters(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), 1000):
+            part = words[a : a + 1000]
+            (got,) = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(part):
+                self._keep(part, ids.tobytes(), ends)
+            else:
+                self._apart(part)
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) > self.most:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(got.ids, "<u4"), np.array([-1 if x is None else x for x in got.word_ids], np.int64)
-            ends = np.searchsorted(of, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            for i, w in enumerate(part):
-                self.known[w] = raw[4 * ends[i] : 4 * ends[i + 1]]
+        known = self.known
+        marked, letters, apart = [], set(), set()
+        for w in words:
+            if w in known:
+                continue
+            stem = w.rstrip(MARKS)
+            low = stem.lower()
+            # the tokenizer composes and folds before it parts, which can turn a letter into letter and mark
+            if not low.isalpha() and not normalize("NFC", low.decode()).lower().isalpha():
+                apart.add(w)
+                continue
+            if low not in known:
+                letters.add(low)
+            if low != w:
+                tail = w[len(stem) :]
+                marked.append((w, low, tail))
+                if tail and tail not in known:
+                    apart.add(tail)
+        self._letters(list(letters))
+        self._apart(list(apart))
+        for w, low, tail in marked:
+            known[w] = known[low] + known[tail] if tail else known[low]
 
     def of(self, all_words: list[list[bytes]]):
         """Little-endian ids of each text, in blocks of texts whose words fit the memory."""

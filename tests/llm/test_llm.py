@@ -273,3 +273,12 @@ def test_pipeline(spark, tmp_path):
     assert not ids & set(range(300, 320)) and not ids & {400, 401, 402}
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert out.groupby("sequence_id").length.sum().max() <= 2048 and set(out.doc_id.dropna()) == ids - {None}
+
+
+def test_word_ids_equal_whole_texts():
+    ids = packing.WordIds(word_tokenizer(), most=5)
+    odd = ["İ.", "İstanbul", "क़.", "éte", "ΣΑΣ!", "don't", "it's.", "'s", "...", "Ünï,", "ab​c", "ª1.", "x̸<", "🙂a🙂.", "THE", "the!!", "中文."]
+    split = [[w.encode() for w in odd], [], [w.encode() for w in odd[::-1] * 3]]
+    for text, got in zip(split, ids.of(split)):
+        want = ids.tokenizer.encode(b" ".join(text).decode(), add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == want
