@@ -79,3 +79,26 @@ def bbox_normalize(items: DataFrame, dims: DataFrame) -> DataFrame:
 
 def image_only_pages(pages: DataFrame) -> DataFrame:
     return pages.groupBy("source_file").agg(F.count_if(strip(F.coalesce("text", F.lit(""))) == "").alias("image_only"))
+
+
+BOX = ("x0", "y0", "x1", "y1")
+
+
+def cell_location(cells: DataFrame) -> DataFrame:
+    """+ page, x0..y1: the cell's own, else (box only) its provenance's, else the table's, else page 1 and zeros."""
+    zero = F.struct(*[F.lit(0.0).alias(b) for b in BOX])
+    out = cells.withColumns({"page": F.coalesce("page_cell", "page_table", F.lit(1)), "_box": F.coalesce("bbox_cell", "bbox_prov", "bbox_table", zero)})
+    return out.withColumns({b: F.col("_box")[b] for b in BOX}).drop("_box")
+
+
+def cell_error_rows(cells: DataFrame) -> DataFrame:
+    """cells, malformed ones (no text, or a row or column that is no whole number from 0) as error rows; the rest is untouched."""
+    place = lambda c: F.col(c).cast("string").try_cast("int")
+    bad = F.col("text").isNull() | ~F.coalesce((place("start_row") >= 0) & (place("start_col") >= 0), F.lit(False))
+    out = cells.withColumns({"is_error": bad, "label": F.when(bad, "Error / Unparsed Cell").otherwise(F.col("label"))})
+    return out.withColumns({b: F.when(bad, 0.0).otherwise(F.col(b)) for b in BOX})
+
+
+def assemble_records(items: DataFrame) -> DataFrame:
+    """The five lasting fields, the candidate flag, and the keys that hold the order."""
+    return items.select("job_id", "record_index", "value", "label", "page", F.struct(*BOX).alias("bbox"), "source_file", "is_candidate")

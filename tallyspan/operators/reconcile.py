@@ -99,3 +99,30 @@ def source_chain(cells: DataFrame, nodes: DataFrame) -> DataFrame:
     group = cells.where("kind = 'aggregate'").join(leaves.withColumnRenamed("leaf_parent", "node_id"), ["job_id", "node_id"]).select("job_id", "sheet", "coord", "leaf_id")
     whole = cells.where("kind = 'root'").join(leaves, "job_id").select("job_id", "sheet", "coord", "leaf_id")
     return own.unionByName(group).unionByName(whole)
+
+
+def formula_inputs_review(review: DataFrame) -> DataFrame:
+    """Reviewed items that enter the tree: locked, accepted, or under review with a known label; + leaf_label, is_hardcode, reason."""
+    known = F.nullif(strip(F.col("normalized_label")), F.lit(""))
+    s = F.col("status")
+    kept = review.where((s == "locked") | (s == "auto_accepted") | ((s == "needs_review") & known.isNotNull()))
+    kept = kept.withColumns({"leaf_label": F.coalesce(known, F.nullif(strip(F.col("label")), F.lit(""))), "is_hardcode": F.col("band") == "manual_required"})
+    return formula_input_errors(kept.where("leaf_label is not null"))
+
+
+def reconciliation_tie_out(inputs: DataFrame, expected: DataFrame, metric: str, tolerance: float = 0.005) -> DataFrame:
+    """(job_id, total, expected_total, ties): parts without the metric's own line against the total that the filing states."""
+    own = F.lower("leaf_label") == metric.lower()
+    amount = F.when(~own, F.round(accounting_number(F.col("value")), 4).cast("decimal(28,4)"))
+    got = inputs.where("reason is null").groupBy("job_id").agg(F.coalesce(F.sum(amount).cast("double"), F.lit(0.0)).alias("total"))
+    out = expected.select("job_id", "expected_total").join(got, "job_id", "left")
+    return out.select("job_id", "total", "expected_total", F.coalesce(F.abs(F.col("total") - F.col("expected_total")) <= tolerance, F.lit(False)).alias("ties"))
+
+
+def generation_result(cells: DataFrame) -> DataFrame:
+    """(job_id, success, cells, formulas, sources, unparsed): a model stands where it has a root."""
+    source = F.col("sheet") == "Source_Inputs"
+    return cells.groupBy("job_id").agg(
+        F.bool_or(F.col("kind") == "root").alias("success"), F.count(F.lit(1)).alias("cells"), F.count_if(~source).alias("formulas"),
+        F.count_if(source).alias("sources"), F.count_if(source & accounting_number(F.col("content")).isNull()).alias("unparsed"),
+    )

@@ -13,7 +13,7 @@ def review_items_init(scored: DataFrame) -> DataFrame:
     by_band = F.when(F.col("band") == "auto_accepted", "auto_accepted").when(F.col("band") == "needs_review", "needs_review").otherwise("manual_required")
     status = F.when(F.col("status") == "extraction_error", "extraction_error").when(F.coalesce(F.col("taxonomy_status") == "pending", F.lit(False)), "pending_taxonomy").otherwise(by_band)
     ident = F.concat("job_id", F.lit("_"), F.col("record_index").cast("string"))
-    return scored.where("is_candidate").select(ident.alias("id"), "job_id", "record_index", "value", "label", "page", "score", "band", "table_name", "taxonomy_status", status.alias("status"))
+    return scored.where("is_candidate").select(ident.alias("id"), "job_id", "record_index", "value", "label", "page", "score", "band", "table_name", "normalized_label", "taxonomy_status", "x0", "y0", "x1", "y1", status.alias("status"))
 
 
 def review_action_replay(items: DataFrame, actions: DataFrame) -> DataFrame:

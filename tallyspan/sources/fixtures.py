@@ -39,9 +39,18 @@ FROM (SELECT DISTINCT p_type FROM {part}) AS t WHERE p_type <> (SELECT min(p_typ
 SELECT cast(user_id AS string) AS item_id, ts, event_id AS seq, CASE event_type WHEN 'view' THEN 'flag' WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'confirm' WHEN 'signup' THEN 'unlock' ELSE 'batch_confirm' END AS action,
        CASE WHEN value < 1 THEN '' ELSE concat('label ', cast(event_id % 5 AS string)) END AS new_label
 FROM {events}""",
+    "fx_log": """
+SELECT cast(user_id AS string) AS job_id, CASE WHEN event_id % 499 = 0 THEN 'not json' WHEN event_id % 97 = 0 THEN '  ' ELSE concat(
+  '{{"taxonomy_status": "', CASE event_type WHEN 'view' THEN 'matched' ELSE 'pending' END, '", "resulting_state": "', CASE event_type WHEN 'click' THEN 'confirmed' WHEN 'signup' THEN 'classification_error' ELSE 'pending_confirmation' END,
+  '", "raw_response": {{"label": "x", "confidence": 0.5', CASE WHEN event_id % 211 = 0 THEN ', "ok": true' WHEN event_id % 223 = 0 THEN ', "sum": 3.5' WHEN event_id % 3 = 0 THEN ', "note": "n"' ELSE '' END, '}}}}') END AS line
+FROM {events}""",
+    "fx_runs": """
+SELECT cast(o_orderkey AS string) AS job_id, o_orderstatus <> 'P' AS success, cast(o_orderkey % 200 AS int) AS extraction,
+       cast(CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 + o_custkey % 60 END AS int) AS classification, cast(CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 + o_custkey % 7 END AS int) AS generation
+FROM {orders}""",
 }
 
-TABLES = {"fx_line_items": ("lineitem", "part"), "fx_jobs": ("orders", "customer"), "fx_locked": ("lineitem", "orders", "customer", "part"), "fx_taxonomy": ("part",), "fx_actions": ("events",)}
+TABLES = {"fx_line_items": ("lineitem", "part"), "fx_jobs": ("orders", "customer"), "fx_locked": ("lineitem", "orders", "customer", "part"), "fx_taxonomy": ("part",), "fx_actions": ("events",), "fx_log": ("events",), "fx_runs": ("orders",)}
 
 
 def _text(name: str, dialect: str) -> str:
@@ -65,4 +74,5 @@ def oracle(name: str) -> str:
     text = _text(name, "duckdb")
     for t in TABLES[name]:
         text = text.replace("{" + t + "}", t)
+    text = text.replace("{{", "{").replace("}}", "}")
     return f"{name} AS ({text})"
