@@ -15,7 +15,7 @@ from tallyspan.sources.fixtures import fixture, oracle
 
 __all__ = ["ORACLES", "QUERIES"]
 
-METRIC = "PROMO BRUSHED COPPER"
+METRIC = "Economy"
 LOG, RUNS = oracle("fx_log"), oracle("fx_runs")
 RV = """rv AS (SELECT id, job_id, record_index, page, x0, y0, x1, y1, band, label, normalized_label, taxonomy_status, CASE WHEN record_index % 4 = 1 THEN '0' ELSE value END AS value,
   CASE WHEN st <> 'extraction_error' AND page = 1 THEN 'locked' WHEN record_index % 6 = 5 THEN 'flagged' ELSE st END AS status FROM review)"""
@@ -244,3 +244,19 @@ def report_tables(spark, sf):
     diffs = e.item_diffs(*_sides(spark, sf))
     filings = e.filing_metrics(diffs)
     return p.report_tables(e.corpus_metrics(filings), filings, diffs, e.failure_pattern_counts(diffs))["headline"]
+
+
+# ---- the whole chain
+@query("""SELECT j.job_id, coalesce(s.total, 0) AS total, coalesce(s.errors, 0) AS errors, coalesce(i.n, 0) AS inputs, coalesce(k.n, 0) AS cells, CASE WHEN i.n IS NULL THEN 'no confirmed items' WHEN j.target_metric <> 'Adjusted EBITDA' THEN 'metric is not supported' END AS reason
+FROM fx_jobs j LEFT JOIN (SELECT job_id, count(*) AS total, count(*) FILTER (status = 'extraction_error') AS errors FROM scored GROUP BY 1) s ON s.job_id = j.job_id
+LEFT JOIN (SELECT job_id, count(*) AS n FROM inputs WHERE reason IS NULL GROUP BY 1) i ON i.job_id = j.job_id LEFT JOIN (SELECT job_id, count(*) AS n FROM cells_ GROUP BY 1) k ON k.job_id = j.job_id""", *R2, JOBS)
+def batch_score_pipeline(spark, sf):
+    """Score, classify, normalize, build the tree and the model of every filing in one plan; a bad row fails itself alone."""
+    inputs = _inputs(spark, sf)
+    n = inputs.where("reason is null").groupBy("job_id").agg(F.count(F.lit(1)).alias("inputs"))
+    built = r.generation_result(r.model_cells(r.formula_nodes(inputs))).select("job_id", "cells")
+    rows = scored(spark, sf).groupBy("job_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "extraction_error").alias("errors"))
+    out = a.model_readiness(_jobs(spark, sf), inputs)
+    for part in (rows, n, built):
+        out = out.join(part, "job_id", "left")
+    return out.fillna(0, ["total", "errors", "inputs", "cells"]).select("job_id", "total", "errors", "inputs", "cells", "reason")

@@ -10,7 +10,11 @@ MOST_BYTES, MAGIC, METRICS = 104_857_600, "%PDF", ("Adjusted EBITDA", "EBITDA",
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, head) of files; only the head of the content leaves the scan."""
+    """(path, length, head) of files; only the head of the content leaves the scan.
+
+    Spark's file sources do not list empty files: these are turned away by not appearing, and the
+    gate's first rule serves listings that come as tables.
+    """
     return spark.read.format("binaryFile").load(path).select("path", "length", F.substring("content", 1, 4).alias("head"))
 
 

@@ -1,14 +1,17 @@
-"""Structured Streaming forms: decision counts with late data, and drift with keyed state."""
+"""Structured Streaming forms: intake, decision counts with late data, drift and review with keyed state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyspan.sources.intake import intake_gate
+
 
 def decision_counts(log: DataFrame, late: str = "2 minutes", width: str = "1 minute", slide: str | None = None) -> DataFrame:
     """(start, state, n) of each window; rows later than the watermark are dropped."""
@@ -33,3 +36,69 @@ def drift(sets: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["entity", "eval_seq", "node", "changed"])
 
     return sets.groupBy("entity").applyInPandasWithState(step, "entity string, eval_seq int, node int, changed boolean", "labels string, node int", "append", GroupStateTimeout.NoTimeout)
+
+
+FILE = "path string, modificationTime timestamp, length long, content binary"
+REVIEWED = "item_id string, status string, label string, applied int, rejected int"
+REVIEW_STATE = "status string, label string, band string, taxonomy string, applied int, rejected int"
+
+
+def intake(spark: SparkSession, path: str, done: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Files that arrive under path pass the gate; each batch's rows, after process, are written to done/batch=N.
+
+    A batch that is tried again replaces its own folder, so a lost driver leaves neither gaps nor doubles.
+    """
+    files = spark.readStream.format("binaryFile").schema(FILE).load(path)
+    gated = intake_gate(files.select("path", "length", F.substring("content", 1, 4).cast("string").alias("head")))
+
+    def write(batch: DataFrame, number: int) -> None:
+        (process(batch) if process else batch).write.mode("overwrite").parquet(f"{done}/batch={number}")
+
+    return gated.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _act(state: tuple, action: str, new_label: str | None) -> tuple:
+    """One review action on one item; a rejected one is counted and changes nothing else."""
+    status, label, band, taxonomy, applied, rejected = state
+    before = "pending_taxonomy" if taxonomy == "pending" else band
+    refused = {
+        "edit": status == "locked" or not (new_label or "").strip(),
+        "confirm": status == "extraction_error" or taxonomy == "pending",
+        "batch_confirm": status == "extraction_error",
+        "flag": status == "locked",
+        "unlock": status != "locked",
+    }[action]
+    if refused:
+        return (*state[:5], rejected + 1)
+    if action == "edit":
+        label = new_label
+        if status == "extraction_error":
+            status = "needs_review" if band == "needs_review" else "manual_required"
+    elif action == "flag":
+        status = before if status == "flagged" else "flagged"
+    elif action == "unlock":
+        status = before
+    else:
+        status = "locked"
+        taxonomy = "matched" if action == "batch_confirm" else taxonomy
+    return status, label, band, taxonomy, applied + 1, rejected
+
+
+def review(actions: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, status, label, applied, rejected) of items that a batch acted on; state is one small row an item.
+
+    actions (item_id, seq, action, new_label) is the stream; items (item_id, status, label, band,
+    taxonomy_status), a table, gives each item's start. Within a batch, actions go by seq.
+    """
+    start = items.select("item_id", F.col("status").alias("_s"), F.col("label").alias("_l"), F.col("band").alias("_b"), F.col("taxonomy_status").alias("_t"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("seq")
+        first = rows.iloc[0]
+        now = state.get if state.exists else (first["_s"], first["_l"], first["_b"], first["_t"], 0, 0)
+        for action, new_label in zip(rows["action"], rows["new_label"]):
+            now = _act(tuple(now), action, new_label)
+        state.update(now)
+        yield pd.DataFrame([(key[0], now[0], now[1], now[4], now[5])], columns=["item_id", "status", "label", "applied", "rejected"])
+
+    return actions.join(start, "item_id").groupBy("item_id").applyInPandasWithState(step, REVIEWED, REVIEW_STATE, "update", GroupStateTimeout.NoTimeout)
