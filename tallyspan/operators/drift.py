@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-def _order():
-    return Window.partitionBy("entity").orderBy("eval_seq")
+#: What one history belongs to; pass ("entity", "metric") where an entity has several metrics.
+KEYS = ("entity",)
+
 
+def _order(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy("eval_seq")
 
 
-def locked_labels(locked: DataFrame) -> DataFrame:
-    """(entity, eval_seq, labels): sorted distinct labels of each evaluated filing."""
+def locked_labels(locked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(*keys, eval_seq, labels): sorted distinct labels of each evaluated filing."""
     rows = locked.where(F.trim("normalized_label") != "")
-    return rows.groupBy("entity", "eval_seq").agg(F.array_sort(F.collect_set("normalized_label")).alias("labels"))
+    return rows.groupBy(*keys, "eval_seq").agg(F.array_sort(F.collect_set("normalized_label")).alias("labels"))
 
 
-def drift_compare(sets: DataFrame) -> DataFrame:
+def drift_compare(sets: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """+ added, removed, unchanged, is_baseline, changed. The prior set is that of the filing before."""
-    out = sets.withColumn("prior", F.lag("labels").over(_order()))
+    out = sets.withColumn("prior", F.lag("labels").over(_order(keys)))
     base = F.col("prior").isNull()
     out = out.withColumns(
         {
@@ -31,18 +36,18 @@ def drift_compare(sets: DataFrame) -> DataFrame:
     return out.withColumn("changed", base | (F.size("added") > 0) | (F.size("removed") > 0))
 
 
-def drift_nodes(compared: DataFrame) -> DataFrame:
+def drift_nodes(compared: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One node for each stretch of equal sets."""
-    run = F.sum(F.col("changed").cast("int")).over(_order().rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(F.col("changed").cast("int")).over(_order(keys).rowsBetween(Window.unboundedPreceding, 0))
     return compared.withColumn("node", run.cast("int"))
 
 
-def drift_edges(compared: DataFrame) -> DataFrame:
-    """(entity, eval_seq, from_node, to_node, kind, added, removed); a baseline has no edge."""
-    nodes = drift_nodes(compared).where("not is_baseline")
+def drift_edges(compared: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(*keys, eval_seq, from_node, to_node, kind, added, removed); a baseline has no edge."""
+    nodes = drift_nodes(compared, keys).where("not is_baseline")
     before = F.col("node") - F.col("changed").cast("int")
     kind = F.when(F.col("changed"), "redefinition").otherwise("continuation")
-    return nodes.select("entity", "eval_seq", before.alias("from_node"), F.col("node").alias("to_node"), kind.alias("kind"), "added", "removed")
+    return nodes.select(*keys, "eval_seq", before.alias("from_node"), F.col("node").alias("to_node"), kind.alias("kind"), "added", "removed")
 
 
 def drift_flags(compared: DataFrame) -> DataFrame:
@@ -59,6 +64,16 @@ def label_change_rows(compared: DataFrame) -> DataFrame:
     return compared.select("entity", "eval_seq", F.explode(F.concat(*kinds)).alias("x")).select("entity", "eval_seq", "x.label", "x.change")
 
 
+def drift_export(compared: DataFrame, entity: str | None = None, metric: str | None = None) -> DataFrame:
+    """(entity, metric, eval_seq, node, kind, labels, added, removed): the history of each metric of an entity,
+    of one entity or metric where they are given; kind is baseline, redefinition or continuation."""
+    keys = ("entity", "metric")
+    for name, wanted in zip(keys, (entity, metric)):
+        compared = compared if wanted is None else compared.where(F.col(name) == wanted)
+    kind = F.when(F.col("is_baseline"), "baseline").when(F.col("changed"), "redefinition").otherwise("continuation")
+    return drift_nodes(compared, keys).select(*keys, "eval_seq", "node", kind.alias("kind"), "labels", "added", "removed")
+
+
 def drift_scope(jobs: DataFrame) -> DataFrame:
     """(job_id, entity, year) read from the file name."""
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")

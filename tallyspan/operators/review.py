@@ -13,53 +13,100 @@ def review_items_init(scored: DataFrame) -> DataFrame:
     by_band = F.when(F.col("band") == "auto_accepted", "auto_accepted").when(F.col("band") == "needs_review", "needs_review").otherwise("manual_required")
     status = F.when(F.col("status") == "extraction_error", "extraction_error").when(F.coalesce(F.col("taxonomy_status") == "pending", F.lit(False)), "pending_taxonomy").otherwise(by_band)
     ident = F.concat("job_id", F.lit("_"), F.col("record_index").cast("string"))
-    return scored.where("is_candidate").select(ident.alias("id"), "job_id", "record_index", "value", "label", "page", "score", "band", "table_name", "normalized_label", "taxonomy_status", "x0", "y0", "x1", "y1", status.alias("status"))
+    return scored.where("is_candidate").select(ident.alias("id"), "job_id", "record_index", "value", "label", "page", "score", "band", "table_name", "normalized_label", "taxonomy_status", "x0", "y0", "x1", "y1", "is_candidate", status.alias("status"))
 
 
 def review_action_replay(items: DataFrame, actions: DataFrame) -> DataFrame:
-    """(item_id, status, label, applied, rejected): each item's actions folded in order of seq.
+    """Each item after its actions, folded in order of seq.
 
-    items (item_id, status, label, band, taxonomy_status); actions (item_id, seq, action, new_label).
+    items (item_id, status, value, label, normalized_label, band, taxonomy_status); actions (item_id,
+    seq, action, new_value, new_label, add_to_taxonomy). Returns (item_id, status, value, label,
+    normalized_label, taxonomy_status, applied, rejected, errors): a refused action changes nothing
+    and adds (seq, reason) to errors. In an edit a null value or label stays as it was; where
+    add_to_taxonomy is null, a batch confirm adds a pending label and a single confirm does not.
     A state machine in a higher-order function: items are independent, so the fold is parallel over them.
     """
-    log = actions.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "new_label"))).alias("log"))
+    fields = ("seq", "action", "new_value", "new_label", "add_to_taxonomy")
+    log = actions.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("log"))
     out = items.join(log, "item_id", "left")
-    base = lambda s: F.when(s["taxonomy"] == "pending", "pending_taxonomy").otherwise(s["band"])
+    pending_label = lambda s: F.coalesce(s["taxonomy"] == "pending", F.lit(False))
+    by_band = lambda s: F.when(s["band"].isin("auto_accepted", "needs_review"), s["band"]).otherwise("manual_required")
+    base = lambda s: F.when(pending_label(s), "pending_taxonomy").otherwise(by_band(s))
 
     def step(s, a):
-        locked = s["status"] == "locked"
         edit, confirm, flag, unlock, batch = (a["action"] == k for k in ("edit", "confirm", "flag", "unlock", "batch_confirm"))
-        no = (
-            (edit & (locked | is_blank(a["new_label"])))
-            | (confirm & ((s["status"] == "extraction_error") | (s["taxonomy"] == "pending")))
-            | (flag & locked)
-            | (unlock & ~locked)
-            | (batch & (s["status"] == "extraction_error"))
+        locked, broken, pending = (s["status"] == k for k in ("locked", "extraction_error", "pending_taxonomy"))
+        add = F.coalesce(a["add_to_taxonomy"], batch)
+        why = (
+            F.when((edit | flag) & locked, "item is locked")
+            .when(edit & a["new_label"].isNotNull() & is_blank(a["new_label"]), "label is empty")
+            .when((confirm | batch) & broken, "item has an extraction error")
+            .when(confirm & pending & ~add, "label is not in the taxonomy")
+            .when(unlock & ~locked, "item is not locked")
+            .when(~(edit | confirm | flag | unlock | batch), "action is unknown")
         )
-        mended = F.when(edit & (s["status"] == "extraction_error"), F.when(s["band"] == "needs_review", "needs_review").otherwise("manual_required"))
+        no = why.isNotNull()
+        value = F.when(edit & ~no, F.coalesce(a["new_value"], s["value"])).otherwise(s["value"])
+        matched = ~no & add & (confirm | (batch & (pending | pending_label(s))))
         status = (
             F.when(no, s["status"])
-            .when(edit, F.coalesce(mended, s["status"]))
+            .when(edit & broken & ~is_blank(value), F.when(s["band"] == "needs_review", "needs_review").otherwise("manual_required"))
+            .when(edit, s["status"])
             .when(confirm | batch, "locked")
-            .when(flag, F.when(s["status"] == "flagged", base(s)).otherwise("flagged"))
+            .when(flag & (s["status"] != "flagged"), "flagged")
             .otherwise(base(s))
         )
         return F.struct(
-            status.alias("status"), F.when(edit & ~no, a["new_label"]).otherwise(s["label"]).alias("label"), s["band"].alias("band"),
-            F.when(batch & ~no, F.lit("matched")).otherwise(s["taxonomy"]).alias("taxonomy"), (s["applied"] + F.when(no, 0).otherwise(1)).alias("applied"), (s["rejected"] + F.when(no, 1).otherwise(0)).alias("rejected"),
-        )
+            status.alias("status"),
+            value.alias("value"),
+            F.when(edit & ~no, F.coalesce(a["new_label"], s["label"])).otherwise(s["label"]).alias("label"),
+            F.when(matched, F.coalesce(s["normalized"], s["label"])).otherwise(s["normalized"]).alias("normalized"),
+            s["band"].alias("band"),
+            F.when(matched, "matched").otherwise(s["taxonomy"]).alias("taxonomy"),
+            (s["applied"] + F.when(no, 0).otherwise(1)).alias("applied"),
+            F.when(no, F.array_append(s["errors"], F.struct(a["seq"].alias("seq"), why.alias("reason")))).otherwise(s["errors"]).alias("errors"),
+        )
 
-    start = F.struct(F.col("status"), F.col("label"), F.col("band"), F.col("taxonomy_status").alias("taxonomy"), F.lit(0).alias("applied"), F.lit(0).alias("rejected"))
-    empty = F.array().cast(actions.select(F.array(F.struct("seq", "action", "new_label"))).schema[0].dataType)
+    kind = actions.schema["seq"].dataType.simpleString()
+    start = F.struct(
+        "status", "value", "label", F.col("normalized_label").alias("normalized"), "band", F.col("taxonomy_status").alias("taxonomy"),
+        F.lit(0).alias("applied"), F.array().cast(f"array<struct<seq:{kind},reason:string>>").alias("errors"),
+    )
+    empty = F.array().cast(actions.select(F.array(F.struct(*fields))).schema[0].dataType)
     end = F.aggregate(F.coalesce("log", empty), start, step)
-    return out.select("item_id", end.alias("e")).select("item_id", "e.status", "e.label", "e.applied", "e.rejected")
+    return out.select("item_id", end.alias("e")).select(
+        "item_id", "e.status", "e.value", "e.label", F.col("e.normalized").alias("normalized_label"), F.col("e.taxonomy").alias("taxonomy_status"), "e.applied", F.size("e.errors").alias("rejected"), "e.errors"
+    )
+
+
+def review_rejects(replayed: DataFrame) -> DataFrame:
+    """(item_id, seq, reason): one row for each refused action."""
+    return replayed.select("item_id", F.explode("errors").alias("e")).select("item_id", "e.seq", "e.reason")
 
 
-def batch_confirm(items: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """items with those in ids (all, where none are given) locked; extraction errors stay."""
-    chosen = items.withColumn("_in", F.lit(True)) if ids is None else items.join(ids.select("id").distinct().withColumn("_in", F.lit(True)), "id", "left")
+def batch_confirm(items: DataFrame, ids: DataFrame | None = None, candidates_only: bool = True, auto_add: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, terms, locked_ids) after a confirmation of many items at once.
+
+    Those in ids are confirmed; without ids all candidates, or all items where candidates_only is
+    off. Extraction errors stay. With auto_add a pending label counts as matched and joins terms
+    (term), the input of taxonomy_append(). locked_ids (id) holds earlier locks too.
+    """
+    if ids is not None:
+        chosen = items.join(ids.select("id").distinct().withColumn("_in", F.lit(True)), "id", "left")
+    else:
+        chosen = items.withColumn("_in", F.col("is_candidate") if candidates_only else F.lit(True))
     lock = F.coalesce("_in", F.lit(False)) & (F.col("status") != "extraction_error")
-    return chosen.withColumns({"status": F.when(lock, "locked").otherwise(F.col("status")), "taxonomy_status": F.when(lock, "matched").otherwise(F.col("taxonomy_status"))}).drop("_in")
+    pending = (F.col("status") == "pending_taxonomy") | F.coalesce(F.col("taxonomy_status") == "pending", F.lit(False))
+    chosen = chosen.withColumns({"_lock": lock, "_add": lock & pending & F.lit(auto_add)})
+    terms = chosen.where("_add").select(F.coalesce(F.nullif("normalized_label", F.lit("")), "label").alias("term")).distinct()
+    out = chosen.withColumns(
+        {
+            "status": F.when(F.col("_lock"), "locked").otherwise(F.col("status")),
+            "taxonomy_status": F.when(F.col("_add"), "matched").otherwise(F.col("taxonomy_status")),
+            "normalized_label": F.when(F.col("_add"), F.coalesce("normalized_label", "label")).otherwise(F.col("normalized_label")),
+        }
+    ).drop("_in", "_lock", "_add")
+    return out, terms, out.where("status = 'locked'").select("id")
 
 
 def protect_locked(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -513,16 +513,33 @@ def review_flagged_view(spark, sf):
     return v.review_flagged_view(v.review_items_init(normalized(spark, sf))).select("id", "status")
 
 
-@query("SELECT id, CASE WHEN st <> 'extraction_error' AND page = 1 THEN 'locked' ELSE st END AS status, CASE WHEN st <> 'extraction_error' AND page = 1 THEN 'matched' ELSE taxonomy_status END AS taxonomy_status FROM review", *N, REVIEW)
-def batch_confirm(spark, sf):
+BATCH = """batch AS (SELECT *, chosen AND st <> 'extraction_error' AS lock_, chosen AND st <> 'extraction_error' AND (st = 'pending_taxonomy' OR coalesce(taxonomy_status = 'pending', false)) AS add_ FROM (SELECT *, page = 1 AS chosen FROM review))"""
+
+
+def _batch(spark, sf):
     rows = v.review_items_init(normalized(spark, sf))
-    return v.batch_confirm(rows, rows.where("page = 1").select("id")).select("id", "status", "taxonomy_status")
+    return v.batch_confirm(rows, rows.where("page = 1").select("id"))
+
+
+@query("SELECT id, CASE WHEN lock_ THEN 'locked' ELSE st END AS status, CASE WHEN add_ THEN 'matched' ELSE taxonomy_status END AS taxonomy_status, CASE WHEN add_ THEN coalesce(normalized_label, label) ELSE normalized_label END AS normalized_label FROM batch", *N, REVIEW, BATCH)
+def batch_confirm(spark, sf):
+    return _batch(spark, sf)[0].select("id", "status", "taxonomy_status", "normalized_label")
+
+
+@query("SELECT DISTINCT coalesce(nullif(normalized_label, ''), label) AS term FROM batch WHERE add_", *N, REVIEW, BATCH)
+def batch_confirm_terms(spark, sf):
+    return _batch(spark, sf)[1]
+
+
+@query("SELECT id FROM batch WHERE lock_", *N, REVIEW, BATCH)
+def batch_confirm_locked(spark, sf):
+    return _batch(spark, sf)[2]
 
 
 @query("SELECT id, CASE WHEN st <> 'extraction_error' AND page = 1 THEN 'locked' ELSE st END AS status, CASE WHEN st <> 'extraction_error' AND page = 1 THEN label ELSE 'rerun' END AS label FROM review WHERE record_index % 5 <> 0", *N, REVIEW)
 def protect_locked(spark, sf):
     rows = v.review_items_init(normalized(spark, sf))
-    old = v.batch_confirm(rows, rows.where("page = 1").select("id"))
+    old = v.batch_confirm(rows, rows.where("page = 1").select("id"))[0]
     new = rows.where("record_index % 5 <> 0").withColumn("label", F.lit("rerun"))
     return v.protect_locked(old, new).select("id", "status", "label")
 
@@ -533,16 +550,37 @@ def table_runs(spark, sf):
     return v.table_runs(items(spark, sf))
 
 
-@query("""SELECT item_id, status, label, applied, rejected FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC) AS z FROM fold) WHERE z = 1""", ACTIONS, """log AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq) AS k FROM fx_actions)""",
-"""fold AS (SELECT item_id, 0::BIGINT AS k, CASE item_id::INT % 3 WHEN 0 THEN 'extraction_error' WHEN 1 THEN 'pending_taxonomy' ELSE 'needs_review' END AS status, 'start' AS label, CASE WHEN item_id::INT % 2 = 0 THEN 'needs_review' ELSE 'manual_required' END AS band, CASE WHEN item_id::INT % 3 = 1 THEN 'pending' ELSE 'matched' END AS tax, 0 AS applied, 0 AS rejected FROM (SELECT DISTINCT item_id FROM fx_actions)
-UNION ALL SELECT f.item_id, l.k, CASE WHEN no THEN f.status WHEN l.action = 'edit' THEN CASE WHEN f.status = 'extraction_error' THEN CASE WHEN f.band = 'needs_review' THEN 'needs_review' ELSE 'manual_required' END ELSE f.status END WHEN l.action IN ('confirm', 'batch_confirm') THEN 'locked'
-    WHEN l.action = 'flag' AND f.status <> 'flagged' THEN 'flagged' WHEN f.tax = 'pending' THEN 'pending_taxonomy' ELSE f.band END, CASE WHEN l.action = 'edit' AND NOT no THEN l.new_label ELSE f.label END, f.band, CASE WHEN l.action = 'batch_confirm' AND NOT no THEN 'matched' ELSE f.tax END, f.applied + (NOT no)::INT, f.rejected + no::INT
-  FROM fold f JOIN log l ON l.item_id = f.item_id AND l.k = f.k + 1, LATERAL (SELECT (l.action = 'edit' AND (f.status = 'locked' OR trim(l.new_label) = '')) OR (l.action = 'confirm' AND (f.status = 'extraction_error' OR f.tax = 'pending')) OR (l.action = 'flag' AND f.status = 'locked') OR (l.action = 'unlock' AND f.status <> 'locked') OR (l.action = 'batch_confirm' AND f.status = 'extraction_error') AS no))""")
-def review_action_replay(spark, sf):
-    acts = fixture(spark, sf, "fx_actions")
+FOLD = (ACTIONS, """log AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq) AS k FROM fx_actions)""",
+"""fold AS (SELECT item_id, 0::BIGINT AS k, CASE item_id::INT % 3 WHEN 0 THEN 'extraction_error' WHEN 1 THEN 'pending_taxonomy' ELSE 'needs_review' END AS status, CASE item_id::INT % 3 WHEN 0 THEN '' ELSE '10' END AS value, 'start' AS label,
+    CASE WHEN item_id::INT % 3 = 2 THEN 'class' END AS norm, CASE item_id::INT % 4 WHEN 0 THEN 'needs_review' WHEN 1 THEN 'auto_accepted' ELSE 'manual_required' END AS band, CASE WHEN item_id::INT % 3 = 1 THEN 'pending' ELSE 'matched' END AS tax, 0 AS applied, '' AS errs FROM (SELECT DISTINCT item_id FROM fx_actions)
+UNION ALL SELECT f.item_id, l.k,
+    CASE WHEN y.no THEN f.status WHEN l.action = 'edit' THEN CASE WHEN f.status = 'extraction_error' AND trim(y.val) <> '' THEN CASE WHEN f.band = 'needs_review' THEN 'needs_review' ELSE 'manual_required' END ELSE f.status END
+      WHEN l.action IN ('confirm', 'batch_confirm') THEN 'locked' WHEN l.action = 'flag' AND f.status <> 'flagged' THEN 'flagged' WHEN f.tax = 'pending' THEN 'pending_taxonomy' ELSE f.band END,
+    y.val, CASE WHEN l.action = 'edit' AND NOT y.no THEN coalesce(l.new_label, f.label) ELSE f.label END, CASE WHEN y.matched THEN coalesce(f.norm, f.label) ELSE f.norm END, f.band, CASE WHEN y.matched THEN 'matched' ELSE f.tax END,
+    f.applied + (NOT y.no)::INT, CASE WHEN y.no THEN f.errs || l.seq || ':' || x.why || ';' ELSE f.errs END
+  FROM fold f JOIN log l ON l.item_id = f.item_id AND l.k = f.k + 1,
+  LATERAL (SELECT coalesce(l.add_to_taxonomy, l.action = 'batch_confirm') AS plus,
+    CASE WHEN l.action IN ('edit', 'flag') AND f.status = 'locked' THEN 'item is locked' WHEN l.action = 'edit' AND trim(l.new_label) = '' THEN 'label is empty' WHEN l.action IN ('confirm', 'batch_confirm') AND f.status = 'extraction_error' THEN 'item has an extraction error'
+      WHEN l.action = 'confirm' AND f.status = 'pending_taxonomy' AND NOT coalesce(l.add_to_taxonomy, false) THEN 'label is not in the taxonomy' WHEN l.action = 'unlock' AND f.status <> 'locked' THEN 'item is not locked' END AS why) x,
+  LATERAL (SELECT x.why IS NOT NULL AS no, CASE WHEN x.why IS NULL AND l.action = 'edit' THEN coalesce(l.new_value, f.value) ELSE f.value END AS val,
+    x.why IS NULL AND x.plus AND (l.action = 'confirm' OR (l.action = 'batch_confirm' AND (f.status = 'pending_taxonomy' OR f.tax = 'pending'))) AS matched) y)""",
+"last_ AS (SELECT *, len(string_split(errs, ';')) - 1 AS rejected FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC) AS z FROM fold) WHERE z = 1)")
+
+
+def action_items(spark, sf):
+    """Start of each item that the actions name."""
     k = F.col("item_id").cast("int")
-    start = acts.select("item_id").distinct().select(
-        "item_id", F.when(k % 3 == 0, "extraction_error").when(k % 3 == 1, "pending_taxonomy").otherwise("needs_review").alias("status"), F.lit("start").alias("label"),
-        F.when(k % 2 == 0, "needs_review").otherwise("manual_required").alias("band"), F.when(k % 3 == 1, "pending").otherwise("matched").alias("taxonomy_status"),
+    return fixture(spark, sf, "fx_actions").select("item_id").distinct().select(
+        "item_id", F.when(k % 3 == 0, "extraction_error").when(k % 3 == 1, "pending_taxonomy").otherwise("needs_review").alias("status"), F.when(k % 3 == 0, "").otherwise("10").alias("value"), F.lit("start").alias("label"),
+        F.when(k % 3 == 2, "class").alias("normalized_label"), F.when(k % 4 == 0, "needs_review").when(k % 4 == 1, "auto_accepted").otherwise("manual_required").alias("band"), F.when(k % 3 == 1, "pending").otherwise("matched").alias("taxonomy_status"),
     )
-    return v.review_action_replay(start, acts)
+
+
+@query("SELECT item_id, status, value, label, norm AS normalized_label, tax AS taxonomy_status, applied, rejected FROM last_", *FOLD)
+def review_action_replay(spark, sf):
+    return v.review_action_replay(action_items(spark, sf), fixture(spark, sf, "fx_actions")).drop("errors")
+
+
+@query("SELECT item_id, split_part(e, ':', 1)::BIGINT AS seq, split_part(e, ':', 2) AS reason FROM (SELECT item_id, unnest(string_split(errs, ';')) AS e FROM last_) WHERE e <> ''", *FOLD)
+def review_rejects(spark, sf):
+    return v.review_rejects(v.review_action_replay(action_items(spark, sf), fixture(spark, sf, "fx_actions")))

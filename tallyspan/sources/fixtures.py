@@ -29,7 +29,8 @@ SELECT cast(o_orderkey AS string) AS job_id, concat(replace(c_name, '#', '-'), '
        o_orderdate AS submitted_at
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     "fx_locked": """
-SELECT concat(c_name, '-', cast(year(o_orderdate) AS string)) AS job_id, c_name AS entity, cast(year(o_orderdate) AS int) AS eval_seq, p_type AS normalized_label
+SELECT concat(c_name, '-', cast(year(o_orderdate) AS string)) AS job_id, c_name AS entity, cast(year(o_orderdate) AS int) AS eval_seq, p_type AS normalized_label,
+       CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'Adjusted EBITDA' ELSE 'EBITDA' END AS metric
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {part} ON l_partkey = p_partkey
 WHERE l_linestatus = 'F' AND substring(o_orderpriority, 1, 1) IN ('1', '2')""",
     "fx_taxonomy": """
@@ -37,7 +38,9 @@ SELECT cast(row_number() OVER (ORDER BY p_type) - 1 AS int) AS position, p_type
 FROM (SELECT DISTINCT p_type FROM {part}) AS t WHERE p_type <> (SELECT min(p_type) FROM {part})""",
     "fx_actions": """
 SELECT cast(user_id AS string) AS item_id, ts, event_id AS seq, CASE event_type WHEN 'view' THEN 'flag' WHEN 'click' THEN 'edit' WHEN 'purchase' THEN 'confirm' WHEN 'signup' THEN 'unlock' ELSE 'batch_confirm' END AS action,
-       CASE WHEN value < 1 THEN '' ELSE concat('label ', cast(event_id % 5 AS string)) END AS new_label
+       CASE WHEN value < 1 THEN '' WHEN event_id % 4 > 0 THEN concat('label ', cast(event_id % 5 AS string)) END AS new_label,
+       CASE WHEN event_id % 3 = 0 THEN cast(event_id % 100 AS string) WHEN event_id % 3 = 1 THEN ' ' END AS new_value,
+       CASE WHEN event_id % 7 = 0 THEN true WHEN event_id % 7 = 1 THEN false END AS add_to_taxonomy
 FROM {events}""",
     "fx_log": """
 SELECT cast(user_id AS string) AS job_id, CASE WHEN event_id % 499 = 0 THEN 'not json' WHEN event_id % 97 = 0 THEN '  ' ELSE concat(

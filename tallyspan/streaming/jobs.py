@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyspan.sources.intake import intake_gate
+from tallyspan.sources.scratch import scratch_dir
 
 
 def decision_counts(log: DataFrame, late: str = "2 minutes", width: str = "1 minute", slide: str | None = None) -> DataFrame:
@@ -39,8 +41,8 @@ def drift(sets: DataFrame) -> DataFrame:
 
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
-REVIEWED = "item_id string, status string, label string, applied int, rejected int"
-REVIEW_STATE = "status string, label string, band string, taxonomy string, applied int, rejected int"
+REVIEWED = "item_id string, status string, value string, label string, normalized_label string, taxonomy_status string, applied int, rejected int"
+REVIEW_STATE = "status string, value string, label string, normalized string, band string, taxonomy string, applied int, rejected int"
 
 
 def intake(spark: SparkSession, path: str, done: str, checkpoint: str, process: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
@@ -57,48 +59,71 @@ def intake(spark: SparkSession, path: str, done: str, checkpoint: str, process:
     return gated.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _act(state: tuple, action: str, new_label: str | None) -> tuple:
-    """One review action on one item; a rejected one is counted and changes nothing else."""
-    status, label, band, taxonomy, applied, rejected = state
-    before = "pending_taxonomy" if taxonomy == "pending" else band
+def _act(state: tuple, action: str, new_value: str | None, new_label: str | None, add: bool | None) -> tuple:
+    """One review action on one item; a refused one is counted and changes nothing else."""
+    status, value, label, normalized, band, taxonomy, applied, rejected = state
+    add = action == "batch_confirm" if add is None else add
     refused = {
-        "edit": status == "locked" or not (new_label or "").strip(),
-        "confirm": status == "extraction_error" or taxonomy == "pending",
+        "edit": status == "locked" or (new_label is not None and not new_label.strip()),
+        "confirm": status == "extraction_error" or (status == "pending_taxonomy" and not add),
         "batch_confirm": status == "extraction_error",
         "flag": status == "locked",
         "unlock": status != "locked",
-    }[action]
+    }.get(action, True)
     if refused:
-        return (*state[:5], rejected + 1)
+        return (*state[:7], rejected + 1)
     if action == "edit":
-        label = new_label
-        if status == "extraction_error":
+        label = label if new_label is None else new_label
+        value = value if new_value is None else new_value
+        if status == "extraction_error" and (value or "").strip():
             status = "needs_review" if band == "needs_review" else "manual_required"
-    elif action == "flag":
-        status = before if status == "flagged" else "flagged"
-    elif action == "unlock":
-        status = before
+    elif action == "flag" and status != "flagged":
+        status = "flagged"
+    elif action in ("flag", "unlock"):
+        by_band = band if band in ("auto_accepted", "needs_review") else "manual_required"
+        status = "pending_taxonomy" if taxonomy == "pending" else by_band
     else:
+        if add and (action == "confirm" or "pending_taxonomy" == status or taxonomy == "pending"):
+            taxonomy, normalized = "matched", label if normalized is None else normalized
         status = "locked"
-        taxonomy = "matched" if action == "batch_confirm" else taxonomy
-    return status, label, band, taxonomy, applied + 1, rejected
+    return status, value, label, normalized, band, taxonomy, applied + 1, rejected
+
+
+START = {"status": "_s", "value": "_v", "label": "_l", "normalized_label": "_n", "band": "_b", "taxonomy_status": "_t"}
 
 
 def review(actions: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, status, label, applied, rejected) of items that a batch acted on; state is one small row an item.
+    """Items that a batch acted on, as REVIEWED; state is one small row an item.
 
-    actions (item_id, seq, action, new_label) is the stream; items (item_id, status, label, band,
-    taxonomy_status), a table, gives each item's start. Within a batch, actions go by seq.
+    actions (item_id, seq, action, new_value, new_label, add_to_taxonomy) is the stream; items
+    (item_id, status, value, label, normalized_label, band, taxonomy_status), a table, gives each
+    item's start. Within a batch, actions go by seq. The same fold as review_action_replay().
     """
-    start = items.select("item_id", F.col("status").alias("_s"), F.col("label").alias("_l"), F.col("band").alias("_b"), F.col("taxonomy_status").alias("_t"))
+    start = items.select("item_id", *[F.col(c).alias(a) for c, a in START.items()])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        first = rows.iloc[0]
-        now = state.get if state.exists else (first["_s"], first["_l"], first["_b"], first["_t"], 0, 0)
-        for action, new_label in zip(rows["action"], rows["new_label"]):
-            now = _act(tuple(now), action, new_label)
+        rows = pd.concat(list(batches)).sort_values("seq").astype(object)
+        rows = rows.where(rows.notna(), None)
+        now = tuple(state.get) if state.exists else (*rows.iloc[0][list(START.values())], 0, 0)
+        for action in zip(*[rows[c] for c in ("action", "new_value", "new_label", "add_to_taxonomy")]):
+            now = _act(now, *action)
         state.update(now)
-        yield pd.DataFrame([(key[0], now[0], now[1], now[4], now[5])], columns=["item_id", "status", "label", "applied", "rejected"])
+        yield pd.DataFrame([(key[0], *now[:4], *now[5:])], columns=["item_id", "status", "value", "label", "normalized_label", "taxonomy_status", "applied", "rejected"])
 
     return actions.join(start, "item_id").groupBy("item_id").applyInPandasWithState(step, REVIEWED, REVIEW_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def run_available(out: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what its source holds now; the rows of all its batches, with the number of each as _batch.
+
+    Batches and checkpoint lie in the shared folder, so a restarted task or driver goes on from there.
+    """
+    root = f"{scratch_dir(out.sparkSession)}/tallyspan-stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/_batch={number}")
+
+    q = out.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    return out.sparkSession.read.schema(f"{kinds}, _batch int").option("basePath", f"{root}/out").parquet(f"{root}/out/*")

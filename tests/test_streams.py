@@ -5,21 +5,28 @@ import random
 from tallyspan.operators import review
 from tallyspan.streaming import jobs
 
-ACTIONS = "item_id string, seq int, action string, new_label string"
+ACTIONS = "item_id string, seq int, action string, new_value string, new_label string, add_to_taxonomy boolean"
+ITEMS = "item_id string, status string, value string, label string, normalized_label string, band string, taxonomy_status string"
 
 
 def test_review_batch_equals_stream(spark, tmp_path):
     rng = random.Random(5)
-    starts = [(str(i), rng.choice(["extraction_error", "pending_taxonomy", "needs_review", "locked"]), f"l{i}", rng.choice(["needs_review", "manual_required", "auto_accepted"]), rng.choice(["pending", "matched"])) for i in range(30)]
-    log = [(str(rng.randrange(30)), s, rng.choice(["edit", "confirm", "batch_confirm", "flag", "unlock"]), rng.choice(["new", " ", "", None])) for s in range(400)]
-    items = spark.createDataFrame(starts, "item_id string, status string, label string, band string, taxonomy_status string")
+    starts = [
+        (str(i), rng.choice(["extraction_error", "pending_taxonomy", "needs_review", "locked"]), rng.choice(["", "1", None]), f"l{i}", rng.choice([None, "n"]), rng.choice(["needs_review", "manual_required", "auto_accepted"]), rng.choice(["pending", "matched", None]))
+        for i in range(30)
+    ]
+    log = [
+        (str(rng.randrange(30)), s, rng.choice(["edit", "confirm", "batch_confirm", "flag", "unlock", "edit", "other"]), rng.choice(["2", " ", None]), rng.choice(["new", " ", "", None, None]), rng.choice([True, False, None]))
+        for s in range(600)
+    ]
+    items = spark.createDataFrame(starts, ITEMS)
     acts = spark.createDataFrame(log, ACTIONS)
-    want = {r.item_id: tuple(r)[1:] for r in review.review_action_replay(items, acts).collect()}
+    want = {r.item_id: tuple(r)[1:] for r in review.review_action_replay(items, acts).drop("errors").collect()}
 
     source = str(tmp_path / "in")
     seen = {}
-    for lo in (0, 150, 300):  # three starts of one query: state must outlive each
-        acts.where(f"seq >= {lo} and seq < {lo + 150}").coalesce(1).write.mode("append").parquet(source)
+    for lo in (0, 200, 400):  # three starts of one query: state must outlive each
+        acts.where(f"seq >= {lo} and seq < {lo + 200}").coalesce(1).write.mode("append").parquet(source)
         out = jobs.review(spark.readStream.schema(ACTIONS).parquet(source), items)
         target = str(tmp_path / f"out{lo}")
         q = out.writeStream.foreachBatch(lambda b, n, t=target: b.write.mode("overwrite").parquet(f"{t}/{n}")).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
@@ -29,6 +36,49 @@ def test_review_batch_equals_stream(spark, tmp_path):
     assert {k: seen.get(k) for k in seen} == {k: want[k] for k in seen} and set(seen) == {a[0] for a in log}
 
 
+def test_review_cases(spark):
+    """Cases of one item each: start, actions, end."""
+    cases = [
+        # a corrected value mends an extraction error, an empty one does not; the label may stay
+        (("extraction_error", "", "l", None, "needs_review", None), [("edit", "5", None, None)], ("needs_review", "5", "l", None, None, 1, [])),
+        (("extraction_error", "", "l", None, "auto_accepted", None), [("edit", "5", None, None)], ("manual_required", "5", "l", None, None, 1, [])),
+        (("extraction_error", "", "l", None, "needs_review", None), [("edit", None, "m", None)], ("extraction_error", "", "m", None, None, 1, [])),
+        # a refused edit writes neither value nor label
+        (("needs_review", "1", "l", None, "needs_review", None), [("edit", "5", " ", None)], ("needs_review", "1", "l", None, None, 0, ["label is empty"])),
+        # a pending label needs the word of the reviewer; a flagged one does not
+        (("pending_taxonomy", "1", "l", None, "needs_review", "pending"), [("confirm", None, None, None)], ("pending_taxonomy", "1", "l", None, "pending", 0, ["label is not in the taxonomy"])),
+        (("pending_taxonomy", "1", "l", None, "needs_review", "pending"), [("confirm", None, None, True)], ("locked", "1", "l", "l", "matched", 1, [])),
+        (("flagged", "1", "l", None, "needs_review", "pending"), [("confirm", None, None, None)], ("locked", "1", "l", None, "pending", 1, [])),
+        # flags toggle, locks stop them, unlocking returns to the first status
+        (("needs_review", "1", "l", "n", "auto_accepted", "matched"), [("flag",) + (None,) * 3, ("flag",) + (None,) * 3], ("auto_accepted", "1", "l", "n", "matched", 2, [])),
+        (("locked", "1", "l", "n", "needs_review", "matched"), [("flag",) + (None,) * 3, ("edit", "2", "x", None), ("unlock",) + (None,) * 3], ("needs_review", "1", "l", "n", "matched", 1, ["item is locked"] * 2)),
+        (("pending_taxonomy", "1", "l", None, "needs_review", "pending"), [("batch_confirm",) + (None,) * 3], ("locked", "1", "l", "l", "matched", 1, [])),
+        (("pending_taxonomy", "1", "l", None, "needs_review", "pending"), [("batch_confirm", None, None, False)], ("locked", "1", "l", None, "pending", 1, [])),
+        (("needs_review", "1", "l", None, "needs_review", None), [], ("needs_review", "1", "l", None, None, 0, [])),
+    ]
+    items = spark.createDataFrame([(str(i), *c[0]) for i, c in enumerate(cases)], ITEMS)
+    acts = spark.createDataFrame([(str(i), k, *a) for i, c in enumerate(cases) for k, a in enumerate(c[1])], ACTIONS)
+    out = review.review_action_replay(items, acts)
+    got = {r.item_id: (r.status, r.value, r.label, r.normalized_label, r.taxonomy_status, r.applied, [x.reason for x in r.errors]) for r in out.collect()}
+    assert got == {str(i): c[2] for i, c in enumerate(cases)}
+    assert review.review_rejects(out).count() == 4
+
+
+def test_batch_confirm(spark):
+    rows = [("a", "needs_review", "la", "n", "matched", True), ("b", "pending_taxonomy", "lb", None, "pending", True), ("c", "extraction_error", "lc", None, None, True), ("d", "needs_review", "ld", "n", "matched", False), ("e", "locked", "le", "n", "matched", False), ("f", "flagged", "lb", "", "pending", False)]
+    items = spark.createDataFrame(rows, "id string, status string, label string, normalized_label string, taxonomy_status string, is_candidate boolean")
+
+    def run(*args, **kw):
+        out, terms, ids = review.batch_confirm(items, *args, **kw)
+        return {r.id: (r.status, r.taxonomy_status, r.normalized_label) for r in out.collect()}, sorted(r.term for r in terms.collect()), sorted(r.id for r in ids.collect())
+
+    out, terms, ids = run()
+    assert (terms, ids) == (["lb"], ["a", "b", "e"]) and out["b"] == ("locked", "matched", "lb") and out["c"][0] == "extraction_error" and out["d"][0] == "needs_review"
+    assert run(candidates_only=False)[1:] == (["lb"], ["a", "b", "d", "e", "f"])
+    out, terms, ids = run(spark.createDataFrame([("b",), ("b",), ("c",)], "id string"), auto_add=False)
+    assert (terms, ids) == ([], ["b", "e"]) and out["b"] == ("locked", "pending", None)
+
+
 def test_intake_stream(spark, tmp_path):
     folder = tmp_path / "files"
     folder.mkdir()
