@@ -1,8 +1,9 @@
 """Streams against the batch forms of the same work."""
 
 import random
+import uuid
 
-from tallyspan.operators import review
+from tallyspan.operators import drift, review
 from tallyspan.streaming import jobs
 
 ACTIONS = "item_id string, seq int, action string, new_value string, new_label string, add_to_taxonomy boolean"
@@ -91,3 +92,30 @@ def test_intake_stream(spark, tmp_path):
     jobs.intake(spark, *args).awaitTermination(120)
     got = {r.path.rsplit("/", 1)[1]: r.reason for r in spark.read.parquet(str(tmp_path / "done")).collect()}
     assert got == {"a.pdf": None, "c.txt": "file is not a PDF"}  # Spark's file sources list no empty files
+
+
+def test_drift_by_metric(spark):
+    rows = [("e", m, y, x) for m, y, xs in (("A", 1, "ab"), ("B", 1, "c"), ("A", 2, "ab"), ("B", 2, "cd"), ("A", 3, "b")) for x in xs]
+    keys = ("entity", "metric")
+    sets = drift.locked_labels(spark.createDataFrame(rows, "entity string, metric string, eval_seq int, normalized_label string"), keys)
+    compared = drift.drift_compare(sets, keys)
+    out = {(r.metric, r.eval_seq): (r.node, r.kind) for r in drift.drift_export(compared).collect()}
+    assert out == {("A", 1): (1, "baseline"), ("A", 2): (1, "continuation"), ("A", 3): (2, "redefinition"), ("B", 1): (1, "baseline"), ("B", 2): (2, "redefinition")}
+    assert {r.metric for r in drift.drift_export(compared, "e", "B").collect()} == {"B"} and drift.drift_export(compared, "x").count() == 0
+    assert {(r.metric, r.eval_seq, r.from_node, r.to_node) for r in drift.drift_edges(compared, keys).collect()} == {("A", 2, 1, 1), ("A", 3, 1, 2), ("B", 2, 1, 2)}
+
+
+def test_run_available_twice(spark):
+    """Two runs have folders of their own; a sink that is run again replaces its buckets alone."""
+    rows = spark.createDataFrame([(i, i % 3) for i in range(9)], "k int, b int")
+    from tallyspan.sources import intake
+    from tallyspan.sources.scratch import scratch_dir
+
+    root = f"{scratch_dir(spark)}/sink-{uuid.uuid4().hex}"
+    rows.write.parquet(root + "/in")
+    for _ in range(2):
+        out = jobs.run_available(spark.readStream.schema(rows.schema).parquet(root + "/in").where("b = 1"))
+        assert sorted(r.k for r in out.collect()) == [1, 4, 7]
+    intake.stage_sink(rows, root + "/t", "b")
+    intake.stage_sink(rows.where("b = 1").selectExpr("k + 100 AS k", "b"), root + "/t", "b")
+    assert sorted(r.k for r in spark.read.parquet(root + "/t").collect()) == [0, 2, 3, 5, 6, 8, 101, 104, 107]
