@@ -1,16 +1,18 @@
 """LM scoring with a log-frequency Bloom filter.
 
 Word and word-pair counts of the training texts are quantised on a log scale; an n-gram of
-level q is put into a Bloom filter once for each level 1..q. Workers get the filter by
-broadcast and read a count back by probing levels until one is absent: a false positive
-raises a count by a level, never lowers it. Probabilities interpolate the pair's relative
-frequency with the word's, and the word's with a share for unseen words.
-
-The filter's size is proven: at most max_filter_bytes. Which pairs go in follows from the
-level histogram of the whole corpus: all of count min_pair_count up, and where those don't
-fit, all from the lowest level up that does. Counting itself covers every training text and
-is sharded: tasks send packed (n-gram, count) arrays to buckets, buckets build their segment
-of the filter.
+level q is put into a Bloom filter once for each level 1..q. A count is read back by probing
+levels until one is absent: a false positive raises a count by a level, never lowers it.
+Probabilities interpolate the pair's relative frequency with the word's, and the word's with
+a share for unseen words.
+
+The filter holds every word and every pair of the training texts, at any size. It is cut into
+segments by bucket of the n-gram's name, each sized from its own insertions; the number of
+buckets follows the bytes of text, so a segment stays small and none is ever sent to all
+tasks. Documents are cut into chunks of bounded size. A chunk sends its distinct n-grams with
+their training counts to the buckets; a bucket sums the counts, fills its segment, probes it
+for each n-gram that a chunk sent and answers the chunk with one byte for each, in order of
+the names. The chunk's texts then meet its answers and are scored.
 
 Exact word counts serve the base score and n_known: words frequent enough to be among at
 most frequent_words are looked up in the task (the threshold comes from a histogram of all
@@ -29,6 +31,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +41,13 @@ from tallyspan.llm.common import mix, ship, shuffle_partitions, stored, texts
 ship(__name__)
 
 FOLDS, HELD_OUT = 7, 2
-LOG_BASE, HASHES, MIN_PAIR_COUNT = 1.5, 5, 2
-MAX_FILTER_BYTES, FREQUENT_WORDS = 64 << 20, 300_000
+LOG_BASE, HASHES, MIN_PAIR_COUNT = 1.5, 5, 1
+FREQUENT_WORDS = 300_000
+#: Bytes of text to a chunk, and to a bucket of n-grams.
+CHUNK, BUCKET = 3_000_000, 32_000_000
 #: Most weight of a pair's relative frequency, and the context count at which half of it is given.
 PAIR_WEIGHT, PAIR_HALF = 0.5, 5.0
 END = ""  # no word is empty
-FLUSH_WORDS, STRIDE = 1_500_000, 3_000_000
 _START = np.uint64(0x53544152545F5F31)
 
 
@@ -96,58 +100,122 @@ class Tokens:
         self.pairs = mix(self.context, self.names)
 
 
-def strides(raw: list[bytes], stride: int = STRIDE):
-    """Index ranges of a batch that hold a bounded number of bytes."""
-    a = held = 0
-    for i, t in enumerate(raw):
-        held += len(t)
-        if held >= stride:
-            yield a, i + 1
-            a, held = i + 1, 0
-    if a < len(raw):
-        yield a, len(raw)
-
-
-COUNTS = "bucket int, kind int, keys binary, counts binary"
-
-
-def ngram_counts(train: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, kind, keys, counts): packed counts of words (kind 1) and pairs (kind 2), summed in each task."""
-
-    def send(held):
-        for kind, parts in held.items():
-            if not parts:
-                continue
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            bucket = (keys % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            keys, n, cuts = keys[order], n[order].astype("<u4"), np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cuts)).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(full, pa.int32()),
-                    pa.array([kind] * len(full), pa.int32()),
-                    pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
-                    pa.array([n[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
-                ],
-                names=["bucket", "kind", "keys", "counts"],
-            )
+def in_chunks(flagged: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows (doc_id, text, held_out) with the number of a chunk of bounded size, stored."""
 
     def run(batches):
-        held, n = {1: [], 2: []}, 0
+        from pyspark import TaskContext
+
+        number, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            raw = texts(batch)
-            for a, b in strides(raw):
+            of = []
+            for n in pc.coalesce(pc.binary_length(batch.column("text")), 0).to_pylist():
+                of.append(number)
+                held += n + 1
+                if held >= chunk:
+                    number, held = number + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int64())], names=[*batch.schema.names, "chunk"])
+
+    return stored(flagged.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, text string, held_out boolean, chunk long"))
+
+
+COUNTS = "chunk long, bucket int, kind int, keys binary, counts binary"
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys by bucket, cuts between the buckets)."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def ngram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, bucket, kind, keys, counts): packed words (kind 1) and pairs (kind 2) of a chunk with
+    their training counts, which are 0 for those of held-out texts only. A chunk may send several rows."""
+
+    def run(batches):
+        for batch in batches:
+            raw, of = texts(batch), batch.column("chunk").to_numpy()
+            train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
                 t = Tokens([words_of(x) for x in raw[a:b]])
-                held[1].append(t.names)
-                held[2].append(t.pairs)
-                n += len(t.names)
-                if n > FLUSH_WORDS:
-                    yield from send(held)
-                    held, n = {1: [], 2: []}, 0
-        yield from send(held)
+                rows: dict[str, list] = {k: [] for k in ("bucket", "kind", "keys", "counts")}
+                for kind, names in ((1, t.names), (2, t.pairs)):
+                    keys, at = np.unique(names, return_inverse=True)
+                    n = np.bincount(at, train[a:b][t.text_of], len(keys)).astype("<u4")
+                    order, cuts = by_bucket(keys, buckets)
+                    keys, n = keys[order], n[order]
+                    for k in np.flatnonzero(np.diff(cuts)).tolist():
+                        one = (k, kind, keys[cuts[k] : cuts[k + 1]].tobytes(), n[cuts[k] : cuts[k + 1]].tobytes())
+                        for name, v in zip(rows, one):
+                            rows[name].append(v)
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                own = pa.array(np.full(len(rows["kind"]), of[a], np.int64))
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(v, k) for v, k in zip(rows.values(), kinds))], names=["chunk", *rows])
+
+    return chunks.select("chunk", "text", "held_out").mapInArrow(run, COUNTS)
+
+
+ANSWERS = "chunk long, bucket int, kind int, levels binary, level_keys array<long>, level_sums array<long>"
+
+
+def filter_answers(counts: DataFrame) -> DataFrame:
+    """One row for each chunk, bucket and kind: the levels that the bucket's segment of the filter has for
+    the chunk's n-grams, by name. One more row (chunk null) has the bucket's training n-grams and counts by level."""
+
+    def answer(key, t):
+        kind = key[1].as_py()
+        parts = [np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()]
+        n = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()])
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(at, n).astype(np.int64)
+        seen = np.flatnonzero(n)
+        level = level_of(n[seen], 1)
+        bits = 8 * math.ceil(int(level.sum(dtype=np.int64)) * HASHES / math.log(2) / 8 * 1.05) + 64
+        segment = np.zeros(bits, bool)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            segment[positions(keys[seen[level >= q]], q, kind, 1, bits).ravel()] = True
+        f = Filter(np.packbits(segment, bitorder="little"), 1, bits, {kind: 1}, {kind: np.zeros(int(level.max(initial=0)) + 1)}, {})
+        got = f.level(keys, kind).astype(np.uint8)
+        chunk, ends = t.column("chunk").to_numpy(), np.cumsum([len(x) for x in parts])
+        mine: dict[int, list] = {}
+        for c, x in zip(chunk.tolist(), np.split(at, ends[:-1])):
+            mine.setdefault(c, []).append(x)
+        sent = [got[x[0] if len(x) == 1 else np.unique(np.concatenate(x))].tobytes() for x in mine.values()]
+        rows, none = len(sent), [None] * len(sent)
+        return pa.table(
+            {
+                "chunk": pa.array([*mine, None], pa.int64()),
+                "bucket": pa.array([key[0].as_py()] * (rows + 1), pa.int32()),
+                "kind": pa.array([kind] * (rows + 1), pa.int32()),
+                "levels": pa.array([*sent, None], pa.binary()),
+                "level_keys": pa.array([*none, np.bincount(level, minlength=2).tolist()], pa.list_(pa.int64())),
+                "level_sums": pa.array([*none, np.bincount(level, n[seen], minlength=2).astype(np.int64).tolist()], pa.list_(pa.int64())),
+            }
+        )
 
-    return train.select("text").mapInArrow(run, COUNTS)
+    return counts.groupBy("bucket", "kind").applyInArrow(answer, ANSWERS)
+
+
+def level_means(by_level: DataFrame) -> tuple[dict, dict]:
+    """({kind: {level: (n-grams, sum of counts)}}, {kind: mean count by level})."""
+    rows = by_level.select("kind", F.posexplode(F.arrays_zip("level_keys", "level_sums")).alias("level", "x"))
+    rows = rows.groupBy("kind", "level").agg(F.sum("x.level_keys").alias("keys"), F.sum("x.level_sums").alias("n"))
+    found = {k: {} for k in (1, 2)}
+    for kind, level, keys, n in rows.collect():  # a few dozen levels of each kind
+        if keys:
+            found[kind][level] = (keys, n)
+    mean = {}
+    for kind, by in found.items():
+        mean[kind] = np.zeros(max(by, default=0) + 1)
+        for level, (keys, n) in by.items():
+            mean[kind][level] = n / keys
+        for level in range(1, len(mean[kind])):
+            mean[kind][level] = max(mean[kind][level], mean[kind][level - 1])
+    return found, mean
 
 
 LEVELS = "bucket int, kind int, keys binary, levels binary, level_keys array<long>, level_sums array<long>"
@@ -212,24 +280,14 @@ class Filter:
         return out
 
 
-def train_filter(train: DataFrame, min_pair: int = MIN_PAIR_COUNT, max_bytes: int = MAX_FILTER_BYTES) -> Filter:
-    """Counts all training texts and builds the filter; what reaches the driver is at most max_bytes."""
+def train_filter(train: DataFrame, min_pair: int = MIN_PAIR_COUNT, max_bytes: int = 64 << 20) -> Filter:
+    """A filter of all training texts for one process, of at most max_bytes: what doesn't fit is left out,
+    pairs first. score_documents() doesn't use it, its filter has no such bound."""
     spark = train.sparkSession
     buckets = 2 * shuffle_partitions(spark)
-    levels = stored(merged_levels(ngram_counts(train, buckets), min_pair))
-    by_level = levels.select("kind", F.posexplode(F.arrays_zip("level_keys", "level_sums")).alias("level", "x"))
-    by_level = by_level.groupBy("kind", "level").agg(F.sum("x.level_keys").alias("keys"), F.sum("x.level_sums").alias("n"))
-    found = {k: {} for k in (1, 2)}
-    for kind, level, keys, n in by_level.collect():  # a few dozen levels of each kind
-        if keys:
-            found[kind][level] = (keys, n)
-    mean = {}
-    for kind, by in found.items():
-        mean[kind] = np.zeros(max(by, default=0) + 1)
-        for level, (keys, n) in by.items():
-            mean[kind][level] = n / keys
-        for level in range(1, len(mean[kind])):
-            mean[kind][level] = max(mean[kind][level], mean[kind][level - 1])
+    counts = ngram_counts(train.select("text", F.lit(False).alias("held_out"), F.lit(0).cast("long").alias("chunk")), buckets)
+    levels = stored(merged_levels(counts, min_pair))
+    found, mean = level_means(levels)
 
     def insertions(cut: dict) -> int:
         return sum(keys * (level - cut[kind] + 1) for kind, by in found.items() for level, (keys, _) in by.items() if level >= cut[kind])
@@ -259,14 +317,10 @@ def train_filter(train: DataFrame, min_pair: int = MIN_PAIR_COUNT, max_bytes: in
     return Filter(raw, buckets, bits, cut, mean, {"singles": found[1].get(1, (0, 0))[0]})
 
 
-def score_tokens(t: Tokens, f: Filter, total: int, types: int, n_train: int) -> np.ndarray:
-    """log10 probability of each token."""
-    names, at = np.unique(t.names, return_inverse=True)
-    word = f.mean[1][f.level(names, 1)][at]
-    unseen = min(0.5, (f.stats["singles"] + 1) / (total + 2))
+def score_tokens(t: Tokens, word: np.ndarray, pair: np.ndarray, singles: int, total: int, types: int, n_train: int) -> np.ndarray:
+    """log10 probability of each token from the counts that the filter has for it and its pair."""
+    unseen = min(0.5, (singles + 1) / (total + 2))
     p1 = (1 - unseen) * np.minimum(word, total) / max(1, total) + unseen / (types + 1)
-    pairs, back = np.unique(t.pairs, return_inverse=True)
-    pair = f.mean[2][f.level(pairs, 2)][back]
     before = np.roll(word, 1)
     before[t.first] = n_train
     pair = np.where((word > 0) & (before > 0), np.minimum(pair, np.minimum(word, before)), 0.0)  # a pair is no more frequent than its words
@@ -277,10 +331,10 @@ def score_tokens(t: Tokens, f: Filter, total: int, types: int, n_train: int) ->
 SCORED = "doc_id long, owner long, held_out boolean, n_tokens long, score double, part double, known long, word string, tf long"
 
 
-def score_documents(documents: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT, max_filter_bytes: int = MAX_FILTER_BYTES, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def score_documents(documents: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT, frequent_words: int = FREQUENT_WORDS, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = documents.sparkSession
-    flagged = documents.select("doc_id", "text", is_held_out("doc_id", folds, fold).alias("held_out"))
+    flagged = in_chunks(documents.select("doc_id", "text", is_held_out("doc_id", folds, fold).alias("held_out")), chunk)
     train = flagged.where("not held_out")
     counts = stored(word_counts(train))
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -297,37 +351,51 @@ def score_documents(documents: DataFrame, folds: int = FOLDS, fold: int = HELD_O
         got = counts.where(F.col("n") >= least).toArrow()
         frequent = dict(zip(got.column("word").cast(pa.binary()).to_pylist(), got.column("n").to_pylist()))
     known = spark.sparkContext.broadcast(frequent)
-    model = spark.sparkContext.broadcast(train_filter(train, max_bytes=max_filter_bytes))
-
-    def run(batches):
-        f, exact = model.value, known.value
-        for batch in batches:
-            raw, ids, held = texts(batch), batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            for a, b in strides(raw):
-                words = [words_of(x) for x in raw[a:b]]
-                t = Tokens(words)
-                score = np.bincount(t.text_of, score_tokens(t, f, total, types, n_train), len(words))
-                out = {k: [] for k in ("doc_id", "owner", "held_out", "n_tokens", "score", "part", "known", "word", "tf")}
-                for i, w in enumerate(words):
-                    owner = int(np.uint64(xxhash.xxh64_intdigest(raw[a + i], 42)).astype(np.int64))
-                    tf = Counter(w)
-                    tf[b""] += 1
-                    part, sure, rare = 0.0, 0, []
-                    for x, n in tf.items():
-                        c = exact.get(x)
-                        if c is None:
-                            rare.append((x.decode(), n))
-                        else:
-                            part += n * math.log10(c + 1)
-                            sure += n
-                    rows = [(ids[a + i], owner, held[a + i], len(w) + 1, float(score[i]), part, sure, None, None)]
-                    rows += [(None, owner, None, None, None, None, None, x, n) for x, n in rare]
-                    for k, v in zip(out, zip(*rows)):
-                        out[k].extend(v)
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
-
-    scored = stored(flagged.mapInArrow(run, SCORED))
+    size = flagged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * shuffle_partitions(spark), -(-size // bucket))
+    answers = stored(filter_answers(ngram_counts(flagged, buckets)))
+    found, mean = level_means(answers.where("chunk is null"))
+    singles = found[1].get(1, (0, 0))[0]
+
+    def counts_of(names: np.ndarray, levels: list[bytes], kind: int) -> np.ndarray:
+        """The filter's count of each name, from the answers to its chunk by bucket."""
+        keys, at = np.unique(names, return_inverse=True)
+        order, _ = by_bucket(keys, buckets)
+        of = np.empty(len(keys), np.int64)
+        of[order] = np.frombuffer(b"".join(levels), np.uint8)
+        return mean[kind][of][at]
+
+    def score(left, right):
+        exact, raw = known.value, texts(left)
+        ids, held = left.column("doc_id").to_pylist(), left.column("held_out").to_pylist()
+        right = right.sort_by("bucket")
+        kinds, levels = right.column("kind").to_pylist(), right.column("levels").to_pylist()
+        words = [words_of(x) for x in raw]
+        t = Tokens(words)
+        word, pair = (counts_of(x, [v for k, v in zip(kinds, levels) if k == kind], kind) for kind, x in ((1, t.names), (2, t.pairs)))
+        scores = np.bincount(t.text_of, score_tokens(t, word, pair, singles, total, types, n_train), len(words))
+        out = {k: [] for k in ("doc_id", "owner", "held_out", "n_tokens", "score", "part", "known", "word", "tf")}
+        for i, w in enumerate(words):
+            owner = int(np.uint64(xxhash.xxh64_intdigest(raw[i], 42)).astype(np.int64))
+            tf = Counter(w)
+            tf[b""] += 1
+            part, sure, rare = 0.0, 0, []
+            for x, n in tf.items():
+                c = exact.get(x)
+                if c is None:
+                    rare.append((x.decode(), n))
+                else:
+                    part += n * math.log10(c + 1)
+                    sure += n
+            rows = [(ids[i], owner, held[i], len(w) + 1, float(scores[i]), part, sure, None, None)]
+            rows += [(None, owner, None, None, None, None, None, x, n) for x, n in rare]
+            for k, v in zip(out, zip(*rows)):
+                out[k].extend(v)
+        types_ = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int64())
+        return pa.table([pa.array(v, k) for v, k in zip(out.values(), types_)], names=list(out))
+
+    asked = answers.where("chunk is not null").select("chunk", "bucket", "kind", "levels")
+    scored = stored(flagged.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(score, SCORED))
     docs = scored.where("word is null")
     copies = docs.groupBy("owner").agg(F.count(F.lit(1)).alias("copies"))
     # equal texts send equal rows: sums over an owner are taken once for each copy and divided again

@@ -202,6 +202,31 @@ def test_bloom_levels(spark):
     assert len(small.raw) <= 200
 
 
+def test_lm_filter_grows_with_the_corpus(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 90, 400)) for _ in range(40)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    a, b = ({r.doc_id: r.score for r in bloom_lm.score_documents(df, frequent_words=20, chunk=c, bucket=k).collect()} for c, k in ((10_000_000, 10_000_000), (700, 900)))
+    word, pair, level = Counter(), Counter(), lambda n: int(bloom_lm.level_of(np.array([n]), 1)[0])
+    data = [(i, [*x.split(), ""], zlib.crc32(str(i).encode()) % 7 == 2) for i, x in enumerate(texts)]
+    for _, t, held in data:
+        if not held:
+            word.update(t)
+            pair.update(zip([None, *t], t))
+    mean = [{q: np.mean([n for n in c.values() if level(n) == q]) for q in {level(n) for n in c.values()}} for c in (word, pair)]
+    n_train, total = sum(not h for *_, h in data), sum(word.values())
+    for i, t, held in data:
+        want = 0.0
+        for u, w in zip([None, *t], t):
+            p1 = (1 - 1 / (total + 2)) * mean[0][level(word[w])] / total + 1 / (total + 2) / (len(word) + 1)
+            before = mean[0][level(word[u])] if u is not None else n_train
+            both = min(mean[1][level(pair[u, w])] if pair[u, w] else 0, before, mean[0][level(word[w])])
+            share = 0.5 * before / (before + 5)
+            want += math.log10(share * both / before + (1 - share) * p1)
+        # false positives raise some counts by a level; pairs that occur once count
+        assert abs(a[i] - want) < 0.01 * abs(want) and abs(b[i] - want) < 0.01 * abs(want), (i, held, a[i], b[i], want)
+
+
 def test_mixing(spark, docs, none):
     src = mixing.source_targets(spark.createDataFrame([("a", 100), ("b", 10), ("c", 1000), (None, 50), ("d", 0)], "source string, size long"))
     got = {r.source: r.target for r in src.collect()}
