@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspan.llm.common import connected_components, in_cells, least_reachable, runs, ship, stored, texts
 
@@ -131,12 +132,17 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     return dealt.mapInArrow(run, "src long, dst long").distinct()
 
 
+def components(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, component): each distinct fingerprint of nodes with the least fingerprint of its component."""
+    component = connected_components(links(nodes, distance))
+    return nodes.join(component, nodes.fp == component.node, "left").select(*nodes.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links."""
     marked = stored(fingerprints(documents, shingle))
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    component = connected_components(links(nodes, distance))
-    of = nodes.join(component, nodes.fp == component.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    of = components(nodes, distance)
     least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of = of.join(least, "component").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
@@ -145,10 +151,26 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int
 def keep_first(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each component: the one with the least doc_id, columns unchanged.
 
-    Of rows that share this doc_id, one stays; a component of null ids alone keeps one row.
+    Null ids come last; ties fall to the lower fingerprint, then the lower hash of the text. Rows are
+    told apart by a number of their own, so neither null nor repeated ids join components.
     """
-    found = near_duplicates(documents, shingle, distance)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    first = kept.groupBy("_id").agg(F.min("_fp").alias("_fp"))
-    out = documents.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            raw = texts(batch)
+            fp = np.array([fingerprint(t, shingle) for t in raw], np.uint64).view(np.int64)
+            digest = np.array([xxhash.xxh64_intdigest(t) for t in raw], np.uint64).view(np.int64)
+            own = np.arange(at, at + len(raw), dtype=np.int64)
+            at += len(raw)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp), pa.array(digest), pa.array(own)], names=[*batch.schema.names, "_fp", "_digest", "_row"])
+
+    schema = T.StructType([*documents.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_fp", "_digest", "_row"))])
+    marked = stored(documents.mapInArrow(run, schema))
+    # the first row of each fingerprint, then of each component
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_fp").alias("fp"), F.col("_digest").alias("digest"), F.col("_row").alias("row"))
+    nodes = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first")))
+    first = components(nodes, distance).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return marked.join(first, "_row", "left_semi").select(*documents.columns)

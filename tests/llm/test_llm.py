@@ -265,6 +265,13 @@ def test_simhash(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(docs).columns == docs.columns
 
 
+def test_keep_first_keeps_one_of_each_component(spark):
+    a, b, c, d, e = (words(50 + k, 60) for k in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, e), (5, e), (5, words(60, 60)), (None, e)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, a), (None, b), (7, c), (7, d), (3, e), rows[7]])
+
+
 def test_simhash_links_whole(spark):
     rng = np.random.default_rng(4)
     fp = rng.integers(0, 1 << 62, 40).astype(np.uint64)
