@@ -138,6 +138,19 @@ def test_quality(spark):
     assert all(r.keep for r in quality.judge(df, labels.limit(0)).collect())
 
 
+def test_keep_good_drops_rejected_texts_only(spark):
+    rng = np.random.default_rng(8)
+    clean = lambda: " ".join(f"w{chr(97 + k % 26)}" for k in np.minimum(rng.zipf(1.5, 80), 600))
+    junk = " ".join(f"q{j}###" for j in range(60))
+    good = [(i, clean(), "en") for i in range(300)]
+    more = [(None, good[0][1], "en"), (None, good[1][1], "en"), (400, good[2][1], "en")]
+    df = spark.createDataFrame(good + more + [(None, junk, "en"), (400, junk, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    kept = Counter(map(tuple, quality.keep_good(df, labels).collect()))
+    verdict = {r.doc_id: r.keep for r in quality.judge(df, labels).where("doc_id < 300").collect()}
+    assert junk not in {t for _, t, _ in kept} and all(verdict[k] == (row in kept) for k, row in enumerate(more))
+
+
 def test_kneser_ney_sums_to_one(spark):
     sample = spark.createDataFrame([("a b c a b d a c",), ("b a a b c d",), ("c c d a b",)], "text string")
     m = quality.fit(sample)
