@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspan.llm import bloom_lm, chat, embeddings, media, mixing, packing, quality, simhash, substring, urls
 from tallyspan.llm.common import connected_components, least_reachable
@@ -151,6 +152,22 @@ def test_keep_good_drops_rejected_texts_only(spark):
     assert junk not in {t for _, t, _ in kept} and all(verdict[k] == (row in kept) for k, row in enumerate(more))
 
 
+def test_quality_sample_and_thresholds_by_language(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"w{chr(97 + k % 26)}" for k in np.minimum(rng.zipf(1.5, n), 600))
+    rows = [(i, text(40), "en" if i % 6 else "de") for i in range(240)] + [(300 + i, text(400), "en") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = df.select("doc_id")
+    lang, size = {i: x for i, _, x in rows}, {i: len(t) for i, t, _ in rows}
+    got = [(r.doc_id, r.lang) for r in quality.fitting_ids(df, ids, 20, 400).collect()]
+    n = Counter(x for _, x in got)
+    assert 6 <= n["de"] <= 10 and 6 <= n["en"] <= 10 and all(size[i] <= 400 and lang[i] == x for i, x in got)
+    assert quality.shares({"a": 2, None: 50, "b": 50}, 20) == {"a": 2, None: 9, "b": 9}
+    held = spark.createDataFrame([("de", 2.0)] * 10 + [("en", 4.0)] * 90, "lang string, x double")
+    out = quality._with_language(spark.createDataFrame([("de",), ("en",), ("xx",)], "lang string"), quality._by_language(held, F.avg("x"), "mean"))
+    assert {r.lang: round(r["mean"], 9) for r in out.collect()} == {"de": round((10 * 2 + 50 * 3.8) / 60, 9), "en": round((90 * 4 + 50 * 3.8) / 140, 9), "xx": 3.8}
+
+
 def test_kneser_ney_sums_to_one(spark):
     sample = spark.createDataFrame([("a b c a b d a c",), ("b a a b c d",), ("c c d a b",)], "text string")
     m = quality.fit(sample)
