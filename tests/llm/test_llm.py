@@ -113,6 +113,20 @@ def test_packing_rounds(spark):
     assert len(got) == 3000 and fill.max() <= 2048 and got.doc_id.nunique() == 3000
 
 
+def test_packing_groups_stay_bounded(spark, monkeypatch):
+    sizes, plain = [], packing._pack_groups
+
+    def seen(rows, groups, *rest):
+        sizes.append(rows.count() / groups)
+        return plain(rows, groups, *rest)
+
+    monkeypatch.setattr(packing, "_pack_groups", seen)
+    rng = np.random.default_rng(4)
+    cut = spark.createDataFrame([(int(i), 0, 0, int(n), 0) for i, n in enumerate(rng.integers(1025, 2040, 1000))], packing.PIECES)
+    got = packing.pack_pieces(cut, group=100, fan_in=4).toPandas()
+    assert max(sizes) <= 100 and len(got) == got.doc_id.nunique() == got.sequence_id.nunique() == 1000
+
+
 def test_media(spark, docs, none):
     got = {}
     for r in media.media_digests(docs).collect():
