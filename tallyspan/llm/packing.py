@@ -1,16 +1,17 @@
 """Best-fit packing with a swap-based local search.
 
 Documents become token ids; longer ones are cut at the sequence length, all else stays
-whole. Pieces are dealt to groups of bounded size by hash. In a group, best-fit decreasing
+whole. Pieces are dealt to groups of bounded size at random. In a group, best-fit decreasing
 fills bins; then, while fewer bins could hold the group, documents of the emptiest bin are
 moved out, or exchanged one for one or two for one with documents of other underfull bins.
 Every step raises the sum of squared fills, so the search ends; bins that become empty go.
 Bins left underfull meet those of other groups in the next round, in as many groups as keep
 the bound. Rounds end with one group, or where one frees at most a hundredth of the bins it took.
 
-Defined results: null text is empty, a document of the end id alone; an empty table gives an
-empty result; repeated rows are packed once for each row; ties fall to the longer piece, then
-the lower doc_id. Columns other than doc_id and text are ignored.
+Defined results: null text is empty, a document of the end id alone; a null doc_id stays null; a
+very long text is cut into as many pieces as it needs; an empty table gives an empty result;
+repeated rows are packed once for each row; ties fall to the longer piece, then the lower doc_id,
+nulls last. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import zlib
 from unicodedata import normalize
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,16 +228,23 @@ def empty_bins(lengths: np.ndarray, bins: list[list[int]], room: int) -> list[li
                     break
             if step is None:
                 pg, pl = gaps[bin_of[pool]], lengths[pool]
-                best = 0
-                pairs = [(i,) for i in mine] + [(i, j) for a, i in enumerate(mine) for j in mine[a + 1 :]]
-                for out in pairs:  # one for one, two for one: the largest gain in the other bin
-                    gain = int(lengths[list(out)].sum()) - pl
-                    # the other bin must stay the fuller one for the squared fill to rise
-                    ok = (gain > 0) & (gain <= pg) & (room - pg + gain > fill[e])
-                    if ok.any():
-                        k = int(np.argmax(np.where(ok, gain, 0)))
-                        if gain[k] > best:
-                            best, step = int(gain[k]), (out, int(bin_of[pool[k]]), int(pool[k]))
+                # one for one, two for one: of equal totals the first will do, so there are at most room of them
+                ways: dict[int, tuple] = {}
+                for i in mine:
+                    ways.setdefault(int(lengths[i]), (i,))
+                own = list(ways.values())
+                for a, (i,) in enumerate(own):
+                    again = next((j for j in mine if j != i and lengths[j] == lengths[i]), None)
+                    for j in [k for (k,) in own[a + 1 :]] + ([] if again is None else [again]):
+                        ways.setdefault(int(lengths[i] + lengths[j]), (i, j))
+                totals = np.array(sorted(ways))
+                # each partner's largest gain is the largest total that its bin has room for
+                gain = totals[np.maximum(np.searchsorted(totals, pl + pg, "right") - 1, 0)] - pl
+                # the other bin must stay the fuller one for the squared fill to rise
+                ok = (gain > 0) & (gain <= pg) & (room - pg + gain > fill[e])
+                if ok.any():
+                    k = int(np.argmax(np.where(ok, gain, 0)))
+                    step = (ways[int(pl[k] + gain[k])], int(bin_of[pool[k]]), int(pool[k]))
             if step is None:
                 break
             out, b, back = step
@@ -258,24 +266,27 @@ def _pack_groups(rows: DataFrame, groups: int, turn: int, room: int, last: bool)
     """rows (doc_id, piece, start, length, ids_crc32) -> with sequence_id, offset and whether the bin is final."""
     schema = PIECES + ", sequence_id long, offset long, final boolean"
 
-    def pack(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
-        lengths, g = df["length"].to_numpy(), int(df["grp"].iloc[0])
+    def pack(t: pa.Table) -> pa.Table:
+        g = t.column("grp")[0].as_py()
+        t = t.take(pc.sort_indices(t, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])).drop(["grp"])
+        lengths = t.column("length").to_numpy()
         bins = empty_bins(lengths, best_fit(lengths, room), room)
         order = np.concatenate([np.array(b) for b in bins])
         number = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-        out = df.iloc[order].drop(columns="grp").reset_index(drop=True)
         n = lengths[order]
         before = np.cumsum(n) - n
         first = np.r_[True, number[1:] != number[:-1]]
-        out["offset"] = before - np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), len(n)]))
-        out["sequence_id"] = ((turn << 24 | g) << 32) + number
+        offset = before - np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), len(n)]))
         total = np.bincount(number, n)
-        out["final"] = last | (total[number] >= room - room // 256)
-        return out[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "final"]]
-
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).cast("int"))
-    return dealt.groupBy("grp").applyInPandas(pack, schema)
+        placed = (((turn << 24 | g) << 32) + number, offset, last | (total[number] >= room - room // 256))
+        t = t.take(pa.array(order))
+        for name, v in zip(("sequence_id", "offset", "final"), placed):
+            t = t.append_column(name, pa.array(v))
+        return t
+
+    # by the row's place in the stored table: repeated rows and null ids spread like any others
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(groups)).cast("int"))
+    return dealt.groupBy("grp").applyInArrow(pack, schema)
 
 
 def pack_pieces(cut: DataFrame, room: int = LENGTH, group: int = GROUP, fan_in: int = FAN_IN) -> DataFrame:
