@@ -30,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is named."""
+    """The shared folder the cluster names; one of our own only in local mode and where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -86,15 +88,15 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def in_cells(df: DataFrame, cell: list[str], ident: str, block: int) -> DataFrame:
+def in_cells(df: DataFrame, cell: list[str], ident: str, block: int, counted: DataFrame | None = None) -> DataFrame:
     """Deal rows to cells so that no task holds more than about two blocks of one cell.
 
     A cell of more than ``block`` rows is cut into chunks by a hash of ``ident``; a row goes to
     each pair of chunks that holds its own. Adds ``chunk``, ``lo`` and ``hi``: rows of chunk lo
     meet those of chunk hi, and every two rows of a cell meet in exactly one (lo, hi).
-    Rows of small cells are not copied.
+    Rows of small cells are not copied. ``counted`` has the cells of df's rows, where they are had for less.
     """
-    large = df.groupBy(*cell).count().where(F.col("count") > block)
+    large = (df if counted is None else counted).groupBy(*cell).count().where(F.col("count") > block)
     large = large.select(*cell, F.ceil(F.col("count") / block).cast("int").alias("_k"))
     k = F.coalesce("_k", F.lit(1))
     dealt = df.join(large, cell, "left").withColumn("chunk", F.pmod(F.xxhash64(ident), k).cast("int"))
@@ -143,6 +145,26 @@ def least_reachable(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
+#: A key with more than this share of all rows is hot: there are at most so many such keys, the inverse of it.
+HOT = 1000
+
+
+def join_by_class(rows: DataFrame, classes: DataFrame, key: str, spread: str, total: int) -> DataFrame:
+    """rows left-joined with classes, which has one row for each key and the number ``n`` of rows that hold it.
+
+    The keys of more than total / HOT rows, at most HOT of them, are broadcast; their rows are spread by a
+    hash of ``spread`` over the exchange, so that no task holds a large class.
+    """
+    values = [c for c in classes.columns if c not in (key, "n")]
+    hot = classes.where(F.col("n") > total / HOT).select(F.col(key).alias("_hot"), F.struct(*values).alias("_of_hot"))
+    cold = classes.where(F.col("n") <= total / HOT).select(F.col(key).alias("_key"), F.lit(0).alias("_salt"), F.struct(*values).alias("_of"))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    out = out.withColumn("_at", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(HOT))).cast("int"))
+    out = out.join(cold, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_salt")), "left")
+    of = F.coalesce("_of_hot", "_of")
+    return out.select(*rows.columns, *[of[c].alias(c) for c in values])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Edges (src, dst) of any orderable type -> (node, component), component being the least node.
 
@@ -160,11 +182,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     was = stamp(e)
     while was[0]:
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_by_class(both.where("v > u"), low, "u", "v", 2 * was[0]).select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_by_class(large, least, "a", "b", 2 * was[0]).select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")
         )
         new = stored(small.select("x.*").where("a <> b").distinct())

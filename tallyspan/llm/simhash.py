@@ -4,9 +4,11 @@ A document's fingerprint takes each of 64 bits by majority over the hashes of it
 shingles. The 64 bits are cut into 32 segments of two; the segments' bit counts are a point
 in {0, 1, 2}^32, and the Manhattan distance of two points never exceeds the Hamming
 distance of their fingerprints. The range join under that distance is a grid join: the 32
-coordinates are dealt to five sub-grids, and of two points at distance four or less at least
-one sub-grid holds both in the same cell. Within a cell the bound (first on the whole count,
-then by byte) leaves few pairs, which are verified on the bits themselves.
+coordinates are dealt to g sub-grids, and of two points at distance four or less at least g - 4
+sub-grids hold both at the same place, so they share the cell of some g - 4 sub-grids. More
+sub-grids make smaller cells and more of them; g follows from the number of fingerprints, and
+every choice finds every pair. Within a cell the bound (first on the whole count, then by byte)
+leaves few pairs, which are verified on the bits themselves.
 
 Equal fingerprints are one node. Cells of any size are cut into blocks that meet pairwise,
 and a block gives the links of a spanning forest, so neither a task nor a result holds all
@@ -21,6 +23,9 @@ ignored by fingerprints().
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspan.llm.common import connected_components, in_cells, least_reachable, runs, ship, stored, texts
+from tallyspan.llm.common import connected_components, in_cells, join_by_class, least_reachable, mix, runs, ship, stored, texts
 
 ship(__name__)
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENT_BITS, BLOCK = 2, 1500
+#: What sending a fingerprint to one more cell costs, in pairs compared.
+SEND = 200
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -72,18 +79,36 @@ def segment_counts(fp: np.ndarray, bits: int = SEGMENT_BITS) -> np.ndarray:
     return one.reshape(len(fp), 64 // bits, bits).sum(axis=2, dtype=np.uint8)
 
 
-def cell_rows(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(grid, cell, fp): each fingerprint once in each of distance + 1 sub-grids."""
-    grids = distance + 1
+def sub_grids(n: int, distance: int = DISTANCE) -> int:
+    """The number of sub-grids for which n fingerprints take the least work.
+
+    A cell of k segments holds a share of about (3 / 8) ^ k of all: two random segments of two bits have the
+    same count with that probability.
+    """
+    segments = 64 // SEGMENT_BITS
+
+    def work(g: int) -> float:
+        return math.comb(g, distance) * (SEND + n * (3 / 8) ** (segments * (g - distance) / g))
+
+    return min(range(distance + 1, segments + 1), key=work)
+
+
+def cell_rows(fps: DataFrame, grids: int, distance: int = DISTANCE) -> DataFrame:
+    """(grid, cell, fp): each fingerprint once for each choice of grids - distance sub-grids."""
+    chosen = list(combinations(range(grids), grids - distance))
 
     def run(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy().astype(np.int64)
-            counts = segment_counts(fp.view(np.uint64)).astype(np.int64)
-            for g in range(grids):
-                part = counts[:, g::grids]
-                cell = part @ (SEGMENT_BITS + 1) ** np.arange(part.shape[1], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), g, np.int32)), pa.array(cell), pa.array(fp)], names=["grid", "cell", "fp"])
+            counts = segment_counts(fp.view(np.uint64)).astype(np.uint64)
+            parts = [counts[:, g::grids] for g in range(grids)]
+            # a sub-grid's coordinates as one number, base 3; a choice of sub-grids as a 64-bit name of theirs
+            parts = [p @ np.uint64(SEGMENT_BITS + 1) ** np.arange(p.shape[1], dtype=np.uint64) for p in parts]
+            for g, of in enumerate(chosen):
+                cell = parts[of[0]]
+                for k in of[1:]:
+                    cell = mix(cell, parts[k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), g, np.int32)), pa.array(cell.view(np.int64)), pa.array(fp)], names=["grid", "cell", "fp"])
 
     return fps.mapInArrow(run, "grid int, cell long, fp long")
 
@@ -104,8 +129,9 @@ def close_pairs(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     return near
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, grids: int | None = None) -> DataFrame:
     """(src, dst): a spanning forest of each block's links between distinct fingerprints."""
+    grids = grids or sub_grids(fps.count(), distance)
 
     def run(batches):
         for t in runs(batches, ["grid", "cell", "lo", "hi"]):
@@ -128,7 +154,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
             out = fp.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(out[own]), pa.array(out[label[own]])], names=["src", "dst"])
 
-    dealt = in_cells(cell_rows(fps.select("fp"), distance), ["grid", "cell"], "fp", block)
+    dealt = in_cells(cell_rows(fps.select("fp"), grids, distance), ["grid", "cell"], "fp", block)
     return dealt.mapInArrow(run, "src long, dst long").distinct()
 
 
@@ -141,36 +167,44 @@ def components(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links."""
     marked = stored(fingerprints(documents, shingle))
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    of = components(nodes, distance)
-    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of = of.join(least, "component").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
+    of = stored(components(nodes, distance))
+    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of = join_by_class(of.select("fp", "component", F.col("n").alias("copies")), least, "component", "fp", of.count())
+    of = of.select("fp", "component_id", F.col("copies").alias("n"))
+    # spread by partition and place: copies of one text share all their values
+    marked = marked.withColumn("_place", F.monotonically_increasing_id())
+    return join_by_class(marked, of, "fp", "_place", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_first(documents: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each component: the one with the least doc_id, columns unchanged.
 
     Null ids come last; ties fall to the lower fingerprint, then the lower hash of the text. Rows are
-    told apart by a number of their own, so neither null nor repeated ids join components.
+    told apart by a number of their own, so neither null nor repeated ids join components; a row travels
+    as one value, so its columns may have any names.
     """
+    cols = documents.columns
 
     def run(batches):
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
-            raw = texts(batch)
+            rows = batch.column("row")
+            raw = [x or b"" for x in rows.field("text").cast(pa.binary()).to_pylist()]
             fp = np.array([fingerprint(t, shingle) for t in raw], np.uint64).view(np.int64)
             digest = np.array([xxhash.xxh64_intdigest(t) for t in raw], np.uint64).view(np.int64)
             own = np.arange(at, at + len(raw), dtype=np.int64)
             at += len(raw)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp), pa.array(digest), pa.array(own)], names=[*batch.schema.names, "_fp", "_digest", "_row"])
+            yield pa.RecordBatch.from_arrays([rows, rows.field("doc_id"), pa.array(fp), pa.array(digest), pa.array(own)], names=["row", "doc_id", "fp", "digest", "n"])
 
-    schema = T.StructType([*documents.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_fp", "_digest", "_row"))])
-    marked = stored(documents.mapInArrow(run, schema))
+    whole = documents.select(F.struct(*cols).alias("row"))
+    kinds = {"row": whole.schema["row"].dataType, "doc_id": documents.schema["doc_id"].dataType, **dict.fromkeys(("fp", "digest", "n"), T.LongType())}
+    marked = stored(whole.mapInArrow(run, T.StructType([T.StructField(k, v) for k, v in kinds.items()])))
     # the first row of each fingerprint, then of each component
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_fp").alias("fp"), F.col("_digest").alias("digest"), F.col("_row").alias("row"))
-    nodes = stored(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("first")))
-    first = components(nodes, distance).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return marked.join(first, "_row", "left_semi").select(*documents.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "digest", "n")
+    nodes = stored(marked.groupBy("fp").agg(F.min(order).alias("first")))
+    first = components(nodes, distance).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.n").alias("n"))
+    kept = marked.select("row", "n").join(first, "n", "left_semi")
+    return kept.select(*[F.col("row")[c].alias(c) for c in cols])
