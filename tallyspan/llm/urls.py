@@ -5,13 +5,16 @@ several names. Distributed connected components over those edges make the classe
 with a rule of its own takes that rule's verdict, any other page takes its class's: blocked
 if a page of the class is blocked by rule and none is allowed by rule, else allowed.
 
-Edges: the target of <link rel="canonical"> and of <meta http-equiv="refresh"> in the page's
-HTML, and the redirects that every site has - other scheme, www. or m. in front, a trailing
-slash, .html, a fragment, a tracking parameter - which the node name itself folds together.
-
-Defined results: a null url, or one without ://, has empty host and path, fits no rule and
-stands alone. Repeated rows get equal answers. A null page_id is kept. Columns other than
-page_id, url and html are ignored.
+Nodes are urls. A url has an edge to where every site redirects it - https, no www. or m. in
+front, no trailing slash, .html, fragment or tracking parameter, arguments in order - and to the
+targets of <link rel="canonical"> and of <meta http-equiv="refresh"> in its page's HTML, which have
+edges of their own kind in turn.
+
+Defined results: a null url, or one without ://, has empty host and path, fits no rule, has no edge
+and stands alone. Relative targets are resolved against the page's url (a <base> is not read); those
+of other kinds, as mailto:, are none. Repeated rows and ties of a url get equal answers, and links of
+each of its rows count. A null page_id is kept. HTML of any length is one value, read once. An empty
+table gives an empty result. Columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import ascii_lower, connected_components
+from tallyspan.llm.common import ascii_lower, connected_components, join_by_class, stored
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+_TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
+_CANONICAL, _HREF = r"""(?is)^<link\b[^>]*\brel\s*=\s*["']?canonical\b""", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_REFRESH, _URL = r"""(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -54,48 +58,86 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> C
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<length:int,allow:boolean,rule:string>")
 
 
-def node_of(url: Column) -> Column:
-    """The name that a url shares with its plain redirects; null where it has no host."""
+def redirect_of(url: Column) -> Column:
+    """Where every site redirects a url; null where it has no host."""
     host = F.regexp_replace(host_of(url), r"^(?:www|m)\.", "")
     path = F.regexp_replace(F.regexp_replace(path_of(url), r"/+$", ""), r"\.html$", "")
     query = F.regexp_extract(url, r"(?s)^[^#]*?\?([^#]*)", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(?:utm_\w+|ref|fbclid|gclid)(?:=|$)")))
-    name = F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
+    name = F.concat(F.lit("https://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
     return F.when(host != "", name)
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst): redirect and canonical-link edges between node names; relative links are resolved."""
-    start = F.regexp_extract("url", r"(?s)^([^:/?#]+://[^/?#]*)", 1)
-    out = pages.where("html is not null and url is not null").select(
-        node_of(F.col("url")).alias("src"),
-        start.alias("start"),
-        F.explode(F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))).alias("to"),
-    ).where("to <> ''")
-    target = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat("start", "to"))
+def _without_dots(path: Column) -> Column:
+    """A path and what follows it, the path's . and .. segments resolved."""
+    none = F.array().cast("array<string>")
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.array_append(acc, x))
+    bare = F.regexp_extract(path, r"(?s)^([^?#]*)", 1)
+    return F.concat(F.array_join(F.aggregate(F.split(bare, "/"), none, step), "/"), F.substring(path, F.length(bare) + 1, F.length(path)))
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """A link's target as a whole url; null where it names nothing on the web."""
+    start = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = path_of(base)
+    folder = F.coalesce(F.nullif(F.regexp_replace(path, r"[^/]*$", ""), F.lit("")), F.lit("/"))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(to.startswith("//"), F.concat(F.lit("https:"), to))
+        .when(to.startswith("/"), F.concat(start, _without_dots(to)))
+        .when(to.startswith("?"), F.concat(start, path, to))
+        .when(to.startswith("#"), base)
+        .otherwise(F.concat(start, _without_dots(F.concat(folder, to))))
     )
-    return out.select("src", node_of(target).alias("dst")).where("src <> dst").distinct()
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(src, dst): urls of pages and the whole urls that their canonical and refresh links name."""
+    tag = F.col("tag")
+    to = F.when(tag.rlike(_CANONICAL), F.regexp_extract(tag, _HREF, 1)).when(tag.rlike(_REFRESH), F.regexp_extract(tag, _URL, 1))
+    tags = pages.where(host_of(F.col("url")) != "").select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_TAGS), 0)).alias("tag"))
+    found = tags.select("src", F.replace(to, F.lit("&amp;"), F.lit("&")).alias("to")).where("to <> ''")
+    return found.select("src", resolved(F.col("src"), F.col("to")).alias("dst")).where("dst is not null").distinct()
+
+
+def link_edges(pages: DataFrame) -> DataFrame:
+    """(src, dst): links between pages, and the redirect of every url that is a page's or a link's."""
+    links = stored(page_links(pages))
+    urls = pages.select("url").union(links.select("dst")).distinct()
+    redirects = urls.select(F.col("url").alias("src"), redirect_of(F.col("url")).alias("dst"))
+    return links.union(redirects).where("src <> dst")
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, component): every page with its verdict."""
     url = F.col("url")
-    judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
-    judged = judged.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
     component = connected_components(link_edges(pages))
-    named = judged.select("node", F.coalesce(~F.col("best.allow"), F.lit(False)).alias("b"), F.coalesce(F.col("best.allow"), F.lit(False)).alias("a"))
-    # per node first: a node of very many pages is one row from each task before any exchange
-    nodes = named.where("node is not null").groupBy("node").agg(F.max("b").alias("b"), F.max("a").alias("a"))
-    nodes = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classes = nodes.groupBy("component").agg(F.max("b").alias("cb"), F.max("a").alias("ca"))
-    of_node = nodes.select("node", "component").join(classes, "component")
-    out = judged.join(of_node, "node", "left")
-    rule = F.when(F.col("best.allow"), "allow").when(~F.col("best.allow"), "block")
-    verdict = F.coalesce(rule, F.when(F.col("cb") & ~F.col("ca"), "block"), F.lit("allow"))
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), "component")
+    # per url first: a url of very many pages is one row from each task before any exchange
+    best = best_rule(host_of(url), path_of(url), rules)
+    urls = pages.where("url is not null").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    urls = urls.withColumn("best", best).join(component, urls.url == component.node, "left")
+    urls = stored(urls.select("url", "n", "best", F.coalesce("component", "url").alias("component")))
+    named = F.col("best.allow")
+    classes = urls.groupBy("component").agg(F.bool_or(named).alias("ca"), F.bool_or(~named).alias("cb"), F.count(F.lit(1)).alias("n"))
+    by_class = F.when(F.coalesce("cb", F.lit(False)) & ~F.coalesce("ca", F.lit(False)), "block").otherwise("allow")
+    of = join_by_class(urls.withColumnRenamed("n", "pages"), classes, "component", "url", urls.count())
+    of = of.select("url", F.col("best.rule").alias("rule"), F.coalesce(F.when(named, "allow").when(~named, "block"), by_class).alias("verdict"), "component", F.col("pages").alias("n"))
+    rows = pages.select("page_id", "url", F.monotonically_increasing_id().alias("place"))
+    out = join_by_class(rows, of, "url", "place", rows.count())
+    return out.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "component")
+
+
+_SQL_REDIRECT = """CASE WHEN regexp_replace(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(?:www|m)\\.', '') <> '' THEN
+  'https://' || regexp_replace(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(?:www|m)\\.', '')
+  || regexp_replace(regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/+$', ''), '\\.html$', '')
+  || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '(?s)^[^#]*?\\?([^#]*)', 1), '&'),
+       lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_\\w+|ref|fbclid|gclid)(?:=|$)'))), '&'), ''), '') END"""
+
+
+def _sql_dots(x: str) -> str:
+    fold = "list_reduce(list_transform(string_split(regexp_extract({x}, '(?s)^([^?#]*)', 1), '/'), lambda s: [s]), lambda a, s: CASE WHEN s[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] WHEN s[1] = '.' THEN a ELSE list_concat(a, s) END)"
+    return f"(array_to_string({fold.format(x=x)}, '/') || substring({x}, length(regexp_extract({x}, '(?s)^([^?#]*)', 1)) + 1))"
 
 
 ORACLE = r"""
@@ -103,29 +145,43 @@ WITH RECURSIVE p AS (
   SELECT page_id, html, url,
          coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-         coalesce(regexp_extract(url, '(?s)^[^#]*?\?([^#]*)', 1), '') AS query
+         coalesce(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), '') AS start
   FROM pages
-), q AS (
-  SELECT *, regexp_replace(host, '^(?:www|m)\.', '') AS bare,
-         list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_\w+|ref|fbclid|gclid)(?:=|$)'))) AS args
-  FROM p
-), n AS (
-  SELECT *, CASE WHEN bare <> '' THEN bare || regexp_replace(regexp_replace(path, '/+$', ''), '\.html$', '')
-                 || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS node
-  FROM q
-), r AS (
-  SELECT n.*, (SELECT max({'length': length(rule), 'allow': action = 'allow', 'rule': rule})
-               FROM (VALUES ('allow', 'org', 'org/', '/'), ('block', 'example.org', 'example.org/es/', '/es/'),
-                            ('block', 'example.org', 'example.org/en/1', '/en/1'), ('allow', 'com', 'com/fr/', '/fr/'),
-                            ('block', 'com', 'com/de/', '/de/')) v(action, name, rule, start)
-               WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)) AS best
-  FROM n
+), tags AS (
+  SELECT url, start, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE host <> ''
+), tos AS (
+  SELECT *, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+       WHEN regexp_matches(tag, '(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS t,
+       coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') AS folder
+  FROM tags
+), links AS (
+  SELECT DISTINCT url AS src, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(t, '//') THEN 'https:' || t
+       WHEN starts_with(t, '/') THEN start || """ + _sql_dots("t") + """ WHEN starts_with(t, '?') THEN start || path || t WHEN starts_with(t, '#') THEN url ELSE start || """ + _sql_dots("(folder || t)") + """ END AS dst
+  FROM tos WHERE t <> ''
+), urls AS (
+  SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT dst FROM links WHERE dst IS NOT NULL
+), e0 AS (
+  SELECT src, dst FROM links WHERE dst IS NOT NULL UNION SELECT url, """ + _SQL_REDIRECT + """ FROM urls
+), e AS (
+  SELECT src, dst FROM e0 WHERE src <> dst UNION SELECT dst, src FROM e0 WHERE src <> dst
+), reach(url, other) AS (
+  SELECT src, src FROM e UNION SELECT r.url, e.dst FROM reach r JOIN e ON e.src = r.other
 ), c AS (
-  SELECT node, bool_or(NOT best.allow) AS b, bool_or(best.allow) AS a FROM r WHERE node IS NOT NULL GROUP BY node
+  SELECT url, min(other) AS component FROM reach GROUP BY url
+), r AS (
+  SELECT p.*, coalesce(c.component, p.url) AS component,
+         (SELECT max({'length': length(rule), 'allow': action = 'allow', 'rule': rule})
+          FROM (VALUES ('allow', 'org', 'org/', '/'), ('block', 'example.org', 'example.org/es/', '/es/'),
+                       ('block', 'example.org', 'example.org/en/1', '/en/1'), ('allow', 'com', 'com/fr/', '/fr/'),
+                       ('block', 'com', 'com/de/', '/de/')) v(action, name, rule, start)
+          WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, v.start)) AS best
+  FROM p LEFT JOIN c ON c.url = p.url
+), k AS (
+  SELECT component, bool_or(NOT best.allow) AS b, bool_or(best.allow) AS a FROM r WHERE component IS NOT NULL GROUP BY component
 )
 SELECT r.page_id, r.host, r.path, r.best.rule AS rule,
        CASE WHEN r.best.allow THEN 'allow' WHEN NOT r.best.allow THEN 'block'
-            WHEN coalesce(c.b, false) AND NOT coalesce(c.a, false) THEN 'block' ELSE 'allow' END AS verdict,
-       r.node AS component
-FROM r LEFT JOIN c ON c.node = r.node
+            WHEN coalesce(k.b, false) AND NOT coalesce(k.a, false) THEN 'block' ELSE 'allow' END AS verdict,
+       r.component
+FROM r LEFT JOIN k ON k.component = r.component
 """
