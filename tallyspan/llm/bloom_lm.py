@@ -2,26 +2,32 @@
 
 Word and word-pair counts of the training texts are quantised on a log scale; an n-gram of
 level q is put into a Bloom filter once for each level 1..q. A count is read back by probing
-levels until one is absent: a false positive raises a count by a level, never lowers it.
-Probabilities interpolate the pair's relative frequency with the word's, and the word's with
-a share for unseen words.
+levels until one is absent: a false positive raises a count by a level, never lowers it. A level
+stands for the middle of its counts.
+
+Probabilities are Witten-Bell's: of a context u with the values v(u, w) of its pairs, their sum
+Z(u) and their number T(u), p(w | u) = (v(u, w) + T(u) p(w)) / (Z(u) + T(u)); p(w) shares one part
+over the words by value and the rest evenly over them and one unseen word. So the probabilities
+after any context sum to one but for false positives.
 
 The filter holds every word and every pair of the training texts, at any size. It is cut into
-segments by bucket of the n-gram's name, each sized from its own insertions; the number of
-buckets follows the bytes of text, so a segment stays small and none is ever sent to all
-tasks. Documents are cut into chunks of bounded size. A chunk sends its distinct n-grams with
-their training counts to the buckets; a bucket sums the counts, fills its segment, probes it
-for each n-gram that a chunk sent and answers the chunk with one byte for each, in order of
-the names. The chunk's texts then meet its answers and are scored.
+segments by bucket of the word or of the pair's context, each sized from its own insertions; the
+number of buckets follows the bytes of text, so a segment stays small and none is ever sent to all
+tasks. A context of more than half a bucket's share is spread over several buckets, and its sums
+are gathered apart: at most two such contexts a bucket. Documents are cut into chunks of bounded
+size. A chunk sends its distinct n-grams with their training counts to the buckets; a bucket sums
+the counts, fills its segment, probes it for each n-gram that a chunk sent and answers the chunk
+with one byte for each and the sums of each context. The chunk's texts then meet its answers and
+are scored.
 
 Exact word counts serve the base score and n_known: words frequent enough to be among at
 most frequent_words are looked up in the task (the threshold comes from a histogram of all
 counts), rarer words by a join on the word, so no word of many rows is ever shuffled by key.
 
 Defined results: null text is empty, an end token alone; a null doc_id is a training text;
-equal texts get equal scores, and repeated rows count as often as they occur; with no
-training text every base probability is 1 / 1 and scores are those of unseen words; an empty
-table gives an empty result; extra columns are ignored.
+equal texts get equal scores, and repeated rows count as often as they occur; a very long text is a
+chunk of its own; with no training text every base probability is 1 / 1 and scores are those of
+unseen words; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,17 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import mix, ship, shuffle_partitions, stored, texts
+from tallyspan.llm.common import join_by_class, mix, ship, shuffle_partitions, stored, texts
 
 ship(__name__)
 
 FOLDS, HELD_OUT = 7, 2
-LOG_BASE, HASHES, MIN_PAIR_COUNT = 1.5, 5, 1
+LOG_BASE, HASHES = 1.5, 5
 FREQUENT_WORDS = 300_000
 #: Bytes of text to a chunk, and to a bucket of n-grams.
 CHUNK, BUCKET = 3_000_000, 32_000_000
-#: Most weight of a pair's relative frequency, and the context count at which half of it is given.
-PAIR_WEIGHT, PAIR_HALF = 0.5, 5.0
 END = ""  # no word is empty
 _START = np.uint64(0x53544152545F5F31)
 
@@ -81,9 +85,18 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def level_of(n: np.ndarray, least: int) -> np.ndarray:
-    """Quantised level of a count: 1 + floor(log(n / least))."""
-    return (1 + np.floor(np.log(n / least) / math.log(LOG_BASE) + 1e-9)).astype(np.uint8)
+def level_of(n: np.ndarray) -> np.ndarray:
+    """Quantised level of a count: 1 + floor(log n)."""
+    return (1 + np.floor(np.log(n) / math.log(LOG_BASE) + 1e-9)).astype(np.uint8)
+
+
+def level_values(most: int = 255) -> np.ndarray:
+    """The count that each level stands for: the middle of the whole numbers that it holds; 0 for level 0."""
+    edge = np.ceil(LOG_BASE ** np.arange(most + 1.0) - 1e-9)
+    return np.r_[0.0, (edge[:-1] + np.maximum(edge[1:] - 1, edge[:-1])) / 2]
+
+
+VALUE = level_values(120)
 
 
 class Tokens:
@@ -119,21 +132,70 @@ def in_chunks(flagged: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return stored(flagged.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, text string, held_out boolean, chunk long"))
 
 
-COUNTS = "chunk long, bucket int, kind int, keys binary, counts binary"
+class Buckets:
+    """Which bucket an n-gram belongs to: by the word, or by the pair's context.
+
+    Contexts in ``hot`` (sorted) are spread over ``ways`` buckets by the pair.
+    """
+
+    def __init__(self, n: int, hot: np.ndarray, ways: np.ndarray):
+        self.n, self.hot, self.ways = n, hot, ways
+
+    def is_hot(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hot, context), max(0, len(self.hot) - 1))
+        return (self.hot[at] == context if len(self.hot) else np.zeros(len(context), bool)), at
+
+    def of_pairs(self, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        hot, at = self.is_hot(context)
+        out = context % np.uint64(self.n)
+        if hot.any():
+            out[hot] = mix(context[hot], pair[hot] % self.ways[at[hot]]) % np.uint64(self.n)
+        return out.astype(np.int32)
+
 
+class _Of:
+    """Buckets from broadcast arrays, made in the task."""
 
-def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the keys by bucket, cuts between the buckets)."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    def __init__(self, shared):
+        self.shared = shared
 
+    @property
+    def value(self) -> Buckets:
+        return Buckets(*self.shared.value)
 
-def ngram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, bucket, kind, keys, counts): packed words (kind 1) and pairs (kind 2) of a chunk with
-    their training counts, which are 0 for those of held-out texts only. A chunk may send several rows."""
+
+class Distinct:
+    """The distinct n-grams of a chunk by kind, in the order in which a chunk and its buckets name them:
+    by bucket, then context, then name. ``at`` leads from tokens to them."""
+
+    def __init__(self, t: Tokens, buckets: Buckets):
+        self.keys, self.at, self.bucket = {}, {}, {}
+        keys, at = np.unique(t.names, return_inverse=True)
+        self._put(1, keys, at, (keys % np.uint64(buckets.n)).astype(np.int32), keys)
+        keys, one, at = np.unique(t.pairs, return_index=True, return_inverse=True)
+        self.context = t.context[one]
+        order = self._put(2, keys, at, buckets.of_pairs(self.context, keys), self.context)
+        self.context = self.context[order]
+        self.first = np.ones(len(keys), bool)  # where a context of a bucket begins
+        self.first[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[2][1:] != self.bucket[2][:-1])
+
+    def _put(self, kind: int, keys: np.ndarray, at: np.ndarray, bucket: np.ndarray, context: np.ndarray) -> np.ndarray:
+        order = np.lexsort((keys, context, bucket))
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        self.keys[kind], self.at[kind], self.bucket[kind] = keys[order], place[at], bucket[order]
+        return order
+
+
+COUNTS = "chunk long, bucket int, kind int, keys binary, counts binary, contexts binary, sizes binary"
+
+
+def ngram_counts(chunks: DataFrame, shared) -> DataFrame:
+    """(chunk, bucket, kind, keys, counts, contexts, sizes): packed words (kind 1) and pairs (kind 2, by context) of a
+    chunk with their training counts, which are 0 for those of held-out texts only. A chunk may send several rows."""
 
     def run(batches):
+        buckets = shared.value
         for batch in batches:
             raw, of = texts(batch), batch.column("chunk").to_numpy()
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
@@ -142,203 +204,168 @@ def ngram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
                 if a == b:
                     continue
                 t = Tokens([words_of(x) for x in raw[a:b]])
-                rows: dict[str, list] = {k: [] for k in ("bucket", "kind", "keys", "counts")}
-                for kind, names in ((1, t.names), (2, t.pairs)):
-                    keys, at = np.unique(names, return_inverse=True)
-                    n = np.bincount(at, train[a:b][t.text_of], len(keys)).astype("<u4")
-                    order, cuts = by_bucket(keys, buckets)
-                    keys, n = keys[order], n[order]
-                    for k in np.flatnonzero(np.diff(cuts)).tolist():
-                        one = (k, kind, keys[cuts[k] : cuts[k + 1]].tobytes(), n[cuts[k] : cuts[k + 1]].tobytes())
+                d = Distinct(t, buckets)
+                rows: dict[str, list] = {k: [] for k in ("bucket", "kind", "keys", "counts", "contexts", "sizes")}
+                for kind in (1, 2):
+                    keys = d.keys[kind]
+                    n = np.bincount(d.at[kind], train[a:b][t.text_of], len(keys)).astype("<u4")
+                    cuts = np.r_[0, np.flatnonzero(np.diff(d.bucket[kind])) + 1, len(keys)]
+                    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                        contexts = sizes = b""
+                        if kind == 2:
+                            begins = np.flatnonzero(d.first[x:y])
+                            contexts, sizes = d.context[x:y][begins].tobytes(), np.diff(np.r_[begins, y - x]).astype("<u4").tobytes()
+                        one = (int(d.bucket[kind][x]), kind, keys[x:y].tobytes(), n[x:y].tobytes(), contexts, sizes)
                         for name, v in zip(rows, one):
                             rows[name].append(v)
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
                 own = pa.array(np.full(len(rows["kind"]), of[a], np.int64))
                 yield pa.RecordBatch.from_arrays([own, *(pa.array(v, k) for v, k in zip(rows.values(), kinds))], names=["chunk", *rows])
 
     return chunks.select("chunk", "text", "held_out").mapInArrow(run, COUNTS)
 
 
-ANSWERS = "chunk long, bucket int, kind int, levels binary, level_keys array<long>, level_sums array<long>"
+def positions(keys: np.ndarray, level: int, kind: int, bits: int, hashes: int) -> np.ndarray:
+    """(hashes, n) bit numbers of keys at a level."""
+    h = mix(keys, np.full(len(keys), level * 4 + kind, np.uint64))
+    step = (mix(h, keys) >> np.uint64(20)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return np.stack([(h + np.uint64(i) * step) % np.uint64(bits) for i in range(hashes)]).astype(np.int64)
+
+
+class Segment:
+    """A bucket's part of the filter."""
+
+    def __init__(self, keys: np.ndarray, level: np.ndarray, kind: int, hashes: int = HASHES):
+        self.kind, self.hashes, self.top = kind, hashes, int(level.max(initial=0))
+        # never so few that the steps between a key's bits fall together
+        self.bits = max(1 << 16, 8 * math.ceil(int(level.sum(dtype=np.int64)) * hashes / math.log(2) / 8 * 1.05))
+        bit = np.zeros(self.bits, bool)
+        for q in range(1, self.top + 1):
+            bit[positions(keys[level >= q], q, kind, self.bits, hashes).ravel()] = True
+        self.raw = np.packbits(bit, bitorder="little")
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        """Levels by repeated membership probes; 0 where the lowest is absent."""
+        out, live = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+        for q in range(1, self.top + 1):
+            where = positions(keys[live], q, self.kind, self.bits, self.hashes)
+            for k in range(self.hashes):  # each further hash is read only where the ones before were set
+                bit = where[k]
+                ok = (self.raw[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                live, where = live[ok], where[:, ok]
+            if not len(live):
+                break
+            out[live] = q
+        return out
+
+
+ANSWERS = "chunk long, bucket int, kind int, levels binary, sums binary, level_keys array<long>, hot binary, hot_sums binary"
 
 
-def filter_answers(counts: DataFrame) -> DataFrame:
-    """One row for each chunk, bucket and kind: the levels that the bucket's segment of the filter has for
-    the chunk's n-grams, by name. One more row (chunk null) has the bucket's training n-grams and counts by level."""
+def filter_answers(counts: DataFrame, shared, hashes: int = HASHES) -> DataFrame:
+    """One row for each chunk, bucket and kind: the levels that the bucket's segment of the filter has for the chunk's
+    n-grams, in their order, and (Z, T) of each context. One more row (chunk null) has the number of the bucket's
+    training n-grams by level and the part it holds of its hot contexts' sums."""
 
     def answer(key, t):
         kind = key[1].as_py()
-        parts = [np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()]
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()])
-        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        n = np.bincount(at, n).astype(np.int64)
+        bytes_of = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
+        parts = bytes_of("keys", "<u8")
+        keys, one, at = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        n = np.bincount(at, np.concatenate(bytes_of("counts", "<u4"))).astype(np.int64)
         seen = np.flatnonzero(n)
-        level = level_of(n[seen], 1)
-        bits = 8 * math.ceil(int(level.sum(dtype=np.int64)) * HASHES / math.log(2) / 8 * 1.05) + 64
-        segment = np.zeros(bits, bool)
-        for q in range(1, int(level.max(initial=0)) + 1):
-            segment[positions(keys[seen[level >= q]], q, kind, 1, bits).ravel()] = True
-        f = Filter(np.packbits(segment, bitorder="little"), 1, bits, {kind: 1}, {kind: np.zeros(int(level.max(initial=0)) + 1)}, {})
-        got = f.level(keys, kind).astype(np.uint8)
-        chunk, ends = t.column("chunk").to_numpy(), np.cumsum([len(x) for x in parts])
+        level = level_of(n[seen])
+        got = Segment(keys[seen], level, kind, hashes).level(keys)
+        if kind == 2:
+            each = [np.repeat(c, k) for c, k in zip(bytes_of("contexts", "<u8"), bytes_of("sizes", "<u4"))]
+            names, of = np.unique(np.concatenate(each)[one], return_inverse=True)
+            sums = np.stack([np.bincount(of[seen], VALUE[level], len(names)), np.bincount(of[seen], minlength=len(names))], axis=1)
+            hot, _ = shared.value.is_hot(names)
+        ends = np.cumsum([len(x) for x in parts])
         mine: dict[int, list] = {}
-        for c, x in zip(chunk.tolist(), np.split(at, ends[:-1])):
+        for c, x in zip(t.column("chunk").to_pylist(), np.split(at, ends[:-1])):
             mine.setdefault(c, []).append(x)
-        sent = [got[x[0] if len(x) == 1 else np.unique(np.concatenate(x))].tobytes() for x in mine.values()]
-        rows, none = len(sent), [None] * len(sent)
+        levels, told = [], []
+        for x in mine.values():
+            x = np.unique(np.concatenate(x))
+            if kind == 2:
+                x = x[np.argsort(of[x], kind="stable")]  # keys are in order, so this is by context, then name
+                own = of[x]
+                told.append(sums[own[np.r_[True, own[1:] != own[:-1]]]].astype("<f4").tobytes())
+            else:
+                told.append(b"")
+            levels.append(got[x].tobytes())
+        rows, none = len(levels), [None] * len(levels)
+        big = (names[hot].tobytes(), sums[hot].tobytes()) if kind == 2 else (b"", b"")
         return pa.table(
             {
                 "chunk": pa.array([*mine, None], pa.int64()),
                 "bucket": pa.array([key[0].as_py()] * (rows + 1), pa.int32()),
                 "kind": pa.array([kind] * (rows + 1), pa.int32()),
-                "levels": pa.array([*sent, None], pa.binary()),
+                "levels": pa.array([*levels, None], pa.binary()),
+                "sums": pa.array([*told, None], pa.binary()),
                 "level_keys": pa.array([*none, np.bincount(level, minlength=2).tolist()], pa.list_(pa.int64())),
-                "level_sums": pa.array([*none, np.bincount(level, n[seen], minlength=2).astype(np.int64).tolist()], pa.list_(pa.int64())),
+                "hot": pa.array([*none, big[0]], pa.binary()),
+                "hot_sums": pa.array([*none, big[1]], pa.binary()),
             }
         )
 
     return counts.groupBy("bucket", "kind").applyInArrow(answer, ANSWERS)
 
 
-def level_means(by_level: DataFrame) -> tuple[dict, dict]:
-    """({kind: {level: (n-grams, sum of counts)}}, {kind: mean count by level})."""
-    rows = by_level.select("kind", F.posexplode(F.arrays_zip("level_keys", "level_sums")).alias("level", "x"))
-    rows = rows.groupBy("kind", "level").agg(F.sum("x.level_keys").alias("keys"), F.sum("x.level_sums").alias("n"))
-    found = {k: {} for k in (1, 2)}
-    for kind, level, keys, n in rows.collect():  # a few dozen levels of each kind
-        if keys:
-            found[kind][level] = (keys, n)
-    mean = {}
-    for kind, by in found.items():
-        mean[kind] = np.zeros(max(by, default=0) + 1)
-        for level, (keys, n) in by.items():
-            mean[kind][level] = n / keys
-        for level in range(1, len(mean[kind])):
-            mean[kind][level] = max(mean[kind][level], mean[kind][level - 1])
-    return found, mean
+def hot_sums(by_bucket: DataFrame, hot: np.ndarray) -> np.ndarray:
+    """(Z, T) of each hot context from the parts that its buckets hold."""
 
+    def run(batches):
+        for batch in batches:
+            for name, sums in zip(batch.column("hot").to_pylist(), batch.column("hot_sums").to_pylist()):
+                z = np.frombuffer(sums, "<f8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(name, "<i8")), pa.array(z[:, 0].copy()), pa.array(z[:, 1].copy())], names=["name", "z", "t"])
 
-LEVELS = "bucket int, kind int, keys binary, levels binary, level_keys array<long>, level_sums array<long>"
+    rows = by_bucket.where("kind = 2").select("hot", "hot_sums").mapInArrow(run, "name long, z double, t double")
+    got = rows.groupBy("name").agg(F.sum("z").alias("z"), F.sum("t").alias("t")).toArrow()
+    out = np.zeros((len(hot), 2))
+    if got.num_rows:
+        at = np.searchsorted(hot, got.column("name").to_numpy().view(np.uint64))
+        out[at, 0], out[at, 1] = got.column("z").to_numpy(), got.column("t").to_numpy()
+    return out
 
 
-def merged_levels(counts: DataFrame, min_pair: int) -> DataFrame:
-    """One row for each bucket and kind: its n-grams' levels, with keys and counts by level."""
+def score_tokens(word: np.ndarray, pair: np.ndarray, z: np.ndarray, t: np.ndarray, singles: int, whole: float, types: int) -> np.ndarray:
+    """log10 probability of each token from the values of its word and pair and its context's sums.
 
-    def merge(key, t):
-        kind = key[1].as_py()
-        keys = np.concatenate([np.frombuffer(x, "<u8") for x in t.column("keys").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()])
-        keys, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, n).astype(np.int64)
-        least = 1 if kind == 1 else min_pair
-        keys, n = keys[n >= least], n[n >= least]
-        level = level_of(n, least)
-        return pa.table(
-            {
-                "bucket": pa.array([key[0].as_py()], pa.int32()),
-                "kind": pa.array([kind], pa.int32()),
-                "keys": pa.array([keys.astype("<u8").tobytes()], pa.binary()),
-                "levels": pa.array([level.tobytes()], pa.binary()),
-                "level_keys": pa.array([np.bincount(level, minlength=2).tolist()], pa.list_(pa.int64())),
-                "level_sums": pa.array([np.bincount(level, n, minlength=2).astype(np.int64).tolist()], pa.list_(pa.int64())),
-            }
-        )
+    whole is the sum of all words' values.
+    """
+    unseen = (singles + 1) / (whole + 2)
+    p1 = (1 - unseen) * word / max(1.0, whole) + unseen / (types + 1)
+    return np.log10((pair + np.where(z + t > 0, t, 1) * p1) / np.where(z + t > 0, z + t, 1))
 
-    return counts.groupBy("bucket", "kind").applyInArrow(merge, LEVELS)
 
+SCORED = "doc_id long, owner binary, held_out boolean, n_tokens long, score double, part double, known long, word string, tf long"
 
-def positions(keys: np.ndarray, level: int, kind: int, buckets: int, bits: int) -> np.ndarray:
-    """(HASHES, n) bit numbers of keys at a level, within their segment."""
-    h = mix(keys, np.full(len(keys), level * 4 + kind, np.uint64))
-    step = (h >> np.uint64(33)) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        return np.stack([(h + np.uint64(i) * step) % np.uint64(bits) for i in range(HASHES)]).astype(np.int64)
-
-
-class Filter:
-    """The whole filter in a task: a segment of bits for each bucket."""
-
-    def __init__(self, raw: np.ndarray, buckets: int, bits: int, cut: dict, mean: dict, stats: dict):
-        self.raw, self.buckets, self.bits, self.cut, self.mean, self.stats = raw, buckets, bits, cut, mean, stats
-
-    def level(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """Levels by repeated membership probes; 0 where the lowest stored level is absent."""
-        out = np.zeros(len(keys), np.int64)
-        low = self.cut[kind]
-        if not self.bits:
-            return out
-        segment = (keys % np.uint64(self.buckets)).astype(np.int64) * self.bits
-        live, at = np.arange(len(keys)), low
-        while len(live) and at < len(self.mean[kind]):
-            where = positions(keys[live], at, kind, self.buckets, self.bits)
-            for k in range(HASHES):  # each further hash is read only where the ones before were set
-                bit = where[k] + segment[live]
-                ok = (self.raw[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                live, where = live[ok], where[:, ok]
-            out[live] = at
-            at += 1
-        return out
 
+def hot_contexts(counts: DataFrame, total: int, buckets: int) -> Buckets:
+    """Contexts of more than half a bucket's share of the training tokens, at most two for each bucket.
 
-def train_filter(train: DataFrame, min_pair: int = MIN_PAIR_COUNT, max_bytes: int = 64 << 20) -> Filter:
-    """A filter of all training texts for one process, of at most max_bytes: what doesn't fit is left out,
-    pairs first. score_documents() doesn't use it, its filter has no such bound."""
-    spark = train.sparkSession
-    buckets = 2 * shuffle_partitions(spark)
-    counts = ngram_counts(train.select("text", F.lit(False).alias("held_out"), F.lit(0).cast("long").alias("chunk")), buckets)
-    levels = stored(merged_levels(counts, min_pair))
-    found, mean = level_means(levels)
+    A text's start comes as often as its end."""
+    limit = max(1.0, total / (2 * buckets))
+    got = counts.where(F.col("n") > limit).toArrow()
+    words, n = got.column("word").cast(pa.binary()).to_pylist(), got.column("n").to_numpy()
+    names = np.array([xxhash.xxh64_intdigest(w) for w in words] + [int(_START) for w in words if w == b""], np.uint64)
+    n = np.r_[n, [k for w, k in zip(words, n) if w == b""]].astype(float)
+    order = np.argsort(names)
+    return Buckets(buckets, names[order], np.ceil(n[order] / limit).astype(np.uint64))
 
-    def insertions(cut: dict) -> int:
-        return sum(keys * (level - cut[kind] + 1) for kind, by in found.items() for level, (keys, _) in by.items() if level >= cut[kind])
 
-    cut, per = {1: 1, 2: 1}, HASHES / math.log(2)
-    while insertions(cut) * per > 8 * max_bytes:  # pairs make way first, then rare words
-        kind = 2 if cut[2] < len(mean[2]) else 1
-        cut[kind] += 1
-    bits = 0 if not insertions(cut) else 8 * min(max_bytes // buckets, math.ceil(insertions(cut) * per / 8 / buckets * 1.05) + 8)
-
-    def fill(batches):
-        for batch in batches:
-            rows = []
-            for kind, keys, level in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "levels"))):
-                keys, level, seg = np.frombuffer(keys, "<u8"), np.frombuffer(level, np.uint8), np.zeros(bits, bool)
-                for q in range(cut[kind], int(level.max(initial=0)) + 1):
-                    seg[positions(keys[level >= q], q, kind, buckets, bits).ravel()] = True
-                rows.append(np.packbits(seg, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(rows, pa.binary())], names=["bucket", "bits"])
-
-    raw = np.zeros(buckets * bits // 8, np.uint8)
-    if bits:
-        size = bits // 8
-        got = levels.select("bucket", "kind", "keys", "levels").mapInArrow(fill, "bucket int, bits binary").toArrow()
-        for b, part in zip(got.column("bucket").to_pylist(), got.column("bits")):
-            raw[b * size : (b + 1) * size] |= np.frombuffer(part.as_buffer(), np.uint8)
-    return Filter(raw, buckets, bits, cut, mean, {"singles": found[1].get(1, (0, 0))[0]})
-
-
-def score_tokens(t: Tokens, word: np.ndarray, pair: np.ndarray, singles: int, total: int, types: int, n_train: int) -> np.ndarray:
-    """log10 probability of each token from the counts that the filter has for it and its pair."""
-    unseen = min(0.5, (singles + 1) / (total + 2))
-    p1 = (1 - unseen) * np.minimum(word, total) / max(1, total) + unseen / (types + 1)
-    before = np.roll(word, 1)
-    before[t.first] = n_train
-    pair = np.where((word > 0) & (before > 0), np.minimum(pair, np.minimum(word, before)), 0.0)  # a pair is no more frequent than its words
-    weight = PAIR_WEIGHT * before / (before + PAIR_HALF)
-    return np.log10(weight * pair / np.maximum(before, 1.0) + (1 - weight) * p1)
-
-
-SCORED = "doc_id long, owner long, held_out boolean, n_tokens long, score double, part double, known long, word string, tf long"
-
-
-def score_documents(documents: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT, frequent_words: int = FREQUENT_WORDS, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+def score_documents(
+    documents: DataFrame, folds: int = FOLDS, fold: int = HELD_OUT, frequent_words: int = FREQUENT_WORDS, chunk: int = CHUNK, bucket: int = BUCKET, hashes: int = HASHES
+) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = documents.sparkSession
     flagged = in_chunks(documents.select("doc_id", "text", is_held_out("doc_id", folds, fold).alias("held_out")), chunk)
-    train = flagged.where("not held_out")
-    counts = stored(word_counts(train))
+    counts = stored(word_counts(flagged.where("not held_out")))
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    n_train = (counts.where(F.col("word") == END).agg(F.sum("n")).first()[0]) or 0
     # the least count that at most frequent_words words reach
     steps = counts.groupBy(F.floor(F.log(F.col("n").cast("double")) * 20).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least"))
     least, room = None, frequent_words
@@ -352,31 +379,33 @@ def score_documents(documents: DataFrame, folds: int = FOLDS, fold: int = HELD_O
         frequent = dict(zip(got.column("word").cast(pa.binary()).to_pylist(), got.column("n").to_pylist()))
     known = spark.sparkContext.broadcast(frequent)
     size = flagged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(2 * shuffle_partitions(spark), -(-size // bucket))
-    answers = stored(filter_answers(ngram_counts(flagged, buckets)))
-    found, mean = level_means(answers.where("chunk is null"))
-    singles = found[1].get(1, (0, 0))[0]
-
-    def counts_of(names: np.ndarray, levels: list[bytes], kind: int) -> np.ndarray:
-        """The filter's count of each name, from the answers to its chunk by bucket."""
-        keys, at = np.unique(names, return_inverse=True)
-        order, _ = by_bucket(keys, buckets)
-        of = np.empty(len(keys), np.int64)
-        of[order] = np.frombuffer(b"".join(levels), np.uint8)
-        return mean[kind][of][at]
+    buckets = hot_contexts(counts, total, max(2 * shuffle_partitions(spark), -(-size // bucket)))
+    shared = spark.sparkContext.broadcast((buckets.n, buckets.hot, buckets.ways))
+    answers = stored(filter_answers(ngram_counts(flagged, _Of(shared)), _Of(shared), hashes))
+    per = answers.where("chunk is null")
+    levels = per.where("kind = 1").select(F.posexplode("level_keys").alias("level", "words")).groupBy("level").agg(F.sum("words").alias("words"))
+    by_level = dict(levels.collect())  # a few dozen levels
+    singles, whole = by_level.get(1, 0), float(sum(VALUE[q] * n for q, n in by_level.items()))
+    spread = spark.sparkContext.broadcast(hot_sums(per, buckets.hot))
 
     def score(left, right):
-        exact, raw = known.value, texts(left)
+        exact, raw, of = known.value, texts(left), _Of(shared).value
         ids, held = left.column("doc_id").to_pylist(), left.column("held_out").to_pylist()
         right = right.sort_by("bucket")
-        kinds, levels = right.column("kind").to_pylist(), right.column("levels").to_pylist()
+        kinds = right.column("kind").to_pylist()
+        told = lambda c, kind: b"".join([v for k, v in zip(kinds, right.column(c).to_pylist()) if k == kind])
         words = [words_of(x) for x in raw]
         t = Tokens(words)
-        word, pair = (counts_of(x, [v for k, v in zip(kinds, levels) if k == kind], kind) for kind, x in ((1, t.names), (2, t.pairs)))
-        scores = np.bincount(t.text_of, score_tokens(t, word, pair, singles, total, types, n_train), len(words))
+        d = Distinct(t, of)
+        word, pair = (VALUE[np.frombuffer(told("levels", k), np.uint8)][d.at[k]] for k in (1, 2))
+        sums = np.frombuffer(told("sums", 2), "<f4").reshape(-1, 2).astype(np.float64)[np.cumsum(d.first) - 1]
+        hot, at = of.is_hot(d.context)
+        sums[hot] = spread.value[at[hot]]
+        z, n = sums[d.at[2]].T
+        scores = np.bincount(t.text_of, score_tokens(word, pair, z, n, singles, whole, types), len(words))
         out = {k: [] for k in ("doc_id", "owner", "held_out", "n_tokens", "score", "part", "known", "word", "tf")}
         for i, w in enumerate(words):
-            owner = int(np.uint64(xxhash.xxh64_intdigest(raw[i], 42)).astype(np.int64))
+            owner = xxhash.xxh3_128_digest(raw[i])
             tf = Counter(w)
             tf[b""] += 1
             part, sure, rare = 0.0, 0, []
@@ -391,18 +420,18 @@ def score_documents(documents: DataFrame, folds: int = FOLDS, fold: int = HELD_O
             rows += [(None, owner, None, None, None, None, None, x, n) for x, n in rare]
             for k, v in zip(out, zip(*rows)):
                 out[k].extend(v)
-        types_ = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int64())
+        types_ = (pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int64())
         return pa.table([pa.array(v, k) for v, k in zip(out.values(), types_)], names=list(out))
 
-    asked = answers.where("chunk is not null").select("chunk", "bucket", "kind", "levels")
+    asked = answers.where("chunk is not null").select("chunk", "bucket", "kind", "levels", "sums")
     scored = stored(flagged.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(score, SCORED))
-    docs = scored.where("word is null")
-    copies = docs.groupBy("owner").agg(F.count(F.lit(1)).alias("copies"))
+    docs = scored.where("word is null").withColumn("place", F.monotonically_increasing_id())
+    copies = docs.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
     # equal texts send equal rows: sums over an owner are taken once for each copy and divided again
     rare = scored.where("word is not null").select("owner", "word", "tf").join(counts, "word")
     rare = rare.groupBy("owner").agg(F.sum(F.col("tf") * F.log10(F.col("n") + F.lit(1.0))).alias("rest"), F.sum("tf").alias("found"))
-    rare = rare.join(copies, "owner").select("owner", (F.col("rest") / F.col("copies")).alias("rest"), (F.col("found") / F.col("copies")).cast("long").alias("found"))
-    out = docs.join(rare, "owner", "left")
+    rare = rare.join(copies, "owner").select("owner", "n", (F.col("rest") / F.col("n")).alias("rest"), (F.col("found") / F.col("n")).cast("long").alias("found"))
+    out = join_by_class(docs, rare, "owner", "place", docs.count())
     none = F.log10(F.lit(float(total + types + 1)))
     return out.select(
         "doc_id",

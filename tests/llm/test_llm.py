@@ -234,41 +234,49 @@ def test_lm(spark, docs, none):
     assert len(got) == len(data) and bloom_lm.score_documents(none).count() == 0
 
 
-def test_bloom_levels(spark):
-    texts = [(" ".join(f"z{k}" for k in range(200) for _ in range(1 + k)),)]
-    f = bloom_lm.train_filter(spark.createDataFrame(texts, "text string"))
+def test_bloom_levels():
     import xxhash
 
-    keys = np.array([xxhash.xxh64_intdigest(f"z{k}".encode()) for k in range(200)], np.uint64)
-    got, want = f.level(keys, 1), bloom_lm.level_of(np.arange(1, 201), 1).astype(int)
-    assert (got >= want).all() and (got == want).mean() > 0.85
-    small = bloom_lm.train_filter(spark.createDataFrame(texts, "text string"), max_bytes=200)
-    assert len(small.raw) <= 200
+    keys = np.array([xxhash.xxh64_intdigest(f"z{k}".encode()) for k in range(20_000)], np.uint64)
+    want = np.r_[bloom_lm.level_of(1 + np.arange(10_000) // 50), np.zeros(10_000, int)]
+    got = bloom_lm.Segment(keys[:10_000], want[:10_000].astype(np.uint8), 1).level(keys)
+    assert (got >= want).all() and (got == want).mean() > 0.9
+    assert (bloom_lm.Segment(keys[:10_000], want[:10_000].astype(np.uint8), 1, hashes=30).level(keys) == want).all()
+    n = np.arange(1, 3000)
+    level = bloom_lm.level_of(n)
+    assert all(bloom_lm.VALUE[q] == (n[level == q].min() + n[level == q].max()) / 2 for q in range(1, level.max()))
 
 
-def test_lm_filter_grows_with_the_corpus(spark):
+def test_lm_equals_a_plain_model_that_sums_to_one(spark):
     rng = np.random.default_rng(6)
-    texts = [" ".join(f"w{k}" for k in rng.integers(0, 90, 400)) for _ in range(40)]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
-    a, b = ({r.doc_id: r.score for r in bloom_lm.score_documents(df, frequent_words=20, chunk=c, bucket=k).collect()} for c, k in ((10_000_000, 10_000_000), (700, 900)))
-    word, pair, level = Counter(), Counter(), lambda n: int(bloom_lm.level_of(np.array([n]), 1)[0])
-    data = [(i, [*x.split(), ""], zlib.crc32(str(i).encode()) % 7 == 2) for i, x in enumerate(texts)]
+    texts = [" ".join(f"w{k}" for k in np.minimum(rng.zipf(1.3, 200), 400)) for _ in range(60)] + ["", "w1 w1 w2", None, "only here"]
+    df = spark.createDataFrame([(i, x, 0, "y") for i, x in enumerate(texts)], "doc_id long, text string, chunk int, word string")
+    word, pair, follow = Counter(), Counter(), {}
+    data = [(i, [*(x or "").split(), ""], zlib.crc32(str(i).encode()) % 7 == 2) for i, x in enumerate(texts)]
     for _, t, held in data:
         if not held:
             word.update(t)
             pair.update(zip([None, *t], t))
-    mean = [{q: np.mean([n for n in c.values() if level(n) == q]) for q in {level(n) for n in c.values()}} for c in (word, pair)]
-    n_train, total = sum(not h for *_, h in data), sum(word.values())
+    value = lambda n: bloom_lm.VALUE[bloom_lm.level_of(np.array([n]))[0]] if n else 0.0
+    for (u, _), n in pair.items():
+        z, k = follow.get(u, (0.0, 0))
+        follow[u] = (z + value(n), k + 1)
+    whole, singles = sum(map(value, word.values())), sum(n == 1 for n in word.values())
+    unseen = (singles + 1) / (whole + 2)
+
+    def p(u, w):
+        one = (1 - unseen) * value(word[w]) / whole + unseen / (len(word) + 1)
+        z, k = follow.get(u, (0.0, 0))
+        return (value(pair[u, w]) + k * one) / (z + k) if z + k else one
+
+    for u in (None, "w1", "w2", "w7", "never"):
+        assert abs(sum(p(u, w) for w in [*word, "unseen word"]) - 1) < 1e-9
+    got = [{r.doc_id: r.score for r in bloom_lm.score_documents(df, frequent_words=20, chunk=c, bucket=k, hashes=30).collect()} for c, k in ((10_000_000, 10_000_000), (700, 900))]
+    near = {r.doc_id: r.score for r in bloom_lm.score_documents(df, chunk=3000, bucket=900).collect()}
     for i, t, held in data:
-        want = 0.0
-        for u, w in zip([None, *t], t):
-            p1 = (1 - 1 / (total + 2)) * mean[0][level(word[w])] / total + 1 / (total + 2) / (len(word) + 1)
-            before = mean[0][level(word[u])] if u is not None else n_train
-            both = min(mean[1][level(pair[u, w])] if pair[u, w] else 0, before, mean[0][level(word[w])])
-            share = 0.5 * before / (before + 5)
-            want += math.log10(share * both / before + (1 - share) * p1)
-        # false positives raise some counts by a level; pairs that occur once count
-        assert abs(a[i] - want) < 0.01 * abs(want) and abs(b[i] - want) < 0.01 * abs(want), (i, held, a[i], b[i], want)
+        want = sum(math.log10(p(u, w)) for u, w in zip([None, *t], t))
+        assert abs(got[0][i] - want) < 1e-6 and abs(got[1][i] - want) < 1e-6, (i, held, got[0][i], got[1][i], want)
+        assert abs(near[i] - want) < 0.02 * abs(want)  # false positives raise some counts by a level
 
 
 def test_mixing(spark, docs, none):
