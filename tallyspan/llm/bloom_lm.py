@@ -50,7 +50,7 @@ FOLDS, HELD_OUT = 7, 2
 LOG_BASE, HASHES = 1.5, 5
 FREQUENT_WORDS = 300_000
 #: Bytes of text to a chunk, and to a bucket of n-grams.
-CHUNK, BUCKET = 3_000_000, 32_000_000
+CHUNK, BUCKET = 8_000_000, 32_000_000
 END = ""  # no word is empty
 _START = np.uint64(0x53544152545F5F31)
 

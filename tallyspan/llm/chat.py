@@ -7,7 +7,8 @@ snapshots fold into the least conv_id, and what is left is rendered.
 
 Defined results: rows without conv_id belong to no conversation and are left out. Turns are
 read in order of turn (null last), then of their digest; a repeated row is a turn of its own.
-A null role or text differs from an empty one when compared and is rendered as empty. A
+A null role or text differs from an empty one when compared and is rendered as empty; a turn's own
+``<|`` is rendered as ``< |``, so no text forges a turn. A
 conversation of very many turns is one window partition, sorted on disk where it must be;
 only its rendering is one value. An empty table gives an empty result. Columns other than
 conv_id, turn, role and text are ignored.
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, MID, CLOSE = "<|", "|>\n", "\n"
+#: What a turn's own OPEN becomes, so that no text can pass for the start of a turn.
+ESCAPED = "< |"
 
 
 def _digest(salt: int):
@@ -65,8 +68,8 @@ def render(conversations: DataFrame) -> DataFrame:
     """(conv_id, rendered): each conversation's turns as one chat-markup text."""
     turn = F.struct(F.coalesce(F.col("turn").isNull(), F.lit(True)).alias("late"), "turn", _digest(1).alias("d1"), _digest(2).alias("d2"), "role", "text")
     turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    none = F.lit("")
-    line = lambda t: F.concat(F.lit(OPEN), F.coalesce(t["role"], none), F.lit(MID), F.coalesce(t["text"], none), F.lit(CLOSE))
+    part = lambda x: F.replace(F.coalesce(x, F.lit("")), F.lit(OPEN), F.lit(ESCAPED))
+    line = lambda t: F.concat(F.lit(OPEN), part(t["role"]), F.lit(MID), part(t["text"]), F.lit(CLOSE))
     return turns.select("conv_id", F.array_join(F.transform("turns", line), "").alias("rendered"))
 
 
@@ -91,7 +94,7 @@ WITH t AS (
   SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM t WHERE NOT t.last AND t.n = w.n AND t.h = w.h)
 )
 SELECT k.conv_id, k.n AS n_turns, k.n_copies,
-       string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn NULLS LAST) AS rendered
+       string_agg('<|' || replace(coalesce(role, ''), '<|', '< |') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10), '' ORDER BY turn NULLS LAST) AS rendered
 FROM kept k JOIN conversations c ON c.conv_id = k.conv_id
 GROUP BY k.conv_id, k.n, k.n_copies
 """

@@ -5,14 +5,15 @@ times; the expected copies are prefix-summed within the source, one offset in [0
 added, and the document is taken once for each whole number its step crosses. So no document
 comes more often than its expectation rounded up, and each source's count is exact to one.
 
-The prefix sum needs no task that holds a source: rows are laid out by (size class, slot),
-slot being a hash of doc_id; counts per (source, class, slot) are pre-aggregated and
-prefix-summed over at most CLASSES * slots rows, and only ranks within a slot are windowed.
-Documents lie in order of size class, so the words taken follow the target closely.
+Documents lie in order of size, then of a hash of doc_id, so the words taken follow the target to
+about the longest document. The prefix sum needs no task that holds a source: documents are counted
+by (source, size, slot), slot being the first bits of the hash; counts are prefix-summed over the
+sizes of a source and over the slots of a size, and only ranks within a slot are windowed. The
+number of slots follows that of the documents and does not change the order.
 
 Defined results: null text has no words; sources sort by code point with null last; a source
 without words has target 0 and gives nothing; repeated rows and ties are steps of their own,
-ordered by doc_id; an empty table gives an empty result; other columns pass through in
+ordered by doc_id; a very long text only counts; an empty table gives an empty result; other columns pass through in
 mix_documents().
 """
 
@@ -23,11 +24,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import n_words
+from tallyspan.llm.common import n_words, stored
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-#: Size classes: eight to each doubling of the number of words.
-CLASSES_PER_DOUBLING, SLOTS = 8, 256
+#: Documents of one source and size to a slot, if they were all of it.
+SLOT = 100_000
 _SEED = "mix"
 
 
@@ -58,43 +59,40 @@ def _unit(c: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(c.cast("string"), F.lit("\0")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def size_class(size: Column) -> Column:
-    """floor(8 * log2(size + 1)): a few hundred values, however long a text is."""
-    return F.floor(F.log2((size + 1).cast("double")) * CLASSES_PER_DOUBLING).cast("int")
-
-
-def expected_copies(sized: DataFrame, targets: DataFrame, slots: int = SLOTS, seed: str = _SEED) -> DataFrame:
+def expected_copies(sized: DataFrame, targets: DataFrame, slots: int, seed: str = _SEED) -> DataFrame:
     """sized (doc_id, source, size, ...) with source_size, target and copies (long)."""
-    sized = sized.withColumns({"cls": size_class(F.col("size")), "slot": F.floor(_unit(F.col("doc_id"), seed) * slots).cast("int")})
-    cells = sized.groupBy("source", "cls", "slot").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("source").orderBy("cls", "slot").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    shares = targets.withColumns({"share": share, "offset": _unit(F.col("source"), seed)}).withColumnRenamed("source", "_src")
-    cells = cells.join(shares, F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     # a null source joins like any other: the key is never null
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    sized, cells = sized.withColumn("k", key), cells.withColumn("k", key).drop("source")
-    out = sized.join(cells, ["k", "cls", "slot"])
-    within = Window.partitionBy("k", "cls", "slot").orderBy(F.col("doc_id").asc_nulls_first())
-    rank = F.col("ahead") + F.row_number().over(within)
+    sized = sized.withColumns({"k": key, "u": _unit(F.col("doc_id"), seed)}).withColumn("slot", F.floor(F.col("u") * slots).cast("int"))
+    cells = sized.groupBy("k", "size", "slot").agg(F.count(F.lit(1)).alias("n"))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = cells.groupBy("k", "size").agg(F.sum("n").alias("n")).select("k", "size", ahead(Window.partitionBy("k").orderBy("size")).alias("smaller"))
+    cells = cells.select("k", "size", "slot", ahead(Window.partitionBy("k", "size").orderBy("slot")).alias("ahead")).join(sizes, ["k", "size"])
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    shares = targets.select(key.alias("k"), "source_size", "target", share.alias("share"), _unit(F.col("source"), seed).alias("offset"))
+    out = sized.join(cells.join(shares, "k"), ["k", "size", "slot"])
+    within = Window.partitionBy("k", "size", "slot").orderBy("u", F.col("doc_id").asc_nulls_first())
+    rank = F.col("smaller") + F.col("ahead") + F.row_number().over(within)
     copies = F.floor(F.col("offset") + F.col("share") * rank) - F.floor(F.col("offset") + F.col("share") * (rank - 1))
-    return out.withColumn("copies", copies.cast("long")).drop("k", "cls", "slot", "ahead", "share", "offset")
+    return out.withColumn("copies", copies.cast("long")).drop("k", "u", "slot", "ahead", "smaller", "share", "offset")
 
 
-def sampling_table(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): no text is shuffled."""
-    sized = documents.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return expected_copies(sized, source_targets(sized, weights, share, most))
+def sampling_table(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, slot: int = SLOT) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): texts are read once and none is shuffled."""
+    sized = stored(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    return expected_copies(sized, source_targets(sized, weights, share, most), max(1, -(-sized.count() // slot)))
 
 
 def mix_documents(documents: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mix itself: every row of documents as often as it is taken, columns unchanged."""
     cols = documents.columns
     ident = F.struct(F.lit(0).alias("z"), *[F.col(c) for c in cols])
-    sized = documents.select("doc_id", "source", n_words(F.col("text")).alias("size"), ident.alias("row"))
-    targets = source_targets(documents.select("source", n_words(F.col("text")).alias("size")), weights, share, most)
-    taken = expected_copies(sized, targets).where("copies > 0")
+    size = n_words(F.col("text"))
+    counted = stored(documents.select("source", size.alias("size")).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    per_source = counted.select("source", (F.col("size") * F.col("n")).alias("size"))
+    n = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sized = documents.select("doc_id", "source", size.alias("size"), ident.alias("row"))
+    taken = expected_copies(sized, source_targets(per_source, weights, share, most), max(1, -(-n // SLOT))).where("copies > 0")
     taken = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
     return taken.select(*[F.col("row")[c].alias(c) for c in cols])
 
@@ -117,8 +115,7 @@ WITH d AS (
 ), e AS (
   SELECT d.doc_id, d.size, s3.source_size, s3.target, s3.off,
          CASE WHEN s3.source_size > 0 THEN s3.target / s3.source_size ELSE 0 END AS share,
-         row_number() OVER (PARTITION BY d.source ORDER BY floor(log2((d.size + 1)::DOUBLE) * 8)::INT,
-           floor(('0x' || substr(md5('mix' || coalesce(d.doc_id::VARCHAR, chr(0))), 1, 8))::UBIGINT::DOUBLE / 4294967296 * 256)::INT, d.doc_id NULLS FIRST) AS r
+         row_number() OVER (PARTITION BY d.source ORDER BY d.size, ('0x' || substr(md5('mix' || coalesce(d.doc_id::VARCHAR, chr(0))), 1, 8))::UBIGINT, d.doc_id NULLS FIRST) AS r
   FROM d JOIN s3 ON d.source IS NOT DISTINCT FROM s3.source
 )
 SELECT doc_id, size, source_size, target, (floor(off + share * r) - floor(off + share * (r - 1)))::BIGINT * size AS taken FROM e

@@ -10,21 +10,24 @@ equal windows hold an equal high-level symbol, at the same place, in equal surro
 
 Symbols with their surroundings are counted over the whole corpus; those that occur once can
 not lie in a repeated window. For the others, the few windows they can lie in are named by
-96-bit hashes of their words and counted over the whole corpus again, which verifies the
-repeat and its exact extent. Texts whose symbols are all unique never come back.
+hashes of 64 and 32 bits, from two kinds of word digests that have nothing in common, and counted
+over the whole corpus again, which verifies the repeat and its exact extent. Texts whose symbols are
+all unique never come back.
 
-Equal texts are one text with a weight. Keys travel as packed arrays; a text is shuffled
-once, those with shared symbols twice.
+Equal texts are one text with a weight, told apart by 96 bits. Keys travel as packed arrays, dealt to
+buckets whose number follows the bytes of text; a text is shuffled once, those with shared symbols
+twice.
 
 Defined results: null or wordless texts have no words, lose none and keep the empty text; a
 text shorter than the window holds none and loses nothing; repeated
-rows repeat each other's windows; ties cannot occur; an empty table gives an empty result;
-extra columns pass through dedup_documents().
+rows repeat each other's windows; ties cannot occur; a very long text is parsed whole; an empty table gives
+an empty result; extra columns of any name pass through dedup_documents().
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspan.llm import blobs
-from tallyspan.llm.common import mix, ship, shuffle_partitions, stored, texts
+from tallyspan.llm.common import join_by_class, mix, ship, shuffle_partitions, stored, texts
 
 ship(__name__)
 
 WINDOW, RUN_CAP, SEED = 35, 2, 42
 #: Bytes of text parsed at a time.
 STRIDE = 6_000_000
+#: Bytes of text to a bucket of keys.
+BUCKET = 32_000_000
 
 
 def round_caps(window: int, run_cap: int = RUN_CAP) -> list[int]:
@@ -105,7 +110,7 @@ class Parsed:
         digest = xxhash.xxh64_intdigest
         self.names = np.fromiter((digest(x) for w in all_words for x in w), np.uint64, total)
         self.text_of = np.repeat(np.arange(len(all_words)), lengths)
-        self.window = window
+        self.window, self.words = window, all_words
 
     def symbols(self):
         """(position, name) of every high-level symbol whose surroundings lie in its text."""
@@ -127,6 +132,11 @@ class Parsed:
     def windows(self) -> np.ndarray:
         return spans(self.names, self.window)
 
+    def checks(self) -> np.ndarray:
+        """32 bits of each window from another digest of its words."""
+        names = np.fromiter((zlib.crc32(x) for w in self.words for x in w), np.uint64, len(self.names))
+        return (spans(names, self.window) >> np.uint64(32)).astype("<u4")
+
 
 def strides(raw: list[bytes], weights: list[int], stride: int = STRIDE):
     """(distinct texts, weights) of a batch, a bounded number of bytes at a time."""
@@ -149,6 +159,11 @@ def text_id(text: bytes) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(text, SEED)).astype(np.int64))
 
 
+def text_key(column: str = "text"):
+    """What tells texts apart: text_id() and a checksum."""
+    return F.concat_ws(":", F.xxhash64(column), F.crc32(F.col(column).cast("binary")))
+
+
 def _symbol_keys(window: int, buckets: int):
     def run(batches):
         out = blobs.Gather(buckets)
@@ -193,8 +208,7 @@ def _window_keys(window: int, buckets: int):
                 near = pos[:, None] - parsed.before - np.arange(parsed.reach)
                 ok = (near >= parsed.starts[t][:, None]) & (near + window <= parsed.ends[t][:, None])
                 at = np.unique(near[ok])
-                check = spans(parsed.names ^ np.uint64(0x5DEECE66D1234567), window)[at]
-                out.add(parsed.windows()[at], (check >> np.uint64(32)).astype("<u4"), parsed.text_of[at], ids[part], np.minimum(counts[part], 2).astype(np.uint8))
+                out.add(parsed.windows()[at], parsed.checks()[at], parsed.text_of[at], ids[part], np.minimum(counts[part], 2).astype(np.uint8))
                 yield from out.batches()
         yield from out.batches(last=True)
 
@@ -227,24 +241,25 @@ def _removals(window: int, with_text: bool):
                     sha.append(hashlib.sha256(joined).hexdigest())
                     text.append(joined.decode() if with_text else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("owner").slice(a, len(sha)), pa.array(n_kept, pa.int64()), pa.array(sha), pa.array(text, pa.string())],
-                    names=["owner", "n_kept", "kept_sha256", "kept_text"],
+                    [batch.column("same").slice(a, len(sha)), batch.column("copies").slice(a, len(sha)), pa.array(n_kept, pa.int64()), pa.array(sha), pa.array(text, pa.string())],
+                    names=["same", "n", "n_kept", "kept_sha256", "kept_text"],
                 )
 
     return run
 
 
-def repeated_windows(documents: DataFrame, window: int = WINDOW, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(texts, windows): distinct texts with shared symbols (owner, text, n), and the names of their
-    repeated windows (owner, keys), where owner is the text's 64-bit hash."""
-    spark = documents.sparkSession
-    buckets = buckets or 2 * shuffle_partitions(spark)
+def repeated_windows(documents: DataFrame, window: int = WINDOW, buckets: int | None = None, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(texts, windows): distinct texts with shared symbols (owner, same, text, n), and the names of their
+    repeated windows (owner, keys), where owner is the text's 64-bit hash and same its text_key()."""
     rows = documents.where("text is not null").select("text")
+    if buckets is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(2 * shuffle_partitions(documents.sparkSession), -(-size // bucket))
     symbols = rows.mapInArrow(_symbol_keys(window, buckets), blobs.SCHEMA)
     shared = symbols.groupBy("bucket").applyInArrow(blobs.repeated_keys, blobs.REPEATED)
     shared = shared.groupBy("owner").agg(F.collect_list("key").alias("keys"))
-    # equal texts become one where they are read, before the exchange
-    once = rows.select(F.xxhash64("text").alias("owner"), "text").groupBy("owner").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    # equal texts become one where they are read, before the exchange; texts of one owner share its keys, which does no harm
+    once = rows.select(text_key().alias("same"), F.xxhash64("text").alias("owner"), "text").groupBy("owner", "same").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
     candidates = stored(once.join(shared, "owner"))
     windows = candidates.mapInArrow(_window_keys(window, buckets), blobs.SCHEMA)
     repeated = windows.groupBy("bucket").applyInArrow(blobs.repeated_keys, blobs.REPEATED)
@@ -252,14 +267,14 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, buckets: int |
 
 
 def removals(documents: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """(owner, n_kept, kept_sha256, kept_text) of the texts that lose words."""
+    """(same, n, n_kept, kept_sha256, kept_text) of the texts that lose words; n is how many rows have the text."""
     candidates, repeated = repeated_windows(documents, window)
-    found = candidates.select("owner", "text").join(repeated, "owner")
-    return found.mapInArrow(_removals(window, with_text), "owner long, n_kept long, kept_sha256 string, kept_text string")
+    found = candidates.select("owner", "same", "text", F.col("n").alias("copies")).join(repeated, "owner")
+    return stored(found.mapInArrow(_removals(window, with_text), "same string, n long, n_kept long, kept_sha256 string, kept_text string"))
 
 
 def whole_digests(documents: DataFrame) -> DataFrame:
-    """(doc_id, owner, n_words, whole_sha256): each text as it is when nothing is removed."""
+    """(doc_id, same, n_words, whole_sha256): each text as it is when nothing is removed."""
 
     def run(batches):
         for batch in batches:
@@ -268,24 +283,26 @@ def whole_digests(documents: DataFrame) -> DataFrame:
                 words = t.split()
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                ids.append(text_id(t))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "owner", "n_words", "whole_sha256"])
+                ids.append(f"{text_id(t)}:{zlib.crc32(t)}")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.string()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "same", "n_words", "whole_sha256"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, owner long, n_words long, whole_sha256 string")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, same string, n_words long, whole_sha256 string")
 
 
 def dedup_digests(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
-    lost = removals(documents, window)
-    out = whole_digests(documents).join(lost, "owner", "left")
+    lost = removals(documents, window).drop("kept_text")
+    whole = whole_digests(documents).withColumn("place", F.monotonically_increasing_id())
+    out = join_by_class(whole, lost, "same", "place", documents.count())
     removed = F.when(F.col("n_kept").isNull(), F.lit(0)).otherwise(F.col("n_words") - F.col("n_kept"))
     return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
 
 
 def dedup_documents(documents: DataFrame, window: int = WINDOW) -> DataFrame:
-    """documents with the text of those that lose words replaced by the words left; all rows stay."""
+    """documents with the text of those that lose words replaced by the words left; all rows stay. A row
+    travels as one value, so its columns may have any names."""
     cols = documents.columns
-    lost = removals(documents, window, with_text=True).select(F.col("owner").alias("_owner"), F.col("kept_text").alias("_kept"))
-    out = documents.join(lost, F.xxhash64("text") == F.col("_owner"), "left")
-    text = F.when(F.col("_owner").isNull(), F.col("text")).otherwise(F.col("_kept"))
-    return out.withColumn("text", text).select(*cols)
+    lost = removals(documents, window, with_text=True).select("same", "n", "kept_text")
+    rows = documents.select(F.struct(*cols).alias("row"), F.when(F.col("text").isNotNull(), text_key()).alias("same"), F.monotonically_increasing_id().alias("place"))
+    out = join_by_class(rows, lost, "same", "place", documents.count())
+    return out.select(*[(F.coalesce("kept_text", F.col("row")[c]) if c == "text" else F.col("row")[c]).alias(c) for c in cols])
