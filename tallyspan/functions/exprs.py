@@ -55,7 +55,34 @@ def bbox_iou(a: str, b: str) -> Column:
     h = F.least(c(a + "y1"), c(b + "y1")) - F.greatest(c(a + "y0"), c(b + "y0"))
     area = lambda p: (c(p + "x1") - c(p + "x0")) * (c(p + "y1") - c(p + "y0"))
     both = w * h
-    return F.when((w > 0) & (h > 0), F.round(both / (area(a) + area(b) - both), 4)).otherwise(0.0)
+    return F.when((w > 0) & (h > 0), F.bround(both / (area(a) + area(b) - both), 4)).otherwise(0.0)
+
+
+def struct_iou(g: Column, x: Column) -> Column:
+    """bbox_iou() of two structs, g with gx0 .. gy1 and x with x0 .. y1."""
+    w = F.least(g["gx1"], x["x1"]) - F.greatest(g["gx0"], x["x0"])
+    h = F.least(g["gy1"], x["y1"]) - F.greatest(g["gy0"], x["y0"])
+    areas = (g["gx1"] - g["gx0"]) * (g["gy1"] - g["gy0"]) + (x["x1"] - x["x0"]) * (x["y1"] - x["y0"])
+    return F.when((w > 0) & (h > 0), F.bround(w * h / (areas - w * h), 4)).otherwise(0.0)
+
+
+def px_bbox(width: Column, height: Column, box: Column | None = None) -> Column:
+    """(left, top, width, height) in pixels of a box in thousandths of a page of the given size: clamped, ordered,
+    at least one pixel each way; zeros where the page has no size. Halves go up, as on a screen."""
+    at = (lambda n: box[n]) if box is not None else F.col
+    clamp = lambda n: F.greatest(F.lit(0.0), F.least(F.lit(1000.0), at(n)))
+    near = lambda v: F.floor(v + 0.5).cast("int")
+    x0, x1, y0, y1 = (clamp(n) for n in ("x0", "x1", "y0", "y1"))
+    wide, high = near(F.abs(x1 - x0) / 1000 * width), near(F.abs(y1 - y0) / 1000 * height)
+    sized = F.coalesce((width > 0) & (height > 0), F.lit(False))
+    parts = {"left": near(F.least(x0, x1) / 1000 * width), "top": near(F.least(y0, y1) / 1000 * height), "width": F.greatest(wide, F.lit(1)), "height": F.greatest(high, F.lit(1))}
+    return F.struct(*[F.when(sized, v).otherwise(0).alias(k) for k, v in parts.items()])
+
+
+def iso_utc(c: Column) -> Column:
+    """A time as ISO text in UTC, whatever the session's zone."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
 def canonical_label(c: Column) -> Column:

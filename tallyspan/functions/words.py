@@ -4,7 +4,7 @@
 TITLE_WORDS = ("reconciliation", "non-gaap", "adjusted ebitda", "ebitda", "balance sheet", "income statement", "operations", "cash flow", "segment", "schedule")
 HEADER_TITLE_WORDS = ("reconciliation", "non-gaap", "adjusted ebitda")
 RECONCILIATION_TITLES = ("non-gaap", "reconciliation", "adjusted", "non gaap", "bridge")
-FOOTNOTE = r"(\(\d+\)|\([a-zA-Z]\)|\[\d+\]|[*†‡])"
+NOTE_MARK = r"(\(\d+\)|\([a-zA-Z]\)|\[\d+\]|[*†‡])"
 METRIC_WORDS = (
     "reconciliation", "non-gaap", "adjusted ebitda", "ebitda", "net income", "operating income", "operating profit",
     "stock-based compensation", "share-based compensation", "depreciation", "amortization", "d&a", "restructuring",
@@ -46,7 +46,7 @@ DICTIONARY = (
     ("gain on disposal of assets", "Other non-operating income"),
     ("adjusted ebitda", "Adjusted EBITDA"),
 )
-FAILURE_PATTERNS = ("missing_item", "spurious_item", "unrecognized_label", "merged_cell_misalignment", "sign_mismatch", "multi_column_bleed", "footnote_severance")
+FAILURE_PATTERNS = ("missing_item", "spurious_item", "unrecognized_label", "merged_cell_misalignment", "sign_mismatch", "multi_column_bleed", "note_severance")
 SEED_TAXONOMY = (
     "Stock-Based Compensation", "Restructuring Charges", "Litigation Charges", "Lease Adjustments", "Amortization of Intangibles",
     "Acquisition-Related Expenses", "Impairment of Assets", "Gain/Loss on Divestitures", "Foreign Currency Adjustments", "Other Non-Operating Expenses",

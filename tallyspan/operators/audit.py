@@ -39,6 +39,22 @@ def chain_review_enrich(chain: DataFrame, review: DataFrame) -> DataFrame:
     return out.select(*CELL, "leaf_id", F.coalesce("_status", absent).alias("review_status"), "value", "label")
 
 
+def chain_components(chain: DataFrame, leaves: DataFrame, review: DataFrame) -> DataFrame:
+    """chain_review_enrich() with the leaf's source_file, page and box from leaves (job_id, leaf_id, source_file, page, x0..y1).
+
+    A leaf without such a record is a gap: source unknown, page 1, a box of zeros, value and label [missing].
+    """
+    record = F.struct("source_file", "page", "x0", "y0", "x1", "y1").alias("rec")
+    out = chain_review_enrich(chain, review).join(leaves.select("job_id", "leaf_id", record), ["job_id", "leaf_id"], "left")
+    gap = F.col("rec").isNull()
+    missing = F.lit("[missing]")
+    return out.select(
+        *CELL, "leaf_id", F.when(gap, "source_record_missing").otherwise(F.col("review_status")).alias("review_status"), gap.alias("is_gap"),
+        F.when(gap, missing).otherwise(F.col("value")).alias("value"), F.when(gap, missing).otherwise(F.col("label")).alias("label"), F.when(gap, "unknown").otherwise(F.col("rec.source_file")).alias("source_file"),
+        F.when(gap, 1).otherwise(F.col("rec.page")).alias("page"), *[F.when(gap, 0.0).otherwise(F.col("rec." + b)).alias(b) for b in ("x0", "y0", "x1", "y1")],
+    )
+
+
 def chain_rollup(cells: DataFrame, enriched: DataFrame) -> DataFrame:
     """(job_id, sheet, coord, state, n, locked): the first that holds of no parts, any missing, any flagged, all locked."""
     s = F.col("review_status")
@@ -47,7 +63,7 @@ def chain_rollup(cells: DataFrame, enriched: DataFrame) -> DataFrame:
     )
     out = cells.select(*CELL).join(per, CELL, "left").fillna(0, ["n", "locked", "missing", "flagged"])
     c = F.col
-    state = F.when(c("n") == 0, "in_review").when(c("missing") > 0, "missing").when(c("flagged") > 0, "flagged").when(c("locked") == c("n"), "verified").otherwise("in_review")
+    state = F.when(c("n") == 0, "in_review").when(c("missing") > 0, "has_missing").when(c("flagged") > 0, "contains_flagged").when(c("locked") == c("n"), "all_locked").otherwise("in_review")
     return out.select(*CELL, state.alias("state"), "n", "locked")
 
 
@@ -66,20 +82,26 @@ def provenance_matrix(provenance: DataFrame, enriched: DataFrame) -> DataFrame:
 
 
 def manual_overrides(review: DataFrame, scored: DataFrame, provenance: DataFrame) -> DataFrame:
-    """(item_id, override_type, original_value, final_value, original_label, final_label): what people changed or entered."""
-    ident = F.concat("job_id", F.lit("_"), F.col("record_index").cast("string"))
-    was = scored.select(ident.alias("id"), F.col("value").alias("original_value"), F.col("label").alias("original_label"), F.col("status").alias("_was"))
-    out = review.join(was, "id", "left")
+    """(item_id, override_type, original_value, final_value, original_label, final_label, flags, band, page): what people
+    changed or entered. Flags and band are the review's, else the original's."""
     c = F.col
-    error = F.coalesce(c("_was") == "extraction_error", F.lit(False)) | (c("status") == "extraction_error")
+    ident = F.concat("job_id", F.lit("_"), c("record_index").cast("string"))
+    was = scored.select(ident.alias("id"), F.struct("value", "label", "status", "flags", "band").alias("was"))
+    has = lambda n: c(n) if n in review.columns else F.lit(None)
+    out = review.join(was, "id", "left")
+    error = F.coalesce(c("was.status") == "extraction_error", F.lit(False)) | (c("status") == "extraction_error")
     manual = c("status") == "manual_required"
-    edited = F.coalesce(c("value") != c("original_value"), F.lit(False)) | F.coalesce(c("label") != c("original_label"), F.lit(False))
+    edited = F.coalesce(c("value") != c("was.value"), F.lit(False)) | F.coalesce(c("label") != c("was.label"), F.lit(False))
     kind = F.when(error, "extraction_error_recovery").when(manual, "manual_required_entry").when(edited, "user_edit")
-    rows = out.select(c("id").alias("item_id"), kind.alias("override_type"), "original_value", c("value").alias("final_value"), "original_label", c("label").alias("final_label"))
     none = F.lit(None).cast("string")
+    rows = out.select(
+        c("id").alias("item_id"), kind.alias("override_type"), c("was.value").alias("original_value"), c("value").alias("final_value"), c("was.label").alias("original_label"), c("label").alias("final_label"),
+        F.coalesce(has("flags").cast("array<string>"), c("was.flags")).alias("flags"), F.coalesce(c("band"), c("was.band")).alias("band"), c("page").alias("page"),
+    )
     typed = provenance.where(c("node_id").startswith("hardcode_")).select(
-        F.concat("sheet", F.lit("!"), "coord").alias("item_id"), F.lit("manual_hardcode").alias("override_type"), none.alias("original_value"), c("body.value").alias("final_value"), none.alias("original_label"), c("node_id").alias("final_label")
-    )
+        F.concat("sheet", F.lit("!"), "coord").alias("item_id"), F.lit("manual_hardcode").alias("override_type"), none.alias("original_value"), c("body.value").alias("final_value"), none.alias("original_label"),
+        c("node_id").alias("final_label"), F.array().cast("array<string>").alias("flags"), none.alias("band"), F.lit(None).cast("int").alias("page"),
+    )
     return rows.where("override_type is not null").unionByName(typed)
 
 
@@ -155,9 +177,11 @@ def model_readiness(jobs: DataFrame, inputs: DataFrame, metrics: tuple[str, ...]
     return out.select("job_id", reason.isNull().alias("ready"), reason.alias("reason"))
 
 
-def audit_eligibility(asked: DataFrame, jobs: DataFrame, provenance: DataFrame, review: DataFrame) -> DataFrame:
-    """(job_id, state) of asked jobs: ready, build_on_demand from reviewed items, model_not_complete, or job_not_found."""
+def audit_eligibility(asked: DataFrame, jobs: DataFrame, provenance: DataFrame, review: DataFrame, classified: DataFrame | None = None) -> DataFrame:
+    """(job_id, state) of asked jobs: ready, build_on_demand from reviewed items, build_from_classified where only those are
+    there, model_not_complete, or job_not_found."""
     mark = lambda df, name: df.select("job_id").distinct().withColumn(name, F.lit(True))
     out = asked.select("job_id").join(mark(jobs, "_job"), "job_id", "left").join(mark(provenance, "_model"), "job_id", "left").join(mark(review, "_review"), "job_id", "left")
-    state = F.when(F.col("_job").isNull(), "job_not_found").when(F.col("_model"), "ready").when(F.col("_review"), "build_on_demand").otherwise("model_not_complete")
+    out = out.withColumn("_classified", F.lit(False)) if classified is None else out.join(mark(classified, "_classified"), "job_id", "left")
+    state = F.when(F.col("_job").isNull(), "job_not_found").when(F.col("_model"), "ready").when(F.col("_review"), "build_on_demand").when(F.col("_classified"), "build_from_classified").otherwise("model_not_complete")
     return out.select("job_id", state.alias("state"))

@@ -20,10 +20,11 @@ def cell_noise_filter(cells: DataFrame) -> DataFrame:
     return cells.where(~is_noise(F.col("text")))
 
 
-def table_title(cells: DataFrame) -> DataFrame:
-    """(source_file, table_idx, title): first titled cell of row 0, else first titled header cell, else a number.
+def table_title(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """(source_file, table_idx, title): the table's caption, else its label unless that only says what it is, else the
+    first titled cell of row 0, else the first titled header cell, else a number.
 
-    cells hold start_row and is_header; captions and labels, where there are any, go before.
+    cells hold start_row and is_header; tables (source_file, table_idx, caption, label), where there are any.
     """
     text = strip(F.coalesce("text", F.lit("")))
     low = F.lower(text)
@@ -31,7 +32,12 @@ def table_title(cells: DataFrame) -> DataFrame:
     head = F.col("is_header") & contains_any(low, words.HEADER_TITLE_WORDS)
     got = cells.groupBy("source_file", "table_idx").agg(F.min_by(F.when(first, text), F.when(first, F.col("cell_idx"))).alias("a"), F.min_by(F.when(head, text), F.when(head, F.col("cell_idx"))).alias("b"))
     number = F.concat(F.lit("Table "), (F.col("table_idx") + 1).cast("string"))
-    return got.select("source_file", "table_idx", F.coalesce("a", "b", number).alias("title"))
+    if tables is None:
+        return got.select("source_file", "table_idx", F.coalesce("a", "b", number).alias("title"))
+    caption, label = (F.nullif(strip(F.col(c)), F.lit("")) for c in ("caption", "label"))
+    named = F.coalesce(caption, F.when(~F.lower("label").isin("table", "data_table"), label))
+    out = tables.select("source_file", "table_idx", named.alias("named")).join(got, ["source_file", "table_idx"], "full")
+    return out.select("source_file", "table_idx", F.coalesce("named", "a", "b", number).alias("title"))
 
 
 def reconciliation_tables(titles: DataFrame, metric: str = "") -> DataFrame:
@@ -71,7 +77,7 @@ def bbox_normalize(items: DataFrame, dims: DataFrame) -> DataFrame:
     """Boxes in thousandths of the page, ordered, clamped, two places; a page without size gives an error row."""
     out = items.join(dims, ["source_file", "page"], "left")
     ok = F.coalesce((F.col("width") > 0) & (F.col("height") > 0) & (F.col("page") >= 1), F.lit(False))
-    scale = lambda v, of: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1000.0), F.col(v) / F.col(of) * 1000)), 2)
+    scale = lambda v, of: F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1000.0), F.col(v) / F.col(of) * 1000)), 2)
     x0, x1, y0, y1 = scale("x0", "width"), scale("x1", "width"), scale("y0", "height"), scale("y1", "height")
     boxes = {"x0": F.least(x0, x1), "x1": F.greatest(x0, x1), "y0": F.least(y0, y1), "y1": F.greatest(y0, y1)}
     return out.withColumns({k: F.when(ok, v).otherwise(0.0) for k, v in boxes.items()} | {"is_error": ~ok}).drop("width", "height")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspan.functions import words
-from tallyspan.functions.exprs import accounting_number, bbox_iou, percent, ratio, same_value, strip
+from tallyspan.functions.exprs import accounting_number, bbox_iou, percent, ratio, same_value, strip, struct_iou
 
 
 def truth(items: DataFrame) -> DataFrame:
@@ -17,18 +17,21 @@ def truth(items: DataFrame) -> DataFrame:
 
 
 def extracted(items: DataFrame) -> DataFrame:
-    """Disturbed copies of the truth, with extra rows: what an extractor might return."""
+    """Disturbed copies of the truth, with extra rows: what an extractor might return. One pass over items."""
     k = F.col("partkey")
     shift = F.when(k % 5 == 0, 40.0).otherwise(0.0)
-    real = items.where(k % 11 != 0).select(
-        "job_id", "page", (F.col("record_index") * 2).alias("record_index"), F.when(k % 7 == 0, F.concat(F.lit("-"), F.col("amount").cast("decimal(18,2)").cast("string"))).otherwise(F.col("value")).alias("value"),
-        "label", F.when(k % 13 == 0, "Other").otherwise(F.col("p_type")).alias("class"), (F.col("x0") + shift).alias("x0"), "y0", (F.col("x1") + shift).alias("x1"), "y1",
+    index = F.col("record_index") * 2
+    value = F.when(k % 7 == 0, F.concat(F.lit("-"), F.col("amount").cast("decimal(18,2)").cast("string"))).otherwise(F.col("value"))
+    real = F.struct(
+        index.alias("record_index"), value.alias("value"), F.col("label").alias("label"), F.when(k % 13 == 0, "Other").otherwise(F.col("p_type")).alias("class"),
+        (F.col("x0") + shift).alias("x0"), F.col("y0").alias("y0"), (F.col("x1") + shift).alias("x1"), F.col("y1").alias("y1"),
     )
-    extra = items.where(k % 17 == 0).select(
-        "job_id", "page", (F.col("record_index") * 2 + 1).alias("record_index"), F.lit("1").alias("value"), F.lit("Extra").alias("label"), F.lit("Extra").alias("class"),
+    extra = F.struct(
+        (index + 1).alias("record_index"), F.lit("1").alias("value"), F.lit("Extra").alias("label"), F.lit("Extra").alias("class"),
         F.lit(900.0).alias("x0"), F.lit(900.0).alias("y0"), F.lit(960.0).alias("x1"), F.lit(915.0).alias("y1"),
     )
-    return real.unionByName(extra)
+    both = F.array_compact(F.array(F.when(k % 11 != 0, real), F.when(k % 17 == 0, extra)))
+    return items.select("job_id", "page", F.explode(both).alias("r")).select("job_id", "page", "r.*")
 
 
 def match_candidates(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFrame:
@@ -47,11 +50,14 @@ def match_candidates(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFra
     return pairs.withColumn("score", F.col("iou") * 2 + F.col("value_eq").cast("int") * 2 + F.col("label_eq").cast("int"))
 
 
-def greedy_match(candidates: DataFrame) -> DataFrame:
+def greedy_match(candidates: DataFrame, most: int = 10_000) -> DataFrame:
     """(job_id, page, item_pos, record_index): items in order take their best unused record.
 
-    Pairs never leave their page, so each page folds on its own; a page is small by nature.
+    Pairs never leave their page, so each page folds on its own; a page of more than most pairs is left out
+    and found by oversized_candidates().
     """
+    size = F.count(F.lit(1)).over(Window.partitionBy("job_id", "page"))
+    candidates = candidates.withColumn("_n", size).where(F.col("_n") <= most)
     ranked = candidates.groupBy("job_id", "page", "item_pos").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("record_index").alias("r")))).alias("cands"))
     pages = ranked.groupBy("job_id", "page").agg(F.array_sort(F.collect_list(F.struct("item_pos", F.transform("cands", lambda x: x["r"]).alias("rs")))).alias("items"))
 
@@ -66,11 +72,19 @@ def greedy_match(candidates: DataFrame) -> DataFrame:
     return done.select("job_id", "page", "m.item_pos", "m.record_index")
 
 
+def oversized_candidates(candidates: DataFrame, most: int = 10_000) -> DataFrame:
+    """(job_id, page, n): pages with more candidate pairs than greedy_match() takes."""
+    return candidates.groupBy("job_id", "page").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+
+
+def _status(value_eq: Column, class_: Column, gt_class: Column, iou: Column, least: float) -> Column:
+    class_eq = F.coalesce(F.lower(strip(class_)) == F.lower(strip(gt_class)), F.lit(False))
+    return F.when(~value_eq, "value_mismatch").when(~class_eq, "classification_mismatch").when(iou < least, "localization_error").otherwise("exact_match")
+
+
 def match_status(matches: DataFrame, candidates: DataFrame, iou: float = 0.5) -> DataFrame:
     out = matches.join(candidates, ["job_id", "page", "item_pos", "record_index"])
-    class_eq = F.coalesce(F.lower(strip(F.col("class"))) == F.lower(strip(F.col("gt_class"))), F.lit(False))
-    status = F.when(~F.col("value_eq"), "value_mismatch").when(~class_eq, "classification_mismatch").when(F.col("iou") < iou, "localization_error").otherwise("exact_match")
-    return out.withColumn("status", status)
+    return out.withColumn("status", _status(F.col("value_eq"), F.col("class"), F.col("gt_class"), F.col("iou"), iou))
 
 
 def failure_pattern(diffs: DataFrame) -> DataFrame:
@@ -100,21 +114,72 @@ def spurious_items(ext: DataFrame, matches: DataFrame) -> DataFrame:
     return ext.join(matches, ["job_id", "page", "record_index"], "left_anti")
 
 
-def item_diffs(gt: DataFrame, ext: DataFrame) -> DataFrame:
-    """Matched, missed and spurious items with status and failure pattern."""
-    cands = match_candidates(gt, ext)
-    matches = greedy_match(cands)
-    none = lambda kind: F.lit(None).cast(kind)
-    hit = match_status(matches, cands).select(*DIFF)
-    lost = missed_items(gt, matches).withColumns({"record_index": none("int"), "gt_num": none("double"), "num": none("double"), "status": F.lit("missed_item"), "iou": F.lit(0.0)}).select(*DIFF)
-    more = spurious_items(ext, matches).withColumns({"item_pos": none("int"), "gt_num": none("double"), "num": none("double"), "status": F.lit("spurious_item"), "is_optional": F.lit(False), "iou": F.lit(0.0)}).select(*DIFF)
-    return failure_pattern(hit.unionByName(lost).unionByName(more))
+#: Rows of a page that a fold takes; larger pages go to oversized_pages().
+MOST_ON_PAGE = 10_000
+
+
+def _sides(gt: DataFrame, ext: DataFrame) -> DataFrame:
+    """Both sides as rows (job_id, page, g or x, n): n is how many rows the page has."""
+    g = gt.select("job_id", "page", F.struct("item_pos", "gt_value", accounting_number(F.col("gt_value")).alias("gt_num"), F.lower(strip(F.col("gt_label"))).alias("gl"), "gt_class", "is_optional", "gx0", "gy0", "gx1", "gy1").alias("g"))
+    x = ext.select("job_id", "page", F.struct("record_index", "value", accounting_number(F.col("value")).alias("num"), F.lower(strip(F.col("label"))).alias("el"), "class", "x0", "y0", "x1", "y1").alias("x"))
+    rows = g.unionByName(x, allowMissingColumns=True)
+    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("job_id", "page")))
+
+
+def oversized_pages(gt: DataFrame, ext: DataFrame, most: int = MOST_ON_PAGE) -> DataFrame:
+    """(job_id, page, n): pages of more than most rows, which item_diffs() leaves out: a fold is one value."""
+    sides = gt.select("job_id", "page").union(ext.select("job_id", "page"))
+    return sides.groupBy("job_id", "page").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+
+
+def item_diffs(gt: DataFrame, ext: DataFrame, iou: float = 0.5, most: int = MOST_ON_PAGE) -> DataFrame:
+    """Matched, missed and spurious items with status and failure pattern: one exchange by page, then one fold.
+
+    Items in order take their best unused record: the highest score, then the least index. The same result
+    as match_candidates(), greedy_match() and match_status() one after the other, without their joins.
+    """
+    pages = _sides(gt, ext).where(F.col("n") <= most).groupBy("job_id", "page").agg(F.array_sort(F.collect_list("g")).alias("gs"), F.collect_list("x").alias("xs"))
+    kind = "struct<item_pos:int,record_index:int,gt_num:double,num:double,status:string,is_optional:boolean,iou:double>"
+
+    def pair(g: Column, x: Column) -> Column:
+        same, value_eq = struct_iou(g, x), same_value(g["gt_value"], x["value"], g["gt_num"], x["num"])
+        label_eq = g["gl"] == x["el"]
+        score = same * 2 + value_eq.cast("int") * 2 + F.coalesce(label_eq, F.lit(False)).cast("int")
+        ok = (same >= iou) | value_eq | F.coalesce(label_eq, F.lit(False))
+        return F.struct((-score).alias("score"), x["record_index"].alias("record_index"), same.alias("iou"), value_eq.alias("value_eq"), x["num"].alias("num"), x["class"].alias("class"), ok.alias("ok"))
+
+    def row(g, record, num, status, optional, same) -> Column:
+        none = F.lit(None)
+        return F.struct((none if g is None else g["item_pos"]).cast("int").alias("item_pos"), record.cast("int").alias("record_index"), (none if g is None or num is None else g["gt_num"]).cast("double").alias("gt_num"),
+                        (none if num is None else num).cast("double").alias("num"), status.alias("status"), optional.alias("is_optional"), same.cast("double").alias("iou"))
+
+    def step(acc: Column, item: Column) -> Column:
+        best = F.array_min(F.filter(item["ps"], lambda p: ~F.array_contains(acc["used"], p["record_index"])))
+        g = item["g"]
+        hit = row(g, best["record_index"], best["num"], _status(best["value_eq"], best["class"], g["gt_class"], best["iou"], iou), g["is_optional"], best["iou"])
+        lost = row(g, F.lit(None), None, F.lit("missed_item"), g["is_optional"], F.lit(0.0))
+        used = F.when(best.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], best["record_index"]))
+        return F.struct(used.alias("used"), F.array_append(acc["out"], F.when(best.isNull(), lost).otherwise(hit)).alias("out"))
+
+    # the pairs of an item are made once, before the fold looks at them
+    scored = F.transform("gs", lambda g: F.struct(g.alias("g"), F.filter(F.transform("xs", lambda x: pair(g, x)), lambda p: p["ok"]).alias("ps")))
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<{kind}>").alias("out"))
+    done = pages.select("job_id", "page", "xs", F.aggregate(scored, start, step).alias("f"))
+    more = F.transform(F.filter("xs", lambda x: ~F.array_contains(F.col("f.used"), x["record_index"])), lambda x: row(None, x["record_index"], None, F.lit("spurious_item"), F.lit(False), F.lit(0.0)))
+    out = done.select("job_id", "page", F.explode(F.concat(F.col("f.out"), more)).alias("d")).select("job_id", "page", "d.*")
+    return failure_pattern(out).select(*DIFF, "pattern")
+
 
+LEAST_ACCURACY, MOST_FLAGGED = 90, 15
 
-def filing_metrics(diffs: DataFrame) -> DataFrame:
-    """One row a filing."""
+
+def filing_metrics(diffs: DataFrame, runs: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row for each run (job_id, success, cells); a run without diffs has nothing to find.
+
+    scored (job_id, score) gives the share of records that people must see.
+    """
     s = F.col("status")
-    out = diffs.groupBy("job_id").agg(
+    per = diffs.groupBy("job_id").agg(
         F.count_if(s == "exact_match").alias("tp"),
         F.count_if(s == "spurious_item").alias("fp"),
         F.count_if((s == "missed_item") & ~F.col("is_optional")).alias("fn"),
@@ -123,21 +188,44 @@ def filing_metrics(diffs: DataFrame) -> DataFrame:
         F.count_if(s.isin("value_mismatch", "localization_error", "spurious_item") | ((s == "missed_item") & ~F.col("is_optional"))).alias("extraction_errors"),
         F.count_if(s == "classification_mismatch").alias("classification_errors"),
     )
+    counts = [c for c in per.columns if c != "job_id"]
+    seen = scored.groupBy("job_id").agg(F.count(F.lit(1)).alias("extracted"), F.count_if(F.col("score") < 0.95).alias("not_auto"))
+    out = runs.select("job_id", "success", "cells").join(per, "job_id", "left").join(seen, "job_id", "left").fillna(0, [*counts, "extracted", "not_auto"])
     whole = F.when(F.col("gt_required") > 0, F.col("gt_required")).otherwise(F.col("gt_total"))
-    out = out.withColumns({"accuracy": F.when(whole > 0, percent(F.col("tp"), whole)).otherwise(100.0), "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
+    out = out.withColumns(
+        {
+            "generation_errors": (~F.col("success") | (F.col("cells") == 0)).cast("int"),
+            "accuracy": F.when(whole > 0, percent(F.col("tp"), whole)).otherwise(100.0),
+            "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")),
+            "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")),
+            "not_auto_percent": percent(F.col("not_auto"), F.col("extracted")),
+        }
+    )
     p, r = F.col("precision"), F.col("recall")
-    return out.withColumn("f1", F.when(p + r > 0, F.round(2 * p * r / (p + r), 4)).otherwise(0.0))
+    out = out.withColumn("f1", F.when(p + r > 0, F.bround(2 * p * r / (p + r), 4)).otherwise(0.0))
+    failed = (F.col("not_auto_percent") > MOST_FLAGGED) | ~F.col("success")
+    return out.withColumns({"is_failed": failed, "on_target": F.col("accuracy") >= LEAST_ACCURACY}).drop("success", "cells")
 
 
 def corpus_metrics(filings: DataFrame) -> DataFrame:
     """One row: macro means of the rounded figures, micro figures from totals. Two-phase sums."""
+    sums = ("tp", "fp", "fn", "gt_total", "extracted", "not_auto", "extraction_errors", "classification_errors", "generation_errors")
     t = filings.agg(
-        F.count(F.lit(1)).alias("filings"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "gt_total", "extraction_errors", "classification_errors")],
-        *[F.round(F.avg(c), 4).alias("macro_" + c) for c in ("precision", "recall", "f1")],
+        F.count(F.lit(1)).alias("filings"), F.count_if("is_failed").alias("failed_filings"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
+        *[F.coalesce(F.bround(F.avg(c), 4), F.lit(0.0)).alias("macro_" + c) for c in ("precision", "recall", "f1")],
     )
-    t = t.withColumns({"micro_precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "micro_recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")), "accuracy": percent(F.col("tp"), F.col("gt_total"))})
+    t = t.withColumns(
+        {
+            "successful_filings": F.col("filings") - F.col("failed_filings"),
+            "micro_precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")),
+            "micro_recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")),
+            "accuracy": F.when(F.col("gt_total") > 0, percent(F.col("tp"), F.col("gt_total"))).otherwise(100.0),
+            "review_percent": percent(F.col("not_auto"), F.col("extracted")),
+        }
+    )
     p, r = F.col("micro_precision"), F.col("micro_recall")
-    return t.withColumn("micro_f1", F.when(p + r > 0, F.round(2 * p * r / (p + r), 4)).otherwise(0.0))
+    t = t.withColumn("micro_f1", F.when(p + r > 0, F.bround(2 * p * r / (p + r), 4)).otherwise(0.0))
+    return t.withColumn("on_target", F.col("accuracy") >= LEAST_ACCURACY)
 
 
 def failure_pattern_counts(diffs: DataFrame) -> DataFrame:

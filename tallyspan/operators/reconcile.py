@@ -31,54 +31,80 @@ def formula_inputs(classified: DataFrame) -> DataFrame:
     return formula_input_errors(kept)
 
 
-def formula_nodes(inputs: DataFrame) -> DataFrame:
-    """(job_id, node_id, parent_id, kind, label, group_label, seq): leaves, aggregates of labels met twice, one root.
+def formula_input_counts(classified: DataFrame) -> DataFrame:
+    """(job_id, received, confirmed, excluded): what becomes of each job's items."""
+    enters = F.coalesce((F.col("band") == "auto_accepted") | F.col("is_confirmed"), F.lit(False)) & ~(is_blank(F.col("normalized_label")) & is_blank(F.col("label")))
+    out = classified.groupBy("job_id").agg(F.count(F.lit(1)).alias("received"), F.count_if(enters).alias("confirmed"))
+    return out.withColumn("excluded", F.col("received") - F.col("confirmed"))
 
-    Groups are by the exact label, in order of first appearance. Sums per (job, label) are windows on that key,
-    which one exchange serves.
+
+def formula_nodes(inputs: DataFrame, metric: str = "Adjusted EBITDA") -> DataFrame:
+    """(job_id, node_id, parent_id, kind, label, group_label, seq, value, first): leaves, aggregates of labels met twice, one root.
+
+    Groups are by the exact label, in order of first appearance, whatever their ids: labels that differ in case
+    or marks have one slug but are groups of their own. One exchange by job serves all windows; a row becomes
+    its leaf, and the first of a group or job its aggregate or root as well.
     """
-    w = Window.partitionBy("job_id", "leaf_label")
-    rows = inputs.where("reason is null").withColumns({"n": F.count(F.lit(1)).over(w), "first": F.min("record_index").over(w)})
-    many = F.col("n") >= 2
-    agg_id, root_id = F.concat(F.lit("agg_"), slug(F.col("leaf_label"))), F.lit("root_total")
-    leaf = rows.select(
-        "job_id", F.concat(F.lit("leaf_"), F.col("record_index").cast("string"), F.lit("_"), slug(F.col("leaf_label"))).alias("node_id"), F.when(many, agg_id).otherwise(root_id).alias("parent_id"),
-        F.lit("leaf").alias("kind"), F.when(many, F.concat("leaf_label", F.lit(" (p. "), F.col("page").cast("string"), F.lit(")"))).otherwise(F.col("leaf_label")).alias("label"),
-        F.col("leaf_label").alias("group_label"), F.col("record_index").alias("seq"), "value", "first",
-    )
-    agg = rows.where(many & (F.col("record_index") == F.col("first"))).select(
-        "job_id", agg_id.alias("node_id"), root_id.alias("parent_id"), F.lit("aggregate").alias("kind"), F.concat(F.lit("Total "), F.col("leaf_label")).alias("label"),
-        F.col("leaf_label").alias("group_label"), F.col("record_index").alias("seq"), F.lit(None).cast("string").alias("value"), "first",
-    )
-    root = rows.groupBy("job_id").agg(F.min("record_index").alias("seq")).select(
-        "job_id", root_id.alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("kind"), F.lit("Total").alias("label"),
-        F.lit(None).cast("string").alias("group_label"), "seq", F.lit(None).cast("string").alias("value"), F.col("seq").alias("first"),
-    )
-    return leaf.unionByName(agg).unionByName(root)
+    job, group = Window.partitionBy("job_id"), Window.partitionBy("job_id", "leaf_label")
+    rows = inputs.where("reason is null").select("job_id", "leaf_label", "record_index", "page", "value")
+    rows = rows.withColumn("start", F.min("record_index").over(job)).withColumns({"n": F.count(F.lit(1)).over(group), "first": F.min("record_index").over(group)})
+    many, index, none = F.col("n") >= 2, F.col("record_index"), F.lit(None).cast("string")
+    root_id, agg_id = F.concat(F.lit("root_"), slug(F.lit(metric))), F.concat(F.lit("agg_"), slug(F.col("leaf_label")))
+
+    def node(node_id, parent, kind, label, group_label, value, first):
+        parts = {"node_id": node_id, "parent_id": parent, "kind": F.lit(kind), "label": label, "group_label": group_label, "seq": index, "value": value, "first": first}
+        return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+    leaf_id = F.concat(F.lit("leaf_"), index.cast("string"), F.lit("_"), slug(F.col("leaf_label")))
+    leaf_label = F.when(many, F.concat("leaf_label", F.lit(" (p. "), F.col("page").cast("string"), F.lit(")"))).otherwise(F.col("leaf_label"))
+    leaf = node(leaf_id, F.when(many, agg_id).otherwise(root_id), "leaf", leaf_label, F.col("leaf_label"), F.col("value"), F.col("first"))
+    agg = node(agg_id, root_id, "aggregate", F.concat(F.lit("Total "), F.col("leaf_label")), F.col("leaf_label"), none, F.col("first"))
+    root = node(root_id, none, "root", F.lit(metric), none, none, index)
+    kinds = F.array_compact(F.array(leaf, F.when(many & (index == F.col("first")), agg), F.when(index == F.col("start"), root)))
+    return rows.select("job_id", F.explode(kinds).alias("k")).select("job_id", "k.*")
+
+
+def _placed(nodes: DataFrame) -> DataFrame:
+    """+ pos: a node's place in the reconciliation, groups before their totals, the root last."""
+    rank = F.when(F.col("kind") == "leaf", 0).when(F.col("kind") == "aggregate", 1).otherwise(2)
+    return nodes.withColumn("pos", F.row_number().over(Window.partitionBy("job_id").orderBy((F.col("kind") == "root").cast("int"), "first", rank, "seq")))
+
+
+def formula_edges(nodes: DataFrame, sign: str = "+") -> DataFrame:
+    """(job_id, parent_id, group_label, child_id, operator, position): one row for each child, group_label telling apart
+    parents that share an id; position counts the children of a parent from 0."""
+    child = _placed(nodes).where("parent_id is not null")
+    parent = F.when(F.col("parent_id").startswith("agg_"), F.col("group_label"))
+    rows = child.select("job_id", "parent_id", parent.alias("group_label"), F.col("node_id").alias("child_id"), F.lit(sign).alias("operator"), "pos")
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("job_id", "parent_id", "group_label").orderBy("pos")) - 1).drop("pos")
 
 
 def reconciliation_total(inputs: DataFrame) -> DataFrame:
-    """(job_id, label, total, n, unparsed): a roll-up; the row with null label is the job's total."""
-    amount = F.round(accounting_number(F.col("value")), 4).cast("decimal(28,4)")
+    """(job_id, label, total, n, unparsed): sums by label and by job; the row with null label is the job's total."""
+    amount = F.bround(accounting_number(F.col("value")), 4).cast("decimal(28,4)")
     rows = inputs.where("reason is null").select("job_id", "leaf_label", amount.alias("amount"))
-    out = rows.rollup("job_id", "leaf_label").agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("amount").isNull()).alias("unparsed"))
-    return out.where("job_id is not null").select("job_id", F.col("leaf_label").alias("label"), F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total"), "n", "unparsed")
+    sums = (F.sum("amount").alias("total"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("amount").isNull()).alias("unparsed"))
+    # labels are never null here, so a null one is the job's
+    out = rows.groupingSets([["job_id", "leaf_label"], ["job_id"]], "job_id", "leaf_label").agg(*sums)
+    return out.select("job_id", F.col("leaf_label").alias("label"), F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total"), "n", "unparsed")
 
 
 def model_cells(nodes: DataFrame) -> DataFrame:
-    """(job_id, sheet, coord, node_id, kind, content): inputs from row 1 down, the reconciliation from row 3 with groups before their totals."""
-    by_leaf = Window.partitionBy("job_id").orderBy("seq")
-    leaves = nodes.where("kind = 'leaf'")
-    inputs = leaves.select("job_id", F.lit("Source_Inputs").alias("sheet"), F.concat(F.lit("B"), F.row_number().over(by_leaf).cast("string")).alias("coord"), "node_id", "kind", F.col("value").alias("content"))
-    rank = F.when(F.col("kind") == "leaf", 0).when(F.col("kind") == "aggregate", 1).otherwise(2)
-    order = Window.partitionBy("job_id").orderBy((F.col("kind") == "root").cast("int"), "first", rank, "seq")
-    placed = nodes.withColumn("coord", F.concat(F.lit("B"), (F.row_number().over(order) + 2).cast("string")))
-    children = placed.where("parent_id is not null").groupBy("job_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("first", "seq", "coord"))).alias("c"))
-    formula = F.concat(F.lit("="), F.array_join(F.transform("c", lambda x: x["coord"]), "+"))
-    up = inputs.select("job_id", "node_id", F.concat(F.lit("=Source_Inputs!"), F.col("coord")).alias("ref"))
-    model = placed.join(children, ["job_id", "node_id"], "left").join(up, ["job_id", "node_id"], "left")
-    model = model.select("job_id", F.lit("Reconciliation").alias("sheet"), "coord", "node_id", "kind", F.when(F.col("kind") == "leaf", F.col("ref")).otherwise(formula).alias("content"))
-    return inputs.unionByName(model)
+    """(job_id, sheet, coord, node_id, kind, group_label, content): inputs from row 1 down, the reconciliation from row 3
+    with groups before their totals. Children are those of the same group label; windows by job replace joins."""
+    leaf = F.col("kind") == "leaf"
+    by_leaf = Window.partitionBy("job_id", "kind").orderBy("seq")
+    coord = lambda n: F.concat(F.lit("B"), n.cast("string"))
+    placed = _placed(nodes).withColumns({"coord": coord(F.col("pos") + 2), "up": coord(F.row_number().over(by_leaf))})
+    whole = lambda *by: Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    under_root = F.collect_list(F.when(F.col("parent_id").startswith("root_"), F.col("coord"))).over(whole("job_id"))
+    under_group = F.collect_list(F.when(leaf, F.col("coord"))).over(whole("job_id", "group_label"))
+    placed = placed.withColumns({"under_root": under_root, "under_group": under_group})
+    refs = F.when(F.col("kind") == "root", F.col("under_root")).when(F.col("kind") == "aggregate", F.col("under_group"))
+    content = F.when(leaf, F.concat(F.lit("=Source_Inputs!"), "up")).otherwise(F.concat(F.lit("="), F.array_join(refs, "+")))
+    cell = lambda sheet, at, what: F.struct(F.lit(sheet).alias("sheet"), at.alias("coord"), "node_id", "kind", "group_label", what.alias("content"))
+    both = F.array_compact(F.array(F.when(leaf, cell("Source_Inputs", F.col("up"), F.col("value"))), cell("Reconciliation", F.col("coord"), content)))
+    return placed.select("job_id", F.explode(both).alias("c")).select("job_id", "c.*")
 
 
 def provenance_build(cells: DataFrame, items: DataFrame) -> DataFrame:
@@ -89,18 +115,29 @@ def provenance_build(cells: DataFrame, items: DataFrame) -> DataFrame:
     where = F.when(leaf, F.format_string("page=%d&xywh=%.2f,%.2f,%.2f,%.2f", "page", "box.x0", "box.y0", F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0")))
     target = F.struct(F.when(leaf, F.col("source_file")).otherwise("model_derived").alias("source"), F.struct(where.alias("value"), F.struct(F.col("box").alias("coordinates")).alias("refinedBy")).alias("selector"))
     body = F.struct(F.col("content").alias("value"), F.col("kind").alias("purpose"))
-    return out.select("job_id", "sheet", "coord", "node_id", (~leaf | (F.col("sheet") == "Reconciliation")).alias("is_formula"), body.alias("body"), target.alias("target"))
+    return out.select("job_id", "sheet", "coord", "node_id", F.col("kind").alias("kind_"), (~leaf | (F.col("sheet") == "Reconciliation")).alias("is_formula"), body.alias("body"), target.alias("target"))
 
 
 def source_chain(cells: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(job_id, sheet, coord, leaf_id): the leaves under every cell: its own, its group's, or all of the job's."""
-    leaves = nodes.where("kind = 'leaf'").select("job_id", F.col("node_id").alias("leaf_id"), F.col("parent_id").alias("leaf_parent"))
+    """(job_id, sheet, coord, leaf_id): the leaves under every cell: its own, its group's by label, or all of the job's."""
+    leaves = nodes.where("kind = 'leaf'").select("job_id", F.col("node_id").alias("leaf_id"), "group_label")
     own = cells.where("kind = 'leaf'").select("job_id", "sheet", "coord", F.col("node_id").alias("leaf_id"))
-    group = cells.where("kind = 'aggregate'").join(leaves.withColumnRenamed("leaf_parent", "node_id"), ["job_id", "node_id"]).select("job_id", "sheet", "coord", "leaf_id")
+    group = cells.where("kind = 'aggregate'").join(leaves, ["job_id", "group_label"]).select("job_id", "sheet", "coord", "leaf_id")
     whole = cells.where("kind = 'root'").join(leaves, "job_id").select("job_id", "sheet", "coord", "leaf_id")
     return own.unionByName(group).unionByName(whole)
 
 
+def source_chain_of(refs: DataFrame, cells: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(job_id, sheet, coord, is_found, leaf_id) of refs (job_id, sheet, coord); blanks around both and the case of coord do
+    not matter. A ref to no cell is one row with is_found false and no leaf."""
+    wanted = refs.select("job_id", strip(F.col("sheet")).alias("sheet"), F.upper(strip(F.col("coord"))).alias("coord")).distinct()
+    at = ["job_id", "sheet", "coord"]
+    named = cells.join(wanted, at, "left_semi")
+    found = source_chain(named, nodes)
+    out = wanted.join(named.select(*at, F.lit(True).alias("is_found")), at, "left").join(found, at, "left")
+    return out.select(*at, F.coalesce("is_found", F.lit(False)).alias("is_found"), "leaf_id")
+
+
 def formula_inputs_review(review: DataFrame) -> DataFrame:
     """Reviewed items that enter the tree: locked, accepted, or under review with a known label; + leaf_label, is_hardcode, reason."""
     known = F.nullif(strip(F.col("normalized_label")), F.lit(""))

@@ -10,18 +10,18 @@ from tallyspan.operators import evaluate as e
 from tallyspan.operators import reconcile as r
 from tallyspan.operators import report as p
 from tallyspan.operators import review as v
-from tallyspan.plans.queries import D, E3, ITEMS, JOBS, N, ORACLES, QUERIES, R0, R2, REVIEW, S, _compared, _inputs, _num, _sides, items, normalized, query, scored
+from tallyspan.plans.queries import D, E1, E3, ITEMS, JOBS, N, ORACLES, QUERIES, R0, R2, REVIEW, RUNS, S, _compared, _inputs, _num, _sides, items, normalized, query, scored
 from tallyspan.sources.fixtures import fixture, oracle
 
 __all__ = ["ORACLES", "QUERIES"]
 
 METRIC = "Economy"
-LOG, RUNS = oracle("fx_log"), oracle("fx_runs")
+LOG = oracle("fx_log")
 RV = """rv AS (SELECT id, job_id, record_index, page, x0, y0, x1, y1, band, label, normalized_label, taxonomy_status, CASE WHEN record_index % 4 = 1 THEN '0' ELSE value END AS value,
   CASE WHEN st <> 'extraction_error' AND page = 1 THEN 'locked' WHEN record_index % 6 = 5 THEN 'flagged' ELSE st END AS status FROM review)"""
 PROV = "prov AS (SELECT *, kind <> 'leaf' OR sheet = 'Reconciliation' AS is_formula, cast(substring(coord, 2) AS int) AS seq FROM cells_)"
 CHAIN = """chain AS (SELECT job_id, sheet, coord, node_id AS leaf_id FROM cells_ WHERE kind = 'leaf'
-  UNION ALL SELECT k.job_id, k.sheet, k.coord, n.node_id FROM cells_ k JOIN nodes n ON n.job_id = k.job_id AND n.kind = 'leaf' AND (k.kind = 'root' OR n.parent_id = k.node_id) WHERE k.kind <> 'leaf')"""
+  UNION ALL SELECT k.job_id, k.sheet, k.coord, n.node_id FROM cells_ k JOIN nodes n ON n.job_id = k.job_id AND n.kind = 'leaf' AND (k.kind = 'root' OR n.group_label = k.group_label) WHERE k.kind <> 'leaf')"""
 ENR = """enr AS (SELECT h.*, coalesce(i.status, CASE WHEN j.job_id IS NOT NULL THEN 'source_record_missing' ELSE 'unreviewed' END) AS review_status, i.value, i.label
   FROM chain h LEFT JOIN rv i ON i.id = h.job_id || '_' || regexp_extract(h.leaf_id, '^leaf_(\\d+)_', 1) LEFT JOIN (SELECT DISTINCT job_id FROM rv) j ON j.job_id = h.job_id)"""
 DJ = """dj AS (SELECT j.job_id, j.target_metric, regexp_extract(j.filename, '^([^_.]*)', 1) AS entity, j.year, x.is_baseline, x.changed, len(x.added) AS n_added, len(x.removed) AS n_removed
@@ -135,13 +135,24 @@ def chain_review_enrich(spark, sf):
     return _enriched(spark, sf)
 
 
-@query("""SELECT job_id, sheet, coord, CASE WHEN n = 0 THEN 'in_review' WHEN missing > 0 THEN 'missing' WHEN flagged > 0 THEN 'flagged' WHEN locked = n THEN 'verified' ELSE 'in_review' END AS state, n, locked FROM (
+@query("""SELECT job_id, sheet, coord, CASE WHEN n = 0 THEN 'in_review' WHEN missing > 0 THEN 'has_missing' WHEN flagged > 0 THEN 'contains_flagged' WHEN locked = n THEN 'all_locked' ELSE 'in_review' END AS state, n, locked FROM (
 SELECT k.job_id, k.sheet, k.coord, count(h.leaf_id) AS n, count(*) FILTER (review_status = 'locked') AS locked, count(*) FILTER (review_status = 'source_record_missing') AS missing, count(*) FILTER (review_status = 'flagged') AS flagged
 FROM cells_ k LEFT JOIN enr h ON h.job_id = k.job_id AND h.sheet = k.sheet AND h.coord = k.coord GROUP BY 1, 2, 3)""", *CH)
 def chain_rollup(spark, sf):
     return a.chain_rollup(_model(spark, sf)[1], _enriched(spark, sf))
 
 
+@query("""SELECT h.job_id, h.sheet, h.coord, h.leaf_id, g.seq IS NULL AS is_gap, CASE WHEN g.seq IS NULL THEN 'source_record_missing' ELSE review_status END AS review_status, CASE WHEN g.seq IS NULL THEN '[missing]' ELSE h.value END AS value,
+  CASE WHEN g.seq IS NULL THEN '[missing]' ELSE h.label END AS label, coalesce(i.source_file, 'unknown') AS source_file, coalesce(i.page, 1) AS page, coalesce(i.x0, 0) AS x0, coalesce(i.y1, 0) AS y1
+FROM enr h LEFT JOIN nodes g ON g.job_id = h.job_id AND g.node_id = h.leaf_id AND g.kind = 'leaf' AND g.seq % 9 <> 3 LEFT JOIN inputs i ON i.job_id = g.job_id AND i.record_index = g.seq""", *CH)
+def chain_components(spark, sf):
+    nodes, cells = _model(spark, sf)
+    records = _inputs(spark, sf).where("record_index % 9 <> 3").select("job_id", "record_index", "source_file", "page", *c.BOX)
+    leaves = nodes.where("kind = 'leaf'").select("job_id", F.col("node_id").alias("leaf_id"), F.col("seq").alias("record_index")).join(records, ["job_id", "record_index"])
+    out = a.chain_components(r.source_chain(cells, nodes), leaves, _review(spark, sf))
+    return out.select("job_id", "sheet", "coord", "leaf_id", "is_gap", "review_status", "value", "label", "source_file", "page", "x0", "y1")
+
+
 @query("SELECT job_id, sheet, coord, node_id, is_formula FROM (SELECT *, bool_or(is_formula) OVER (PARTITION BY job_id) AS derived FROM prov) WHERE is_formula OR NOT derived", *P0)
 def reconciliation_summary(spark, sf):
     return a.reconciliation_summary(_provenance(spark, sf)).select("job_id", "sheet", "coord", "node_id", "is_formula")
@@ -155,9 +166,12 @@ def provenance_matrix(spark, sf):
 
 
 @query("""SELECT * FROM (SELECT i.id AS item_id, CASE WHEN s.status = 'extraction_error' OR i.status = 'extraction_error' THEN 'extraction_error_recovery' WHEN i.status = 'manual_required' THEN 'manual_required_entry' WHEN i.value <> s.value OR i.label <> s.label THEN 'user_edit' END AS override_type,
-s.value AS original_value, i.value AS final_value, s.label AS original_label, i.label AS final_label FROM rv i LEFT JOIN scored s ON s.job_id = i.job_id AND s.record_index = i.record_index) WHERE override_type IS NOT NULL""", *RVS)
+s.value AS original_value, i.value AS final_value, s.label AS original_label, i.label AS final_label, s.flags, coalesce(i.band, s.band) AS band, i.page FROM rv i LEFT JOIN scored s ON s.job_id = i.job_id AND s.record_index = i.record_index) WHERE override_type IS NOT NULL
+UNION ALL SELECT sheet || '!' || coord, 'manual_hardcode', NULL, content, NULL, 'hardcode_' || node_id, '', NULL, NULL FROM cells_ WHERE sheet = 'Reconciliation' AND kind = 'leaf' AND coord = 'B4'""", *R2, REVIEW, RV)
 def manual_overrides(spark, sf):
-    return a.manual_overrides(_review(spark, sf), scored(spark, sf), _provenance(spark, sf))
+    typed = _provenance(spark, sf).where("sheet = 'Reconciliation' and kind_ = 'leaf' and coord = 'B4'").withColumn("node_id", F.concat(F.lit("hardcode_"), "node_id"))
+    out = a.manual_overrides(_review(spark, sf), scored(spark, sf), typed)
+    return out.withColumn("flags", F.array_join("flags", ","))
 
 
 @query("""SELECT job_id, CASE WHEN bad THEN 0 ELSE calls END AS calls, CASE WHEN bad THEN 0 ELSE matched END AS matched, CASE WHEN bad THEN 0 ELSE errors END AS errors, CASE WHEN bad THEN 0 ELSE calls - matched - errors END AS pending, bad OR free AS numeric_free FROM (
@@ -188,15 +202,15 @@ def report_metadata(spark, sf):
     return a.report_metadata(_jobs(spark, sf), _review(spark, sf), _provenance(spark, sf), _drift(spark, sf))
 
 
-@query("""SELECT q.job_id, CASE WHEN j.job_id IS NULL THEN 'job_not_found' WHEN q.job_id IN (SELECT job_id FROM cells_) THEN 'ready' WHEN q.job_id IN (SELECT job_id FROM rv) THEN 'build_on_demand' ELSE 'model_not_complete' END AS state
+@query("""SELECT q.job_id, CASE WHEN j.job_id IS NULL THEN 'job_not_found' WHEN q.job_id IN (SELECT job_id FROM cells_) THEN 'ready' WHEN q.job_id IN (SELECT job_id FROM rv) THEN 'build_on_demand' WHEN q.job_id IN (SELECT job_id FROM norm WHERE record_index > 2) THEN 'build_from_classified' ELSE 'model_not_complete' END AS state
 FROM (SELECT job_id FROM fx_jobs UNION ALL SELECT 'x' || c_custkey FROM customer) q LEFT JOIN fx_jobs j ON j.job_id = q.job_id""", *R2, REVIEW, RV, JOBS)
 def audit_eligibility(spark, sf):
     asked = _jobs(spark, sf).select("job_id").union(spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string"))))
-    return a.audit_eligibility(asked, _jobs(spark, sf), _model(spark, sf)[1], _review(spark, sf))
+    return a.audit_eligibility(asked, _jobs(spark, sf), _model(spark, sf)[1], _review(spark, sf), normalized(spark, sf).where("record_index > 2"))
 
 
 # ---- report
-@query("SELECT count(*) AS runs, count(*) FILTER (success) AS succeeded, sum(extraction + classification + generation)::DOUBLE AS total_seconds, round(sum(extraction + classification + generation) / count(*)::DOUBLE, 4) AS mean_seconds, bool_and(extraction + classification + generation <= 300) AS within_budget FROM fx_runs", RUNS)
+@query("SELECT count(*) AS runs, count(*) FILTER (success) AS succeeded, sum(extraction + classification + generation)::DOUBLE AS total_seconds, round_even(sum(extraction + classification + generation) / count(*)::DOUBLE, 4) AS mean_seconds, bool_and(extraction + classification + generation <= 300) AS within_budget FROM fx_runs", RUNS)
 def runtime_metrics(spark, sf):
     return p.runtime_metrics(fixture(spark, sf, "fx_runs"))
 
@@ -206,7 +220,7 @@ def failing_stage(spark, sf):
     return p.failing_stage(fixture(spark, sf, "fx_runs")).select("job_id", "failed_at")
 
 
-@query("SELECT f = 0 AS passed, f = 0 AND acc >= 90 AS passed_strict FROM (SELECT count(*) FILTER (NOT success) AS f FROM fx_runs), (SELECT round_even(sum(tp) * 100 / sum(gt_total)::DOUBLE, 2) AS acc FROM fm)", *E3, RUNS)
+@query("SELECT f = 0 AS passed, f = 0 AND acc >= 90 AND ff = 0 AS passed_strict FROM (SELECT count(*) FILTER (NOT success) AS f FROM fx_runs), (SELECT round_even(sum(tp) * 100 / sum(gt_total)::DOUBLE, 2) AS acc, count(*) FILTER (is_failed) AS ff FROM fm)", *E3)
 def strict_gate(spark, sf):
     return p.strict_gate(QUERIES["corpus_metrics"](spark, sf), fixture(spark, sf, "fx_runs"))
 
@@ -225,25 +239,45 @@ def filing_filter(spark, sf):
 @query(f"""SELECT job_id, rule, count(*) AS n FROM (
 SELECT 'x' || c_custkey AS job_id, 'folder_missing' AS rule FROM customer
 UNION ALL SELECT o_orderkey::STRING, 'page_count_differs' FROM orders WHERE o_orderkey % 10 = 0
-UNION ALL SELECT job_id, 'page_beyond_end' FROM fx_line_items WHERE page > 1 + job_id::BIGINT % 3 AND job_id IN (SELECT o_orderkey::STRING FROM orders)
-UNION ALL SELECT job_id, 'value_not_numeric' FROM fx_line_items WHERE partkey % 31 = 0 AND job_id IN (SELECT o_orderkey::STRING FROM orders)) GROUP BY 1, 2""", ITEMS)
+UNION ALL SELECT job_id, 'schema_breach' FROM fx_line_items WHERE (partkey % 37 = 0 OR x1 > 1000 OR y1 > 1000) AND job_id IN (SELECT o_orderkey::STRING FROM orders)
+UNION ALL SELECT job_id, 'page_beyond_end' FROM fx_line_items WHERE NOT (partkey % 37 = 0 OR x1 > 1000 OR y1 > 1000) AND page > 1 + job_id::BIGINT % 3 AND job_id IN (SELECT o_orderkey::STRING FROM orders)
+UNION ALL SELECT job_id, 'value_not_numeric' FROM fx_line_items WHERE NOT (partkey % 37 = 0 OR x1 > 1000 OR y1 > 1000) AND partkey % 31 = 0 AND job_id IN (SELECT o_orderkey::STRING FROM orders)) GROUP BY 1, 2""", ITEMS)
 def corpus_validation(spark, sf):
     key = F.col("o_orderkey")
     pages = (1 + key % 3).cast("int")
     filings = spark.read.parquet(f"{sf}/orders.parquet").select(key.cast("string").alias("job_id"), pages.alias("page_count"), (pages + (key % 10 == 0).cast("int")).alias("actual_pages"))
     manifest = filings.select("job_id").union(spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string"))))
     rows = items(spark, sf).withColumn("value", F.when(F.col("partkey") % 31 == 0, F.concat("value", F.lit(" n/m"))).otherwise(F.col("value")))
+    rows = rows.withColumns({"page": F.when(F.col("partkey") % 37 == 0, 0).otherwise(F.col("page")), "normalized_label": F.col("p_type")})
     return p.corpus_validation(rows, filings, manifest)
 
 
 @query("""SELECT m.metric, CASE m.metric WHEN 'accuracy' THEN accuracy WHEN 'macro_precision' THEN mp WHEN 'macro_recall' THEN mr WHEN 'macro_f1' THEN mf WHEN 'micro_precision' THEN p WHEN 'micro_recall' THEN r
-ELSE CASE WHEN p + r > 0 THEN round(2 * p * r / (p + r), 4) ELSE 0 END END::DOUBLE AS figure FROM (
-SELECT round_even(sum(tp) * 100 / sum(gt_total)::DOUBLE, 2) AS accuracy, round(avg(precision), 4) AS mp, round(avg(recall), 4) AS mr, round(avg(f1), 4) AS mf, round_even(sum(tp) / nullif(sum(tp) + sum(fp), 0)::DOUBLE, 4) AS p, round_even(sum(tp) / nullif(sum(tp) + sum(fn), 0)::DOUBLE, 4) AS r FROM fm),
+ELSE CASE WHEN p + r > 0 THEN round_even(2 * p * r / (p + r), 4) ELSE 0 END END::DOUBLE AS figure FROM (
+SELECT round_even(sum(tp) * 100 / sum(gt_total)::DOUBLE, 2) AS accuracy, round_even(avg(precision), 4) AS mp, round_even(avg(recall), 4) AS mr, round_even(avg(f1), 4) AS mf, round_even(sum(tp) / nullif(sum(tp) + sum(fp), 0)::DOUBLE, 4) AS p, round_even(sum(tp) / nullif(sum(tp) + sum(fn), 0)::DOUBLE, 4) AS r FROM fm),
 (VALUES ('accuracy'), ('macro_precision'), ('macro_recall'), ('macro_f1'), ('micro_precision'), ('micro_recall'), ('micro_f1')) m(metric)""", *E3)
 def report_tables(spark, sf):
-    diffs = e.item_diffs(*_sides(spark, sf))
-    filings = e.filing_metrics(diffs)
-    return p.report_tables(e.corpus_metrics(filings), filings, diffs, e.failure_pattern_counts(diffs))["headline"]
+    return _report(spark, sf)["headline"]
+
+
+def _report(spark, sf):
+    filings, diffs = QUERIES["filing_metrics"](spark, sf), e.item_diffs(*_sides(spark, sf))
+    return p.report_tables(e.corpus_metrics(filings), filings, diffs, e.failure_pattern_counts(diffs))
+
+
+@query("SELECT l.layer, CASE l.layer WHEN 'extraction' THEN x WHEN 'classification' THEN c ELSE g END AS errors FROM (SELECT sum(extraction_errors)::BIGINT AS x, sum(classification_errors)::BIGINT AS c, sum(generation_errors)::BIGINT AS g FROM fm), (VALUES ('extraction'), ('classification'), ('generation')) l(layer)", *E3)
+def report_layers(spark, sf):
+    return _report(spark, sf)["layers"]
+
+
+@query("SELECT job_id, accuracy, not_auto_percent, is_failed FROM fm WHERE is_failed OR NOT on_target", *E3)
+def report_failed_filings(spark, sf):
+    return _report(spark, sf)["failed_filings"].select("job_id", "accuracy", "not_auto_percent", "is_failed")
+
+
+@query("SELECT job_id, page, n FROM (SELECT job_id, page, count(*) AS n FROM (SELECT job_id, page FROM gt UNION ALL SELECT job_id, page FROM ext) GROUP BY 1, 2) WHERE n > 5", *E1[:3])
+def oversized_pages(spark, sf):
+    return e.oversized_pages(*_sides(spark, sf), most=5)
 
 
 # ---- the whole chain

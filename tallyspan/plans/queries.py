@@ -59,11 +59,11 @@ def _slug(x: str) -> str:
 
 
 ITEMS, JOBS, LOCKED, TAX, ACTIONS, CELLS = (oracle(n) for n in ("fx_line_items", "fx_jobs", "fx_locked", "fx_taxonomy", "fx_actions", "fx_cells"))
-FLAGS = f"""flagged AS (SELECT *, trim(label) = '' OR label = value OR NOT contains(label, ' / ') AS f1,
+FLAGS = f"""flagged AS (SELECT *, trim(label) = '' OR trim(label) = trim(value) OR NOT contains(trim(label), ' / ') AS f1,
   trim(label) = '' OR contains(lower(label), 'merged') OR contains(lower(label), 'ambiguous') AS f2,
-  regexp_matches(label, '{words.FOOTNOTE}') OR regexp_matches(value, '{words.FOOTNOTE}') AS f3 FROM fx_line_items)"""
+  regexp_matches(label, '{words.NOTE_MARK}') OR regexp_matches(value, '{words.NOTE_MARK}') AS f3 FROM fx_line_items)"""
 RAW = """raw AS (SELECT *, greatest(100 - 15 * f1::INT - 35 * f2::INT - 10 * f3::INT, 0) / 100.0::DOUBLE AS raw_score,
-  array_to_string(list_filter([CASE WHEN f1 THEN 'missing_header_hierarchy' END, CASE WHEN f2 THEN 'label_ambiguity' END, CASE WHEN f3 THEN 'footnote_marker_present' END], lambda x: x IS NOT NULL), ',') AS raw_flags FROM flagged)"""
+  array_to_string(list_filter([CASE WHEN f1 THEN 'missing_header_hierarchy' END, CASE WHEN f2 THEN 'label_ambiguity' END, CASE WHEN f3 THEN 'note_marker_present' END], lambda x: x IS NOT NULL), ',') AS raw_flags FROM flagged)"""
 SCORED = f"""scored AS (SELECT *, CASE WHEN is_error THEN 0.0 ELSE raw_score END::DOUBLE AS score,
   CASE WHEN is_error THEN 'manual_required' WHEN raw_score >= 0.95 THEN 'auto_accepted' WHEN raw_score >= 0.65 THEN 'needs_review' ELSE 'manual_required' END AS band,
   CASE WHEN is_error THEN 'extraction_error' ELSE raw_flags END AS flags, CASE WHEN is_error THEN 'extraction_error' ELSE 'ok' END AS status,
@@ -167,8 +167,8 @@ def item_order(spark, sf):
 
 
 @query("""SELECT job_id, record_index, CASE WHEN ok THEN least(a, b) ELSE 0 END AS x0, CASE WHEN ok THEN greatest(a, b) ELSE 0 END AS x1, CASE WHEN ok THEN least(c, d) ELSE 0 END AS y0, CASE WHEN ok THEN greatest(c, d) ELSE 0 END AS y1, NOT ok AS is_error
-FROM (SELECT i.*, s.s_suppkey IS NOT NULL AND s.s_suppkey % 10 <> 0 AS ok, round(greatest(0, least(1000, x0 / (600 + s.s_suppkey % 5) * 1000)), 2) AS a, round(greatest(0, least(1000, x1 / (600 + s.s_suppkey % 5) * 1000)), 2) AS b,
-      round(greatest(0, least(1000, y0 / 800.0 * 1000)), 2) AS c, round(greatest(0, least(1000, y1 / 800.0 * 1000)), 2) AS d FROM fx_line_items i LEFT JOIN supplier s ON s.s_suppkey = i.suppkey)""", ITEMS)
+FROM (SELECT i.*, s.s_suppkey IS NOT NULL AND s.s_suppkey % 10 <> 0 AS ok, round_even(greatest(0, least(1000, x0 / (600 + s.s_suppkey % 5) * 1000)), 2) AS a, round_even(greatest(0, least(1000, x1 / (600 + s.s_suppkey % 5) * 1000)), 2) AS b,
+      round_even(greatest(0, least(1000, y0 / 800.0 * 1000)), 2) AS c, round_even(greatest(0, least(1000, y1 / 800.0 * 1000)), 2) AS d FROM fx_line_items i LEFT JOIN supplier s ON s.s_suppkey = i.suppkey)""", ITEMS)
 def bbox_normalize(spark, sf):
     k = F.col("s_suppkey")
     dims = spark.read.parquet(f"{sf}/supplier.parquet").where(k % 10 != 0).select(k.cast("string").alias("source_file"), F.explode(F.array(*[F.lit(p) for p in (1, 2, 3)])).alias("page"), (600 + k % 5).cast("double").alias("width"), F.lit(800.0).alias("height"))
@@ -300,7 +300,7 @@ EXT = """ext AS (SELECT job_id, page, record_index * 2 AS record_index, CASE WHE
   x0 + CASE WHEN partkey % 5 = 0 THEN 40 ELSE 0 END AS x0, y0, x1 + CASE WHEN partkey % 5 = 0 THEN 40 ELSE 0 END AS x1, y1 FROM fx_line_items WHERE partkey % 11 <> 0
   UNION ALL SELECT job_id, page, record_index * 2 + 1, '1', 'Extra', 'Extra', 900, 900, 960, 915 FROM fx_line_items WHERE partkey % 17 = 0)"""
 CAND = f"""cand0 AS (SELECT *, {_num('gt_value')} AS na, {_num('value')} AS nb, least(gx1, x1) - greatest(gx0, x0) AS w, least(gy1, y1) - greatest(gy0, y0) AS h FROM gt JOIN ext USING (job_id, page)),
-cand1 AS (SELECT *, CASE WHEN w > 0 AND h > 0 THEN round(w * h / ((gx1 - gx0) * (gy1 - gy0) + (x1 - x0) * (y1 - y0) - w * h), 4) ELSE 0 END AS iou,
+cand1 AS (SELECT *, CASE WHEN w > 0 AND h > 0 THEN round_even(w * h / ((gx1 - gx0) * (gy1 - gy0) + (x1 - x0) * (y1 - y0) - w * h), 4) ELSE 0 END AS iou,
   lower(trim(gt_value)) = lower(trim(value)) OR coalesce(abs(na - nb) <= 1e-3, false) AS value_eq, lower(trim(gt_label)) = lower(trim(label)) AS label_eq FROM cand0),
 cand AS (SELECT *, iou * 2 + value_eq::INT * 2 + label_eq::INT AS score FROM cand1 WHERE iou >= 0.5 OR value_eq OR label_eq)"""
 MATCH = """ranked AS (SELECT job_id, page, item_pos, list(record_index ORDER BY score DESC, record_index) AS rs FROM cand GROUP BY ALL),
@@ -315,14 +315,19 @@ diffs AS (SELECT *, CASE WHEN status = 'exact_match' THEN 'none' WHEN status = '
   SELECT job_id, page, item_pos, record_index, status, is_optional, iou, na, nb FROM hit
   UNION ALL SELECT job_id, page, item_pos, NULL, 'missed_item', is_optional, 0, NULL, NULL FROM gt ANTI JOIN match USING (job_id, page, item_pos)
   UNION ALL SELECT job_id, page, NULL, record_index, 'spurious_item', false, 0, NULL, NULL FROM ext ANTI JOIN match USING (job_id, page, record_index)))"""
-METRICS = """fm0 AS (SELECT job_id, count(*) FILTER (status = 'exact_match') AS tp, count(*) FILTER (status = 'spurious_item') AS fp, count(*) FILTER (status = 'missed_item' AND NOT is_optional) AS fn, count(*) FILTER (status <> 'spurious_item') AS gt_total,
+METRICS = """fd AS (SELECT job_id, count(*) FILTER (status = 'exact_match') AS tp, count(*) FILTER (status = 'spurious_item') AS fp, count(*) FILTER (status = 'missed_item' AND NOT is_optional) AS fn, count(*) FILTER (status <> 'spurious_item') AS gt_total,
   count(*) FILTER (status <> 'spurious_item' AND NOT is_optional) AS gt_required, count(*) FILTER (status IN ('value_mismatch', 'localization_error', 'spurious_item') OR (status = 'missed_item' AND NOT is_optional)) AS extraction_errors,
   count(*) FILTER (status = 'classification_mismatch') AS classification_errors FROM diffs GROUP BY 1),
+fs AS (SELECT job_id, count(*) AS extracted, count(*) FILTER (score < 0.95) AS not_auto FROM scored GROUP BY 1),
+fm0 AS (SELECT r.job_id, r.success, r.classification AS cells, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(gt_total, 0) AS gt_total, coalesce(gt_required, 0) AS gt_required, coalesce(extraction_errors, 0) AS extraction_errors,
+  coalesce(classification_errors, 0) AS classification_errors, coalesce(extracted, 0) AS extracted, coalesce(not_auto, 0) AS not_auto, (NOT r.success OR r.classification = 0)::INT AS generation_errors,
+  coalesce(round_even(not_auto * 100 / nullif(extracted, 0)::DOUBLE, 2), 0) AS not_auto_percent FROM fx_runs r LEFT JOIN fd ON fd.job_id = r.job_id LEFT JOIN fs ON fs.job_id = r.job_id),
 fm1 AS (SELECT *, CASE WHEN (CASE WHEN gt_required > 0 THEN gt_required ELSE gt_total END) > 0 THEN round_even(tp * 100 / (CASE WHEN gt_required > 0 THEN gt_required ELSE gt_total END)::DOUBLE, 2) ELSE 100 END AS accuracy,
   coalesce(round_even(tp / nullif(tp + fp, 0)::DOUBLE, 4), 0) AS precision, coalesce(round_even(tp / nullif(tp + fn, 0)::DOUBLE, 4), 0) AS recall FROM fm0),
-fm AS (SELECT *, CASE WHEN precision + recall > 0 THEN round(2 * precision * recall / (precision + recall), 4) ELSE 0 END AS f1 FROM fm1)"""
+fm AS (SELECT * EXCLUDE (success, cells), CASE WHEN precision + recall > 0 THEN round_even(2 * precision * recall / (precision + recall), 4) ELSE 0 END AS f1, not_auto_percent > 15 OR NOT success AS is_failed, accuracy >= 90 AS on_target FROM fm1)"""
+RUNS = oracle("fx_runs")
 E0, E1 = (ITEMS, GT, EXT, CAND), (ITEMS, GT, EXT, CAND, MATCH)
-E2, E3 = (*E1, DIFFS), (*E1, DIFFS, METRICS)
+E2, E3 = (*E1, DIFFS), (*E1, DIFFS, *S[1:], RUNS, METRICS)
 
 
 def _sides(spark, sf):
@@ -340,10 +345,10 @@ def greedy_match(spark, sf):
     return e.greedy_match(e.match_candidates(*_sides(spark, sf)))
 
 
-@query("SELECT status, count(*) AS n FROM hit GROUP BY 1", *E2)
+@query("SELECT job_id, page, item_pos, record_index, status FROM hit", *E2)
 def match_status(spark, sf):
     cands = e.match_candidates(*_sides(spark, sf))
-    return e.match_status(e.greedy_match(cands), cands).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return e.match_status(e.greedy_match(cands), cands).select("job_id", "page", "item_pos", "record_index", "status")
 
 
 @query("SELECT job_id, page, item_pos, is_optional FROM gt ANTI JOIN match USING (job_id, page, item_pos)", *E1)
@@ -363,17 +368,21 @@ def item_diffs(spark, sf):
     return e.item_diffs(*_sides(spark, sf)).select("job_id", "page", "item_pos", "record_index", "status", "pattern", "is_optional", "iou")
 
 
+def _runs(spark, sf):
+    return fixture(spark, sf, "fx_runs").select("job_id", "success", F.col("classification").alias("cells"))
+
+
 @query("SELECT * FROM fm", *E3)
 def filing_metrics(spark, sf):
-    return e.filing_metrics(e.item_diffs(*_sides(spark, sf)))
+    return e.filing_metrics(e.item_diffs(*_sides(spark, sf)), _runs(spark, sf), scored(spark, sf).select("job_id", "score"))
 
 
-@query("""SELECT *, CASE WHEN micro_precision + micro_recall > 0 THEN round(2 * micro_precision * micro_recall / (micro_precision + micro_recall), 4) ELSE 0 END AS micro_f1 FROM (
-SELECT *, round_even(tp / nullif(tp + fp, 0)::DOUBLE, 4) AS micro_precision, round_even(tp / nullif(tp + fn, 0)::DOUBLE, 4) AS micro_recall, round_even(tp * 100 / gt_total::DOUBLE, 2) AS accuracy FROM (
-SELECT count(*) AS filings, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(gt_total)::BIGINT AS gt_total, sum(extraction_errors)::BIGINT AS extraction_errors, sum(classification_errors)::BIGINT AS classification_errors,
-  round(avg(precision), 4) AS macro_precision, round(avg(recall), 4) AS macro_recall, round(avg(f1), 4) AS macro_f1 FROM fm))""", *E3)
+@query("""SELECT *, CASE WHEN micro_precision + micro_recall > 0 THEN round_even(2 * micro_precision * micro_recall / (micro_precision + micro_recall), 4) ELSE 0 END AS micro_f1, accuracy >= 90 AS on_target FROM (
+SELECT *, round_even(tp / nullif(tp + fp, 0)::DOUBLE, 4) AS micro_precision, round_even(tp / nullif(tp + fn, 0)::DOUBLE, 4) AS micro_recall, round_even(tp * 100 / gt_total::DOUBLE, 2) AS accuracy, filings - failed_filings AS successful_filings, round_even(not_auto * 100 / extracted::DOUBLE, 2) AS review_percent FROM (
+SELECT count(*) AS filings, count(*) FILTER (is_failed) AS failed_filings, sum(extracted)::BIGINT AS extracted, sum(not_auto)::BIGINT AS not_auto, sum(generation_errors)::BIGINT AS generation_errors, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(gt_total)::BIGINT AS gt_total, sum(extraction_errors)::BIGINT AS extraction_errors, sum(classification_errors)::BIGINT AS classification_errors,
+  round_even(avg(precision), 4) AS macro_precision, round_even(avg(recall), 4) AS macro_recall, round_even(avg(f1), 4) AS macro_f1 FROM fm))""", *E3)
 def corpus_metrics(spark, sf):
-    return e.corpus_metrics(e.filing_metrics(e.item_diffs(*_sides(spark, sf))))
+    return e.corpus_metrics(filing_metrics(spark, sf))
 
 
 @query("SELECT k.pattern, count(d.pattern) AS n FROM (VALUES " + ", ".join(f"('{p}')" for p in words.FAILURE_PATTERNS) + ") k(pattern) LEFT JOIN diffs d ON d.pattern = k.pattern GROUP BY 1", *E2)
@@ -440,23 +449,41 @@ def label_change_rows(spark, sf):
 
 
 # ---- reconciliation
-INPUTS = """inputs AS (SELECT *, coalesce(nullif(trim(normalized_label), ''), nullif(trim(label), '')) AS leaf_label, CASE WHEN x1 > 1000 OR y1 > 1000 THEN 'box is incomplete or outside the page' END AS reason
-  FROM norm WHERE (band = 'auto_accepted' OR taxonomy_status = 'matched') AND coalesce(nullif(trim(normalized_label), ''), nullif(trim(label), '')) IS NOT NULL)"""
+# labels that differ in case alone, and places that break each rule
+INPUTS = """inputs AS (SELECT *, coalesce(nullif(trim(normalized_label), ''), nullif(trim(label), '')) AS leaf_label, CASE WHEN trim(source_file) = '' THEN 'source file is blank' WHEN page < 1 THEN 'page is below 1'
+  WHEN x0 IS NULL OR x1 > 1000 OR y1 > 1000 OR x1 < 0 OR y1 < 0 THEN 'box is incomplete or outside the page' WHEN x0 > x1 THEN 'box is reversed in x' WHEN y0 > y1 THEN 'box is reversed in y' END AS reason FROM spoiled
+  WHERE (band = 'auto_accepted' OR taxonomy_status = 'matched') AND coalesce(nullif(trim(normalized_label), ''), nullif(trim(label), '')) IS NOT NULL)"""
+SPOILED = """spoiled AS (SELECT * REPLACE (CASE WHEN record_index % 5 = 4 THEN upper(normalized_label) ELSE normalized_label END AS normalized_label, CASE WHEN partkey % 53 = 2 THEN 0 ELSE page END AS page, CASE WHEN partkey % 59 = 3 THEN NULL ELSE x0 END AS x0, CASE WHEN partkey % 61 = 4 AND partkey % 59 <> 3 THEN x0 - 5 ELSE x1 END AS x1,
+  CASE WHEN partkey % 67 = 5 THEN y0 - 5 ELSE y1 END AS y1), CASE WHEN partkey % 47 = 1 THEN ' ' ELSE job_id || '.pdf' END AS source_file FROM norm)"""
 NODES = f"""rows_ AS (SELECT *, count(*) OVER (PARTITION BY job_id, leaf_label) AS n, min(record_index) OVER (PARTITION BY job_id, leaf_label) AS first FROM inputs WHERE reason IS NULL),
-nodes AS (SELECT job_id, 'leaf_' || record_index || '_' || {_slug('leaf_label')} AS node_id, CASE WHEN n >= 2 THEN 'agg_' || {_slug('leaf_label')} ELSE 'root_total' END AS parent_id, 'leaf' AS kind, CASE WHEN n >= 2 THEN leaf_label || ' (p. ' || page || ')' ELSE leaf_label END AS label, record_index AS seq, value, first FROM rows_
-  UNION ALL SELECT job_id, 'agg_' || {_slug('leaf_label')}, 'root_total', 'aggregate', 'Total ' || leaf_label, record_index, NULL, first FROM rows_ WHERE n >= 2 AND record_index = first
-  UNION ALL SELECT job_id, 'root_total', NULL, 'root', 'Total', min(record_index), NULL, min(record_index) FROM rows_ GROUP BY job_id)"""
-MCELLS = """up AS (SELECT job_id, node_id, kind, value AS content, 'B' || row_number() OVER (PARTITION BY job_id ORDER BY seq) AS coord FROM nodes WHERE kind = 'leaf'),
+nodes AS (SELECT job_id, 'leaf_' || record_index || '_' || {_slug('leaf_label')} AS node_id, CASE WHEN n >= 2 THEN 'agg_' || {_slug('leaf_label')} ELSE 'root_adjusted_ebitda' END AS parent_id, 'leaf' AS kind, CASE WHEN n >= 2 THEN leaf_label || ' (p. ' || page || ')' ELSE leaf_label END AS label, leaf_label AS group_label, record_index AS seq, value, first FROM rows_
+  UNION ALL SELECT job_id, 'agg_' || {_slug('leaf_label')}, 'root_adjusted_ebitda', 'aggregate', 'Total ' || leaf_label, leaf_label, record_index, NULL, first FROM rows_ WHERE n >= 2 AND record_index = first
+  UNION ALL SELECT job_id, 'root_adjusted_ebitda', NULL, 'root', 'Adjusted EBITDA', NULL, min(record_index), NULL, min(record_index) FROM rows_ GROUP BY job_id)"""
+MCELLS = """up AS (SELECT job_id, node_id, kind, group_label, value AS content, 'B' || row_number() OVER (PARTITION BY job_id ORDER BY seq) AS coord FROM nodes WHERE kind = 'leaf'),
 placed AS (SELECT *, 'B' || (row_number() OVER (PARTITION BY job_id ORDER BY (kind = 'root')::INT, first, CASE kind WHEN 'leaf' THEN 0 WHEN 'aggregate' THEN 1 ELSE 2 END, seq) + 2) AS coord FROM nodes),
-kids AS (SELECT job_id, parent_id, '=' || string_agg(coord, '+' ORDER BY first, seq, coord) AS f FROM placed WHERE parent_id IS NOT NULL GROUP BY 1, 2),
-cells_ AS (SELECT job_id, 'Source_Inputs' AS sheet, coord, node_id, kind, content FROM up
-  UNION ALL SELECT p.job_id, 'Reconciliation', p.coord, p.node_id, p.kind, CASE WHEN p.kind = 'leaf' THEN '=Source_Inputs!' || u.coord ELSE k.f END FROM placed p LEFT JOIN kids k ON k.job_id = p.job_id AND k.parent_id = p.node_id LEFT JOIN up u ON u.job_id = p.job_id AND u.node_id = p.node_id)"""
-R0, R1, R2 = (*N, INPUTS), (*N, INPUTS, NODES), (*N, INPUTS, NODES, MCELLS)
+kids AS (SELECT job_id, CASE WHEN starts_with(parent_id, 'agg_') THEN group_label END AS g, '=' || string_agg(coord, '+' ORDER BY first, seq) AS f FROM placed WHERE parent_id IS NOT NULL GROUP BY 1, 2),
+cells_ AS (SELECT job_id, 'Source_Inputs' AS sheet, coord, node_id, kind, group_label, content FROM up
+  UNION ALL SELECT p.job_id, 'Reconciliation', p.coord, p.node_id, p.kind, p.group_label, CASE WHEN p.kind = 'leaf' THEN '=Source_Inputs!' || u.coord ELSE k.f END FROM placed p LEFT JOIN kids k ON k.job_id = p.job_id AND p.kind <> 'leaf' AND k.g IS NOT DISTINCT FROM p.group_label LEFT JOIN up u ON u.job_id = p.job_id AND u.node_id = p.node_id)"""
+R0, R1, R2 = (*N, SPOILED, INPUTS), (*N, SPOILED, INPUTS, NODES), (*N, SPOILED, INPUTS, NODES, MCELLS)
 
 
 def _inputs(spark, sf):
-    rows = normalized(spark, sf).withColumns({"is_confirmed": F.col("taxonomy_status") == "matched", "source_file": F.concat("job_id", F.lit(".pdf"))})
-    return r.formula_inputs(rows)
+    return r.formula_inputs(_confirmed(spark, sf))
+
+
+def _confirmed(spark, sf):
+    k, c_ = F.col("partkey"), F.col
+    return normalized(spark, sf).withColumns(
+        {
+            "is_confirmed": c_("taxonomy_status") == "matched",
+            "source_file": F.when(k % 47 == 1, " ").otherwise(F.concat("job_id", F.lit(".pdf"))),
+            "normalized_label": F.when(c_("record_index") % 5 == 4, F.upper("normalized_label")).otherwise(c_("normalized_label")),
+            "page": F.when(k % 53 == 2, 0).otherwise(c_("page")),
+            "x0": F.when(k % 59 != 3, c_("x0")),
+            "x1": F.when((k % 61 == 4) & (k % 59 != 3), c_("x0") - 5).otherwise(c_("x1")),
+            "y1": F.when(k % 67 == 5, c_("y0") - 5).otherwise(c_("y1")),
+        }
+    )
 
 
 @query("SELECT job_id, record_index, leaf_label, reason FROM inputs", *R0)
@@ -464,14 +491,25 @@ def formula_inputs(spark, sf):
     return _inputs(spark, sf).select("job_id", "record_index", "leaf_label", "reason")
 
 
-@query("SELECT reason, count(*) AS n FROM inputs WHERE reason IS NOT NULL GROUP BY 1", *R0)
+@query("SELECT job_id, record_index, reason FROM inputs WHERE reason IS NOT NULL", *R0)
 def formula_input_errors(spark, sf):
-    return _inputs(spark, sf).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return _inputs(spark, sf).where("reason is not null").select("job_id", "record_index", "reason")
+
+
+@query("""SELECT job_id, count(*) AS received, count(*) FILTER (band = 'auto_accepted' OR taxonomy_status = 'matched') AS confirmed, count(*) FILTER (NOT (band = 'auto_accepted' OR taxonomy_status = 'matched')) AS excluded FROM norm GROUP BY 1""", *N)
+def formula_input_counts(spark, sf):
+    return r.formula_input_counts(_confirmed(spark, sf))
 
 
-@query("SELECT job_id, node_id, parent_id, kind, label, seq FROM nodes", *R1)
+@query("SELECT job_id, node_id, parent_id, kind, label, group_label, seq FROM nodes", *R1)
 def formula_nodes(spark, sf):
-    return r.formula_nodes(_inputs(spark, sf)).select("job_id", "node_id", "parent_id", "kind", "label", "seq")
+    return r.formula_nodes(_inputs(spark, sf)).select("job_id", "node_id", "parent_id", "kind", "label", "group_label", "seq")
+
+
+@query("""SELECT job_id, parent_id, CASE WHEN starts_with(parent_id, 'agg_') THEN group_label END AS group_label, node_id AS child_id, '+' AS operator,
+  cast(row_number() OVER (PARTITION BY job_id, parent_id, CASE WHEN starts_with(parent_id, 'agg_') THEN group_label END ORDER BY first, seq) - 1 AS int) AS position FROM nodes WHERE parent_id IS NOT NULL""", *R1)
+def formula_edges(spark, sf):
+    return r.formula_edges(r.formula_nodes(_inputs(spark, sf)))
 
 
 @query(f"SELECT job_id, leaf_label AS label, coalesce(sum({_num('value')}::DECIMAL(28,4))::DOUBLE, 0) AS total, count(*) AS n, count(*) FILTER ({_num('value')} IS NULL) AS unparsed FROM inputs WHERE reason IS NULL GROUP BY ROLLUP (job_id, leaf_label) HAVING job_id IS NOT NULL", *R0)
@@ -484,7 +522,7 @@ def model_cells(spark, sf):
     return r.model_cells(r.formula_nodes(_inputs(spark, sf)))
 
 
-@query("""SELECT c.job_id, c.sheet, c.coord, c.node_id, c.kind <> 'leaf' OR c.sheet = 'Reconciliation' AS is_formula, c.content AS body_value, CASE WHEN c.kind = 'leaf' THEN c.job_id || '.pdf' ELSE 'model_derived' END AS target_source,
+@query("""SELECT c.job_id, c.sheet, c.coord, c.node_id, c.kind <> 'leaf' OR c.sheet = 'Reconciliation' AS is_formula, c.content AS body_value, CASE WHEN c.kind = 'leaf' THEN i.source_file ELSE 'model_derived' END AS target_source,
   CASE WHEN c.kind = 'leaf' THEN format('page={}&xywh={:.2f},{:.2f},{:.2f},{:.2f}', i.page, i.x0, i.y0, i.x1 - i.x0, i.y1 - i.y0) END AS selector
 FROM cells_ c LEFT JOIN rows_ i ON i.job_id = c.job_id AND 'leaf_' || i.record_index || '_' || """ + _slug("i.leaf_label") + " = c.node_id", *R2)
 def provenance_build(spark, sf):
@@ -493,12 +531,20 @@ def provenance_build(spark, sf):
     return out.select("job_id", "sheet", "coord", "node_id", "is_formula", F.col("body.value").alias("body_value"), F.col("target.source").alias("target_source"), F.col("target.selector.value").alias("selector"))
 
 
-@query("""SELECT c.job_id, c.sheet, c.coord, c.node_id AS leaf_id FROM cells_ c WHERE kind = 'leaf' UNION ALL SELECT c.job_id, c.sheet, c.coord, n.node_id FROM cells_ c JOIN nodes n ON n.job_id = c.job_id AND n.kind = 'leaf' AND (c.kind = 'root' OR n.parent_id = c.node_id) WHERE c.kind <> 'leaf'""", *R2)
+@query("""SELECT c.job_id, c.sheet, c.coord, c.node_id AS leaf_id FROM cells_ c WHERE kind = 'leaf' UNION ALL SELECT c.job_id, c.sheet, c.coord, n.node_id FROM cells_ c JOIN nodes n ON n.job_id = c.job_id AND n.kind = 'leaf' AND (c.kind = 'root' OR n.group_label = c.group_label) WHERE c.kind <> 'leaf'""", *R2)
 def source_chain(spark, sf):
     nodes = r.formula_nodes(_inputs(spark, sf))
     return r.source_chain(r.model_cells(nodes), nodes)
 
 
+@query("""SELECT q.job_id, q.sheet, q.coord, c.job_id IS NOT NULL AS is_found, n.node_id AS leaf_id FROM (SELECT job_id, 'Reconciliation' AS sheet, unnest(['B5', 'B900']) AS coord FROM fx_jobs) q
+LEFT JOIN cells_ c ON c.job_id = q.job_id AND c.sheet = q.sheet AND c.coord = q.coord LEFT JOIN nodes n ON n.job_id = c.job_id AND n.kind = 'leaf' AND (c.kind = 'root' OR (c.kind = 'aggregate' AND n.group_label = c.group_label) OR (c.kind = 'leaf' AND n.node_id = c.node_id))""", *R2, JOBS)
+def source_chain_of(spark, sf):
+    nodes = r.formula_nodes(_inputs(spark, sf))
+    refs = fixture(spark, sf, "fx_jobs").select("job_id", F.lit(" Reconciliation ").alias("sheet"), F.explode(F.array(F.lit("b5"), F.lit("B900 "))).alias("coord"))
+    return r.source_chain_of(refs, r.model_cells(nodes), nodes)
+
+
 # ---- review
 REVIEW = """review AS (SELECT job_id || '_' || record_index AS id, *, CASE WHEN status = 'extraction_error' THEN 'extraction_error' WHEN taxonomy_status = 'pending' THEN 'pending_taxonomy' ELSE band END AS st FROM norm WHERE is_candidate)"""
 

@@ -20,7 +20,7 @@ def test_chain_states(spark):
     }
     all_cells = chain.select("job_id", "sheet", "coord").distinct().union(spark.createDataFrame([("c", "S", "B1")], "job_id string, sheet string, coord string"))
     got = {(r.job_id, r.coord): (r.state, r.n, r.locked) for r in audit.chain_rollup(all_cells, rows).collect()}
-    assert got == {("a", "B1"): ("verified", 1, 1), ("a", "B2"): ("missing", 2, 1), ("a", "B3"): ("flagged", 1, 0), ("b", "B1"): ("in_review", 1, 0), ("c", "B1"): ("in_review", 0, 0)}
+    assert got == {("a", "B1"): ("all_locked", 1, 1), ("a", "B2"): ("has_missing", 2, 1), ("a", "B3"): ("contains_flagged", 1, 0), ("b", "B1"): ("in_review", 1, 0), ("c", "B1"): ("in_review", 0, 0)}
     assert audit.chain_rollup(all_cells.limit(0), rows).count() == 0
 
 
@@ -69,18 +69,20 @@ def test_runs_and_gate(spark):
     assert (m.runs, m.succeeded, m.total_seconds, m.mean_seconds, m.within_budget) == (2, 1, 304.0, 152.0, True)
     assert [r.failed_at for r in report.failing_stage(runs).orderBy("job_id").collect()] == [None, "classification"]
     assert report.runtime_metrics(runs.limit(0)).first().within_budget
-    c90 = spark.createDataFrame([(90.0,)], "accuracy double")
+    c90 = spark.createDataFrame([(90.0, 0)], "accuracy double, failed_filings int")
     assert tuple(report.strict_gate(c90, runs).first()) == (False, False)
     assert tuple(report.strict_gate(c90, runs.where("success")).first()) == (True, True)
-    assert tuple(report.strict_gate(c90.select(F.lit(89.99).alias("accuracy")), runs.where("success")).first()) == (True, False)
+    assert tuple(report.strict_gate(c90.withColumn("failed_filings", F.lit(1)), runs.where("success")).first()) == (True, False)
+    assert tuple(report.strict_gate(c90.withColumn("accuracy", F.lit(89.99)), runs.where("success")).first()) == (True, False)
 
 
 def test_corpus_rules(spark):
     filings = spark.createDataFrame([("a", 2, 2), ("b", 1, 3)], "job_id string, page_count int, actual_pages int")
-    rows = spark.createDataFrame([("a", 2, "(1)"), ("a", 3, "x"), ("b", 1, None)], "job_id string, page int, value string")
+    rows = spark.createDataFrame([("a", 2, "(1)", 5.0), ("a", 3, "x", 5.0), ("b", 1, None, 5.0), ("b", 1, "z", 5.0), ("b", 1, "1", 0.0)], "job_id string, page int, value string, x1 double")
+    rows = rows.selectExpr("*", "'l' as label", "'n' as normalized_label", "0.0 as x0", "0.0 as y0", "1.0 as y1")
     manifest = spark.createDataFrame([("a",), ("gone",)], "job_id string")
     got = {(r.job_id, r.rule): r.n for r in report.corpus_validation(rows, filings, manifest).collect()}
-    assert got == {("a", "page_beyond_end"): 1, ("a", "value_not_numeric"): 1, ("b", "value_not_numeric"): 1, ("b", "page_count_differs"): 1, ("gone", "folder_missing"): 1, (None, "too_few_filings"): 1}
+    assert got == {("a", "page_beyond_end"): 1, ("a", "value_not_numeric"): 1, ("b", "value_not_numeric"): 1, ("b", "schema_breach"): 2, ("b", "page_count_differs"): 1, ("gone", "folder_missing"): 1, (None, "too_few_filings"): 1}
     known, unknown = report.filing_filter(rows, manifest)
     assert known.count() == 2 and [r.job_id for r in unknown.collect()] == ["gone"]
 

@@ -29,7 +29,13 @@ def test_published_corpus_figures(spark):
     for job, tp, fp in rows:
         diffs += [(job, "exact_match")] * tp + [(job, "spurious_item")] * fp + [(job, "classification_mismatch")] * (gt[job] - tp)
     df = spark.createDataFrame(diffs, "job_id string, status string").withColumn("is_optional", F.lit(False))
-    m = evaluate.corpus_metrics(evaluate.filing_metrics(df)).first()
+    runs = spark.createDataFrame([(j, True, 3) for j, *_ in rows] + [("broken", False, 0)], "job_id string, success boolean, cells int")
+    scores = spark.createDataFrame([("acme", 0.95)] * 17 + [("acme", 0.94)] * 3 + [("wayne", 0.5), ("other", 0.1)], "job_id string, score double")
+    f = {r.job_id: r for r in evaluate.filing_metrics(df, runs, scores).collect()}
+    assert (f["acme"].not_auto_percent, f["acme"].is_failed, f["wayne"].is_failed, f["broken"].is_failed) == (15.0, False, True, True)
+    assert (f["broken"].generation_errors, f["broken"].accuracy, f["acme"].generation_errors, "other" in f) == (1, 100.0, 0, False)
+    m = evaluate.corpus_metrics(evaluate.filing_metrics(df, runs.where("success"), scores)).first()
+    assert (m.filings, m.successful_filings, m.failed_filings, m.not_auto, m.review_percent, m.on_target) == (5, 4, 1, 4, 19.05, False)
     assert (m.macro_precision, m.macro_recall, m.macro_f1) == (0.1333, 0.2, 0.16)
     assert (m.micro_precision, m.micro_recall, m.micro_f1, m.accuracy) == (0.1026, 1.0, 0.1861, 12.9)
     assert m.classification_errors == 27 and m.extraction_errors == 35
@@ -87,6 +93,11 @@ def test_tree_and_total(spark):
     assert nodes.where("kind = 'aggregate'").count() == 2 and nodes.count() == 7
     root = {r.sheet: r.content for r in reconcile.model_cells(nodes).where("kind = 'root'").collect()}
     assert root == {"Reconciliation": "=B5+B8"}
+    clash = inputs.withColumn("leaf_label", F.when(F.col("record_index") < 2, "Net income").otherwise("Net Income"))
+    cells = {r.coord: r.content for r in reconcile.model_cells(reconcile.formula_nodes(clash)).where("sheet = 'Reconciliation'").collect()}
+    assert cells["B5"] == "=B3+B4" and cells["B8"] == "=B6+B7" and cells["B9"] == "=B5+B8"
+    edges = reconcile.formula_edges(reconcile.formula_nodes(clash)).where("parent_id = 'agg_net_income'").groupBy("group_label").count().collect()
+    assert {r.group_label: r["count"] for r in edges} == {"Net income": 2, "Net Income": 2}
 
 
 def test_taxonomy(spark):
