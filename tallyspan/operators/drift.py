@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspan.functions.exprs import is_blank, strip
+
 #: What one history belongs to; pass ("entity", "metric") where an entity has several metrics.
 KEYS = ("entity",)
 
@@ -17,7 +19,7 @@ def _order(keys: Sequence[str]):
 
 def locked_labels(locked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(*keys, eval_seq, labels): sorted distinct labels of each evaluated filing."""
-    rows = locked.where(F.trim("normalized_label") != "")
+    rows = locked.where(~is_blank(F.col("normalized_label")))
     return rows.groupBy(*keys, "eval_seq").agg(F.array_sort(F.collect_set("normalized_label")).alias("labels"))
 
 
@@ -74,8 +76,14 @@ def drift_export(compared: DataFrame, entity: str | None = None, metric: str | N
     return drift_nodes(compared, keys).select(*keys, "eval_seq", "node", kind.alias("kind"), "labels", "added", "removed")
 
 
-def drift_scope(jobs: DataFrame) -> DataFrame:
-    """(job_id, entity, year) read from the file name."""
+def drift_scope(jobs: DataFrame, given: DataFrame | None = None, metric: str = "Adjusted EBITDA") -> DataFrame:
+    """(job_id, entity, year) read from the file name; with given (job_id, entity, metric, year) those go first where they are
+    not null, and metric is the fourth column."""
     stem = F.regexp_replace("filename", r"\.[^.]*$", "")
     year = F.regexp_extract("filename", r"((?:19|20)\d{2})", 1)
-    return jobs.select("job_id", F.split_part(stem, F.lit("_"), F.lit(1)).alias("entity"), F.coalesce(year.try_cast("int"), F.lit(2024)).alias("year"))
+    out = jobs.select("job_id", F.split_part(stem, F.lit("_"), F.lit(1)).alias("entity"), F.coalesce(year.try_cast("int"), F.lit(2024)).alias("year"))
+    if given is None:
+        return out
+    named = given.select("job_id", F.nullif(strip(F.col("entity")), F.lit("")).alias("_e"), F.nullif(strip(F.col("metric")), F.lit("")).alias("_m"), F.col("year").alias("_y"))
+    out = out.join(named, "job_id", "left")
+    return out.select("job_id", F.coalesce("_e", "entity").alias("entity"), F.coalesce("_y", "year").alias("year"), F.coalesce("_m", F.lit(metric)).alias("metric"))

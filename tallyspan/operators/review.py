@@ -16,7 +16,30 @@ def review_items_init(scored: DataFrame) -> DataFrame:
     return scored.where("is_candidate").select(ident.alias("id"), "job_id", "record_index", "value", "label", "page", "score", "band", "table_name", "normalized_label", "taxonomy_status", "x0", "y0", "x1", "y1", "is_candidate", status.alias("status"))
 
 
-def review_action_replay(items: DataFrame, actions: DataFrame) -> DataFrame:
+def review_sources(scored: DataFrame, classified: DataFrame, saved: DataFrame) -> DataFrame:
+    """Review items of each job from the best source that has the job: saved items, else classified records, else scored ones.
+
+    scored and classified are records; scored ones have neither a normalized label nor a taxonomy status.
+    """
+    none = F.lit(None).cast("string")
+    plain = scored.withColumns({"normalized_label": none, "taxonomy_status": none})
+    from_classified = review_items_init(classified.join(saved.select("job_id").distinct(), "job_id", "left_anti"))
+    taken = saved.select("job_id").union(classified.select("job_id")).distinct()
+    from_scored = review_items_init(plain.join(taken, "job_id", "left_anti"))
+    mark = lambda df, name: df.select(*from_scored.columns, F.lit(name).alias("source"))
+    return mark(saved, "saved").unionByName(mark(from_classified, "classified")).unionByName(mark(from_scored, "scored"))
+
+
+#: Actions of an item that a fold takes; longer logs go to oversized_logs().
+MOST_ACTIONS = 10_000
+
+
+def oversized_logs(actions: DataFrame, most: int = MOST_ACTIONS) -> DataFrame:
+    """(item_id, n): items with more actions than review_action_replay() takes; it leaves them as they were."""
+    return actions.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+
+
+def review_action_replay(items: DataFrame, actions: DataFrame, most: int = MOST_ACTIONS) -> DataFrame:
     """Each item after its actions, folded in order of seq.
 
     items (item_id, status, value, label, normalized_label, band, taxonomy_status); actions (item_id,
@@ -27,7 +50,9 @@ def review_action_replay(items: DataFrame, actions: DataFrame) -> DataFrame:
     A state machine in a higher-order function: items are independent, so the fold is parallel over them.
     """
     fields = ("seq", "action", "new_value", "new_label", "add_to_taxonomy")
-    log = actions.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("log"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("item_id"))
+    taken = actions.withColumn("_n", size).where(F.col("_n") <= most)
+    log = taken.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("log"))
     out = items.join(log, "item_id", "left")
     pending_label = lambda s: F.coalesce(s["taxonomy"] == "pending", F.lit(False))
     by_band = lambda s: F.when(s["band"].isin("auto_accepted", "needs_review"), s["band"]).otherwise("manual_required")
@@ -120,6 +145,12 @@ def review_flagged_view(items: DataFrame) -> DataFrame:
     return items.where(F.col("status").isin("needs_review", "manual_required", "extraction_error", "pending_taxonomy", "flagged") | (F.col("score") < 0.95))
 
 
+def review_counts(items: DataFrame) -> DataFrame:
+    """(job_id, total, locked, flagged): flagged are those of review_flagged_view()."""
+    seen = F.col("status").isin("needs_review", "manual_required", "extraction_error", "pending_taxonomy", "flagged") | (F.col("score") < 0.95)
+    return items.groupBy("job_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "locked").alias("locked"), F.count_if(F.coalesce(seen, F.lit(False))).alias("flagged"))
+
+
 def table_runs(items: DataFrame) -> DataFrame:
     """(job_id, run, table_name, first_index, n): stretches of one table name in item order."""
     w = Window.partitionBy("job_id").orderBy("record_index")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspan.functions import words
-from tallyspan.functions.exprs import canonical_label, contains_any, is_blank, strip
+from tallyspan.functions.exprs import canonical_label, contains_any, is_blank, iso_utc, strip
 
 
 def classification_candidates(scored: DataFrame, candidates_only: bool = True) -> DataFrame:
@@ -23,9 +25,55 @@ def dictionary_classifier(labels: DataFrame) -> DataFrame:
     return labels.withColumns({"class": F.coalesce(hit, F.col("label")), "confidence": F.lit(0.98)})
 
 
+ANSWER = "label string, confidence double"
+
+
+def batch_classifier(answer: Callable) -> Callable[[Column], Column]:
+    """A classifier for classify() from a function of a batch: it gets a pandas Series of labels and returns a frame of
+    label and confidence, or raises. A model is loaded once a task, not once a batch; values, pages and
+    boxes never reach it. A batch that raises gives null answers, which classify() counts as errors."""
+    import pandas as pd
+
+    def run(labels):
+        for batch in labels:
+            try:
+                out = answer(batch)
+                yield pd.DataFrame({"label": list(out["label"]), "confidence": list(out["confidence"])})
+            except (ValueError, TypeError, RuntimeError):
+                yield pd.DataFrame({"label": [None] * len(batch), "confidence": [None] * len(batch)}).astype({"label": object, "confidence": float})
+
+    run.__annotations__ = {"labels": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, ANSWER)
+
+
+def dictionary_answer(label: Column) -> Column:
+    """The dictionary as a classifier for classify(), in built-in expressions."""
+    low, hit = F.lower(strip(label)), F.lit(None).cast("string")
+    for key, name in reversed(words.DICTIONARY):
+        hit = F.when(low.contains(key), name).otherwise(hit)
+    return F.struct(F.coalesce(hit, label).alias("label"), F.lit(0.98).alias("confidence"))
+
+
+def classify(items: DataFrame, classifier: Callable[[Column], Column], most: int = 2000) -> DataFrame:
+    """(job_id, record_index, label, resp_label, resp_confidence, is_error): any classifier's answers to items.
+
+    The classifier is a function of a column that gives (label, confidence), built in or from batch_classifier(). It sees
+    each distinct label once and the label alone, cut at most characters. An answer without a label or with a
+    confidence beyond 0 to 1 is an error.
+    """
+    asked = items.select(_payload(most).alias("_asked")).distinct()
+    got = asked.withColumn("_a", classifier(F.col("_asked")))
+    out = items.select("job_id", "record_index", "label", _payload(most).alias("_asked")).join(got, "_asked", "left")
+    ok = ~is_blank(F.col("_a.label")) & F.coalesce(F.col("_a.confidence").between(0, 1), F.lit(False))
+    return out.select("job_id", "record_index", "label", F.when(ok, F.col("_a.label")).alias("resp_label"), F.when(ok, F.col("_a.confidence")).alias("resp_confidence"), (~ok).alias("is_error"))
+
+
+def _payload(most: int) -> Column:
+    return F.when(F.length("label") > most, F.concat(F.substring("label", 1, most), F.lit(" [TRUNCATED]"))).otherwise(F.col("label"))
+
+
 def classifier_payload(items: DataFrame, most: int = 2000) -> DataFrame:
-    cut = F.concat(F.substring("label", 1, most), F.lit(" [TRUNCATED]"))
-    return items.select("job_id", "record_index", F.when(F.length("label") > most, cut).otherwise(F.col("label")).alias("label"))
+    return items.select("job_id", "record_index", _payload(most).alias("label"))
 
 
 def classifier_response_check(raw: DataFrame) -> DataFrame:
@@ -44,6 +92,52 @@ def classifier_responses(items: DataFrame) -> DataFrame:
     return items.select("job_id", "record_index", label.alias("resp_label"), F.when(k != 3, 0.9).alias("resp_confidence"), (k == 3).alias("is_error"))
 
 
+def seed_taxonomy(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(words.SEED_TAXONOMY)), "position int, entry string")
+
+
+def taxonomy_scan(spark: SparkSession, path: str | None) -> DataFrame:
+    """(position, entry) of a JSON list of texts; the seed where there is no file or it holds anything else."""
+    from pyspark.errors import AnalysisException
+
+    if path is None:
+        return seed_taxonomy(spark)
+    try:
+        lines = spark.read.text(path, wholetext=True)
+    except AnalysisException:  # the path does not exist
+        return seed_taxonomy(spark)
+    v = F.try_parse_json("value")
+    # an array of anything else than texts does not come back the same from its texts
+    parts = F.try_variant_get(v, "$", "array<variant>")
+    plain = F.coalesce(F.schema_of_variant(v).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+    rows = lines.where(plain & parts.isNotNull()).select(F.posexplode(F.try_variant_get(v, "$", "array<string>")).alias("position", "entry"))
+    valid = lines.agg(F.coalesce(F.bool_or(plain), F.lit(False)).alias("ok"))
+    seed = seed_taxonomy(spark).join(F.broadcast(valid.where("not ok")))  # one row or none
+    return rows.union(seed.select("position", "entry"))
+
+
+def classification_fallback(answered: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
+    """answered (…, label, resp_label, resp_confidence, is_error): an error whose raw label has the canonical form of an entry
+    takes that entry with confidence 0.95 and is none any more. The entries are the seed's where none are given."""
+    entries = seed_taxonomy(answered.sparkSession) if taxonomy is None else taxonomy
+    out = canonical_match(answered, entries, "label", "_fallback")
+    saved = F.col("is_error") & F.col("_fallback").isNotNull()
+    changed = {
+        "resp_label": F.when(saved, F.col("_fallback")).otherwise(F.col("resp_label")),
+        "resp_confidence": F.when(saved, 0.95).otherwise(F.col("resp_confidence")),
+        "is_error": F.col("is_error") & ~saved,
+    }
+    return out.withColumns(changed).drop("_fallback")
+
+
+def classification_counts(scored: DataFrame, answered: DataFrame) -> DataFrame:
+    """(job_id, dispatched, success, errors, skipped) by job: what was asked, and the records never sent."""
+    records = scored.groupBy("job_id").agg(F.count(F.lit(1)).alias("records"))
+    per = answered.groupBy("job_id").agg(F.count(F.lit(1)).alias("dispatched"), F.count_if(~F.col("is_error")).alias("success"), F.count_if("is_error").alias("errors"))
+    out = records.join(per, "job_id", "left").fillna(0, ["dispatched", "success", "errors"])
+    return out.select("job_id", "dispatched", "success", "errors", (F.col("records") - F.col("dispatched")).alias("skipped"))
+
+
 def by_canonical(taxonomy: DataFrame) -> DataFrame:
     """(canon, canon_entry): the first entry of each canonical form; the blank form matches nothing."""
     t = taxonomy.withColumn("canon", canonical_label(F.col("entry"))).where("canon <> ''")
@@ -89,22 +183,40 @@ def metric_candidates(items: DataFrame, metric: str = "Adjusted EBITDA") -> Data
 
 
 def decision_log_build(responses: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """One row an answer; only an exact match confirms."""
+    """One row an answer; only an exact match confirms.
+
+    responses may bring label (what was sent), asked_at and error_detail; those it lacks are null in the log.
+    """
+    has = lambda c: F.col(c) if c in responses.columns else F.lit(None).cast("string")
     out = exact_match(responses, taxonomy, "resp_label")
-    state = F.when(F.col("is_error"), "classification_error").when(F.col("matched").isNotNull(), "confirmed").otherwise("pending_confirmation")
-    return out.select("job_id", "record_index", "resp_label", state.alias("resulting_state"))
+    err = F.col("is_error")
+    state = F.when(err, "classification_error").when(F.col("matched").isNotNull(), "confirmed").otherwise("pending_confirmation")
+    return out.select(
+        "job_id", "record_index", "resp_label", state.alias("resulting_state"), F.when(~err & F.col("matched").isNotNull(), "matched").otherwise("pending").alias("taxonomy_status"), has("label").alias("payload"),
+        F.when(~err, F.to_json(F.struct(F.col("resp_label").alias("label"), F.col("resp_confidence").alias("confidence")))).alias("raw_response"),
+        (iso_utc(F.col("asked_at")) if "asked_at" in responses.columns else F.lit(None).cast("string")).alias("timestamp"), F.when(err, F.coalesce(has("error_detail"), F.lit("no answer"))).alias("error_detail"),
+    )
 
 
 def taxonomy_append(taxonomy: DataFrame, terms: DataFrame) -> DataFrame:
-    """taxonomy with new terms at the end, once each. Terms are people's confirmations: few rows."""
-    new = terms.where(F.col("term").isNotNull()).select(F.col("term").alias("entry")).distinct().join(taxonomy, "entry", "left_anti")
+    """taxonomy with new terms at the end, once each, in order.
+
+    Terms are counted by their first characters; a running sum over those few rows gives each group its start,
+    and a window numbers the terms within it, so that no task sees all terms.
+    """
+    new = terms.where(F.col("term").isNotNull()).select(F.col("term").alias("entry")).distinct().join(taxonomy.select("entry"), "entry", "left_anti")
+    new = new.withColumn("head", F.substring("entry", 1, 3))
+    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    starts = new.groupBy("head").agg(F.count(F.lit(1)).alias("n")).select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     last = taxonomy.agg(F.coalesce(F.max("position"), F.lit(-1)).alias("last"))
-    new = new.crossJoin(F.broadcast(last)).select((F.col("last") + F.row_number().over(Window.orderBy("entry"))).cast("int").alias("position"), "entry")
+    at = F.col("last") + F.col("start") + F.row_number().over(Window.partitionBy("head").orderBy("entry"))
+    new = new.join(starts.crossJoin(F.broadcast(last)), "head").select(at.cast("int").alias("position"), "entry")
     return taxonomy.select("position", "entry").union(new)
 
 
-def call_rate_audit(log: DataFrame, per_minute: int = 30) -> DataFrame:
-    """(client, seq, calls_60s, over): calls of a client in the 60 seconds up to each call."""
-    w = Window.partitionBy("client").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)
-    out = log.withColumn("calls_60s", F.count(F.lit(1)).over(w))
-    return out.select("client", "seq", "calls_60s", (F.col("calls_60s") > per_minute).alias("over"))
+def call_rate_audit(log: DataFrame, per_minute: int = 30, per_day: int = 1000) -> DataFrame:
+    """(client, seq, calls_60s, over, calls_24h, over_day): calls of a client in the minute and the day up to each call."""
+    w = Window.partitionBy("client").orderBy(F.unix_micros(F.col("ts").cast("timestamp")))
+    n = F.count(F.lit(1))
+    out = log.withColumns({"calls_60s": n.over(w.rangeBetween(-60_000_000, 0)), "calls_24h": n.over(w.rangeBetween(-86_400_000_000 + 1, 0))})
+    return out.select("client", "seq", "calls_60s", (F.col("calls_60s") > per_minute).alias("over"), "calls_24h", (F.col("calls_24h") > per_day).alias("over_day"))

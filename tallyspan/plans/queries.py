@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspan.functions import words
+from tallyspan.functions import exprs, words
 from tallyspan.operators import cells as c
 from tallyspan.operators import drift as d
 from tallyspan.operators import evaluate as e
@@ -95,10 +95,27 @@ def normalized(spark, d_):
 
 
 # ---- sources
-@query("SELECT doc_id, CASE WHEN n_chars = 0 THEN 'file is empty' WHEN n_chars > 104857600 THEN 'file is too large' WHEN substring(text, 1, 4) <> '%PDF' THEN 'file is not a PDF' END AS reason FROM documents")
+GATE = """gate AS (SELECT *, CASE WHEN bytes = 0 THEN 'file is empty' WHEN bytes > 104857600 THEN 'file is too large' WHEN head <> '%PDF' THEN 'file is not a PDF'
+  WHEN target_metric NOT IN ('Adjusted EBITDA', 'EBITDA', 'Net Income', 'Free Cash Flow') THEN 'metric is not supported' END AS reason FROM (
+  SELECT doc_id, strlen(text) AS bytes, CASE WHEN doc_id % 2 = 0 THEN '%PDF' ELSE substring(text, 1, 4) END AS head,
+    CASE doc_id % 5 WHEN 0 THEN 'Adjusted EBITDA' WHEN 1 THEN 'EBITDA' WHEN 2 THEN 'Net Income' WHEN 3 THEN 'Free Cash Flow' ELSE 'Sales' END AS target_metric FROM documents))"""
+
+
+def _files(spark, sf):
+    k = F.col("doc_id")
+    metric = F.when(k % 5 == 0, "Adjusted EBITDA").when(k % 5 == 1, "EBITDA").when(k % 5 == 2, "Net Income").when(k % 5 == 3, "Free Cash Flow").otherwise("Sales")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.select("doc_id", F.octet_length("text").alias("length"), F.when(k % 2 == 0, "%PDF").otherwise(F.substring("text", 1, 4)).alias("head"), metric.alias("target_metric"))
+
+
+@query("SELECT doc_id, reason FROM gate", GATE)
 def intake_gate(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("n_chars").alias("length"), F.substring("text", 1, 4).alias("head"))
-    return intake.intake_gate(docs).select("doc_id", "reason")
+    return intake.intake_gate(_files(spark, sf)).select("doc_id", "reason")
+
+
+@query("SELECT doc_id, target_metric FROM gate WHERE reason IS NULL", GATE)
+def intake_split(spark, sf):
+    return intake.intake_split(_files(spark, sf))[0].select("doc_id", "target_metric")
 
 
 @query("""SELECT user_id::STRING AS job_id, arg_max(event_type, event_id) AS status, arg_max(CASE WHEN value > 5 THEN true END, CASE WHEN value > 5 THEN event_id END) AS model_ready FROM events GROUP BY 1""")
@@ -138,6 +155,16 @@ def table_title(spark, sf):
     return c.table_title(_cells(spark, sf))
 
 
+@query(f"""SELECT d.source AS source_file, d.doc_id AS table_idx, CASE WHEN d.doc_id % 4 = 0 THEN 'Caption ' || d.doc_id WHEN d.doc_id % 4 = 1 THEN 'Segment label' ELSE coalesce(t.title, 'Table ' || (d.doc_id + 1)) END AS title
+FROM documents d LEFT JOIN title t ON t.table_idx = d.doc_id""", CELLS, CELL2, TITLE)
+def table_title_captions(spark, sf):
+    """Tables with a caption, a label, a label that only says table, or neither; some have no cells."""
+    k = F.col("doc_id")
+    label = F.when(k % 4 == 1, " Segment label").when(k % 4 == 2, "Table").when(k % 8 == 0, "hidden by its caption")
+    tables = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("source_file"), k.alias("table_idx"), F.when(k % 4 == 0, F.concat(F.lit(" Caption "), k.cast("string"))).otherwise(" ").alias("caption"), label.alias("label"))
+    return c.table_title(_cells(spark, sf), tables)
+
+
 @query(f"SELECT *, title <> '' AND {_any('lower(title)', (*words.RECONCILIATION_TITLES, 'table 1'))} AS is_candidate FROM title", CELLS, CELL2, TITLE)
 def reconciliation_tables(spark, sf):
     return c.reconciliation_tables(c.table_title(_cells(spark, sf)), "Table 1")
@@ -176,6 +203,13 @@ def bbox_normalize(spark, sf):
     return c.bbox_normalize(rows, dims).select("job_id", "record_index", "x0", "x1", "y0", "y1", "is_error")
 
 
+@query("""SELECT job_id, record_index, CASE WHEN w > 0 THEN floor(least(a, b) / 1000 * w + 0.5)::INT ELSE 0 END AS "left", CASE WHEN w > 0 THEN floor(least(y0, y1) / 1000 * 792 + 0.5)::INT ELSE 0 END AS top, CASE WHEN w > 0 THEN greatest(1, floor(abs(b - a) / 1000 * w + 0.5)::INT) ELSE 0 END AS width,
+  CASE WHEN w > 0 THEN greatest(1, floor(abs(y1 - y0) / 1000 * 792 + 0.5)::INT) ELSE 0 END AS height FROM (SELECT *, least(1000, x0 + 300) AS a, least(1000, x1 + 300) AS b, (CASE WHEN suppkey % 10 = 0 THEN 0 ELSE 612 END)::DOUBLE AS w FROM fx_line_items)""", ITEMS)
+def px_bbox(spark, sf):
+    moved = items(spark, sf).withColumns({"x0": F.col("x0") + 300, "x1": F.col("x1") + 300})
+    return moved.select("job_id", "record_index", exprs.px_bbox(F.when(F.col("suppkey") % 10 == 0, 0.0).otherwise(612.0), F.lit(792.0)).alias("p")).select("job_id", "record_index", "p.*")
+
+
 @query("SELECT source AS source_file, count(*) FILTER (trim(coalesce(text, '')) = '') AS image_only FROM documents GROUP BY 1")
 def image_only_pages(spark, sf):
     return c.image_only_pages(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("source").alias("source_file"), "text"))
@@ -207,10 +241,26 @@ SUMMARY = """summary AS (SELECT j.job_id, count(record_index) AS total, count(*)
   FROM fx_jobs j LEFT JOIN scored s ON s.job_id = j.job_id GROUP BY 1)"""
 
 
-@query("""SELECT *, flagged_percent <= 15 AS passed FROM (SELECT *, needs_review + manual_required AS flagged,
-  coalesce(round_even((needs_review + manual_required) * 100 / nullif(total, 0)::DOUBLE, 2), 0) AS flagged_percent FROM summary)""", *S, JOBS, SUMMARY)
+@query("""SELECT * REPLACE (coalesce(image_only, 0) AS image_only), flagged_percent <= 15 AS passed FROM (SELECT *, needs_review + manual_required AS flagged,
+  coalesce(round_even((needs_review + manual_required) * 100 / nullif(total, 0)::DOUBLE, 2), 0) AS flagged_percent FROM summary LEFT JOIN (
+  SELECT (doc_id % 500)::STRING AS job_id, count(*) FILTER (trim(coalesce(text, '')) = '') AS image_only FROM documents GROUP BY 1) USING (job_id))""", *S, JOBS, SUMMARY)
 def extraction_summary(spark, sf):
-    return s.extraction_summary(fixture(spark, sf, "fx_jobs"), scored(spark, sf))
+    pages = spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") % 500).cast("string").alias("source_file"), "text")
+    blank = c.image_only_pages(pages).withColumnRenamed("source_file", "job_id")
+    return s.extraction_summary(fixture(spark, sf, "fx_jobs"), scored(spark, sf), blank)
+
+
+ALONE = """pair AS (SELECT f.*, CASE WHEN job_id::BIGINT % 7 <> 0 THEN is_error END AS item_error, CASE WHEN job_id::BIGINT % 7 <> 0 THEN table_name END AS item_table FROM raw f)"""
+
+
+@query("""SELECT job_id, record_index, CASE WHEN item_error THEN 0 ELSE raw_score END::DOUBLE AS score, CASE WHEN item_error THEN 'manual_required' WHEN raw_score >= 0.95 THEN 'auto_accepted' WHEN raw_score >= 0.65 THEN 'needs_review' ELSE 'manual_required' END AS band,
+  CASE WHEN item_error THEN 'extraction_error' ELSE 'ok' END AS status, CASE WHEN item_error THEN 'Extraction error' END AS error_detail, item_table AS table_name, item_table IS NOT NULL AS is_candidate FROM pair""", *S[:3], ALONE)
+def score_with_items(spark, sf):
+    """In every seventh job the items have one more row than the records, so those are scored alone."""
+    rows = items(spark, sf).withColumn("is_candidate", F.lit(False))
+    norm = rows.select("job_id", "record_index", "table_name", "is_error", F.lit("").alias("error_detail"), F.lit(True).alias("is_candidate"))
+    more = norm.where((F.col("job_id").cast("long") % 7 == 0) & (F.col("record_index") == 0)).withColumn("record_index", F.lit(-1))
+    return s.score_with_items(rows, norm.union(more)).select("job_id", "record_index", "score", "band", "status", "error_detail", "table_name", "is_candidate")
 
 
 # ---- classification
@@ -243,17 +293,55 @@ def classifier_response_check(spark, sf):
     return t.classifier_response_check(ev.select(F.col("event_id").alias("job_id"), odd.cast("int").alias("record_index"), F.when(odd, full).otherwise(F.col("props")).alias("raw")))
 
 
-@query(f"SELECT r.job_id, r.record_index, CASE WHEN r.is_error THEN k.canon_entry ELSE r.resp_label END AS label, CASE WHEN r.is_error AND k.canon_entry IS NOT NULL THEN 0.95 ELSE r.resp_confidence END::DOUBLE AS confidence, r.is_error AND k.canon_entry IS NULL AS is_error FROM resp r JOIN fx_line_items i USING (job_id, record_index) LEFT JOIN canon k ON k.k = {_canon('i.p_type')}", ITEMS, TAX, RESP, CANON)
+_SEEDS = ", ".join(f"('{w}')" for w in words.SEED_TAXONOMY)
+FALL = f"""raw_label AS (SELECT r.*, CASE i.suppkey % 5 WHEN 1 THEN 'LEASE  adjustments!' WHEN 2 THEN 'stock based compensation' WHEN 3 THEN 'Litigation-Charges' ELSE i.p_name END AS label FROM resp r JOIN fx_line_items i USING (job_id, record_index)),
+seed AS (SELECT v.e AS entry, {_canon('v.e')} AS k FROM (VALUES {_SEEDS}) v(e))"""
+
+
+@query(f"SELECT r.job_id, r.record_index, CASE WHEN r.is_error THEN s.entry ELSE r.resp_label END AS label, CASE WHEN r.is_error AND s.entry IS NOT NULL THEN 0.95 ELSE r.resp_confidence END::DOUBLE AS confidence, r.is_error AND s.entry IS NULL AS is_error FROM raw_label r LEFT JOIN seed s ON s.k = {_canon('r.label')}", ITEMS, RESP, FALL)
 def classification_fallback(spark, sf):
-    rows = t.classifier_responses(items(spark, sf)).join(items(spark, sf).select("job_id", "record_index", "p_type"), ["job_id", "record_index"])
-    rows = t.canonical_match(rows, fixture(spark, sf, "fx_taxonomy"), "p_type")
-    err = F.col("is_error")
-    return rows.select("job_id", "record_index", F.when(err, F.col("canon_entry")).otherwise(F.col("resp_label")).alias("label"), F.when(err & F.col("canon_entry").isNotNull(), 0.95).otherwise(F.col("resp_confidence")).alias("confidence"), (err & F.col("canon_entry").isNull()).alias("is_error"))
+    k = F.col("suppkey") % 5
+    label = F.when(k == 1, "LEASE  adjustments!").when(k == 2, "stock based compensation").when(k == 3, "Litigation-Charges").otherwise(F.col("p_name"))
+    rows = t.classifier_responses(items(spark, sf)).join(items(spark, sf).select("job_id", "record_index", label.alias("label")), ["job_id", "record_index"])
+    out = t.classification_fallback(rows)
+    return out.select("job_id", "record_index", F.col("resp_label").alias("label"), F.col("resp_confidence").alias("confidence"), "is_error")
 
 
-@query("SELECT job_id, count(*) AS dispatched, count(*) FILTER (NOT is_error) AS success, count(*) FILTER (is_error) AS errors FROM resp GROUP BY 1", ITEMS, RESP)
+@query("""SELECT s.job_id, count(r.job_id) AS dispatched, count(*) FILTER (NOT r.is_error) AS success, count(*) FILTER (r.is_error) AS errors, count(*) - count(r.job_id) AS skipped FROM scored s
+LEFT JOIN resp r ON r.job_id = s.job_id AND r.record_index = s.record_index AND s.is_candidate AND s.status <> 'extraction_error' AND s.band IN ('auto_accepted', 'needs_review') GROUP BY 1""", *S, RESP)
 def classification_counts(spark, sf):
-    return t.classifier_responses(items(spark, sf)).groupBy("job_id").agg(F.count(F.lit(1)).alias("dispatched"), F.count_if(~F.col("is_error")).alias("success"), F.count_if("is_error").alias("errors"))
+    base = scored(spark, sf)
+    sent = t.classification_candidates(base).select("job_id", "record_index")
+    return t.classification_counts(base, t.classifier_responses(items(spark, sf)).join(sent, ["job_id", "record_index"], "left_semi"))
+
+
+NAMED = """named AS (SELECT job_id, record_index, CASE suppkey % 5 WHEN 0 THEN 'Total net income ' WHEN 1 THEN 'Restructuring, ' WHEN 2 THEN 'Litigation ' ELSE '' END || label AS label FROM fx_line_items)"""
+_ANSWERED = f"SELECT job_id, record_index, label, CASE {_DICT} ELSE label END AS resp_label, 0.98::DOUBLE AS resp_confidence, false AS is_error FROM named"
+
+
+def _named(spark, sf):
+    k = F.col("suppkey") % 5
+    start = F.when(k == 0, "Total net income ").when(k == 1, "Restructuring, ").when(k == 2, "Litigation ").otherwise("")
+    return items(spark, sf).select("job_id", "record_index", F.concat(start, "label").alias("label"))
+
+
+@query(_ANSWERED, ITEMS, NAMED)
+def classify(spark, sf):
+    return t.classify(_named(spark, sf), t.dictionary_answer)
+
+
+@query(_ANSWERED, ITEMS, NAMED)
+def classify_batches(spark, sf):
+    """The same answers from a classifier in Python that gets batches of distinct labels."""
+    known = list(words.DICTIONARY)
+
+    def answer(labels):
+        import pandas as pd
+
+        found = [next((name for key, name in known if key in x.strip().lower()), x) for x in labels]
+        return pd.DataFrame({"label": found, "confidence": 0.98})
+
+    return t.classify(_named(spark, sf), t.batch_classifier(answer))
 
 
 @query("SELECT r.job_id, r.record_index, x.entry AS matched FROM resp r LEFT JOIN fx_taxonomy x ON x.entry = r.resp_label", ITEMS, TAX, RESP)
@@ -278,9 +366,13 @@ def metric_candidates(spark, sf):
     return t.metric_candidates(normalized(spark, sf)).select("job_id", "record_index", "is_target")
 
 
-@query("SELECT r.job_id, r.record_index, r.resp_label, CASE WHEN r.is_error THEN 'classification_error' WHEN x.entry IS NOT NULL THEN 'confirmed' ELSE 'pending_confirmation' END AS resulting_state FROM resp r LEFT JOIN fx_taxonomy x ON x.entry = r.resp_label", ITEMS, TAX, RESP)
+@query("""SELECT r.job_id, r.record_index, r.resp_label, CASE WHEN r.is_error THEN 'classification_error' WHEN x.entry IS NOT NULL THEN 'confirmed' ELSE 'pending_confirmation' END AS resulting_state,
+  CASE WHEN x.entry IS NOT NULL THEN 'matched' ELSE 'pending' END AS taxonomy_status, i.label AS payload, CASE WHEN NOT r.is_error THEN '{"label":"' || r.resp_label || '","confidence":0.9}' END AS raw_response,
+  strftime(to_timestamp(1700000000 + i.partkey) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') AS timestamp, CASE WHEN r.is_error THEN 'timed out' END AS error_detail
+FROM resp r JOIN fx_line_items i USING (job_id, record_index) LEFT JOIN fx_taxonomy x ON x.entry = r.resp_label""", ITEMS, TAX, RESP)
 def decision_log_build(spark, sf):
-    return t.decision_log_build(t.classifier_responses(items(spark, sf)), fixture(spark, sf, "fx_taxonomy"))
+    more = items(spark, sf).select("job_id", "record_index", "label", F.timestamp_seconds(1_700_000_000 + F.col("partkey")).alias("asked_at"), F.lit("timed out").alias("error_detail"))
+    return t.decision_log_build(t.classifier_responses(items(spark, sf)).join(more, ["job_id", "record_index"]), fixture(spark, sf, "fx_taxonomy"))
 
 
 @query("SELECT position, entry FROM fx_taxonomy UNION ALL SELECT cast((SELECT max(position) FROM fx_taxonomy) + row_number() OVER (ORDER BY n) AS int), n FROM (SELECT DISTINCT p_name AS n FROM part) WHERE n NOT IN (SELECT entry FROM fx_taxonomy)", TAX)
@@ -288,10 +380,11 @@ def taxonomy_append(spark, sf):
     return t.taxonomy_append(fixture(spark, sf, "fx_taxonomy"), spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("term")))
 
 
-@query("SELECT user_id AS client, event_id AS seq, n AS calls_60s, n > 2 AS over FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n FROM events)")
+@query("""SELECT user_id AS client, event_id AS seq, n AS calls_60s, n > 2 AS over, d AS calls_24h, d > 20 AS over_day FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n,
+  count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW) AS d FROM events)""")
 def call_rate_audit(spark, sf):
     log = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), "ts")
-    return t.call_rate_audit(log, 2)
+    return t.call_rate_audit(log, 2, 20)
 
 
 # ---- evaluation
@@ -418,6 +511,14 @@ def drift_scope(spark, sf):
     return d.drift_scope(fixture(spark, sf, "fx_jobs"))
 
 
+@query("""SELECT job_id, CASE WHEN job_id::BIGINT % 3 = 0 THEN 'Given' ELSE regexp_extract(filename, '^([^_.]*)', 1) END AS entity, CASE WHEN job_id::BIGINT % 4 = 0 THEN 1999 ELSE coalesce(try_cast(regexp_extract(filename, '((?:19|20)\\d{2})', 1) AS INT), 2024) END AS year,
+  CASE WHEN job_id::BIGINT % 5 = 0 THEN target_metric ELSE 'Adjusted EBITDA' END AS metric FROM fx_jobs""", JOBS)
+def drift_scope_given(spark, sf):
+    jobs, k = fixture(spark, sf, "fx_jobs"), F.col("job_id").cast("long")
+    given = jobs.select("job_id", F.when(k % 3 == 0, " Given").when(k % 3 == 1, " ").alias("entity"), F.when(k % 5 == 0, F.col("target_metric")).alias("metric"), F.when(k % 4 == 0, 1999).alias("year"))
+    return d.drift_scope(jobs, given)
+
+
 @query(f"SELECT entity, eval_seq, is_baseline, changed, {_JS('added')}, {_JS('removed')}, {_JS('unchanged')} FROM comp", *D)
 def drift_compare(spark, sf):
     return _compared(spark, sf).select("entity", "eval_seq", "is_baseline", "changed", _J("added"), _J("removed"), _J("unchanged"))
@@ -559,6 +660,27 @@ def review_flagged_view(spark, sf):
     return v.review_flagged_view(v.review_items_init(normalized(spark, sf))).select("id", "status")
 
 
+@query("SELECT job_id, count(*) AS total, count(*) FILTER (st = 'locked') AS locked, count(*) FILTER (st IN ('needs_review', 'manual_required', 'extraction_error', 'pending_taxonomy', 'flagged', 'locked') AND st <> 'locked' OR score < 0.95) AS flagged FROM (SELECT * REPLACE (CASE WHEN page = 1 AND st <> 'extraction_error' THEN 'locked' ELSE st END AS st) FROM review) GROUP BY 1", *N, REVIEW)
+def review_counts(spark, sf):
+    return v.review_counts(_batch(spark, sf)[0])
+
+
+@query("""SELECT id, 'saved' AS source, 'locked' AS status, normalized_label, taxonomy_status FROM review WHERE job_id::BIGINT % 3 = 0
+UNION ALL SELECT id, 'classified', st, normalized_label, taxonomy_status FROM review WHERE job_id::BIGINT % 3 = 1
+UNION ALL SELECT job_id || '_' || record_index, 'scored', CASE WHEN status = 'extraction_error' THEN 'extraction_error' ELSE band END, NULL, NULL FROM scored WHERE is_candidate AND job_id IN (
+  SELECT job_id FROM fx_line_items WHERE job_id::BIGINT % 3 = 2 UNION SELECT job_id FROM fx_line_items EXCEPT SELECT job_id FROM review WHERE job_id::BIGINT % 3 = 0 EXCEPT SELECT job_id FROM fx_line_items WHERE job_id::BIGINT % 3 = 1)""", *N, REVIEW)
+def review_sources(spark, sf):
+    """A third of the jobs has saved items, a third classified records, and all have scored ones."""
+    rows, k = normalized(spark, sf), F.col("job_id").cast("long") % 3
+    saved = v.review_items_init(rows.where(k == 0)).withColumn("status", F.lit("locked"))
+    return v.review_sources(scored(spark, sf), rows.where(k == 1), saved).select("id", "source", "status", "normalized_label", "taxonomy_status")
+
+
+@query("SELECT user_id::STRING AS item_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 12")
+def oversized_logs(spark, sf):
+    return v.oversized_logs(fixture(spark, sf, "fx_actions"), 12)
+
+
 BATCH = """batch AS (SELECT *, chosen AND st <> 'extraction_error' AS lock_, chosen AND st <> 'extraction_error' AND (st = 'pending_taxonomy' OR coalesce(taxonomy_status = 'pending', false)) AS add_ FROM (SELECT *, page = 1 AS chosen FROM review))"""
 
 

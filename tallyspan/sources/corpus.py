@@ -13,17 +13,21 @@ LOG = "job_id string, record_index int, timestamp string, taxonomy_status string
 
 
 def gt_corpus_scan(spark: SparkSession, root: str, manifest: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(filings, items) of root/<folder>/ground_truth.json: those the manifest names, in its order, else all by name."""
+    """(filings, items) of root/<folder>/ground_truth.json: those the manifest names, in its order, else all by name.
+
+    A folder that the manifest names and root lacks is a filing with is_known false and nothing else.
+    """
     raw = spark.read.schema(GT).option("multiLine", True).json(f"{root}/*/ground_truth.json")
     raw = raw.withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
     if manifest:
         named = spark.read.schema("filing_ids array<string>").option("multiLine", True).json(manifest)
-        raw = raw.join(named.select(F.posexplode("filing_ids").alias("position", "folder")), "folder")
+        raw = named.select(F.posexplode("filing_ids").alias("position", "folder")).join(raw.withColumn("is_known", F.lit(True)), "folder", "left")
         order = F.format_string("%09d", "position")
     else:
         order = F.col("folder")
+    known = F.coalesce("is_known", F.lit(False)) if manifest else F.lit(True)
     raw = raw.withColumn("order_key", order)
-    filings = raw.select("order_key", "folder", "metadata.*", F.col("expected_reconciliation_total").alias("expected_total"))
+    filings = raw.select("order_key", "folder", known.alias("is_known"), "metadata.*", F.col("expected_reconciliation_total").alias("expected_total"))
     items = raw.select(F.col("metadata.filing_id").alias("job_id"), F.posexplode("ground_truth_items").alias("item_pos", "i")).select("job_id", "item_pos", "i.*")
     return filings, items
 

@@ -19,11 +19,22 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def intake_gate(files: DataFrame) -> DataFrame:
-    """+ reason: the first check that fails, cheap ones first; null where the file is accepted."""
+    """+ reason: the first check that fails, cheap ones first; null where the file is accepted.
+
+    files: length in bytes, head (the first characters) and, where the request names one, target_metric.
+    """
     reason = F.when(F.col("length") == 0, "file is empty").when(F.col("length") > MOST_BYTES, "file is too large").when(F.col("head") != MAGIC, "file is not a PDF")
+    if "target_metric" in files.columns:
+        reason = reason.when(~F.coalesce(F.col("target_metric").isin(*METRICS), F.lit(False)), "metric is not supported")
     return files.withColumn("reason", reason)
 
 
+def intake_split(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): gated files, the rejected with their reason."""
+    gated = intake_gate(files)
+    return gated.where("reason is null").drop("reason"), gated.where("reason is not null")
+
+
 def jobs_status(events: DataFrame) -> DataFrame:
     """(job_id, status, model_ready): the latest status wins; model_ready keeps its last given value."""
     ready = F.when(F.col("model_ready").isNotNull(), F.col("seq"))

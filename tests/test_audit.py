@@ -45,8 +45,12 @@ def test_governance_lines(spark):
 def test_overrides_order(spark):
     review = spark.createDataFrame([("j_0", "j", 0, "locked", "2", "L"), ("j_1", "j", 1, "locked", "1", "L"), ("j_2", "j", 2, "manual_required", "1", "L"), ("j_3", "j", 3, "locked", "5", "L"), ("j_9", "j", 9, "locked", "1", "new")], REVIEW)
     scored = spark.createDataFrame([("j", i, "1", "L", "extraction_error" if i == 3 else "ok") for i in range(4)], "job_id string, record_index int, value string, label string, status string")
+    scored = scored.selectExpr("*", "array('f') as flags", "'needs_review' as band")
+    review = review.selectExpr("*", "if(record_index = 0, array('g'), null) as flags", "cast(null as string) as band", "1 as page")
     prov = spark.createDataFrame([("j", "Model", "B7", "hardcode_1", ("12",)), ("j", "Model", "B8", "leaf_1_x", ("1",))], "job_id string, sheet string, coord string, node_id string, body struct<value:string>")
-    got = {r.item_id: (r.override_type, r.final_value) for r in audit.manual_overrides(review, scored, prov).collect()}
+    rows = audit.manual_overrides(review, scored, prov).collect()
+    assert {r.item_id: (r.flags, r.band, r.page) for r in rows} == {"j_0": (["g"], "needs_review", 1), "j_2": (["f"], "needs_review", 1), "j_3": (["f"], "needs_review", 1), "Model!B7": ([], None, None)}
+    got = {r.item_id: (r.override_type, r.final_value) for r in rows}
     assert got == {"j_0": ("user_edit", "2"), "j_2": ("manual_required_entry", "1"), "j_3": ("extraction_error_recovery", "5"), "Model!B7": ("manual_hardcode", "12")}
 
 

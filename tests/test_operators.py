@@ -113,3 +113,49 @@ def test_entry_without_training_data():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_confidence_strips(spark):
+    rows = [("Net Sales / ", "1"), (" x / y ", " 2 "), ("5 ", " 5"), (None, None), ("a / b (1)", "3"), ("merged / b", "3*")]
+    got = {r.label: r.score for r in scoring.confidence_score(spark.createDataFrame(rows, "label string, value string")).collect()}
+    assert got == {"Net Sales / ": 0.85, " x / y ": 1.0, "5 ": 0.85, None: 0.5, "a / b (1)": 0.9, "merged / b": 0.55}
+
+
+def test_records_beside_items(spark):
+    records = spark.createDataFrame([("a", 0, "x / y", "1"), ("a", 1, "x / y", "1"), ("b", 0, "x / y", "1")], "job_id string, record_index int, label string, value string").withColumn("is_candidate", F.lit(False))
+    norm = spark.createDataFrame([("a", 0, "t", True, "torn", True), ("a", 1, "t", False, None, True), ("b", 0, "t", True, None, True), ("b", 1, "t", True, None, True)], "job_id string, record_index int, table_name string, is_error boolean, error_detail string, is_candidate boolean")
+    got = {(r.job_id, r.record_index): (r.score, r.status, r.error_detail, r.table_name, r.is_candidate) for r in scoring.score_with_items(records, norm).collect()}
+    assert got == {("a", 0): (0.0, "extraction_error", "torn", "t", True), ("a", 1): (1.0, "ok", None, "t", True), ("b", 0): (1.0, "ok", None, None, False)}
+
+
+def test_classifiers(spark, tmp_path):
+    rows = spark.createDataFrame([("j", 0, "Net income"), ("j", 1, "boom"), ("j", 2, "Net income"), ("j", 3, "odd"), ("j", 4, None)], "job_id string, record_index int, label string")
+    seen = []
+
+    def answer(labels):
+        import pandas as pd
+
+        return pd.DataFrame({"label": [None if x is None else x.upper() for x in labels], "confidence": [2.0 if x == "odd" else 0.5 for x in labels]})
+
+    def fails(labels):
+        raise RuntimeError("down")
+
+    got = {r.record_index: (r.resp_label, r.resp_confidence, r.is_error) for r in taxonomy.classify(rows, taxonomy.batch_classifier(answer)).collect()}
+    assert got[0] == got[2] == ("NET INCOME", 0.5, False) and got[3] == (None, None, True) and got[4] == (None, None, True) and not seen
+    down = taxonomy.classify(rows, taxonomy.batch_classifier(fails))
+    assert down.where("is_error").count() == 5
+    saved = taxonomy.classification_fallback(taxonomy.classify(rows.withColumn("label", F.lit("lease ADJUSTMENTS.")), taxonomy.batch_classifier(fails)))
+    assert {(r.resp_label, r.resp_confidence, r.is_error) for r in saved.collect()} == {("Lease Adjustments", 0.95, False)}
+    seed = [r.entry for r in taxonomy.taxonomy_scan(spark, None).orderBy("position").collect()]
+    assert len(seed) == 10
+    for text, want in (('["b", "a"]', ["b", "a"]), ("[1, 2]", seed), ("nonsense", seed), ('{"a": 1}', seed), ("[]", [])):
+        path = tmp_path / "t.json"
+        path.write_text(text)
+        assert [r.entry for r in taxonomy.taxonomy_scan(spark, str(path)).orderBy("position").collect()] == want, text
+    assert taxonomy.taxonomy_scan(spark, str(tmp_path / "none.json")).count() == 10
+
+
+def test_folds_leave_out_what_is_too_large(spark):
+    c = spark.createDataFrame([("j", 1, i, i, 1.0) for i in range(4)] + [("j", 2, 0, 0, 1.0)], "job_id string, page int, item_pos int, record_index int, score double")
+    assert {r.page for r in evaluate.greedy_match(c, most=3).collect()} == {2}
+    assert [(r.page, r.n) for r in evaluate.oversized_candidates(c, most=3).collect()] == [(1, 4)]
