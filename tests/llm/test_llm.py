@@ -330,8 +330,8 @@ def test_simhash_links_whole(spark):
     near = np.concatenate([fp, *[fp[:20] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, False))) for k in (1, 2, 3, 4, 5)], [fp[0] ^ np.uint64(a << 20 | 1 << b) for a in range(8) for b in range(20)]])
     near = np.unique(np.array(near, np.uint64))
     df = spark.createDataFrame([(int(x.astype(np.int64)),) for x in near], "fp long")
-    for block in (1500, 30):
-        found = {r.node: r.component for r in connected_components(simhash.links(df, block=block)).collect()}
+    for block, grids in ((1500, None), (30, None), (1500, 5), (70, 5), (1500, 8)):
+        found = {r.node: r.component for r in connected_components(simhash.links(df, block=block, grids=grids)).collect()}
         label = least_reachable(np.bitwise_count(near[:, None] ^ near[None, :]) <= 4)
         groups = {}
         for x, g in zip(near, label):
