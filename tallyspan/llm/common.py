@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import sys
 import tempfile
 import uuid
@@ -132,6 +133,53 @@ def runs(batches, keys: list[str]):
         yield pa.concat_tables(held)
 
 
+def small_and_large_runs(batches, keys: list[str], small: int):
+    """Record batches sorted by keys -> (table, run of each row) for all runs of at most small rows that a
+    batch ends, and (table, None) for each longer run. Runs of one row are left out."""
+    held: pa.Table | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+        elif held is None:
+            return
+        else:
+            t = held
+        new = np.zeros(t.num_rows, bool)
+        new[0] = True
+        for c in (t.column(k).to_numpy() for k in keys):
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new)
+        if batch is not None:  # the last run may go on
+            held = t.slice(int(starts[-1]))
+            t, new = t.slice(0, int(starts[-1])), new[: starts[-1]]
+            starts = starts[:-1]
+        sizes = np.diff(np.r_[starts, t.num_rows])
+        for k in np.flatnonzero(sizes > small).tolist():
+            yield t.slice(int(starts[k]), int(sizes[k])), None
+        run = np.cumsum(new) - 1
+        few = np.flatnonzero((sizes[run] > 1) & (sizes[run] <= small)) if len(run) else run
+        if len(few):
+            yield t.take(pa.array(few)), run[few]
+
+
+def least_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows, the least row reachable over the links (i, j)."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
 def least_reachable(adjacent: np.ndarray) -> np.ndarray:
     """For each row of a symmetric boolean matrix, the least index in its component."""
     n = len(adjacent)
@@ -157,10 +205,13 @@ def join_by_class(rows: DataFrame, classes: DataFrame, key: str, spread: str, to
     """
     values = [c for c in classes.columns if c not in (key, "n")]
     hot = classes.where(F.col("n") > total / HOT).select(F.col(key).alias("_hot"), F.struct(*values).alias("_of_hot"))
-    cold = classes.where(F.col("n") <= total / HOT).select(F.col(key).alias("_key"), F.lit(0).alias("_salt"), F.struct(*values).alias("_of"))
+    # one struct is the join key: a constant of its own would be folded away, and the spreading with it
+    at = lambda k, salt: F.struct(k.alias("key"), salt.cast("int").alias("salt"))
+    cold = classes.where(F.col("n") <= total / HOT).select(at(F.col(key), F.lit(0)).alias("_at_cold"), F.struct(*values).alias("_of"))
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    out = out.withColumn("_at", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(HOT))).cast("int"))
-    out = out.join(cold, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_salt")), "left")
+    alone = at(F.lit(None).cast(rows.schema[key].dataType), 1 + F.pmod(F.xxhash64(spread), F.lit(HOT)))
+    out = out.withColumn("_at", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), at(F.col(key), F.lit(0))).otherwise(alone))
+    out = out.join(cold, F.col("_at") == F.col("_at_cold"), "left")
     of = F.coalesce("_of_hot", "_of")
     return out.select(*rows.columns, *[of[c].alias(c) for c in values])
 

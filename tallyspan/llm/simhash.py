@@ -7,7 +7,8 @@ distance of their fingerprints. The range join under that distance is a grid joi
 coordinates are dealt to g sub-grids, and of two points at distance four or less at least g - 4
 sub-grids hold both at the same place, so they share the cell of some g - 4 sub-grids. More
 sub-grids make smaller cells and more of them; g follows from the number of fingerprints, and
-every choice finds every pair. Within a cell the bound (first on the whole count, then by byte)
+every choice finds every pair. There are two more of them than bits at least: cells of one sub-grid hold
+too many fingerprints even of a small corpus. Within a cell the bound (first on the whole count, then by byte)
 leaves few pairs, which are verified on the bits themselves.
 
 Equal fingerprints are one node. Cells of any size are cut into blocks that meet pairwise,
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspan.llm.common import connected_components, in_cells, join_by_class, least_reachable, mix, runs, ship, stored, texts
+from tallyspan.llm.common import connected_components, in_cells, join_by_class, least_linked, least_reachable, mix, ship, small_and_large_runs, stored, texts
 
 ship(__name__)
 
@@ -41,6 +42,8 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 SEGMENT_BITS, BLOCK = 2, 1500
 #: What sending a fingerprint to one more cell costs, in pairs compared.
 SEND = 200
+#: Cells of so few rows are compared together, row by row's neighbours, in place of one by one.
+FEW = 64
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -90,7 +93,7 @@ def sub_grids(n: int, distance: int = DISTANCE) -> int:
     def work(g: int) -> float:
         return math.comb(g, distance) * (SEND + n * (3 / 8) ** (segments * (g - distance) / g))
 
-    return min(range(distance + 1, segments + 1), key=work)
+    return min(range(distance + 2, segments + 1), key=work)
 
 
 def cell_rows(fps: DataFrame, grids: int, distance: int = DISTANCE) -> DataFrame:
@@ -133,9 +136,27 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK, grids: i
     """(src, dst): a spanning forest of each block's links between distinct fingerprints."""
     grids = grids or sub_grids(fps.count(), distance)
 
+    def few(fp: np.ndarray, run: np.ndarray) -> np.ndarray:
+        i, j, ones = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.bitwise_count(fp).astype(np.int16)
+        for k in range(1, FEW):  # each row against the k-th after it, while any run is as long
+            a = np.flatnonzero(run[:-k] == run[k:])
+            if not len(a):
+                break
+            a = a[np.abs(ones[a] - ones[a + k]) <= distance]  # the Manhattan bound comes first
+            near = np.bitwise_count(fp[a] ^ fp[a + k]) <= distance
+            i.append(a[near])
+            j.append(a[near] + k)
+        return least_linked(len(fp), np.concatenate(i), np.concatenate(j))
+
     def run(batches):
-        for t in runs(batches, ["grid", "cell", "lo", "hi"]):
+        for t, number in small_and_large_runs(batches, ["grid", "cell", "lo", "hi"], FEW):
             fp = t.column("fp").to_numpy().view(np.uint64)
+            if number is not None:
+                label = few(fp, number)
+                own = np.flatnonzero(label != np.arange(len(fp)))
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)[own]), pa.array(fp.view(np.int64)[label[own]])], names=["src", "dst"])
+                continue
             chunk, lo, hi = (t.column(c).to_numpy() for c in ("chunk", "lo", "hi"))
             if lo[0] == hi[0]:
                 near = close_pairs(fp, fp, distance)
