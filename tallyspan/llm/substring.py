@@ -258,9 +258,16 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, buckets: int |
     symbols = rows.mapInArrow(_symbol_keys(window, buckets), blobs.SCHEMA)
     shared = symbols.groupBy("bucket").applyInArrow(blobs.repeated_keys, blobs.REPEATED)
     shared = shared.groupBy("owner").agg(F.collect_list("key").alias("keys"))
-    # equal texts become one where they are read, before the exchange; texts of one owner share its keys, which does no harm
-    once = rows.select(text_key().alias("same"), F.xxhash64("text").alias("owner"), "text").groupBy("owner", "same").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    # equal texts become one where they are read, before the exchange that the join uses too
+    rows = rows.select(text_key().alias("same"), F.xxhash64("text").alias("owner"), "text")
+    one = (F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    once = rows.groupBy("owner").agg(*one, F.min("same").alias("same"), F.max("same").alias("other"))
     candidates = stored(once.join(shared, "owner"))
+    met = candidates.where("same <> other").select("owner", "keys")
+    candidates = candidates.where("same = other").select("owner", "same", "text", "n", "keys")
+    if not met.isEmpty():  # different texts of one owner: counted apart, with the keys of both, which does no harm
+        apart = rows.join(met.select("owner"), "owner", "left_semi").groupBy("owner", "same").agg(*one).join(met, "owner")
+        candidates = stored(candidates.unionByName(apart))
     windows = candidates.mapInArrow(_window_keys(window, buckets), blobs.SCHEMA)
     repeated = windows.groupBy("bucket").applyInArrow(blobs.repeated_keys, blobs.REPEATED)
     return candidates, repeated.groupBy("owner").agg(F.collect_list("key").alias("keys"))

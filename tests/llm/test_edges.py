@@ -205,3 +205,15 @@ def test_lm_without_training_text(spark, n):
     df = spark.createDataFrame([(i, "a b") for i in range(200)], "doc_id long, text string").where(bloom_lm.is_held_out()).limit(n)
     got = bloom_lm.score_documents(df).collect()
     assert len(got) == n and all((r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) for r in got)
+
+
+def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
+    """With a 64-bit hash that is the same for all texts, only the whole key tells them apart."""
+    shared = words(0, 60)
+    rows = [(1, words(1, 80)), (2, words(1, 80)), (3, words(2, 40) + " " + shared), (4, words(3, 40) + " " + shared), (5, words(4, 90))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.n_removed for r in substring.dedup_digests(df).collect()}
+    met = F.xxhash64
+    monkeypatch.setattr(substring, "text_id", lambda text: 7)
+    monkeypatch.setattr(substring.F, "xxhash64", lambda c: F.lit(7).cast("long") if c == "text" else met(c))
+    assert {r.doc_id: r.n_removed for r in substring.dedup_digests(df).collect()} == want == {1: 80, 2: 80, 3: 60, 4: 60, 5: 0}
