@@ -88,10 +88,14 @@ def scored(spark, d_):
 
 
 def normalized(spark, d_):
-    base = scored(spark, d_)
-    resp = t.classifier_responses(items(spark, d_)).withColumnRenamed("is_error", "is_error_resp")
-    names = t.normalize_records(base, resp, fixture(spark, d_, "fx_taxonomy"))
-    return base.join(names, ["job_id", "record_index"])
+    return normalized_items(items(spark, d_), fixture(spark, d_, "fx_taxonomy"))
+
+
+def normalized_items(rows, taxonomy):
+    """Scored, classified and normalized items."""
+    base = s.score_with_context(rows)
+    resp = t.classifier_responses(rows).withColumnRenamed("is_error", "is_error_resp")
+    return base.join(t.normalize_records(base, resp, taxonomy), ["job_id", "record_index"])
 
 
 # ---- sources

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyspan.functions import exprs as x
 from tallyspan.operators import drift as d
 from tallyspan.plans.audit_queries import ORACLES, QUERIES
-from tallyspan.plans.queries import COMP, D, FOLD, ITEMS, JOBS, LOCKED, S, SETS, _compared, _num, action_items, items, query, scored
+from tallyspan.plans.queries import COMP, D, FOLD, ITEMS, JOBS, LOCKED, N, S, SETS, _compared, _num, action_items, items, normalized_items, query, scored
 from tallyspan.sources import corpus, intake
 from tallyspan.sources.fixtures import fixture
 from tallyspan.sources.scratch import scratch_dir
@@ -26,11 +26,11 @@ def _folder(spark) -> str:
     return f"{scratch_dir(spark)}/tallyspan-{uuid.uuid4().hex}"
 
 
-def _stream(spark, df):
-    """A stream over df's rows, by way of a table in the shared folder."""
+def _stream(spark, df, files: int = 1000):
+    """A stream over df's rows, by way of a table in the shared folder, so many of its files to a batch."""
     path = _folder(spark)
     df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _given(spark, sf, name):
@@ -72,6 +72,18 @@ def stream_intake(spark, sf):
     return jobs.run_available(intake.intake_gate(files)).select("doc_id", "reason")
 
 
+@query("SELECT job_id, record_index, score, band, status, normalized_label, taxonomy_status FROM norm", *N)
+def stream_intake_chain(spark, sf):
+    """Filings as they arrive, each whole in one file: every batch is scored, classified and normalized as the batch queries are."""
+    taxonomy = fixture(spark, sf, "fx_taxonomy")
+    arriving = _stream(spark, items(spark, sf).repartition("job_id"), files=64)
+
+    def chain(batch):
+        return normalized_items(batch, taxonomy).select("job_id", "record_index", "score", "band", "status", "normalized_label", "taxonomy_status")
+
+    return jobs.run_available(arriving, process=chain).drop("_batch")
+
+
 # ---- sinks, read back
 @query("SELECT job_id, record_index, value, score, band, CASE WHEN record_index % 2 = 0 THEN 'rerun' ELSE 'first' END AS run FROM scored", *S)
 def stage_sink(spark, sf):

@@ -113,17 +113,19 @@ def review(actions: DataFrame, items: DataFrame) -> DataFrame:
     return actions.join(start, "item_id").groupBy("item_id").applyInPandasWithState(step, REVIEWED, REVIEW_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(out: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(out: DataFrame, mode: str = "append", process: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over what its source holds now; the rows of all its batches, with the number of each as _batch.
 
-    Batches and checkpoint lie in the shared folder, so a restarted task or driver goes on from there.
+    process, a chain of batch operators, turns each batch into the rows to write; a batch that is tried again replaces
+    its own folder. Batches and checkpoint lie in the shared folder, so a restarted task or driver goes on from there.
     """
     root = f"{scratch_dir(out.sparkSession)}/tallyspan-stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/_batch={number}")
+        (process(batch) if process else batch).write.mode("overwrite").parquet(f"{root}/out/_batch={number}")
 
     q = out.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    schema = process(out.sparkSession.createDataFrame([], out.schema)).schema if process else out.schema
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return out.sparkSession.read.schema(f"{kinds}, _batch int").option("basePath", f"{root}/out").parquet(f"{root}/out/*")

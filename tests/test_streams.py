@@ -119,3 +119,13 @@ def test_run_available_twice(spark):
     intake.stage_sink(rows, root + "/t", "b")
     intake.stage_sink(rows.where("b = 1").selectExpr("k + 100 AS k", "b"), root + "/t", "b")
     assert sorted(r.k for r in spark.read.parquet(root + "/t").collect()) == [0, 2, 3, 5, 6, 8, 101, 104, 107]
+
+
+def test_run_available_with_a_chain(spark, tmp_path):
+    """Each batch goes through batch operators; a source of several files is read in several batches, and an empty one gives no rows."""
+    rows = spark.range(40).select((F.col("id") % 5).alias("k"), "id").repartition(4, "k")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = jobs.run_available(stream, process=lambda batch: batch.groupBy("k").agg(F.sum("id").alias("total")))
+    assert {r.k: r.total for r in out.collect()} == {k: sum(range(k, 40, 5)) for k in range(5)}
+    assert out.select("_batch").distinct().count() > 1 and out.columns == ["k", "total", "_batch"]
