@@ -38,21 +38,28 @@ def formula_input_counts(classified: DataFrame) -> DataFrame:
     return out.withColumn("excluded", F.col("received") - F.col("confirmed"))
 
 
-def formula_nodes(inputs: DataFrame, metric: str = "Adjusted EBITDA") -> DataFrame:
-    """(job_id, node_id, parent_id, kind, label, group_label, seq, value, first): leaves, aggregates of labels met twice, one root.
+#: what provenance_build() asks formula_nodes() to carry along with the leaves
+SOURCE = ("source_file", "page", "x0", "y0", "x1", "y1")
+
+
+def formula_nodes(inputs: DataFrame, metric: str = "Adjusted EBITDA", carry: tuple = ()) -> DataFrame:
+    """(job_id, node_id, parent_id, kind, label, group_label, seq, value, first) and, where columns of inputs are
+    named in carry, source: these as a struct on leaves, null elsewhere. Nodes are leaves, aggregates of labels met twice, one root.
 
     Groups are by the exact label, in order of first appearance, whatever their ids: labels that differ in case
     or marks have one slug but are groups of their own. One exchange by job serves all windows; a row becomes
     its leaf, and the first of a group or job its aggregate or root as well.
     """
     job, group = Window.partitionBy("job_id"), Window.partitionBy("job_id", "leaf_label")
-    rows = inputs.where("reason is null").select("job_id", "leaf_label", "record_index", "page", "value")
+    rows = inputs.where("reason is null").select("job_id", "leaf_label", "record_index", "page", "value", *([F.struct(*carry).alias("source")] if carry else []))
     rows = rows.withColumn("start", F.min("record_index").over(job)).withColumns({"n": F.count(F.lit(1)).over(group), "first": F.min("record_index").over(group)})
     many, index, none = F.col("n") >= 2, F.col("record_index"), F.lit(None).cast("string")
     root_id, agg_id = F.concat(F.lit("root_"), slug(F.lit(metric))), F.concat(F.lit("agg_"), slug(F.col("leaf_label")))
 
     def node(node_id, parent, kind, label, group_label, value, first):
         parts = {"node_id": node_id, "parent_id": parent, "kind": F.lit(kind), "label": label, "group_label": group_label, "seq": index, "value": value, "first": first}
+        if carry:
+            parts["source"] = F.when(F.lit(kind == "leaf"), F.col("source"))
         return F.struct(*[v.alias(k) for k, v in parts.items()])
 
     leaf_id = F.concat(F.lit("leaf_"), index.cast("string"), F.lit("_"), slug(F.col("leaf_label")))
@@ -90,7 +97,7 @@ def reconciliation_total(inputs: DataFrame) -> DataFrame:
 
 
 def model_cells(nodes: DataFrame) -> DataFrame:
-    """(job_id, sheet, coord, node_id, kind, group_label, content): inputs from row 1 down, the reconciliation from row 3
+    """(job_id, sheet, coord, node_id, kind, group_label, content) and source where nodes have it: inputs from row 1 down, the reconciliation from row 3
     with groups before their totals. Children are those of the same group label; windows by job replace joins."""
     leaf = F.col("kind") == "leaf"
     by_leaf = Window.partitionBy("job_id", "kind").orderBy("seq")
@@ -99,18 +106,20 @@ def model_cells(nodes: DataFrame) -> DataFrame:
     whole = lambda *by: Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     under_root = F.collect_list(F.when(F.col("parent_id").startswith("root_"), F.col("coord"))).over(whole("job_id"))
     under_group = F.collect_list(F.when(leaf, F.col("coord"))).over(whole("job_id", "group_label"))
-    placed = placed.withColumns({"under_root": under_root, "under_group": under_group})
-    refs = F.when(F.col("kind") == "root", F.col("under_root")).when(F.col("kind") == "aggregate", F.col("under_group"))
-    content = F.when(leaf, F.concat(F.lit("=Source_Inputs!"), "up")).otherwise(F.concat(F.lit("="), F.array_join(refs, "+")))
-    cell = lambda sheet, at, what: F.struct(F.lit(sheet).alias("sheet"), at.alias("coord"), "node_id", "kind", "group_label", what.alias("content"))
+    # each list goes to its parent's row alone before the next exchange
+    placed = placed.withColumn("refs", under_root).withColumn("refs", F.when(F.col("kind") == "root", F.array_join("refs", "+")))
+    placed = placed.withColumn("group_refs", under_group).withColumn("refs", F.when(F.col("kind") == "aggregate", F.array_join("group_refs", "+")).otherwise(F.col("refs")))
+    content = F.when(leaf, F.concat(F.lit("=Source_Inputs!"), "up")).otherwise(F.concat(F.lit("="), "refs"))
+    along = ["source"] if "source" in nodes.columns else []
+    cell = lambda sheet, at, what: F.struct(F.lit(sheet).alias("sheet"), at.alias("coord"), "node_id", "kind", "group_label", what.alias("content"), *along)
     both = F.array_compact(F.array(F.when(leaf, cell("Source_Inputs", F.col("up"), F.col("value"))), cell("Reconciliation", F.col("coord"), content)))
     return placed.select("job_id", F.explode(both).alias("c")).select("job_id", "c.*")
 
 
-def provenance_build(cells: DataFrame, items: DataFrame) -> DataFrame:
-    """One nested record a cell: a leaf points to its file, page and box, all else to the model."""
-    src = items.select("job_id", F.concat(F.lit("leaf_"), F.col("record_index").cast("string"), F.lit("_"), slug(F.col("leaf_label"))).alias("node_id"), "source_file", "page", F.struct("x0", "y0", "x1", "y1").alias("box"))
-    out = cells.join(src, ["job_id", "node_id"], "left")
+def provenance_build(cells: DataFrame) -> DataFrame:
+    """One nested record a cell of nodes that carry SOURCE: a leaf points to its file, page and box, all else to the model."""
+    src = F.col("source")
+    out = cells.withColumns({"source_file": src["source_file"], "page": src["page"], "box": F.when(src.isNotNull(), F.struct(*[src[b].alias(b) for b in SOURCE[2:]]))})
     leaf = F.col("kind") == "leaf"
     where = F.when(leaf, F.format_string("page=%d&xywh=%.2f,%.2f,%.2f,%.2f", "page", "box.x0", "box.y0", F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0")))
     target = F.struct(F.when(leaf, F.col("source_file")).otherwise("model_derived").alias("source"), F.struct(where.alias("value"), F.struct(F.col("box").alias("coordinates")).alias("refinedBy")).alias("selector"))
@@ -118,24 +127,40 @@ def provenance_build(cells: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("job_id", "sheet", "coord", "node_id", F.col("kind").alias("kind_"), (~leaf | (F.col("sheet") == "Reconciliation")).alias("is_formula"), body.alias("body"), target.alias("target"))
 
 
-def source_chain(cells: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(job_id, sheet, coord, leaf_id): the leaves under every cell: its own, its group's by label, or all of the job's."""
-    leaves = nodes.where("kind = 'leaf'").select("job_id", F.col("node_id").alias("leaf_id"), "group_label")
-    own = cells.where("kind = 'leaf'").select("job_id", "sheet", "coord", F.col("node_id").alias("leaf_id"))
-    group = cells.where("kind = 'aggregate'").join(leaves, ["job_id", "group_label"]).select("job_id", "sheet", "coord", "leaf_id")
-    whole = cells.where("kind = 'root'").join(leaves, "job_id").select("job_id", "sheet", "coord", "leaf_id")
-    return own.unionByName(group).unionByName(whole)
+def source_chain(cells: DataFrame) -> DataFrame:
+    """(job_id, sheet, coord, leaf_id): the leaves under every cell: its own, its group's by label, or all of the job's.
+
+    One reading of cells: a leaf goes to its own cells, its group and its job, where a window finds the parent's place.
+    """
+    kind, leaf, none = F.col("kind"), F.col("kind") == "leaf", F.lit(None).cast("string")
+    at, apart = F.struct("sheet", "coord"), F.concat_ws("!", "sheet", "coord")
+
+    def entry(under, key, leaf_id, place):
+        return F.struct(F.lit(under).alias("under"), key.alias("key"), leaf_id.alias("leaf_id"), place.alias("at"))
+
+    nowhere, whole = F.when(F.lit(False), at), F.lit("")
+    once = leaf & (F.col("sheet") == "Reconciliation")
+    entries = F.array_compact(
+        F.array(
+            F.when(leaf, entry("leaf", apart, F.col("node_id"), at)),
+            F.when(once, entry("aggregate", F.col("group_label"), F.col("node_id"), nowhere)),
+            F.when(once, entry("root", whole, F.col("node_id"), nowhere)),
+            F.when(kind == "aggregate", entry("aggregate", F.col("group_label"), none, at)),
+            F.when(kind == "root", entry("root", whole, none, at)),
+        )
+    )
+    rows = cells.select("job_id", F.explode(entries).alias("e")).select("job_id", "e.*")
+    rows = rows.withColumn("at", F.max("at").over(Window.partitionBy("job_id", "under", "key")))
+    return rows.where("leaf_id is not null and at is not null").select("job_id", "at.sheet", "at.coord", "leaf_id")
 
 
-def source_chain_of(refs: DataFrame, cells: DataFrame, nodes: DataFrame) -> DataFrame:
+def source_chain_of(refs: DataFrame, cells: DataFrame) -> DataFrame:
     """(job_id, sheet, coord, is_found, leaf_id) of refs (job_id, sheet, coord); blanks around both and the case of coord do
-    not matter. A ref to no cell is one row with is_found false and no leaf."""
+    not matter. A ref to no cell is one row with is_found false and no leaf; every cell has a leaf."""
     wanted = refs.select("job_id", strip(F.col("sheet")).alias("sheet"), F.upper(strip(F.col("coord"))).alias("coord")).distinct()
-    at = ["job_id", "sheet", "coord"]
-    named = cells.join(wanted, at, "left_semi")
-    found = source_chain(named, nodes)
-    out = wanted.join(named.select(*at, F.lit(True).alias("is_found")), at, "left").join(found, at, "left")
-    return out.select(*at, F.coalesce("is_found", F.lit(False)).alias("is_found"), "leaf_id")
+    named = cells.join(wanted.select("job_id").distinct(), "job_id", "left_semi")
+    out = wanted.join(source_chain(named), ["job_id", "sheet", "coord"], "left")
+    return out.select("job_id", "sheet", "coord", F.col("leaf_id").isNotNull().alias("is_found"), "leaf_id")
 
 
 def formula_inputs_review(review: DataFrame) -> DataFrame:

@@ -41,18 +41,15 @@ def _review(spark, sf):
 
 
 def _model(spark, sf):
-    nodes = r.formula_nodes(_inputs(spark, sf))
-    return nodes, r.model_cells(nodes)
+    return r.model_cells(r.formula_nodes(_inputs(spark, sf), carry=r.SOURCE))
 
 
 def _provenance(spark, sf):
-    _, cells = _model(spark, sf)
-    return r.provenance_build(cells, _inputs(spark, sf).where("reason is null"))
+    return r.provenance_build(_model(spark, sf))
 
 
 def _enriched(spark, sf):
-    nodes, cells = _model(spark, sf)
-    return a.chain_review_enrich(r.source_chain(cells, nodes), _review(spark, sf))
+    return a.chain_review_enrich(r.source_chain(_model(spark, sf)), _review(spark, sf))
 
 
 def _drift(spark, sf):
@@ -108,7 +105,7 @@ def reconciliation_tie_out(spark, sf):
 
 @query(f"SELECT job_id, bool_or(kind = 'root') AS success, count(*) AS cells, count(*) FILTER (sheet <> 'Source_Inputs') AS formulas, count(*) FILTER (sheet = 'Source_Inputs') AS sources, count(*) FILTER (sheet = 'Source_Inputs' AND {_num('content')} IS NULL) AS unparsed FROM cells_ GROUP BY 1", *R2)
 def generation_result(spark, sf):
-    return r.generation_result(_model(spark, sf)[1])
+    return r.generation_result(_model(spark, sf))
 
 
 @query("""SELECT job_id, reason IS NULL AS ready, reason FROM (SELECT j.job_id, CASE WHEN n.job_id IS NULL THEN 'no confirmed items' WHEN target_metric <> 'Adjusted EBITDA' THEN 'metric is not supported' END AS reason
@@ -139,17 +136,17 @@ def chain_review_enrich(spark, sf):
 SELECT k.job_id, k.sheet, k.coord, count(h.leaf_id) AS n, count(*) FILTER (review_status = 'locked') AS locked, count(*) FILTER (review_status = 'source_record_missing') AS missing, count(*) FILTER (review_status = 'flagged') AS flagged
 FROM cells_ k LEFT JOIN enr h ON h.job_id = k.job_id AND h.sheet = k.sheet AND h.coord = k.coord GROUP BY 1, 2, 3)""", *CH)
 def chain_rollup(spark, sf):
-    return a.chain_rollup(_model(spark, sf)[1], _enriched(spark, sf))
+    return a.chain_rollup(_model(spark, sf), _enriched(spark, sf))
 
 
 @query("""SELECT h.job_id, h.sheet, h.coord, h.leaf_id, g.seq IS NULL AS is_gap, CASE WHEN g.seq IS NULL THEN 'source_record_missing' ELSE review_status END AS review_status, CASE WHEN g.seq IS NULL THEN '[missing]' ELSE h.value END AS value,
   CASE WHEN g.seq IS NULL THEN '[missing]' ELSE h.label END AS label, coalesce(i.source_file, 'unknown') AS source_file, coalesce(i.page, 1) AS page, coalesce(i.x0, 0) AS x0, coalesce(i.y1, 0) AS y1
 FROM enr h LEFT JOIN nodes g ON g.job_id = h.job_id AND g.node_id = h.leaf_id AND g.kind = 'leaf' AND g.seq % 9 <> 3 LEFT JOIN inputs i ON i.job_id = g.job_id AND i.record_index = g.seq""", *CH)
 def chain_components(spark, sf):
-    nodes, cells = _model(spark, sf)
-    records = _inputs(spark, sf).where("record_index % 9 <> 3").select("job_id", "record_index", "source_file", "page", *c.BOX)
-    leaves = nodes.where("kind = 'leaf'").select("job_id", F.col("node_id").alias("leaf_id"), F.col("seq").alias("record_index")).join(records, ["job_id", "record_index"])
-    out = a.chain_components(r.source_chain(cells, nodes), leaves, _review(spark, sf))
+    cells = _model(spark, sf)
+    known = F.regexp_extract("node_id", r"^leaf_(\d+)_", 1).cast("int") % 9 != 3
+    leaves = cells.where((F.col("sheet") == "Source_Inputs") & known).select("job_id", F.col("node_id").alias("leaf_id"), "source.*")
+    out = a.chain_components(r.source_chain(cells), leaves, _review(spark, sf))
     return out.select("job_id", "sheet", "coord", "leaf_id", "is_gap", "review_status", "value", "label", "source_file", "page", "x0", "y1")
 
 
@@ -206,7 +203,7 @@ def report_metadata(spark, sf):
 FROM (SELECT job_id FROM fx_jobs UNION ALL SELECT 'x' || c_custkey FROM customer) q LEFT JOIN fx_jobs j ON j.job_id = q.job_id""", *R2, REVIEW, RV, JOBS)
 def audit_eligibility(spark, sf):
     asked = _jobs(spark, sf).select("job_id").union(spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string"))))
-    return a.audit_eligibility(asked, _jobs(spark, sf), _model(spark, sf)[1], _review(spark, sf), normalized(spark, sf).where("record_index > 2"))
+    return a.audit_eligibility(asked, _jobs(spark, sf), _model(spark, sf), _review(spark, sf), normalized(spark, sf).where("record_index > 2"))
 
 
 # ---- report

@@ -631,23 +631,21 @@ def model_cells(spark, sf):
   CASE WHEN c.kind = 'leaf' THEN format('page={}&xywh={:.2f},{:.2f},{:.2f},{:.2f}', i.page, i.x0, i.y0, i.x1 - i.x0, i.y1 - i.y0) END AS selector
 FROM cells_ c LEFT JOIN rows_ i ON i.job_id = c.job_id AND 'leaf_' || i.record_index || '_' || """ + _slug("i.leaf_label") + " = c.node_id", *R2)
 def provenance_build(spark, sf):
-    ins = _inputs(spark, sf)
-    out = r.provenance_build(r.model_cells(r.formula_nodes(ins)), ins.where("reason is null"))
+    out = r.provenance_build(r.model_cells(r.formula_nodes(_inputs(spark, sf), carry=r.SOURCE)))
     return out.select("job_id", "sheet", "coord", "node_id", "is_formula", F.col("body.value").alias("body_value"), F.col("target.source").alias("target_source"), F.col("target.selector.value").alias("selector"))
 
 
 @query("""SELECT c.job_id, c.sheet, c.coord, c.node_id AS leaf_id FROM cells_ c WHERE kind = 'leaf' UNION ALL SELECT c.job_id, c.sheet, c.coord, n.node_id FROM cells_ c JOIN nodes n ON n.job_id = c.job_id AND n.kind = 'leaf' AND (c.kind = 'root' OR n.group_label = c.group_label) WHERE c.kind <> 'leaf'""", *R2)
 def source_chain(spark, sf):
-    nodes = r.formula_nodes(_inputs(spark, sf))
-    return r.source_chain(r.model_cells(nodes), nodes)
+    return r.source_chain(r.model_cells(r.formula_nodes(_inputs(spark, sf))))
 
 
 @query("""SELECT q.job_id, q.sheet, q.coord, c.job_id IS NOT NULL AS is_found, n.node_id AS leaf_id FROM (SELECT job_id, 'Reconciliation' AS sheet, unnest(['B5', 'B900']) AS coord FROM fx_jobs) q
 LEFT JOIN cells_ c ON c.job_id = q.job_id AND c.sheet = q.sheet AND c.coord = q.coord LEFT JOIN nodes n ON n.job_id = c.job_id AND n.kind = 'leaf' AND (c.kind = 'root' OR (c.kind = 'aggregate' AND n.group_label = c.group_label) OR (c.kind = 'leaf' AND n.node_id = c.node_id))""", *R2, JOBS)
 def source_chain_of(spark, sf):
-    nodes = r.formula_nodes(_inputs(spark, sf))
+    cells = r.model_cells(r.formula_nodes(_inputs(spark, sf)))
     refs = fixture(spark, sf, "fx_jobs").select("job_id", F.lit(" Reconciliation ").alias("sheet"), F.explode(F.array(F.lit("b5"), F.lit("B900 "))).alias("coord"))
-    return r.source_chain_of(refs, r.model_cells(nodes), nodes)
+    return r.source_chain_of(refs, cells)
 
 
 # ---- review
