@@ -87,9 +87,14 @@ def classifier_response_check(raw: DataFrame) -> DataFrame:
 
 def classifier_responses(items: DataFrame) -> DataFrame:
     """Answers of a stand-in classifier over items: by suppkey, right, shouted, by name, or an error."""
+    label, wrong = stand_in_answer()
+    return items.select("job_id", "record_index", label.alias("resp_label"), F.when(~wrong, 0.9).alias("resp_confidence"), wrong.alias("is_error"))
+
+
+def stand_in_answer() -> tuple[Column, Column]:
+    """Label and error of the stand-in classifier's answer to an item."""
     k = F.col("suppkey") % 4
-    label = F.when(k == 0, F.col("p_type")).when(k == 1, F.upper("p_type")).when(k == 2, F.col("p_name"))
-    return items.select("job_id", "record_index", label.alias("resp_label"), F.when(k != 3, 0.9).alias("resp_confidence"), (k == 3).alias("is_error"))
+    return F.when(k == 0, F.col("p_type")).when(k == 1, F.upper("p_type")).when(k == 2, F.col("p_name")), k == 3
 
 
 def seed_taxonomy(spark: SparkSession) -> DataFrame:
@@ -156,16 +161,22 @@ def canonical_match(items: DataFrame, taxonomy: DataFrame, column: str, name: st
 
 
 def normalize_records(scored: DataFrame, responses: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """(job_id, record_index, normalized_label, taxonomy_status): answer exact, answer canonical, label canonical, else pending."""
-    out = scored.join(responses, ["job_id", "record_index"], "left")
-    out = exact_match(out, taxonomy, "resp_label")
+    """scored + normalized_label, taxonomy_status: answer exact, answer canonical, label canonical, else pending."""
+    answers = responses.select("job_id", "record_index", "resp_label", "is_error_resp")
+    return normalize_answered(scored.join(answers, ["job_id", "record_index"], "left"), taxonomy)
+
+
+def normalize_answered(answered: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """normalize_records() of rows that hold their answer already (resp_label, is_error_resp), which need no join to it."""
+    kept = [c for c in answered.columns if c not in ("resp_label", "is_error_resp")]
+    out = exact_match(answered, taxonomy, "resp_label")
     out = canonical_match(out, taxonomy, "resp_label", "by_answer")
     out = canonical_match(out, taxonomy, "label", "by_label")
     answered = F.coalesce(~F.col("is_error_resp"), F.lit(False))
     fit = F.col("band").isin("auto_accepted", "needs_review") & (F.col("status") == "ok")
     name = F.when(answered, F.coalesce("matched", "by_answer", "by_label", "resp_label")).when(fit, F.col("by_label"))
     hit = F.when(answered, F.coalesce("matched", "by_answer", "by_label")).when(fit, F.col("by_label"))
-    return out.select("job_id", "record_index", name.alias("normalized_label"), F.when(hit.isNotNull(), "matched").otherwise("pending").alias("taxonomy_status"))
+    return out.select(*kept, name.alias("normalized_label"), F.when(hit.isNotNull(), "matched").otherwise("pending").alias("taxonomy_status"))
 
 
 def metric_candidates(items: DataFrame, metric: str = "Adjusted EBITDA") -> DataFrame:

@@ -92,10 +92,10 @@ def normalized(spark, d_):
 
 
 def normalized_items(rows, taxonomy):
-    """Scored, classified and normalized items."""
-    base = s.score_with_context(rows)
-    resp = t.classifier_responses(rows).withColumnRenamed("is_error", "is_error_resp")
-    return base.join(t.normalize_records(base, resp, taxonomy), ["job_id", "record_index"])
+    """Scored, classified and normalized items, in one reading of rows."""
+    label, wrong = t.stand_in_answer()
+    answered = s.score_with_context(rows).withColumns({"resp_label": label, "is_error_resp": wrong})
+    return t.normalize_answered(answered, taxonomy)
 
 
 # ---- sources
