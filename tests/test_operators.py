@@ -159,3 +159,36 @@ def test_folds_leave_out_what_is_too_large(spark):
     c = spark.createDataFrame([("j", 1, i, i, 1.0) for i in range(4)] + [("j", 2, 0, 0, 1.0)], "job_id string, page int, item_pos int, record_index int, score double")
     assert {r.page for r in evaluate.greedy_match(c, most=3).collect()} == {2}
     assert [(r.page, r.n) for r in evaluate.oversized_candidates(c, most=3).collect()] == [(1, 4)]
+
+
+def test_normalize_with_and_without_a_join(spark):
+    """Answers joined to their records give what rows give that hold them already; a record without an answer counts as such."""
+    tax = spark.createDataFrame([(0, "Net Income"), (1, "Interest")], "position int, entry string")
+    cols = "job_id string, record_index int, label string, band string, status string"
+    scored = spark.createDataFrame([("a", 0, "x", "auto_accepted", "ok"), ("a", 1, "interest", "needs_review", "ok"), ("a", 2, "y", "auto_accepted", "ok"), ("a", 3, "Interest", "manual_required", "ok")], cols)
+    answers = spark.createDataFrame([("a", 0, "net-income", False), ("a", 2, "Other", False), ("a", 3, None, True)], "job_id string, record_index int, resp_label string, is_error_resp boolean")
+    joined = taxonomy.normalize_records(scored, answers, tax)
+    held = taxonomy.normalize_answered(scored.join(answers, ["job_id", "record_index"], "left"), tax)
+    want = [(0, "Net Income", "matched"), (1, "Interest", "matched"), (2, "Other", "pending"), (3, None, "pending")]
+    for out in (joined, held):
+        assert out.columns == scored.columns + ["normalized_label", "taxonomy_status"]
+        assert sorted((r.record_index, r.normalized_label, r.taxonomy_status) for r in out.collect()) == want
+
+
+def test_chain_of_every_cell(spark):
+    """Labels of one slug keep their leaves apart; a leaf's record carries its place; an unknown ref is one row."""
+    rows = [("j", i, n, 1, "5", "f.pdf", 1.0, 2.0, 3.0, 4.0, None) for i, n in enumerate(["Net Income", "Net income", "Net Income", "Net income", "Tax"])]
+    inputs = spark.createDataFrame(rows, "job_id string, record_index int, leaf_label string, page int, value string, source_file string, x0 double, y0 double, x1 double, y1 double, reason string")
+    cells_ = reconcile.model_cells(reconcile.formula_nodes(inputs, carry=reconcile.SOURCE))
+    kinds = {(r.sheet, r.coord): r.kind for r in cells_.collect()}
+    got = {}
+    for r in reconcile.source_chain(cells_).collect():
+        got.setdefault((r.sheet, r.coord), set()).add(int(r.leaf_id.split("_")[1]))
+    assert set(got) == set(kinds)
+    assert sorted(tuple(sorted(v)) for k, v in got.items() if kinds[k] != "leaf") == [(0, 1, 2, 3, 4), (0, 2), (1, 3)]
+    assert all(len(v) == 1 for k, v in got.items() if kinds[k] == "leaf")
+    made = reconcile.provenance_build(cells_).select("kind_", "target.source", "target.selector.value").distinct().collect()
+    assert {(r.kind_, r.source, r.value) for r in made} == {("leaf", "f.pdf", "page=1&xywh=1.00,2.00,2.00,2.00"), ("aggregate", "model_derived", None), ("root", "model_derived", None)}
+    refs = spark.createDataFrame([("j", " Reconciliation", "b3 "), ("j", "Reconciliation", "B99"), ("k", "Reconciliation", "B3")], "job_id string, sheet string, coord string")
+    chain = {(r.job_id, r.coord): (r.is_found, r.leaf_id) for r in reconcile.source_chain_of(refs, cells_).collect()}
+    assert chain == {("j", "B3"): (True, "leaf_0_net_income"), ("j", "B99"): (False, None), ("k", "B3"): (False, None)}
