@@ -1,11 +1,11 @@
-"""The ten training-data queries and their SQL."""
+"""The training-data queries and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspan.llm import bloom_lm, chat, embeddings, media, mixing, packing, quality, simhash, substring, urls
+from tallyspan.llm import bloom_lm, centroids, chat, embeddings, media, mixing, packing, quality, ranking, simhash, substring, urls
 from tallyspan.llm.common import table
 
 
@@ -57,5 +57,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_url_filters, op3_embedding_dedup, op4_packing, op5_media_columns, op6_quality_classifier, op7_substring_dedup, op8_lm_scoring, op9_mixing_sources, op10_simhash)}
-ORACLES = {"op1_chat_formatting": chat.ORACLE, "op2_url_filters": urls.ORACLE, "op9_mixing_sources": mixing.ORACLE}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_table(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_url_filters, op3_embedding_dedup, op4_packing, op5_media_columns, op6_quality_classifier, op7_substring_dedup,
+        op8_lm_scoring, op9_mixing_sources, op10_simhash, op11_lexical_search, op12_centroid_clustering,
+    )
+}
+ORACLES = {"op1_chat_formatting": chat.ORACLE, "op2_url_filters": urls.ORACLE, "op9_mixing_sources": mixing.ORACLE, "op11_lexical_search": ranking.ORACLE, "op12_centroid_clustering": centroids.ORACLE}
