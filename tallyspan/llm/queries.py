@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspan.llm import bloom_lm, centroids, chat, embeddings, media, mixing, packing, quality, ranking, simhash, substring, urls
+from tallyspan.llm import bloom_lm, centroids, chat, embeddings, media, mixing, packing, pii, quality, ranking, simhash, substring, urls
 from tallyspan.llm.common import table
 
 
@@ -65,11 +65,15 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_table(table(spark, sf_dir, "embeddings"))
 
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_url_filters, op3_embedding_dedup, op4_packing, op5_media_columns, op6_quality_classifier, op7_substring_dedup,
-        op8_lm_scoring, op9_mixing_sources, op10_simhash, op11_lexical_search, op12_centroid_clustering,
+        op8_lm_scoring, op9_mixing_sources, op10_simhash, op11_lexical_search, op12_centroid_clustering, op13_private_data,
     )
 }
 ORACLES = {"op1_chat_formatting": chat.ORACLE, "op2_url_filters": urls.ORACLE, "op9_mixing_sources": mixing.ORACLE, "op11_lexical_search": ranking.ORACLE, "op12_centroid_clustering": centroids.ORACLE}
