@@ -58,14 +58,6 @@ def bbox_iou(a: str, b: str) -> Column:
     return F.when((w > 0) & (h > 0), F.bround(both / (area(a) + area(b) - both), 4)).otherwise(0.0)
 
 
-def struct_iou(g: Column, x: Column) -> Column:
-    """bbox_iou() of two structs, g with gx0 .. gy1 and x with x0 .. y1."""
-    w = F.least(g["gx1"], x["x1"]) - F.greatest(g["gx0"], x["x0"])
-    h = F.least(g["gy1"], x["y1"]) - F.greatest(g["gy0"], x["y0"])
-    areas = (g["gx1"] - g["gx0"]) * (g["gy1"] - g["gy0"]) + (x["x1"] - x["x0"]) * (x["y1"] - x["y0"])
-    return F.when((w > 0) & (h > 0), F.bround(w * h / (areas - w * h), 4)).otherwise(0.0)
-
-
 def px_bbox(width: Column, height: Column, box: Column | None = None) -> Column:
     """(left, top, width, height) in pixels of a box in thousandths of a page of the given size: clamped, ordered,
     at least one pixel each way; zeros where the page has no size. Halves go up, as on a screen."""

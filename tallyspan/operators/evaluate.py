@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspan.functions import words
-from tallyspan.functions.exprs import accounting_number, bbox_iou, percent, ratio, same_value, strip, struct_iou
+from tallyspan.functions.exprs import accounting_number, bbox_iou, percent, ratio, same_value, strip
+from tallyspan.operators.matching import matched_pages
 
 
 def truth(items: DataFrame) -> DataFrame:
@@ -35,46 +36,48 @@ def extracted(items: DataFrame) -> DataFrame:
 
 
 def match_candidates(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFrame:
-    """Pairs on one page of one filing with a score; the join is an equi-join, the rest a residual."""
+    """All pairs on one page of one filing that can match, with a score.
+
+    Three keyed joins, of amounts (or texts) in neighbouring buckets, of labels, and of boxes in a grid cell; each pair
+    comes from the first that finds it, so nothing is made distinct afterwards.
+    """
     gt = gt.withColumns({"gt_num": accounting_number(F.col("gt_value")), "_gl": F.lower(strip(F.col("gt_label")))})
     ext = ext.withColumns({"num": accounting_number(F.col("value")), "_el": F.lower(strip(F.col("label")))})
-    pairs = gt.join(ext, ["job_id", "page"])
-    pairs = pairs.withColumns(
-        {
-            "iou": bbox_iou("g", ""),
-            "value_eq": same_value(F.col("gt_value"), F.col("value"), F.col("gt_num"), F.col("num")),
-            "label_eq": F.col("_gl") == F.col("_el"),
-        }
-    )
-    pairs = pairs.drop("_gl", "_el").where((F.col("iou") >= iou) | F.col("value_eq") | F.col("label_eq"))
+    facts = {
+        "iou": bbox_iou("g", ""),
+        "value_eq": same_value(F.col("gt_value"), F.col("value"), F.col("gt_num"), F.col("num")),
+        "label_eq": F.coalesce(F.col("_gl") == F.col("_el"), F.lit(False)),
+    }
+    # two buckets are as wide as the tolerance, so equal amounts are in the same or the next one
+    at = lambda number, text, by: F.when(number.isNull(), F.concat(F.lit("t"), F.coalesce(F.lower(strip(text)), F.lit("")), text.isNull().cast("string"))).otherwise(F.concat(F.lit("n"), (F.floor(number * 500).cast("double") + by).cast("string")))
+    mine = F.explode(F.array_distinct(F.array(*[at(F.col("gt_num"), F.col("gt_value"), k) for k in (-1, 0, 1)])))
+    by_value = gt.withColumn("_key", mine).join(ext.withColumn("_key", at(F.col("num"), F.col("value"), 0)), ["job_id", "page", "_key"]).withColumns(facts).where("value_eq")
+    by_label = gt.withColumn("_key", F.col("_gl")).join(ext.withColumn("_key", F.col("_el")), ["job_id", "page", "_key"]).withColumns(facts).where("not value_eq")
+    cells = lambda p: F.explode(F.flatten(F.transform(_steps(p + "x0", p + "x1"), lambda i: F.transform(_steps(p + "y0", p + "y1"), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
+    one = (F.col("_cell.i") == _cell(F.greatest("gx0", "x0"))) & (F.col("_cell.j") == _cell(F.greatest("gy0", "y0")))  # of the cells that two boxes share, the one where their overlap begins
+    by_box = gt.withColumn("_cell", cells("g")).join(ext.withColumn("_cell", cells("")), ["job_id", "page", "_cell"]).where(one).withColumns(facts)
+    by_box = by_box.where((F.col("iou") >= iou) & ~F.col("value_eq") & ~F.col("label_eq"))
+    columns = [*[c for c in gt.columns if c != "_gl"], *[c for c in ext.columns if c not in ("_el", "job_id", "page")], *facts]
+    pairs = by_value.select(columns).union(by_label.select(columns)).union(by_box.select(columns))
     return pairs.withColumn("score", F.col("iou") * 2 + F.col("value_eq").cast("int") * 2 + F.col("label_eq").cast("int"))
 
 
-def greedy_match(candidates: DataFrame, most: int = 10_000) -> DataFrame:
-    """(job_id, page, item_pos, record_index): items in order take their best unused record.
+#: Side of a grid cell in thousandths of a page.
+CELL = 125
 
-    Pairs never leave their page, so each page folds on its own; a page of more than most pairs is left out
-    and found by oversized_candidates().
-    """
-    size = F.count(F.lit(1)).over(Window.partitionBy("job_id", "page"))
-    candidates = candidates.withColumn("_n", size).where(F.col("_n") <= most)
-    ranked = candidates.groupBy("job_id", "page", "item_pos").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("record_index").alias("r")))).alias("cands"))
-    pages = ranked.groupBy("job_id", "page").agg(F.array_sort(F.collect_list(F.struct("item_pos", F.transform("cands", lambda x: x["r"]).alias("rs")))).alias("items"))
 
-    def step(acc, item):
-        best = F.get(F.filter(item["rs"], lambda r: ~F.array_contains(acc["used"], r)), F.lit(0))
-        return F.when(best.isNull(), acc).otherwise(
-            F.struct(F.array_append(acc["used"], best).alias("used"), F.array_append(acc["out"], F.struct(item["item_pos"].alias("item_pos"), best.alias("record_index"))).alias("out"))
-        )
+def _cell(c: Column) -> Column:
+    return F.floor(c / CELL).cast("int")
+
 
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<item_pos:int,record_index:int>>").alias("out"))
-    done = pages.select("job_id", "page", F.explode(F.aggregate("items", start, step)["out"]).alias("m"))
-    return done.select("job_id", "page", "m.item_pos", "m.record_index")
+def _steps(low: str, high: str) -> Column:
+    """Cells that a box covers one way; none where it is empty or missing."""
+    return F.when(F.col(high) > F.col(low), F.sequence(_cell(F.col(low)), _cell(F.col(high)))).otherwise(F.array().cast("array<int>"))
 
 
-def oversized_candidates(candidates: DataFrame, most: int = 10_000) -> DataFrame:
-    """(job_id, page, n): pages with more candidate pairs than greedy_match() takes."""
-    return candidates.groupBy("job_id", "page").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+def greedy_match(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFrame:
+    """(job_id, page, item_pos, record_index): items in order take their best unused record, on pages of any size."""
+    return matched_pages(gt, ext, iou).where("is_match").select("job_id", "page", "item_pos", "record_index")
 
 
 def _status(value_eq: Column, class_: Column, gt_class: Column, iou: Column, least: float) -> Column:
@@ -82,9 +85,10 @@ def _status(value_eq: Column, class_: Column, gt_class: Column, iou: Column, lea
     return F.when(~value_eq, "value_mismatch").when(~class_eq, "classification_mismatch").when(iou < least, "localization_error").otherwise("exact_match")
 
 
-def match_status(matches: DataFrame, candidates: DataFrame, iou: float = 0.5) -> DataFrame:
-    out = matches.join(candidates, ["job_id", "page", "item_pos", "record_index"])
-    return out.withColumn("status", _status(F.col("value_eq"), F.col("class"), F.col("gt_class"), F.col("iou"), iou))
+def match_status(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFrame:
+    """Every item and record once, as matched_pages() has them, with the status."""
+    found = F.when(F.col("is_match"), _status(F.col("value_eq"), F.col("class"), F.col("gt_class"), F.col("iou"), iou))
+    return matched_pages(gt, ext, iou).withColumn("status", found.when(F.col("record_index").isNull(), "missed_item").otherwise("spurious_item"))
 
 
 def failure_pattern(diffs: DataFrame) -> DataFrame:
@@ -114,60 +118,17 @@ def spurious_items(ext: DataFrame, matches: DataFrame) -> DataFrame:
     return ext.join(matches, ["job_id", "page", "record_index"], "left_anti")
 
 
-#: Rows of a page that a fold takes; larger pages go to oversized_pages().
-MOST_ON_PAGE = 10_000
-
-
-def _sides(gt: DataFrame, ext: DataFrame) -> DataFrame:
-    """Both sides as rows (job_id, page, g or x, n): n is how many rows the page has."""
-    g = gt.select("job_id", "page", F.struct("item_pos", "gt_value", accounting_number(F.col("gt_value")).alias("gt_num"), F.lower(strip(F.col("gt_label"))).alias("gl"), "gt_class", "is_optional", "gx0", "gy0", "gx1", "gy1").alias("g"))
-    x = ext.select("job_id", "page", F.struct("record_index", "value", accounting_number(F.col("value")).alias("num"), F.lower(strip(F.col("label"))).alias("el"), "class", "x0", "y0", "x1", "y1").alias("x"))
-    rows = g.unionByName(x, allowMissingColumns=True)
-    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("job_id", "page")))
-
-
-def oversized_pages(gt: DataFrame, ext: DataFrame, most: int = MOST_ON_PAGE) -> DataFrame:
-    """(job_id, page, n): pages of more than most rows, which item_diffs() leaves out: a fold is one value."""
+def large_pages(gt: DataFrame, ext: DataFrame, least: int) -> DataFrame:
+    """(job_id, page, n): pages of more than least rows, each the work of one task in matched_pages()."""
     sides = gt.select("job_id", "page").union(ext.select("job_id", "page"))
-    return sides.groupBy("job_id", "page").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-
+    return sides.groupBy("job_id", "page").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
 
-def item_diffs(gt: DataFrame, ext: DataFrame, iou: float = 0.5, most: int = MOST_ON_PAGE) -> DataFrame:
-    """Matched, missed and spurious items with status and failure pattern: one exchange by page, then one fold.
 
-    Items in order take their best unused record: the highest score, then the least index. The same result
-    as match_candidates(), greedy_match() and match_status() one after the other, without their joins.
-    """
-    pages = _sides(gt, ext).where(F.col("n") <= most).groupBy("job_id", "page").agg(F.array_sort(F.collect_list("g")).alias("gs"), F.collect_list("x").alias("xs"))
-    kind = "struct<item_pos:int,record_index:int,gt_num:double,num:double,status:string,is_optional:boolean,iou:double>"
-
-    def pair(g: Column, x: Column) -> Column:
-        same, value_eq = struct_iou(g, x), same_value(g["gt_value"], x["value"], g["gt_num"], x["num"])
-        label_eq = g["gl"] == x["el"]
-        score = same * 2 + value_eq.cast("int") * 2 + F.coalesce(label_eq, F.lit(False)).cast("int")
-        ok = (same >= iou) | value_eq | F.coalesce(label_eq, F.lit(False))
-        return F.struct((-score).alias("score"), x["record_index"].alias("record_index"), same.alias("iou"), value_eq.alias("value_eq"), x["num"].alias("num"), x["class"].alias("class"), ok.alias("ok"))
-
-    def row(g, record, num, status, optional, same) -> Column:
-        none = F.lit(None)
-        return F.struct((none if g is None else g["item_pos"]).cast("int").alias("item_pos"), record.cast("int").alias("record_index"), (none if g is None or num is None else g["gt_num"]).cast("double").alias("gt_num"),
-                        (none if num is None else num).cast("double").alias("num"), status.alias("status"), optional.alias("is_optional"), same.cast("double").alias("iou"))
-
-    def step(acc: Column, item: Column) -> Column:
-        best = F.array_min(F.filter(item["ps"], lambda p: ~F.array_contains(acc["used"], p["record_index"])))
-        g = item["g"]
-        hit = row(g, best["record_index"], best["num"], _status(best["value_eq"], best["class"], g["gt_class"], best["iou"], iou), g["is_optional"], best["iou"])
-        lost = row(g, F.lit(None), None, F.lit("missed_item"), g["is_optional"], F.lit(0.0))
-        used = F.when(best.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], best["record_index"]))
-        return F.struct(used.alias("used"), F.array_append(acc["out"], F.when(best.isNull(), lost).otherwise(hit)).alias("out"))
-
-    # the pairs of an item are made once, before the fold looks at them
-    scored = F.transform("gs", lambda g: F.struct(g.alias("g"), F.filter(F.transform("xs", lambda x: pair(g, x)), lambda p: p["ok"]).alias("ps")))
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<{kind}>").alias("out"))
-    done = pages.select("job_id", "page", "xs", F.aggregate(scored, start, step).alias("f"))
-    more = F.transform(F.filter("xs", lambda x: ~F.array_contains(F.col("f.used"), x["record_index"])), lambda x: row(None, x["record_index"], None, F.lit("spurious_item"), F.lit(False), F.lit(0.0)))
-    out = done.select("job_id", "page", F.explode(F.concat(F.col("f.out"), more)).alias("d")).select("job_id", "page", "d.*")
-    return failure_pattern(out).select(*DIFF, "pattern")
+def item_diffs(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFrame:
+    """Matched, missed and spurious items with status and failure pattern: one exchange, by page."""
+    rows = match_status(gt, ext, iou)
+    amount = lambda c: F.when(F.col("is_match"), F.col(c)).alias(c)
+    return failure_pattern(rows.select(*[amount(c) if c in ("gt_num", "num") else c for c in DIFF])).select(*DIFF, "pattern")
 
 
 LEAST_ACCURACY, MOST_FLAGGED = 90, 15

@@ -274,7 +274,7 @@ def report_failed_filings(spark, sf):
 
 @query("SELECT job_id, page, n FROM (SELECT job_id, page, count(*) AS n FROM (SELECT job_id, page FROM gt UNION ALL SELECT job_id, page FROM ext) GROUP BY 1, 2) WHERE n > 5", *E1[:3])
 def oversized_pages(spark, sf):
-    return e.oversized_pages(*_sides(spark, sf), most=5)
+    return e.large_pages(*_sides(spark, sf), 5)
 
 
 # ---- the whole chain

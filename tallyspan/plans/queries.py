@@ -439,25 +439,24 @@ def match_candidates(spark, sf):
 
 @query("SELECT * FROM match", *E1)
 def greedy_match(spark, sf):
-    return e.greedy_match(e.match_candidates(*_sides(spark, sf)))
+    return e.greedy_match(*_sides(spark, sf))
 
 
 @query("SELECT job_id, page, item_pos, record_index, status FROM hit", *E2)
 def match_status(spark, sf):
-    cands = e.match_candidates(*_sides(spark, sf))
-    return e.match_status(e.greedy_match(cands), cands).select("job_id", "page", "item_pos", "record_index", "status")
+    return e.match_status(*_sides(spark, sf)).where("is_match").select("job_id", "page", "item_pos", "record_index", "status")
 
 
 @query("SELECT job_id, page, item_pos, is_optional FROM gt ANTI JOIN match USING (job_id, page, item_pos)", *E1)
 def missed_items(spark, sf):
     gt, ext = _sides(spark, sf)
-    return e.missed_items(gt, e.greedy_match(e.match_candidates(gt, ext))).select("job_id", "page", "item_pos", "is_optional")
+    return e.missed_items(gt, e.greedy_match(gt, ext)).select("job_id", "page", "item_pos", "is_optional")
 
 
 @query("SELECT job_id, page, record_index FROM ext ANTI JOIN match USING (job_id, page, record_index)", *E1)
 def spurious_items(spark, sf):
     gt, ext = _sides(spark, sf)
-    return e.spurious_items(ext, e.greedy_match(e.match_candidates(gt, ext))).select("job_id", "page", "record_index")
+    return e.spurious_items(ext, e.greedy_match(gt, ext)).select("job_id", "page", "record_index")
 
 
 @query("SELECT job_id, page, item_pos, record_index, status, pattern, is_optional, iou FROM diffs", *E2)

@@ -42,8 +42,14 @@ def test_published_corpus_figures(spark):
 
 
 def test_greedy_keeps_order(spark):
-    c = spark.createDataFrame([("j", 1, 0, 5, 2.0), ("j", 1, 0, 3, 2.0), ("j", 1, 1, 3, 5.0), ("j", 1, 2, 5, 1.0), ("j", 1, 3, 5, 9.0)], "job_id string, page int, item_pos int, record_index int, score double")
-    assert sorted((r.item_pos, r.record_index) for r in evaluate.greedy_match(c).collect()) == [(0, 3), (2, 5)]
+    """Every item likes record 3 and 5 best; the first in order takes the lower index."""
+    gt = [("j", 1, i, v, "Net income", "c", False, 0.0, 0.0, 10.0, 10.0) for i, v in enumerate(["5", "7", "5", "5"])]
+    ext = [("j", 1, 5, "5", "x", "c", 0.0, 0.0, 10.0, 10.0), ("j", 1, 3, "(7)", "y", "c", 50.0, 0.0, 60.0, 10.0), ("j", 1, 2, "5.0005", "z", "c", 70.0, 0.0, 80.0, 10.0), ("j", 2, 1, "7", "Net income", "c", 0.0, 0.0, 10.0, 10.0)]
+    gt = spark.createDataFrame(gt, "job_id string, page int, item_pos int, gt_value string, gt_label string, gt_class string, is_optional boolean, gx0 double, gy0 double, gx1 double, gy1 double")
+    ext = spark.createDataFrame(ext, "job_id string, page int, record_index int, value string, label string, class string, x0 double, y0 double, x1 double, y1 double")
+    assert sorted((r.item_pos, r.record_index) for r in evaluate.greedy_match(gt, ext).collect()) == [(0, 5), (2, 2)]
+    status = {(r.item_pos, r.record_index): r.status for r in evaluate.match_status(gt, ext).collect()}
+    assert status == {(0, 5): "exact_match", (2, 2): "localization_error", (1, None): "missed_item", (3, None): "missed_item", (None, 3): "spurious_item", (None, 1): "spurious_item"}
 
 
 def test_drift_batch_equals_stream(spark, tmp_path):
@@ -155,12 +161,6 @@ def test_classifiers(spark, tmp_path):
     assert taxonomy.taxonomy_scan(spark, str(tmp_path / "none.json")).count() == 10
 
 
-def test_folds_leave_out_what_is_too_large(spark):
-    c = spark.createDataFrame([("j", 1, i, i, 1.0) for i in range(4)] + [("j", 2, 0, 0, 1.0)], "job_id string, page int, item_pos int, record_index int, score double")
-    assert {r.page for r in evaluate.greedy_match(c, most=3).collect()} == {2}
-    assert [(r.page, r.n) for r in evaluate.oversized_candidates(c, most=3).collect()] == [(1, 4)]
-
-
 def test_normalize_with_and_without_a_join(spark):
     """Answers joined to their records give what rows give that hold them already; a record without an answer counts as such."""
     tax = spark.createDataFrame([(0, "Net Income"), (1, "Interest")], "position int, entry string")
