@@ -30,83 +30,9 @@ def review_sources(scored: DataFrame, classified: DataFrame, saved: DataFrame) -
     return mark(saved, "saved").unionByName(mark(from_classified, "classified")).unionByName(mark(from_scored, "scored"))
 
 
-#: Actions of an item that a fold takes; longer logs go to oversized_logs().
-MOST_ACTIONS = 10_000
-
-
-def oversized_logs(actions: DataFrame, most: int = MOST_ACTIONS) -> DataFrame:
-    """(item_id, n): items with more actions than review_action_replay() takes; it leaves them as they were."""
-    return actions.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-
-
-def review_action_replay(items: DataFrame, actions: DataFrame, most: int = MOST_ACTIONS) -> DataFrame:
-    """Each item after its actions, folded in order of seq.
-
-    items (item_id, status, value, label, normalized_label, band, taxonomy_status); actions (item_id,
-    seq, action, new_value, new_label, add_to_taxonomy). Returns (item_id, status, value, label,
-    normalized_label, taxonomy_status, applied, rejected, errors): a refused action changes nothing
-    and adds (seq, reason) to errors. In an edit a null value or label stays as it was; where
-    add_to_taxonomy is null, a batch confirm adds a pending label and a single confirm does not.
-    A state machine in a higher-order function: items are independent, so the fold is parallel over them.
-    """
-    fields = ("seq", "action", "new_value", "new_label", "add_to_taxonomy")
-    size = F.count(F.lit(1)).over(Window.partitionBy("item_id"))
-    taken = actions.withColumn("_n", size).where(F.col("_n") <= most)
-    log = taken.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("log"))
-    out = items.join(log, "item_id", "left")
-    pending_label = lambda s: F.coalesce(s["taxonomy"] == "pending", F.lit(False))
-    by_band = lambda s: F.when(s["band"].isin("auto_accepted", "needs_review"), s["band"]).otherwise("manual_required")
-    base = lambda s: F.when(pending_label(s), "pending_taxonomy").otherwise(by_band(s))
-
-    def step(s, a):
-        edit, confirm, flag, unlock, batch = (a["action"] == k for k in ("edit", "confirm", "flag", "unlock", "batch_confirm"))
-        locked, broken, pending = (s["status"] == k for k in ("locked", "extraction_error", "pending_taxonomy"))
-        add = F.coalesce(a["add_to_taxonomy"], batch)
-        why = (
-            F.when((edit | flag) & locked, "item is locked")
-            .when(edit & a["new_label"].isNotNull() & is_blank(a["new_label"]), "label is empty")
-            .when((confirm | batch) & broken, "item has an extraction error")
-            .when(confirm & pending & ~add, "label is not in the taxonomy")
-            .when(unlock & ~locked, "item is not locked")
-            .when(~(edit | confirm | flag | unlock | batch), "action is unknown")
-        )
-        no = why.isNotNull()
-        value = F.when(edit & ~no, F.coalesce(a["new_value"], s["value"])).otherwise(s["value"])
-        matched = ~no & add & (confirm | (batch & (pending | pending_label(s))))
-        status = (
-            F.when(no, s["status"])
-            .when(edit & broken & ~is_blank(value), F.when(s["band"] == "needs_review", "needs_review").otherwise("manual_required"))
-            .when(edit, s["status"])
-            .when(confirm | batch, "locked")
-            .when(flag & (s["status"] != "flagged"), "flagged")
-            .otherwise(base(s))
-        )
-        return F.struct(
-            status.alias("status"),
-            value.alias("value"),
-            F.when(edit & ~no, F.coalesce(a["new_label"], s["label"])).otherwise(s["label"]).alias("label"),
-            F.when(matched, F.coalesce(s["normalized"], s["label"])).otherwise(s["normalized"]).alias("normalized"),
-            s["band"].alias("band"),
-            F.when(matched, "matched").otherwise(s["taxonomy"]).alias("taxonomy"),
-            (s["applied"] + F.when(no, 0).otherwise(1)).alias("applied"),
-            F.when(no, F.array_append(s["errors"], F.struct(a["seq"].alias("seq"), why.alias("reason")))).otherwise(s["errors"]).alias("errors"),
-        )
-
-    kind = actions.schema["seq"].dataType.simpleString()
-    start = F.struct(
-        "status", "value", "label", F.col("normalized_label").alias("normalized"), "band", F.col("taxonomy_status").alias("taxonomy"),
-        F.lit(0).alias("applied"), F.array().cast(f"array<struct<seq:{kind},reason:string>>").alias("errors"),
-    )
-    empty = F.array().cast(actions.select(F.array(F.struct(*fields))).schema[0].dataType)
-    end = F.aggregate(F.coalesce("log", empty), start, step)
-    return out.select("item_id", end.alias("e")).select(
-        "item_id", "e.status", "e.value", "e.label", F.col("e.normalized").alias("normalized_label"), F.col("e.taxonomy").alias("taxonomy_status"), "e.applied", F.size("e.errors").alias("rejected"), "e.errors"
-    )
-
-
-def review_rejects(replayed: DataFrame) -> DataFrame:
-    """(item_id, seq, reason): one row for each refused action."""
-    return replayed.select("item_id", F.explode("errors").alias("e")).select("item_id", "e.seq", "e.reason")
+def long_logs(actions: DataFrame, least: int) -> DataFrame:
+    """(item_id, n): items with more than least actions."""
+    return actions.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
 
 
 def batch_confirm(items: DataFrame, ids: DataFrame | None = None, candidates_only: bool = True, auto_add: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:

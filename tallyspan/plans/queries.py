@@ -13,6 +13,7 @@ from tallyspan.operators import drift as d
 from tallyspan.operators import evaluate as e
 from tallyspan.operators import reconcile as r
 from tallyspan.operators import review as v
+from tallyspan.operators import review_log
 from tallyspan.operators import scoring as s
 from tallyspan.operators import taxonomy as t
 from tallyspan.sources import intake
@@ -679,7 +680,7 @@ def review_sources(spark, sf):
 
 @query("SELECT user_id::STRING AS item_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 12")
 def oversized_logs(spark, sf):
-    return v.oversized_logs(fixture(spark, sf, "fx_actions"), 12)
+    return v.long_logs(fixture(spark, sf, "fx_actions"), 12)
 
 
 BATCH = """batch AS (SELECT *, chosen AND st <> 'extraction_error' AS lock_, chosen AND st <> 'extraction_error' AND (st = 'pending_taxonomy' OR coalesce(taxonomy_status = 'pending', false)) AS add_ FROM (SELECT *, page = 1 AS chosen FROM review))"""
@@ -747,9 +748,9 @@ def action_items(spark, sf):
 
 @query("SELECT item_id, status, value, label, norm AS normalized_label, tax AS taxonomy_status, applied, rejected FROM last_", *FOLD)
 def review_action_replay(spark, sf):
-    return v.review_action_replay(action_items(spark, sf), fixture(spark, sf, "fx_actions")).drop("errors")
+    return review_log.review_action_replay(action_items(spark, sf), fixture(spark, sf, "fx_actions"))
 
 
 @query("SELECT item_id, split_part(e, ':', 1)::BIGINT AS seq, split_part(e, ':', 2) AS reason FROM (SELECT item_id, unnest(string_split(errs, ';')) AS e FROM last_) WHERE e <> ''", *FOLD)
 def review_rejects(spark, sf):
-    return v.review_rejects(v.review_action_replay(action_items(spark, sf), fixture(spark, sf, "fx_actions")))
+    return review_log.review_rejects(action_items(spark, sf), fixture(spark, sf, "fx_actions"))

@@ -156,7 +156,7 @@ def values_equivalent(spark, sf):
 BOTH = "greatest(least(x1, b1) - greatest(x0, b0), 0) * greatest(least(y1, c1) - greatest(y0, c0), 0)"
 
 
-@query(f"SELECT job_id, record_index, CASE WHEN {BOTH} > 0 THEN round({BOTH} / ((x1 - x0) * (y1 - y0) + (b1 - b0) * (c1 - c0) - {BOTH}), 4) ELSE 0 END::DOUBLE AS iou FROM (SELECT *, x0 + suppkey % 70 AS b0, x1 + suppkey % 70 AS b1, y0 + partkey % 16 AS c0, y1 + partkey % 16 AS c1 FROM fx_line_items)", ITEMS)
+@query(f"SELECT job_id, record_index, CASE WHEN {BOTH} > 0 THEN round_even({BOTH} / ((x1 - x0) * (y1 - y0) + (b1 - b0) * (c1 - c0) - {BOTH}), 4) ELSE 0 END::DOUBLE AS iou FROM (SELECT *, x0 + suppkey % 70 AS b0, x1 + suppkey % 70 AS b1, y0 + partkey % 16 AS c0, y1 + partkey % 16 AS c1 FROM fx_line_items)", ITEMS)
 def bbox_iou(spark, sf):
     across, down = F.col("suppkey") % 70, F.col("partkey") % 16
     rows = items(spark, sf).withColumns({"bx0": F.col("x0") + across, "bx1": F.col("x1") + across, "by0": F.col("y0") + down, "by1": F.col("y1") + down})

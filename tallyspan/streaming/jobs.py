@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyspan.operators.review_log import act
 from tallyspan.sources.intake import intake_gate
 from tallyspan.sources.scratch import scratch_dir
 
@@ -59,36 +60,6 @@ def intake(spark: SparkSession, path: str, done: str, checkpoint: str, process:
     return gated.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _act(state: tuple, action: str, new_value: str | None, new_label: str | None, add: bool | None) -> tuple:
-    """One review action on one item; a refused one is counted and changes nothing else."""
-    status, value, label, normalized, band, taxonomy, applied, rejected = state
-    add = action == "batch_confirm" if add is None else add
-    refused = {
-        "edit": status == "locked" or (new_label is not None and not new_label.strip()),
-        "confirm": status == "extraction_error" or (status == "pending_taxonomy" and not add),
-        "batch_confirm": status == "extraction_error",
-        "flag": status == "locked",
-        "unlock": status != "locked",
-    }.get(action, True)
-    if refused:
-        return (*state[:7], rejected + 1)
-    if action == "edit":
-        label = label if new_label is None else new_label
-        value = value if new_value is None else new_value
-        if status == "extraction_error" and (value or "").strip():
-            status = "needs_review" if band == "needs_review" else "manual_required"
-    elif action == "flag" and status != "flagged":
-        status = "flagged"
-    elif action in ("flag", "unlock"):
-        by_band = band if band in ("auto_accepted", "needs_review") else "manual_required"
-        status = "pending_taxonomy" if taxonomy == "pending" else by_band
-    else:
-        if add and (action == "confirm" or "pending_taxonomy" == status or taxonomy == "pending"):
-            taxonomy, normalized = "matched", label if normalized is None else normalized
-        status = "locked"
-    return status, value, label, normalized, band, taxonomy, applied + 1, rejected
-
-
 START = {"status": "_s", "value": "_v", "label": "_l", "normalized_label": "_n", "band": "_b", "taxonomy_status": "_t"}
 
 
@@ -106,7 +77,8 @@ def review(actions: DataFrame, items: DataFrame) -> DataFrame:
         rows = rows.where(rows.notna(), None)
         now = tuple(state.get) if state.exists else (*rows.iloc[0][list(START.values())], 0, 0)
         for action in zip(*[rows[c] for c in ("action", "new_value", "new_label", "add_to_taxonomy")]):
-            now = _act(now, *action)
+            after, why = act(now[:6], *action)
+            now = (*after, now[6] + (why is None), now[7] + (why is not None))
         state.update(now)
         yield pd.DataFrame([(key[0], *now[:4], *now[5:])], columns=["item_id", "status", "value", "label", "normalized_label", "taxonomy_status", "applied", "rejected"])
 

@@ -1,11 +1,13 @@
 """Streams against the batch forms of the same work."""
 
 import random
+import time
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyspan.operators import drift, review
+from tallyspan.operators import drift, review, review_log
 from tallyspan.streaming import jobs
 
 ACTIONS = "item_id string, seq int, action string, new_value string, new_label string, add_to_taxonomy boolean"
@@ -24,7 +26,7 @@ def test_review_batch_equals_stream(spark, tmp_path):
     ]
     items = spark.createDataFrame(starts, ITEMS)
     acts = spark.createDataFrame(log, ACTIONS)
-    want = {r.item_id: tuple(r)[1:] for r in review.review_action_replay(items, acts).drop("errors").collect()}
+    want = {r.item_id: tuple(r)[1:] for r in review_log.review_action_replay(items, acts).collect()}
 
     source = str(tmp_path / "in")
     seen = {}
@@ -61,10 +63,72 @@ def test_review_cases(spark):
     ]
     items = spark.createDataFrame([(str(i), *c[0]) for i, c in enumerate(cases)], ITEMS)
     acts = spark.createDataFrame([(str(i), k, *a) for i, c in enumerate(cases) for k, a in enumerate(c[1])], ACTIONS)
-    out = review.review_action_replay(items, acts)
-    got = {r.item_id: (r.status, r.value, r.label, r.normalized_label, r.taxonomy_status, r.applied, [x.reason for x in r.errors]) for r in out.collect()}
+    whys = {}
+    for r in sorted(review_log.review_rejects(items, acts).collect(), key=lambda r: r.seq):
+        whys.setdefault(r.item_id, []).append(r.reason)
+    out = review_log.review_action_replay(items, acts).collect()
+    got = {r.item_id: (r.status, r.value, r.label, r.normalized_label, r.taxonomy_status, r.applied, whys.get(r.item_id, [])) for r in out}
     assert got == {str(i): c[2] for i, c in enumerate(cases)}
-    assert review.review_rejects(out).count() == 4
+    assert {r.item_id: r.rejected for r in out} == {str(i): len(c[2][6]) for i, c in enumerate(cases)}
+
+
+def folded(state, log):
+    """One action after the other."""
+    state, applied, whys = tuple(state), 0, []
+    for seq, *action in log:
+        state, why = review_log.act(state, *action)
+        applied += why is None
+        whys += [(seq, why)] if why else []
+    return (*state[:4], state[5], applied), whys
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_composed_slices_equal_the_fold(spark, parts):
+    """Every case of the start, logs cut anywhere, statuses and bands that are not known, repeated seq, an action without item."""
+    rng = random.Random(parts)
+    pick = lambda *x: rng.choice(x)
+    starts = [(str(i), pick(*review_log.STATUSES, "odd", None), pick("", "1", None), pick("l", None), pick(None, None, "n"), pick("needs_review", "auto_accepted", "x", None), pick("pending", "matched", None)) for i in range(120)]
+    action = lambda: (pick("edit", "confirm", "batch_confirm", "flag", "unlock", "other", None), pick("2", " ", "é", None), pick("new", "m", " ", None), pick(True, False, None))
+    log = [(str(rng.randrange(118)), s, *action()) for s in range(2500)] + [(None, 1, *action())]
+    items, acts = spark.createDataFrame(starts, ITEMS), spark.createDataFrame(log, ACTIONS)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.item_id: tuple(r)[1:] for r in review_log.review_action_replay(items, acts).collect()}
+        whys = sorted((r.item_id, r.seq, r.reason) for r in review_log.review_rejects(items, acts).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, refused = {}, []
+    for i, *start in starts:
+        mine = sorted((a[1:] for a in log if a[0] == i), key=lambda a: a[0])
+        order = lambda s: (s[0], s[1], s[2], s[3], s[4], s[5])
+        end, no = folded(order(start), mine)
+        want[i] = (*end, len(no))
+        refused += [(i, *x) for x in no]
+    assert got == want and whys == sorted(refused)
+    empty = review_log.review_action_replay(items, acts.limit(0)).collect()
+    assert len(empty) == 120 and all(r.applied == r.rejected == 0 for r in empty) and review_log.review_rejects(items.limit(0), acts).count() == 0
+
+
+def test_a_million_actions_of_one_item(spark):
+    n = 1_000_000
+    items = spark.createDataFrame([("hot", "extraction_error", None, "l", None, "needs_review", "pending"), ("cold", "needs_review", "1", "l", None, "needs_review", None)], ITEMS)
+    kinds = "array('edit', 'confirm', 'flag', 'unlock', 'batch_confirm', 'flag', 'edit')"
+    acts = spark.range(n, numPartitions=8).selectExpr(
+        "if(id = 77, 'cold', 'hot') as item_id", "int(id) as seq", f"{kinds}[int(xxhash64(id) & 7) % 7] as action", "if(id % 3 = 0, 'v' || id, null) as new_value", "case id % 5 when 0 then 'n' || id when 1 then ' ' end as new_label", "id % 2 = 0 as add_to_taxonomy"
+    )
+    began = time.time()
+    got = {r.item_id: tuple(r)[1:] for r in review_log.review_action_replay(items, acts).collect()}
+    took = time.time() - began
+    log = {"hot": [], "cold": []}
+    for r in acts.toLocalIterator():
+        log[r.item_id].append(tuple(r)[1:])
+    for i, *start in items.collect():
+        end, no = folded(start, log[i])
+        assert got[i] == (*end, len(no))
+    assert took < 120
 
 
 def test_batch_confirm(spark):
