@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspan.functions.exprs import accounting_number, is_blank, slug, strip
@@ -110,12 +110,16 @@ def model_cells(nodes: DataFrame) -> DataFrame:
     placed = placed.withColumn("refs", under_root).withColumn("refs", F.when(F.col("kind") == "root", F.array_join("refs", "+")))
     placed = placed.withColumn("group_refs", under_group).withColumn("refs", F.when(F.col("kind") == "aggregate", F.array_join("group_refs", "+")).otherwise(F.col("refs")))
     content = F.when(leaf, F.concat(F.lit("=Source_Inputs!"), "up")).otherwise(F.concat(F.lit("="), "refs"))
-    along = ["source"] if "source" in nodes.columns else []
+    along = ["source", "label", "value"] if "source" in nodes.columns else []
     cell = lambda sheet, at, what: F.struct(F.lit(sheet).alias("sheet"), at.alias("coord"), "node_id", "kind", "group_label", what.alias("content"), *along)
     both = F.array_compact(F.array(F.when(leaf, cell("Source_Inputs", F.col("up"), F.col("value"))), cell("Reconciliation", F.col("coord"), content)))
     return placed.select("job_id", F.explode(both).alias("c")).select("job_id", "c.*")
 
 
+def provenance_id(job: Column, sheet: Column, coord: Column) -> Column:
+    return F.concat(F.lit("urn:provenance:"), job, F.lit(":"), sheet, F.lit(":"), coord)
+
+
 def provenance_build(cells: DataFrame) -> DataFrame:
     """One nested record a cell of nodes that carry SOURCE: a leaf points to its file, page and box, all else to the model."""
     src = F.col("source")
@@ -127,6 +131,19 @@ def provenance_build(cells: DataFrame) -> DataFrame:
     return out.select("job_id", "sheet", "coord", "node_id", F.col("kind").alias("kind_"), (~leaf | (F.col("sheet") == "Reconciliation")).alias("is_formula"), body.alias("body"), target.alias("target"))
 
 
+def provenance_text(cells: DataFrame, base: str = "") -> DataFrame:
+    """(job_id, sheet, coord, id, comment, link): a cell's provenance in words, and where it is found under base; of cells as provenance_build() takes them."""
+    leaf, src = F.col("kind") == "leaf", F.col("source")
+    ident = provenance_id(F.col("job_id"), F.col("sheet"), F.col("coord"))
+    box = F.format_string("BBox [0-1000]: [%.1f, %.1f, %.1f, %.1f]", *[src[b] for b in SOURCE[2:]])
+    of = F.concat(F.lit("Source: "), src["source_file"], F.lit(" (p. "), src["page"].cast("string"), F.lit(")"))
+    line = lambda name, c: F.concat(F.lit(name + ": "), F.coalesce(c, F.lit("")))
+    placed = F.concat_ws("\n", F.lit("[Provenance]"), line("Label", F.col("group_label")), line("Value", F.col("value")), of, box, line("ID", ident))
+    derived = F.concat_ws("\n", F.lit("[Provenance - Calculated]"), line("Metric", F.col("label")), line("Formula", F.col("content")), line("ID", ident))
+    link = F.concat_ws("/", F.lit(base + "/models"), "job_id", F.lit("provenance"), "sheet", "coord")
+    return cells.select("job_id", "sheet", "coord", ident.alias("id"), F.when(leaf, placed).otherwise(derived).alias("comment"), link.alias("link"))
+
+
 def source_chain(cells: DataFrame) -> DataFrame:
     """(job_id, sheet, coord, leaf_id): the leaves under every cell: its own, its group's by label, or all of the job's.
 
@@ -175,7 +192,7 @@ def formula_inputs_review(review: DataFrame) -> DataFrame:
 def reconciliation_tie_out(inputs: DataFrame, expected: DataFrame, metric: str, tolerance: float = 0.005) -> DataFrame:
     """(job_id, total, expected_total, ties): parts without the metric's own line against the total that the filing states."""
     own = F.lower("leaf_label") == metric.lower()
-    amount = F.when(~own, F.round(accounting_number(F.col("value")), 4).cast("decimal(28,4)"))
+    amount = F.when(~own, F.bround(accounting_number(F.col("value")), 4).cast("decimal(28,4)"))
     got = inputs.where("reason is null").groupBy("job_id").agg(F.coalesce(F.sum(amount).cast("double"), F.lit(0.0)).alias("total"))
     out = expected.select("job_id", "expected_total").join(got, "job_id", "left")
     return out.select("job_id", "total", "expected_total", F.coalesce(F.abs(F.col("total") - F.col("expected_total")) <= tolerance, F.lit(False)).alias("ties"))

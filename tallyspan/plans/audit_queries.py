@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from tallyspan.operators import audit as a
 from tallyspan.operators import cells as c
+from tallyspan.operators import chain
 from tallyspan.operators import evaluate as e
 from tallyspan.operators import reconcile as r
 from tallyspan.operators import report as p
 from tallyspan.operators import review as v
-from tallyspan.plans.queries import D, E1, E3, ITEMS, JOBS, N, ORACLES, QUERIES, R0, R2, REVIEW, RUNS, S, _compared, _inputs, _num, _sides, items, normalized, query, scored
+from tallyspan.plans.queries import D, E1, E3, ITEMS, JOBS, N, ORACLES, QUERIES, R0, R2, REVIEW, RUNS, S, _compared, _inputs, _num, _sides, _slug, items, normalized, query, scored
 from tallyspan.sources.fixtures import fixture, oracle
+from tallyspan.sources.scratch import stored
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -89,6 +91,54 @@ def assemble_records(spark, sf):
     return rows.select("job_id", "record_index", "value", "label", "page", "bbox.*", "source_file", "is_candidate")
 
 
+# ---- chains of stored provenance, from the text of its formulas
+TEXT_CHAIN = """mention AS (SELECT job_id, sheet, coord, unnest(regexp_extract_all(content, '(?:[A-Za-z_]+!)?[A-Z]+[0-9]+')) AS r FROM prov WHERE is_formula),
+hop AS (SELECT job_id, sheet, coord, CASE WHEN contains(r, '!') THEN split_part(r, '!', 1) ELSE sheet END AS to_sheet, split_part(r, '!', -1) AS to_coord FROM mention),
+led AS (SELECT * FROM hop UNION SELECT l.job_id, l.sheet, l.coord, h.to_sheet, h.to_coord FROM led l JOIN hop h ON h.job_id = l.job_id AND h.sheet = l.to_sheet AND h.coord = l.to_coord),
+text_chain AS (SELECT l.job_id, l.sheet, l.coord, l.to_sheet AS leaf_sheet, l.to_coord AS leaf_coord, p.node_id AS leaf_id, p.job_id IS NULL AS is_missing FROM led l ANTI JOIN hop h ON h.job_id = l.job_id AND h.sheet = l.to_sheet AND h.coord = l.to_coord
+  LEFT JOIN prov p ON p.job_id = l.job_id AND p.sheet = l.to_sheet AND p.coord = l.to_coord
+  UNION ALL SELECT job_id, sheet, coord, sheet, coord, node_id, false FROM prov WHERE NOT is_formula)"""
+TC = (*R2, PROV, TEXT_CHAIN)
+
+
+def _stored_provenance(spark, sf):
+    """Provenance as it lies in the shared folder, without labels of groups."""
+    return stored(_provenance(spark, sf).drop("kind_"))
+
+
+@query("SELECT * FROM text_chain", *TC)
+def source_chain_text(spark, sf):
+    return chain.source_chain_text(_stored_provenance(spark, sf))
+
+
+WHY = "CASE WHEN j.job_id IS NULL THEN 'job has no provenance' WHEN p.job_id IS NULL THEN '{}' END AS reason, t.leaf_sheet, t.leaf_coord, t.leaf_id, t.is_missing"
+HELD = "LEFT JOIN (SELECT DISTINCT job_id FROM prov) j ON j.job_id = q.job_id LEFT JOIN text_chain t ON t.job_id = p.job_id AND t.sheet = p.sheet AND t.coord = p.coord"
+
+
+@query(f"""SELECT q.job_id, q.sheet, q.coord, p.job_id IS NOT NULL AS is_found, {WHY.format('no record of this cell')} FROM (SELECT job_id, 'Reconciliation' AS sheet, unnest(['B5', 'Z99']) AS coord FROM fx_jobs) q
+LEFT JOIN prov p ON p.job_id = q.job_id AND p.sheet = q.sheet AND p.coord = q.coord {HELD}""", *TC, JOBS)
+def source_chain_text_of(spark, sf):
+    prov = _stored_provenance(spark, sf)
+    refs = _jobs(spark, sf).select("job_id", F.lit(" Reconciliation ").alias("sheet"), F.explode(F.array(F.lit("b5"), F.lit("Z99 "))).alias("coord"))
+    return chain.chain_of_cells(refs, prov, chain.source_chain_text(prov))
+
+
+@query(f"""SELECT q.job_id, q.id, p.sheet, p.coord, p.job_id IS NOT NULL AS is_found, {WHY.format('no record of this id')} FROM (SELECT job_id, unnest(['urn:provenance:' || job_id || ':Reconciliation:B4', 'urn:provenance:' || job_id || ':Model:B1']) AS id FROM fx_jobs) q
+LEFT JOIN prov p ON p.job_id = q.job_id AND q.id = 'urn:provenance:' || p.job_id || ':' || p.sheet || ':' || p.coord {HELD}""", *TC, JOBS)
+def source_chain_by_id(spark, sf):
+    prov = _stored_provenance(spark, sf)
+    ids = F.array(F.concat(F.lit("urn:provenance:"), "job_id", F.lit(":Reconciliation:B4 ")), F.concat(F.lit("urn:provenance:"), "job_id", F.lit(":Model:B1")))
+    return chain.chain_of_ids(_jobs(spark, sf).select("job_id", F.explode(ids).alias("id")), prov, chain.source_chain_text(prov))
+
+
+@query("""SELECT c.job_id, c.sheet, c.coord, 'urn:provenance:' || c.job_id || ':' || c.sheet || ':' || c.coord AS id, 'http://host/models/' || c.job_id || '/provenance/' || c.sheet || '/' || c.coord AS link,
+CASE WHEN c.kind = 'leaf' THEN format(E'[Provenance]\nLabel: {}\nValue: {}\nSource: {} (p. {})\nBBox [0-1000]: [{:.1f}, {:.1f}, {:.1f}, {:.1f}]\nID: ', c.group_label, coalesce(i.value, ''), i.source_file, i.page, i.x0::DOUBLE, i.y0::DOUBLE, i.x1::DOUBLE, i.y1::DOUBLE)
+ELSE E'[Provenance - Calculated]\nMetric: ' || CASE c.kind WHEN 'root' THEN 'Adjusted EBITDA' ELSE 'Total ' || c.group_label END || E'\nFormula: ' || c.content || E'\nID: ' END || 'urn:provenance:' || c.job_id || ':' || c.sheet || ':' || c.coord AS comment
+FROM cells_ c LEFT JOIN rows_ i ON i.job_id = c.job_id AND c.kind = 'leaf' AND 'leaf_' || i.record_index || '_' || """ + _slug("i.leaf_label") + " = c.node_id", *R2)
+def provenance_text(spark, sf):
+    return r.provenance_text(_model(spark, sf), "http://host")
+
+
 # ---- tree and model
 @query("""SELECT job_id, record_index, coalesce(nullif(trim(normalized_label), ''), nullif(trim(label), '')) AS leaf_label, band = 'manual_required' AS is_hardcode, CASE WHEN x1 > 1000 OR y1 > 1000 THEN 'box is incomplete or outside the page' END AS reason
 FROM rv WHERE (status IN ('locked', 'auto_accepted') OR (status = 'needs_review' AND trim(coalesce(normalized_label, '')) <> '')) AND coalesce(nullif(trim(normalized_label), ''), nullif(trim(label), '')) IS NOT NULL""", *RVS)
