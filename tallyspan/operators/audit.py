@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspan.functions.exprs import is_blank
+from tallyspan.functions.exprs import is_blank, strip
 from tallyspan.operators.drift import drift_scope
 
 CELL = ["job_id", "sheet", "coord"]
@@ -16,7 +16,7 @@ CELL = ["job_id", "sheet", "coord"]
 
 def provenance_scan(provenance: DataFrame, refs: DataFrame) -> DataFrame:
     """Records that refs (job_id, sheet, coord) point to; blanks around both and the case of coord do not matter."""
-    wanted = refs.select("job_id", F.trim("sheet").alias("sheet"), F.upper(F.trim("coord")).alias("coord")).distinct()
+    wanted = refs.select("job_id", strip(F.col("sheet")).alias("sheet"), F.upper(strip(F.col("coord"))).alias("coord")).distinct()
     return provenance.join(wanted, CELL, "left_semi")
 
 
@@ -128,10 +128,12 @@ def classifier_governance(log: DataFrame) -> DataFrame:
 
 
 def _evaluated(jobs: DataFrame, compared: DataFrame) -> DataFrame:
-    """Jobs with their entity's comparison of the same year; a null changed where there is none."""
+    """Jobs with the comparison of their entity, metric and year; a null changed where there is none. Of several of a
+    year the last counts."""
     scope = drift_scope(jobs).join(jobs.select("job_id", "target_metric"), "job_id")
-    rows = compared.select("entity", F.col("eval_seq").alias("year"), "is_baseline", "changed", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
-    return scope.join(rows, ["entity", "year"], "left")
+    facts = F.struct("is_baseline", "changed", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
+    rows = compared.groupBy("entity", F.col("metric").alias("target_metric"), "year").agg(F.max_by(facts, "eval_seq").alias("x"))
+    return scope.join(rows, ["entity", "target_metric", "year"], "left").select(*scope.columns, "x.*")
 
 
 def drift_summary(jobs: DataFrame, compared: DataFrame) -> DataFrame:
@@ -149,11 +151,11 @@ def drift_summary(jobs: DataFrame, compared: DataFrame) -> DataFrame:
 
 
 def drift_job_status(jobs: DataFrame, compared: DataFrame) -> DataFrame:
-    """(job_id, entity, year, state, flags): jobs without locked labels are skipped, not failed."""
+    """(job_id, entity, metric, year, state, flags), one row a job: jobs without locked labels are skipped, not failed."""
     c = F.col
     flag = F.coalesce(~c("is_baseline") & c("changed"), F.lit(False)).cast("int")
     state = F.when(c("is_baseline").isNull(), "skipped_no_locked_records").otherwise("evaluated")
-    return _evaluated(jobs, compared).select("job_id", "entity", "year", state.alias("state"), flag.alias("flags"))
+    return _evaluated(jobs, compared).select("job_id", "entity", c("target_metric").alias("metric"), "year", state.alias("state"), flag.alias("flags"))
 
 
 def report_metadata(jobs: DataFrame, review: DataFrame, provenance: DataFrame, compared: DataFrame) -> DataFrame:

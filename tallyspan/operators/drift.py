@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyspan.functions.exprs import is_blank, strip
 
-#: What one history belongs to; pass ("entity", "metric") where an entity has several metrics.
-KEYS = ("entity",)
+#: What one history belongs to.
+KEYS = ("entity", "metric")
 
 
 def _order(keys: Sequence[str]):
@@ -18,9 +18,11 @@ def _order(keys: Sequence[str]):
 
 
 def locked_labels(locked: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(*keys, eval_seq, labels): sorted distinct labels of each evaluated filing."""
+    """(*keys, eval_seq, labels) and year where locked has it: sorted distinct labels of each evaluated filing. eval_seq, the
+    order of evaluation, need not be that of the years."""
     rows = locked.where(~is_blank(F.col("normalized_label")))
-    return rows.groupBy(*keys, "eval_seq").agg(F.array_sort(F.collect_set("normalized_label")).alias("labels"))
+    year = [F.max("year").alias("year")] if "year" in locked.columns else []
+    return rows.groupBy(*keys, "eval_seq").agg(F.array_sort(F.collect_set("normalized_label")).alias("labels"), *year)
 
 
 def drift_compare(sets: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -52,28 +54,37 @@ def drift_edges(compared: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return nodes.select(*keys, "eval_seq", before.alias("from_node"), F.col("node").alias("to_node"), kind.alias("kind"), "added", "removed")
 
 
-def drift_flags(compared: DataFrame) -> DataFrame:
-    return compared.where("not is_baseline and changed").select("entity", "eval_seq", "added", "removed")
+def drift_flags(compared: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(*keys, eval_seq, added, removed) of every set that differs from the one before."""
+    return compared.where("not is_baseline and changed").select(*keys, "eval_seq", "added", "removed")
 
 
-def label_change_rows(compared: DataFrame) -> DataFrame:
-    """(entity, eval_seq, label, change): one row for each label of the three sets."""
+def drift_history(compared: DataFrame, entity: str | None = None, metric: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all histories or of one entity or metric. nodes (*KEYS, node, eval_seq, labels, filings): the set of a node, where it
+    begins and how many filings share it."""
+    for name, wanted in zip(KEYS, (entity, metric)):
+        compared = compared if wanted is None else compared.where(F.col(name) == wanted)
+    nodes = drift_nodes(compared).groupBy(*KEYS, "node").agg(F.min("eval_seq").alias("eval_seq"), F.min_by("labels", "eval_seq").alias("labels"), F.count(F.lit(1)).alias("filings"))
+    return nodes, drift_edges(compared)
+
+
+def label_change_rows(compared: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(*keys, eval_seq, label, change): one row for each label of the three sets."""
 
     def named(kind: str):
         return F.transform(F.col(kind), lambda x: F.struct(x.alias("label"), F.lit(kind).alias("change")))
 
     kinds = [named(k) for k in ("added", "removed", "unchanged")]
-    return compared.select("entity", "eval_seq", F.explode(F.concat(*kinds)).alias("x")).select("entity", "eval_seq", "x.label", "x.change")
+    return compared.select(*keys, "eval_seq", F.explode(F.concat(*kinds)).alias("x")).select(*keys, "eval_seq", "x.label", "x.change")
 
 
 def drift_export(compared: DataFrame, entity: str | None = None, metric: str | None = None) -> DataFrame:
     """(entity, metric, eval_seq, node, kind, labels, added, removed): the history of each metric of an entity,
     of one entity or metric where they are given; kind is baseline, redefinition or continuation."""
-    keys = ("entity", "metric")
-    for name, wanted in zip(keys, (entity, metric)):
+    for name, wanted in zip(KEYS, (entity, metric)):
         compared = compared if wanted is None else compared.where(F.col(name) == wanted)
     kind = F.when(F.col("is_baseline"), "baseline").when(F.col("changed"), "redefinition").otherwise("continuation")
-    return drift_nodes(compared, keys).select(*keys, "eval_seq", "node", kind.alias("kind"), "labels", "added", "removed")
+    return drift_nodes(compared).select(*KEYS, "eval_seq", "node", kind.alias("kind"), "labels", "added", "removed")
 
 
 def drift_scope(jobs: DataFrame, given: DataFrame | None = None, metric: str = "Adjusted EBITDA") -> DataFrame:

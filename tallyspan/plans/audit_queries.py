@@ -27,7 +27,7 @@ CHAIN = """chain AS (SELECT job_id, sheet, coord, node_id AS leaf_id FROM cells_
 ENR = """enr AS (SELECT h.*, coalesce(i.status, CASE WHEN j.job_id IS NOT NULL THEN 'source_record_missing' ELSE 'unreviewed' END) AS review_status, i.value, i.label
   FROM chain h LEFT JOIN rv i ON i.id = h.job_id || '_' || regexp_extract(h.leaf_id, '^leaf_(\\d+)_', 1) LEFT JOIN (SELECT DISTINCT job_id FROM rv) j ON j.job_id = h.job_id)"""
 DJ = """dj AS (SELECT j.job_id, j.target_metric, regexp_extract(j.filename, '^([^_.]*)', 1) AS entity, j.year, x.is_baseline, x.changed, len(x.added) AS n_added, len(x.removed) AS n_removed
-  FROM (SELECT *, coalesce(try_cast(regexp_extract(filename, '((?:19|20)\\d{2})', 1) AS INT), 2024) AS year FROM fx_jobs) j LEFT JOIN comp x ON replace(x.entity, '#', '-') = regexp_extract(j.filename, '^([^_.]*)', 1) AND x.eval_seq = j.year)"""
+  FROM (SELECT *, coalesce(try_cast(regexp_extract(filename, '((?:19|20)\\d{2})', 1) AS INT), 2024) AS year FROM fx_jobs) j LEFT JOIN comp x ON replace(x.entity, '#', '-') = regexp_extract(j.filename, '^([^_.]*)', 1) AND x.metric = j.target_metric AND x.year = j.year)"""
 RVS = (*N, REVIEW, RV)
 P0 = (*R2, PROV)
 CH = (*R2, PROV, CHAIN, REVIEW, RV, ENR)
@@ -237,7 +237,7 @@ def drift_summary(spark, sf):
     return a.drift_summary(_jobs(spark, sf), _drift(spark, sf))
 
 
-@query("SELECT job_id, entity, year, CASE WHEN is_baseline IS NULL THEN 'skipped_no_locked_records' ELSE 'evaluated' END AS state, coalesce(NOT is_baseline AND changed, false)::INT AS flags FROM dj", *DJS)
+@query("SELECT job_id, entity, target_metric AS metric, year, CASE WHEN is_baseline IS NULL THEN 'skipped_no_locked_records' ELSE 'evaluated' END AS state, coalesce(NOT is_baseline AND changed, false)::INT AS flags FROM dj", *DJS)
 def drift_job_status(spark, sf):
     return a.drift_job_status(_jobs(spark, sf), _drift(spark, sf))
 

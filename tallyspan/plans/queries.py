@@ -488,12 +488,12 @@ def failure_pattern_counts(spark, sf):
 
 
 # ---- drift
-SETS = "sets AS (SELECT entity, eval_seq, list_sort(list(DISTINCT normalized_label)) AS labels FROM fx_locked GROUP BY 1, 2)"
-COMP = """comp0 AS (SELECT *, lag(labels) OVER (PARTITION BY entity ORDER BY eval_seq) AS prior FROM sets),
+SETS = "sets AS (SELECT entity, metric, eval_seq, max(year) AS year, list_sort(list(DISTINCT normalized_label)) AS labels FROM fx_locked GROUP BY 1, 2, 3)"
+COMP = """comp0 AS (SELECT *, lag(labels) OVER (PARTITION BY entity, metric ORDER BY eval_seq) AS prior FROM sets),
 comp1 AS (SELECT *, prior IS NULL AS is_baseline, CASE WHEN prior IS NULL THEN [] ELSE list_filter(labels, lambda x: NOT list_contains(prior, x)) END AS added, CASE WHEN prior IS NULL THEN [] ELSE list_filter(prior, lambda x: NOT list_contains(labels, x)) END AS removed,
   CASE WHEN prior IS NULL THEN labels ELSE list_filter(labels, lambda x: list_contains(prior, x)) END AS unchanged FROM comp0),
 comp AS (SELECT *, is_baseline OR len(added) > 0 OR len(removed) > 0 AS changed FROM comp1),
-node AS (SELECT *, cast(sum(changed::INT) OVER (PARTITION BY entity ORDER BY eval_seq) AS int) AS node FROM comp)"""
+node AS (SELECT *, cast(sum(changed::INT) OVER (PARTITION BY entity, metric ORDER BY eval_seq) AS int) AS node FROM comp)"""
 D = (LOCKED, SETS, COMP)
 
 
@@ -505,9 +505,9 @@ _J = lambda name: F.array_join(name, "|").alias(name)
 _JS = lambda name: f"array_to_string({name}, '|') AS {name}"
 
 
-@query(f"SELECT entity, eval_seq, {_JS('labels')} FROM sets", *D[:2])
+@query(f"SELECT entity, metric, eval_seq, {_JS('labels')} FROM sets", *D[:2])
 def locked_labels(spark, sf):
-    return d.locked_labels(fixture(spark, sf, "fx_locked")).select("entity", "eval_seq", _J("labels"))
+    return d.locked_labels(fixture(spark, sf, "fx_locked")).select("entity", "metric", "eval_seq", _J("labels"))
 
 
 @query("SELECT job_id, regexp_extract(filename, '^([^_.]*)', 1) AS entity, coalesce(try_cast(regexp_extract(filename, '((?:19|20)\\d{2})', 1) AS INT), 2024) AS year FROM fx_jobs", JOBS)
@@ -523,32 +523,39 @@ def drift_scope_given(spark, sf):
     return d.drift_scope(jobs, given)
 
 
-@query(f"SELECT entity, eval_seq, is_baseline, changed, {_JS('added')}, {_JS('removed')}, {_JS('unchanged')} FROM comp", *D)
+@query(f"SELECT entity, metric, eval_seq, is_baseline, changed, {_JS('added')}, {_JS('removed')}, {_JS('unchanged')} FROM comp", *D)
 def drift_compare(spark, sf):
-    return _compared(spark, sf).select("entity", "eval_seq", "is_baseline", "changed", _J("added"), _J("removed"), _J("unchanged"))
+    return _compared(spark, sf).select("entity", "metric", "eval_seq", "is_baseline", "changed", _J("added"), _J("removed"), _J("unchanged"))
 
 
-@query("SELECT entity, eval_seq, node, changed FROM node", *D)
+@query("SELECT entity, metric, eval_seq, node, changed FROM node", *D)
 def drift_nodes(spark, sf):
-    return d.drift_nodes(_compared(spark, sf)).select("entity", "eval_seq", "node", "changed")
+    return d.drift_nodes(_compared(spark, sf)).select("entity", "metric", "eval_seq", "node", "changed")
 
 
-@query(f"SELECT entity, eval_seq, node - changed::INT AS from_node, node AS to_node, CASE WHEN changed THEN 'redefinition' ELSE 'continuation' END AS kind, {_JS('added')}, {_JS('removed')} FROM node WHERE NOT is_baseline", *D)
+@query(f"SELECT entity, metric, eval_seq, node - changed::INT AS from_node, node AS to_node, CASE WHEN changed THEN 'redefinition' ELSE 'continuation' END AS kind, {_JS('added')}, {_JS('removed')} FROM node WHERE NOT is_baseline", *D)
 def drift_edges(spark, sf):
-    return d.drift_edges(_compared(spark, sf)).select("entity", "eval_seq", "from_node", "to_node", "kind", _J("added"), _J("removed"))
+    return d.drift_edges(_compared(spark, sf)).select("entity", "metric", "eval_seq", "from_node", "to_node", "kind", _J("added"), _J("removed"))
 
 
-@query(f"SELECT entity, eval_seq, {_JS('added')}, {_JS('removed')} FROM comp WHERE NOT is_baseline AND changed", *D)
+@query(f"SELECT entity, metric, eval_seq, {_JS('added')}, {_JS('removed')} FROM comp WHERE NOT is_baseline AND changed", *D)
 def drift_flags(spark, sf):
-    return d.drift_flags(_compared(spark, sf)).select("entity", "eval_seq", _J("added"), _J("removed"))
+    return d.drift_flags(_compared(spark, sf)).select("entity", "metric", "eval_seq", _J("added"), _J("removed"))
 
 
-@query("SELECT entity, count(*) AS filings, max(node) AS nodes, count(*) FILTER (NOT is_baseline) AS edges FROM node GROUP BY 1", *D)
+@query("SELECT entity, metric, count(*) AS filings, max(node) AS nodes, count(*) FILTER (NOT is_baseline) AS edges FROM node GROUP BY 1, 2", *D)
 def drift_history(spark, sf):
-    return d.drift_nodes(_compared(spark, sf)).groupBy("entity").agg(F.count(F.lit(1)).alias("filings"), F.max("node").alias("nodes"), F.count_if(~F.col("is_baseline")).alias("edges"))
+    nodes, edges = d.drift_history(_compared(spark, sf))
+    counts = nodes.groupBy("entity", "metric").agg(F.sum("filings").alias("filings"), F.max("node").alias("nodes"))
+    return counts.join(edges.groupBy("entity", "metric").agg(F.count(F.lit(1)).alias("edges")), ["entity", "metric"], "left").fillna(0, ["edges"])
 
 
-@query("SELECT entity, eval_seq, unnest(added) AS label, 'added' AS change FROM comp UNION ALL SELECT entity, eval_seq, unnest(removed), 'removed' FROM comp UNION ALL SELECT entity, eval_seq, unnest(unchanged), 'unchanged' FROM comp", *D)
+@query("SELECT entity, metric, node, min(eval_seq) AS eval_seq, count(*) AS filings, arg_min(array_to_string(labels, '|'), eval_seq) AS labels FROM node GROUP BY 1, 2, 3", *D)
+def drift_history_nodes(spark, sf):
+    return d.drift_history(_compared(spark, sf))[0].select("entity", "metric", "node", "eval_seq", "filings", _J("labels"))
+
+
+@query("SELECT entity, metric, eval_seq, unnest(added) AS label, 'added' AS change FROM comp UNION ALL SELECT entity, metric, eval_seq, unnest(removed), 'removed' FROM comp UNION ALL SELECT entity, metric, eval_seq, unnest(unchanged), 'unchanged' FROM comp", *D)
 def label_change_rows(spark, sf):
     return d.label_change_rows(_compared(spark, sf))
 

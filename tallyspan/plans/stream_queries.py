@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tallyspan.functions import exprs as x
 from tallyspan.operators import drift as d
 from tallyspan.plans.audit_queries import ORACLES, QUERIES
-from tallyspan.plans.queries import COMP, D, FOLD, ITEMS, JOBS, LOCKED, N, S, SETS, _compared, _num, action_items, items, normalized_items, query, scored
-from tallyspan.sources import corpus, intake
+from tallyspan.plans.queries import D, FOLD, ITEMS, JOBS, N, S, _compared, _num, action_items, items, normalized_items, query, scored
+from tallyspan.sources import corpus, intake, snapshots
 from tallyspan.sources.fixtures import fixture
 from tallyspan.sources.scratch import scratch_dir
 from tallyspan.streaming import jobs
@@ -50,10 +50,14 @@ def stream_decision_counts(spark, sf):
     return rows.groupBy("start", "state").agg(F.max("n").alias("n"))  # counts only grow: the last update is the largest
 
 
-@query("SELECT entity, eval_seq, node, changed FROM node", *D)
+@query("SELECT entity, metric, eval_seq, node, changed FROM node", *D)
 def stream_drift(spark, sf):
-    sets = d.locked_labels(fixture(spark, sf, "fx_locked")).withColumn("labels", F.to_json("labels"))
-    return jobs.run_available(jobs.drift(_stream(spark, sets))).drop("_batch")
+    """Filings in three batches by year: the state of a history lasts from one to the next."""
+    sets, path = d.locked_labels(fixture(spark, sf, "fx_locked")), _folder(spark)
+    for some in ("eval_seq < 1995", "eval_seq between 1995 and 1998", "eval_seq > 1998"):
+        sets.where(some).repartition(8, "entity", "metric").write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(sets.schema).option("maxFilesPerTrigger", 8).parquet(path)
+    return jobs.run_available(jobs.drift(arriving)).drop("_batch")
 
 
 @query("SELECT item_id, status, value, label, norm AS normalized_label, tax AS taxonomy_status, applied, rejected FROM last_", *FOLD)
@@ -85,14 +89,14 @@ def stream_intake_chain(spark, sf):
 
 
 # ---- sinks, read back
-@query("SELECT job_id, record_index, value, score, band, CASE WHEN record_index % 2 = 0 THEN 'rerun' ELSE 'first' END AS run FROM scored", *S)
+@query("SELECT job_id, record_index, value, score, band, CASE WHEN job_id::BIGINT % 2 = 0 THEN 'rerun' ELSE 'first' END AS run FROM scored WHERE job_id::BIGINT % 2 = 1 OR record_index < 3", *S)
 def stage_sink(spark, sf):
-    """A stage written by job bucket, then rerun for the even buckets: those are replaced, the others stay."""
-    path = _folder(spark)
-    rows = scored(spark, sf).select("job_id", "record_index", "value", "score", "band", F.pmod("record_index", F.lit(16)).alias("job_bucket"))
-    intake.stage_sink(rows.withColumn("run", F.lit("first")), path)
-    intake.stage_sink(rows.where("job_bucket % 2 = 0").withColumn("run", F.lit("rerun")), path)
-    return spark.read.parquet(path).drop("job_bucket")
+    """A stage of all jobs, then a rerun of the even ones, with fewer rows: these are replaced whole, the others stay."""
+    root = _folder(spark)
+    rows = scored(spark, sf).select("job_id", "record_index", "value", "score", "band")
+    intake.stage_sink(rows.withColumn("run", F.lit("first")), root, "scored")
+    intake.stage_sink(rows.where("cast(job_id as bigint) % 2 = 0 and record_index < 3").withColumn("run", F.lit("rerun")), root, "scored")
+    return snapshots.read(spark, root, "scored")
 
 
 @query(f"SELECT user_id::STRING AS job_id, event_id::INT AS record_index, CASE event_type WHEN 'view' THEN 'matched' ELSE 'pending' END AS taxonomy_status, {STATE} AS resulting_state FROM events")
@@ -106,28 +110,22 @@ def decision_log_sink(spark, sf):
     return corpus.decision_log_scan(spark, path).select(*log.columns)
 
 
-@query("SELECT entity, arg_max(node, eval_seq) AS node, count(*) AS filings, count(*) FILTER (NOT is_baseline) AS edges FROM node GROUP BY 1", *D)
+@query("SELECT entity, metric, arg_max(node, eval_seq) AS node, count(*) AS filings, count(*) FILTER (NOT is_baseline) AS edges FROM node GROUP BY 1, 2", *D)
 def drift_store(spark, sf):
-    """Nodes and edges stored and loaded: the latest node of each entity, with its numbers of both."""
-    path, compared = _folder(spark), _compared(spark, sf)
-    corpus.drift_store(d.drift_nodes(compared), d.drift_edges(compared), path)
-    nodes, edges, latest = corpus.drift_load(spark, path)
-    out = latest.join(nodes.groupBy("entity").agg(F.count(F.lit(1)).alias("filings")), "entity")
-    return out.join(edges.groupBy("entity").agg(F.count(F.lit(1)).alias("edges")), "entity", "left").fillna(0, ["edges"])
-
-
-def _by_metric(text: str) -> str:
-    return text.replace("PARTITION BY entity", "PARTITION BY entity, metric")
+    """Nodes and edges stored and loaded: the latest node of each history, with its numbers of both."""
+    root, compared, keys = _folder(spark), _compared(spark, sf), list(d.KEYS)
+    corpus.drift_store(d.drift_nodes(compared), d.drift_edges(compared), root)
+    nodes, edges, latest = corpus.drift_load(spark, root)
+    out = latest.join(nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("filings")), keys)
+    return out.join(edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("edges")), keys, "left").fillna(0, ["edges"])
 
 
-SETS_M = SETS.replace("SELECT entity,", "SELECT entity, metric,").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")
 _TEXT = ", ".join(f"array_to_string({c}, '|') AS {c}" for c in ("labels", "added", "removed"))
 
 
-@query(f"SELECT entity, metric, eval_seq, node, CASE WHEN is_baseline THEN 'baseline' WHEN changed THEN 'redefinition' ELSE 'continuation' END AS kind, {_TEXT} FROM node", LOCKED, SETS_M, _by_metric(COMP))
+@query(f"SELECT entity, metric, eval_seq, node, CASE WHEN is_baseline THEN 'baseline' WHEN changed THEN 'redefinition' ELSE 'continuation' END AS kind, {_TEXT} FROM node", *D)
 def drift_export(spark, sf):
-    keys = ("entity", "metric")
-    rows = d.drift_export(d.drift_compare(d.locked_labels(fixture(spark, sf, "fx_locked"), keys), keys))
+    rows = d.drift_export(_compared(spark, sf))
     return rows.withColumns({c: F.array_join(c, "|") for c in ("labels", "added", "removed")})
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspan.operators.drift import KEYS
+from tallyspan.sources import snapshots
+
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 GT_ITEM = f"struct<value:string,label:string,normalized_label:string,page:int,bbox:{BOX},source_file:string,is_optional:boolean,section:string>"
 GT_META = "struct<filing_id:string,company_name:string,ticker:string,fiscal_year:int,filing_type:string,page_count:int,target_metric:string>"
@@ -42,13 +45,13 @@ def decision_log_scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).json(path)
 
 
-def drift_store(nodes: DataFrame, edges: DataFrame, root: str) -> None:
-    """Nodes and edges as tables; the latest node of an entity is derived when read, not stored."""
-    nodes.write.mode("overwrite").parquet(f"{root}/nodes")
-    edges.write.mode("overwrite").parquet(f"{root}/edges")
+def drift_store(nodes: DataFrame, edges: DataFrame, root: str, keys: tuple = KEYS) -> int:
+    """Replace nodes, edges and the latest node of each history, all three or none; the number of the commit."""
+    last = nodes.groupBy(*keys).agg(F.max_by("node", "eval_seq").alias("node"))
+    return snapshots.commit(nodes.sparkSession, root, {"nodes": nodes, "edges": edges, "latest": last})
 
 
 def drift_load(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, latest node of each entity)."""
-    nodes, edges = (spark.read.parquet(f"{root}/{n}") for n in ("nodes", "edges"))
-    return nodes, edges, nodes.groupBy("entity").agg(F.max_by("node", "eval_seq").alias("node"))
+    """(nodes, edges, latest node of each history) of one commit, the last."""
+    version = snapshots.latest(spark, root)
+    return tuple(snapshots.read(spark, root, n, version) for n in ("nodes", "edges", "latest"))

@@ -29,7 +29,7 @@ SELECT cast(o_orderkey AS string) AS job_id, concat(replace(c_name, '#', '-'), '
        o_orderdate AS submitted_at
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     "fx_locked": """
-SELECT concat(c_name, '-', cast(year(o_orderdate) AS string)) AS job_id, c_name AS entity, cast(year(o_orderdate) AS int) AS eval_seq, p_type AS normalized_label,
+SELECT concat(c_name, '-', cast(year(o_orderdate) AS string)) AS job_id, c_name AS entity, cast(year(o_orderdate) AS int) AS eval_seq, cast(year(o_orderdate) AS int) AS year, p_type AS normalized_label,
        CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'Adjusted EBITDA' ELSE 'EBITDA' END AS metric
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {part} ON l_partkey = p_partkey
 WHERE l_linestatus = 'F' AND substring(o_orderpriority, 1, 1) IN ('1', '2')""",

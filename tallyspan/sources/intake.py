@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspan.sources import snapshots
+
 # Fixed values of intake.
 MOST_BYTES, MAGIC, METRICS = 104_857_600, "%PDF", ("Adjusted EBITDA", "EBITDA", "Net Income", "Free Cash Flow")
 
@@ -41,6 +43,6 @@ def jobs_status(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by("status", "seq").alias("status"), F.max_by("model_ready", ready).alias("model_ready"))
 
 
-def stage_sink(df: DataFrame, path: str, key: str = "job_bucket") -> None:
-    """Replace the partitions that df holds, all or nothing by the commit protocol; a rerun replaces."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def stage_sink(df: DataFrame, root: str, stage: str, key: str = "job_id") -> int:
+    """Replace the rows of the jobs that df holds in the stage's table, all of them or none; other jobs stay. The number of the commit."""
+    return snapshots.replace_keys(df, root, stage, key)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tallyspan.operators.review_log import act
 from tallyspan.sources.intake import intake_gate
@@ -23,22 +24,37 @@ def decision_counts(log: DataFrame, late: str = "2 minutes", width: str = "1 min
     return out.select(F.col("w.start").alias("start"), "state", "n")
 
 
-def drift(sets: DataFrame) -> DataFrame:
-    """(entity, eval_seq, node, changed) as filings arrive: state is one entity's last set and node number."""
+#: transformWithState needs a state store with column families.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        labels, node = state.get if state.exists else ("", 0)
-        rows = pd.concat(list(batches)).sort_values("eval_seq")
+
+class _History(StatefulProcessor):
+    """The last set and node number of one entity and metric."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "labels string, node int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
+        labels, node = self.last.get() if self.last.exists() else ("", 0)
         out = []
-        for r in rows.itertuples():
+        for r in pd.concat(list(rows)).sort_values("eval_seq").itertuples():
             changed = node == 0 or r.labels != labels
             node += int(changed)
             labels = r.labels
-            out.append((key[0], int(r.eval_seq), node, changed))
-        state.update((labels, node))
-        yield pd.DataFrame(out, columns=["entity", "eval_seq", "node", "changed"])
+            out.append((*key, int(r.eval_seq), node, changed))
+        self.last.update((labels, node))
+        yield pd.DataFrame(out, columns=["entity", "metric", "eval_seq", "node", "changed"])
+
+    def close(self) -> None:
+        pass
 
-    return sets.groupBy("entity").applyInPandasWithState(step, "entity string, eval_seq int, node int, changed boolean", "labels string, node int", "append", GroupStateTimeout.NoTimeout)
+
+def drift(sets: DataFrame) -> DataFrame:
+    """(entity, metric, eval_seq, node, changed) as filings arrive, as drift_nodes() gives them; state is one small row a history
+    and never expires. sets (entity, metric, eval_seq, labels): a filing's sorted labels. Sets the session's state store."""
+    sets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rows = sets.select("entity", "metric", "eval_seq", F.to_json("labels").alias("labels"))
+    return rows.groupBy("entity", "metric").transformWithStateInPandas(_History(), "entity string, metric string, eval_seq int, node int, changed boolean", "Append", "None")
 
 
 FILE = "path string, modificationTime timestamp, length long, content binary"

@@ -111,8 +111,8 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted((r.record_index, r.error_detail) for r in back if r._corrupt_record is None) == [(0, "e"), (1, None)]
     assert [r._corrupt_record for r in back if r.job_id is None] == ["{broken"]
 
-    nodes = spark.createDataFrame([("e", 1, 1), ("e", 2, 1), ("e", 3, 2)], "entity string, eval_seq int, node int")
+    nodes = spark.createDataFrame([("e", "m", 1, 1), ("e", "m", 2, 1), ("e", "m", 3, 2)], "entity string, metric string, eval_seq int, node int")
     for _ in range(2):
         corpus.drift_store(nodes, nodes.limit(1), str(tmp_path / "drift"))
     n, edges, latest = corpus.drift_load(spark, str(tmp_path / "drift"))
-    assert n.count() == 3 and edges.count() == 1 and [tuple(r) for r in latest.collect()] == [("e", 2)]
+    assert n.count() == 3 and edges.count() == 1 and [tuple(r) for r in latest.collect()] == [("e", "m", 2)]

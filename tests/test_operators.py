@@ -2,7 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tallyspan.operators import cells, drift, evaluate, reconcile, review, scoring, taxonomy
+from tallyspan.operators import audit, cells, drift, evaluate, reconcile, review, scoring, taxonomy
 from tallyspan.streaming import jobs
 
 
@@ -53,16 +53,31 @@ def test_greedy_keeps_order(spark):
 
 
 def test_drift_batch_equals_stream(spark, tmp_path):
-    rows = [("e", 1, "a"), ("e", 1, "b"), ("e", 2, "b"), ("e", 2, "a"), ("e", 3, "a"), ("f", 1, "x"), ("f", 2, "x"), ("f", 3, " ")]
-    sets = drift.locked_labels(spark.createDataFrame(rows, "entity string, eval_seq int, normalized_label string"))
-    batch = {(r.entity, r.eval_seq): (r.node, r.changed) for r in drift.drift_nodes(drift.drift_compare(sets)).collect()}
-    assert batch == {("e", 1): (1, True), ("e", 2): (1, False), ("e", 3): (2, True), ("f", 1): (1, True), ("f", 2): (1, False)}
-    flat = sets.select("entity", "eval_seq", F.array_join("labels", "|").alias("labels"))
-    flat.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(flat.schema).parquet(str(tmp_path / "in"))
-    q = jobs.drift(stream).writeStream.format("memory").queryName("drift_out").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {(r.entity, r.eval_seq): (r.node, r.changed) for r in spark.table("drift_out").collect()} == batch
+    """Two metrics of an entity, three runs of one query on one checkpoint, an order that is not that of the years."""
+    rows = [("e", "m", 1, 2023, "a"), ("e", "m", 1, 2023, "b"), ("e", "m", 2, 2021, "b"), ("e", "m", 2, 2021, "a"), ("e", "m", 3, 2022, "a"), ("f", "m", 1, 2021, "x"), ("f", "m", 2, 2022, "x"), ("f", "m", 3, 2023, " ")]
+    rows += [("e", "n", 1, 2023, "b"), ("e", "n", 3, 2022, "b"), ("e", "n", 4, 2024, "c")]
+    sets = drift.locked_labels(spark.createDataFrame(rows, "entity string, metric string, eval_seq int, year int, normalized_label string"))
+    compared = drift.drift_compare(sets)
+    batch = {(r.entity, r.metric, r.eval_seq): (r.node, r.changed) for r in drift.drift_nodes(compared).collect()}
+    assert batch == {
+        ("e", "m", 1): (1, True), ("e", "m", 2): (1, False), ("e", "m", 3): (2, True), ("f", "m", 1): (1, True), ("f", "m", 2): (1, False),
+        ("e", "n", 1): (1, True), ("e", "n", 3): (1, False), ("e", "n", 4): (2, True),
+    }
+    got = {}
+    for run, seqs in enumerate(((1,), (2, 3), (4,))):
+        sets.where(F.col("eval_seq").isin(*seqs)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(sets.schema).parquet(str(tmp_path / "in"))
+        out = str(tmp_path / f"out{run}")
+        q = jobs.drift(stream).writeStream.foreachBatch(lambda b, n, o=out: b.write.parquet(f"{o}/{n}")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got.update({(r.entity, r.metric, r.eval_seq): (r.node, r.changed) for r in spark.read.parquet(f"{out}/*").collect()})
+    assert got == batch
+    nodes, edges = drift.drift_history(compared, "e", "m")
+    assert {(r.node, r.eval_seq, r.filings, tuple(r.labels)) for r in nodes.collect()} == {(1, 1, 2, ("a", "b")), (2, 3, 1, ("a",))} and edges.count() == 2
+    assert {(r.metric, r.eval_seq, tuple(r.removed)) for r in drift.drift_flags(compared).collect()} == {("m", 3, ("b",)), ("n", 4, ("b",))}
+    filed = [("1", "e_2022_10k.pdf", "m"), ("2", "e_2022_10k.pdf", "n"), ("3", "e_2021_10k.pdf", "m"), ("4", "e_2021_10k.pdf", "n"), ("5", "e_2023_x.pdf", "m")]
+    status = audit.drift_job_status(spark.createDataFrame(filed, "job_id string, filename string, target_metric string"), compared).collect()
+    assert sorted((r.job_id, r.metric, r.state, r.flags) for r in status) == [("1", "m", "evaluated", 1), ("2", "n", "evaluated", 0), ("3", "m", "evaluated", 0), ("4", "n", "skipped_no_locked_records", 0), ("5", "m", "evaluated", 0)]
 
 
 def test_stream_counts(spark, tmp_path):
