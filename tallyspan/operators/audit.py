@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyspan.functions.exprs import is_blank, strip
 from tallyspan.operators.drift import drift_scope
 
-CELL = ["job_id", "sheet", "coord"]
+CELL, BOX = ["job_id", "sheet", "coord"], ("x0", "y0", "x1", "y1")
 
 
 def provenance_scan(provenance: DataFrame, refs: DataFrame) -> DataFrame:
@@ -82,11 +82,11 @@ def provenance_matrix(provenance: DataFrame, enriched: DataFrame) -> DataFrame:
 
 
 def manual_overrides(review: DataFrame, scored: DataFrame, provenance: DataFrame) -> DataFrame:
-    """(item_id, override_type, original_value, final_value, original_label, final_label, flags, band, page): what people
-    changed or entered. Flags and band are the review's, else the original's."""
+    """(item_id, override_type, original_value, final_value, original_label, final_label, review_status, flags, band, error_detail, source_file,
+    page, x0, y0, x1, y1, is_hardcode): what people changed or entered. Flags, band and error are the review's, else the original's."""
     c = F.col
     ident = F.concat("job_id", F.lit("_"), c("record_index").cast("string"))
-    was = scored.select(ident.alias("id"), F.struct("value", "label", "status", "flags", "band").alias("was"))
+    was = scored.select(ident.alias("id"), F.struct("value", "label", "status", "flags", "band", *([c("error_detail")] if "error_detail" in scored.columns else [F.lit(None).cast("string").alias("error_detail")])).alias("was"))
     has = lambda n: c(n) if n in review.columns else F.lit(None)
     out = review.join(was, "id", "left")
     error = F.coalesce(c("was.status") == "extraction_error", F.lit(False)) | (c("status") == "extraction_error")
@@ -96,11 +96,17 @@ def manual_overrides(review: DataFrame, scored: DataFrame, provenance: DataFrame
     none = F.lit(None).cast("string")
     rows = out.select(
         c("id").alias("item_id"), kind.alias("override_type"), c("was.value").alias("original_value"), c("value").alias("final_value"), c("was.label").alias("original_label"), c("label").alias("final_label"),
-        F.coalesce(has("flags").cast("array<string>"), c("was.flags")).alias("flags"), F.coalesce(c("band"), c("was.band")).alias("band"), c("page").alias("page"),
+        c("status").alias("review_status"), F.coalesce(has("flags").cast("array<string>"), c("was.flags")).alias("flags"), F.coalesce(c("band"), c("was.band")).alias("band"),
+        F.coalesce(has("error_detail").cast("string"), c("was.error_detail")).alias("error_detail"), has("source_file").cast("string").alias("source_file"), c("page").alias("page"), *BOX, F.lit(False).alias("is_hardcode"),
     )
+    # Fixed values of the audit data set: marks of a cell that was typed in, and the box of a whole page.
+    mark, band, detail, whole = "manual_hardcode", "manual_required", "Manual hardcode per NFR2", {"x0": 0.0, "y0": 0.0, "x1": 1000.0, "y1": 1000.0}
+    spot = c("target.selector.refinedBy.coordinates")
+    page = F.regexp_extract("target.selector.value", "page=([0-9]+)", 1).try_cast("int")
     typed = provenance.where(c("node_id").startswith("hardcode_")).select(
-        F.concat("sheet", F.lit("!"), "coord").alias("item_id"), F.lit("manual_hardcode").alias("override_type"), none.alias("original_value"), c("body.value").alias("final_value"), none.alias("original_label"),
-        c("node_id").alias("final_label"), F.array().cast("array<string>").alias("flags"), none.alias("band"), F.lit(None).cast("int").alias("page"),
+        F.concat("sheet", F.lit("!"), "coord").alias("item_id"), F.lit(mark).alias("override_type"), none.alias("original_value"), c("body.value").alias("final_value"), none.alias("original_label"),
+        c("node_id").alias("final_label"), F.lit(mark).alias("review_status"), F.array(F.lit(mark)).alias("flags"), F.lit(band).alias("band"), F.lit(detail).alias("error_detail"),
+        c("target.source").alias("source_file"), F.coalesce(page, F.lit(1)).alias("page"), *[F.coalesce(spot[b], F.lit(v)).alias(b) for b, v in whole.items()], F.lit(True).alias("is_hardcode"),
     )
     return rows.where("override_type is not null").unionByName(typed)
 

@@ -134,11 +134,14 @@ def item_diffs(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFrame:
 LEAST_ACCURACY, MOST_FLAGGED = 90, 15
 
 
-def filing_metrics(diffs: DataFrame, runs: DataFrame, scored: DataFrame) -> DataFrame:
-    """One row for each run (job_id, success, cells); a run without diffs has nothing to find.
+def filing_metrics(diffs: DataFrame, runs: DataFrame, scored: DataFrame, filings: DataFrame | None = None) -> DataFrame:
+    """One row for each run (job_id, success, cells); a run without diffs has nothing to find. Where filings (job_id) are given,
+    runs of others are left out.
 
     scored (job_id, score) gives the share of records that people must see.
     """
+    if filings is not None:
+        runs = runs.join(filings.select("job_id").distinct(), "job_id", "left_semi")
     s = F.col("status")
     per = diffs.groupBy("job_id").agg(
         F.count_if(s == "exact_match").alias("tp"),

@@ -98,22 +98,35 @@ def reconciliation_total(inputs: DataFrame) -> DataFrame:
 
 def model_cells(nodes: DataFrame) -> DataFrame:
     """(job_id, sheet, coord, node_id, kind, group_label, content) and source where nodes have it: inputs from row 1 down, the reconciliation from row 3
-    with groups before their totals. Children are those of the same group label; windows by job replace joins."""
-    leaf = F.col("kind") == "leaf"
-    by_leaf = Window.partitionBy("job_id", "kind").orderBy("seq")
+    with groups before their totals. Children are those of the same group label.
+
+    A child sends its place to its parent's group, where the parent itself is, so one aggregate a parent gives its formula and no
+    list is ever on another row: the work is linear in a job's nodes.
+    """
+    kind, leaf = F.col("kind"), F.col("kind") == "leaf"
     coord = lambda n: F.concat(F.lit("B"), n.cast("string"))
-    placed = _placed(nodes).withColumns({"coord": coord(F.col("pos") + 2), "up": coord(F.row_number().over(by_leaf))})
-    whole = lambda *by: Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    under_root = F.collect_list(F.when(F.col("parent_id").startswith("root_"), F.col("coord"))).over(whole("job_id"))
-    under_group = F.collect_list(F.when(leaf, F.col("coord"))).over(whole("job_id", "group_label"))
-    # each list goes to its parent's row alone before the next exchange
-    placed = placed.withColumn("refs", under_root).withColumn("refs", F.when(F.col("kind") == "root", F.array_join("refs", "+")))
-    placed = placed.withColumn("group_refs", under_group).withColumn("refs", F.when(F.col("kind") == "aggregate", F.array_join("group_refs", "+")).otherwise(F.col("refs")))
-    content = F.when(leaf, F.concat(F.lit("=Source_Inputs!"), "up")).otherwise(F.concat(F.lit("="), "refs"))
+    placed = _placed(nodes).withColumns({"coord": coord(F.col("pos") + 2), "up": coord(F.row_number().over(Window.partitionBy("job_id", "kind").orderBy("seq")))})
     along = ["source", "label", "value"] if "source" in nodes.columns else []
     cell = lambda sheet, at, what: F.struct(F.lit(sheet).alias("sheet"), at.alias("coord"), "node_id", "kind", "group_label", what.alias("content"), *along)
-    both = F.array_compact(F.array(F.when(leaf, cell("Source_Inputs", F.col("up"), F.col("value"))), cell("Reconciliation", F.col("coord"), content)))
-    return placed.select("job_id", F.explode(both).alias("c")).select("job_id", "c.*")
+    both = F.array(cell("Source_Inputs", F.col("up"), F.col("value")), cell("Reconciliation", F.col("coord"), F.concat(F.lit("=Source_Inputs!"), "up")))
+    leaves = placed.where(leaf).select("job_id", F.explode(both).alias("c"))
+
+    none = F.lit(None).cast("string")
+    group = F.when(F.col("parent_id").startswith("agg_"), F.col("group_label"))
+    nobody, nothing = F.when(F.lit(False), F.struct("pos", "coord")), F.when(F.lit(False), cell("Reconciliation", F.col("coord"), none))
+    entry = lambda of, child, node: F.struct(of.alias("of"), child.alias("child"), node.alias("node"))
+    mine = F.when(kind == "aggregate", F.col("group_label"))
+    entries = F.array_compact(
+        F.array(
+            F.when(F.col("parent_id").isNotNull(), entry(group, F.struct("pos", "coord"), nothing)),
+            F.when(~leaf, entry(mine, nobody, cell("Reconciliation", F.col("coord"), none))),
+        )
+    )
+    parents = placed.select("job_id", F.explode(entries).alias("e")).select("job_id", "e.*").groupBy("job_id", "of")
+    parents = parents.agg(F.any_value("node", True).alias("c"), F.array_sort(F.collect_list("child")).alias("refs")).where("c is not null")
+    formula = F.concat(F.lit("="), F.array_join(F.col("refs.coord"), "+"))
+    parents = parents.select("job_id", F.col("c").withField("content", formula).alias("c"))
+    return leaves.union(parents).select("job_id", "c.*")
 
 
 def provenance_id(job: Column, sheet: Column, coord: Column) -> Column:

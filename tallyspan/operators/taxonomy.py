@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspan.functions import words
 from tallyspan.functions.exprs import canonical_label, contains_any, is_blank, iso_utc, strip
+from tallyspan.sources.scratch import stored
 
 
 def classification_candidates(scored: DataFrame, candidates_only: bool = True) -> DataFrame:
@@ -17,30 +18,32 @@ def classification_candidates(scored: DataFrame, candidates_only: bool = True) -
 
 
 def dictionary_classifier(labels: DataFrame) -> DataFrame:
-    """+ class, confidence: the first dictionary key in the stripped lower label, else the label."""
+    """+ class, confidence: the first dictionary key in the stripped lower label, else the stripped label."""
     low = F.lower(strip(F.col("label")))
     hit = F.lit(None).cast("string")
     for key, name in reversed(words.DICTIONARY):
         hit = F.when(low.contains(key), name).otherwise(hit)
-    return labels.withColumns({"class": F.coalesce(hit, F.col("label")), "confidence": F.lit(0.98)})
+    return labels.withColumns({"class": F.coalesce(hit, strip(F.col("label"))), "confidence": F.lit(0.98)})
 
 
-ANSWER = "label string, confidence double"
+ANSWER = "label string, confidence double, error string"
 
 
-def batch_classifier(answer: Callable) -> Callable[[Column], Column]:
-    """A classifier for classify() from a function of a batch: it gets a pandas Series of labels and returns a frame of
-    label and confidence, or raises. A model is loaded once a task, not once a batch; values, pages and
-    boxes never reach it. A batch that raises gives null answers, which classify() counts as errors."""
+def batch_classifier(answer: Callable | None = None, factory: Callable[[], Callable] | None = None) -> Callable[[Column], Column]:
+    """A classifier for classify() from a function of a batch, or from a factory of one, which each task calls once, as to load
+    a model. The function gets a pandas Series of labels and returns a frame of label and confidence; values, pages and
+    boxes never reach it. Whatever a batch or the factory raises, its answers are null and name the error."""
     import pandas as pd
 
     def run(labels):
+        ask = answer
         for batch in labels:
             try:
-                out = answer(batch)
-                yield pd.DataFrame({"label": list(out["label"]), "confidence": list(out["confidence"])})
-            except (ValueError, TypeError, RuntimeError):
-                yield pd.DataFrame({"label": [None] * len(batch), "confidence": [None] * len(batch)}).astype({"label": object, "confidence": float})
+                ask = ask or factory()
+                out = ask(batch)
+                yield pd.DataFrame({"label": list(out["label"]), "confidence": [None if c is None else float(c) for c in out["confidence"]], "error": [None] * len(batch)})
+            except Exception as e:
+                yield pd.DataFrame({"label": [None] * len(batch), "confidence": [None] * len(batch), "error": [f"{type(e).__name__}: {e}"] * len(batch)}).astype({"label": object, "confidence": float})
 
     run.__annotations__ = {"labels": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, ANSWER)
@@ -51,13 +54,13 @@ def dictionary_answer(label: Column) -> Column:
     low, hit = F.lower(strip(label)), F.lit(None).cast("string")
     for key, name in reversed(words.DICTIONARY):
         hit = F.when(low.contains(key), name).otherwise(hit)
-    return F.struct(F.coalesce(hit, label).alias("label"), F.lit(0.98).alias("confidence"))
+    return F.struct(F.coalesce(hit, strip(label)).alias("label"), F.lit(0.98).alias("confidence"), F.lit(None).cast("string").alias("error"))
 
 
 def classify(items: DataFrame, classifier: Callable[[Column], Column], most: int = 2000) -> DataFrame:
-    """(job_id, record_index, label, resp_label, resp_confidence, is_error): any classifier's answers to items.
+    """(job_id, record_index, label, resp_label, resp_confidence, is_error, error_detail): any classifier's answers to items.
 
-    The classifier is a function of a column that gives (label, confidence), built in or from batch_classifier(). It sees
+    The classifier is a function of a column that gives (label, confidence, error), built in or from batch_classifier(). It sees
     each distinct label once and the label alone, cut at most characters. An answer without a label or with a
     confidence beyond 0 to 1 is an error.
     """
@@ -65,7 +68,7 @@ def classify(items: DataFrame, classifier: Callable[[Column], Column], most: int
     got = asked.withColumn("_a", classifier(F.col("_asked")))
     out = items.select("job_id", "record_index", "label", _payload(most).alias("_asked")).join(got, "_asked", "left")
     ok = ~is_blank(F.col("_a.label")) & F.coalesce(F.col("_a.confidence").between(0, 1), F.lit(False))
-    return out.select("job_id", "record_index", "label", F.when(ok, F.col("_a.label")).alias("resp_label"), F.when(ok, F.col("_a.confidence")).alias("resp_confidence"), (~ok).alias("is_error"))
+    return out.select("job_id", "record_index", "label", F.when(ok, F.col("_a.label")).alias("resp_label"), F.when(ok, F.col("_a.confidence")).alias("resp_confidence"), (~ok).alias("is_error"), F.when(~ok, F.coalesce("_a.error", F.lit("answer is not valid"))).alias("error_detail"))
 
 
 def _payload(most: int) -> Column:
@@ -212,17 +215,19 @@ def decision_log_build(responses: DataFrame, taxonomy: DataFrame) -> DataFrame:
 def taxonomy_append(taxonomy: DataFrame, terms: DataFrame) -> DataFrame:
     """taxonomy with new terms at the end, once each, in order.
 
-    Terms are counted by their first characters; a running sum over those few rows gives each group its start,
-    and a window numbers the terms within it, so that no task sees all terms.
+    New terms are dealt by ranges and sorted within them, so terms of one prefix spread as others do. A term's
+    position is its place in its partition after the sizes of the partitions before: a row a partition is summed. The
+    partitions are stored, for both readings must see the same ranges.
     """
     new = terms.where(F.col("term").isNotNull()).select(F.col("term").alias("entry")).distinct().join(taxonomy.select("entry"), "entry", "left_anti")
-    new = new.withColumn("head", F.substring("entry", 1, 3))
-    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    starts = new.groupBy("head").agg(F.count(F.lit(1)).alias("n")).select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.monotonically_increasing_id()  # the partition's number above 33 bits, the row's below
+    ranges = new.repartitionByRange("entry").sortWithinPartitions("entry")
+    ranges = stored(ranges.select("entry", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     last = taxonomy.agg(F.coalesce(F.max("position"), F.lit(-1)).alias("last"))
-    at = F.col("last") + F.col("start") + F.row_number().over(Window.partitionBy("head").orderBy("entry"))
-    new = new.join(starts.crossJoin(F.broadcast(last)), "head").select(at.cast("int").alias("position"), "entry")
-    return taxonomy.select("position", "entry").union(new)
+    rows = ranges.join(F.broadcast(starts.crossJoin(F.broadcast(last))), "part")
+    return taxonomy.select("position", "entry").union(rows.select((F.col("last") + F.col("start") + F.col("at") + 1).cast("int").alias("position"), "entry"))
 
 
 def call_rate_audit(log: DataFrame, per_minute: int = 30, per_day: int = 1000) -> DataFrame:

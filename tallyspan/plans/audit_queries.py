@@ -11,7 +11,7 @@ from tallyspan.operators import evaluate as e
 from tallyspan.operators import reconcile as r
 from tallyspan.operators import report as p
 from tallyspan.operators import review as v
-from tallyspan.plans.queries import D, E1, E3, ITEMS, JOBS, N, ORACLES, QUERIES, R0, R2, REVIEW, RUNS, S, _compared, _inputs, _num, _sides, _slug, items, normalized, query, scored
+from tallyspan.plans.queries import D, E1, E3, ITEMS, JOBS, N, ORACLES, QUERIES, R0, R2, REVIEW, RUNS, S, _compared, _confirmed, _inputs, _num, _sides, _slug, items, normalized, query, scored
 from tallyspan.sources.fixtures import fixture, oracle
 from tallyspan.sources.scratch import stored
 
@@ -35,9 +35,13 @@ DJS = (*D, JOBS, DJ)
 
 
 def _review(spark, sf):
+    return _review_of(normalized(spark, sf))
+
+
+def _review_of(rows):
     """Items some weeks into their review: page 1 locked, some flagged, some amounts changed."""
     k, s = F.col("record_index"), F.col("status")
-    rows = v.review_items_init(normalized(spark, sf))
+    rows = v.review_items_init(rows)
     status = F.when((s != "extraction_error") & (F.col("page") == 1), "locked").when(k % 6 == 5, "flagged").otherwise(s)
     return rows.withColumns({"status": status, "value": F.when(k % 4 == 1, "0").otherwise(F.col("value")), "source_file": F.concat("job_id", F.lit(".pdf"))})
 
@@ -50,8 +54,10 @@ def _provenance(spark, sf):
     return r.provenance_build(_model(spark, sf))
 
 
-def _enriched(spark, sf):
-    return a.chain_review_enrich(r.source_chain(_model(spark, sf)), _review(spark, sf))
+def _trail(spark, sf):
+    """(cells, review): a model and its review from one reading of the records, both stored for the joins between them."""
+    rows = stored(normalized(spark, sf))
+    return stored(r.model_cells(r.formula_nodes(r.formula_inputs(_confirmed(rows)), carry=r.SOURCE))), _review_of(rows)
 
 
 def _drift(spark, sf):
@@ -179,24 +185,26 @@ def chain_leaf_pick(spark, sf):
 
 @query("SELECT job_id, sheet, coord, leaf_id, review_status, value, label FROM enr", *CH)
 def chain_review_enrich(spark, sf):
-    return _enriched(spark, sf)
+    cells, review = _trail(spark, sf)
+    return a.chain_review_enrich(r.source_chain(cells), review)
 
 
 @query("""SELECT job_id, sheet, coord, CASE WHEN n = 0 THEN 'in_review' WHEN missing > 0 THEN 'has_missing' WHEN flagged > 0 THEN 'contains_flagged' WHEN locked = n THEN 'all_locked' ELSE 'in_review' END AS state, n, locked FROM (
 SELECT k.job_id, k.sheet, k.coord, count(h.leaf_id) AS n, count(*) FILTER (review_status = 'locked') AS locked, count(*) FILTER (review_status = 'source_record_missing') AS missing, count(*) FILTER (review_status = 'flagged') AS flagged
 FROM cells_ k LEFT JOIN enr h ON h.job_id = k.job_id AND h.sheet = k.sheet AND h.coord = k.coord GROUP BY 1, 2, 3)""", *CH)
 def chain_rollup(spark, sf):
-    return a.chain_rollup(_model(spark, sf), _enriched(spark, sf))
+    cells, review = _trail(spark, sf)
+    return a.chain_rollup(cells, a.chain_review_enrich(r.source_chain(cells), review))
 
 
 @query("""SELECT h.job_id, h.sheet, h.coord, h.leaf_id, g.seq IS NULL AS is_gap, CASE WHEN g.seq IS NULL THEN 'source_record_missing' ELSE review_status END AS review_status, CASE WHEN g.seq IS NULL THEN '[missing]' ELSE h.value END AS value,
   CASE WHEN g.seq IS NULL THEN '[missing]' ELSE h.label END AS label, coalesce(i.source_file, 'unknown') AS source_file, coalesce(i.page, 1) AS page, coalesce(i.x0, 0) AS x0, coalesce(i.y1, 0) AS y1
 FROM enr h LEFT JOIN nodes g ON g.job_id = h.job_id AND g.node_id = h.leaf_id AND g.kind = 'leaf' AND g.seq % 9 <> 3 LEFT JOIN inputs i ON i.job_id = g.job_id AND i.record_index = g.seq""", *CH)
 def chain_components(spark, sf):
-    cells = _model(spark, sf)
+    cells, review = _trail(spark, sf)
     known = F.regexp_extract("node_id", r"^leaf_(\d+)_", 1).cast("int") % 9 != 3
     leaves = cells.where((F.col("sheet") == "Source_Inputs") & known).select("job_id", F.col("node_id").alias("leaf_id"), "source.*")
-    out = a.chain_components(r.source_chain(cells), leaves, _review(spark, sf))
+    out = a.chain_components(r.source_chain(cells), leaves, review)
     return out.select("job_id", "sheet", "coord", "leaf_id", "is_gap", "review_status", "value", "label", "source_file", "page", "x0", "y1")
 
 
@@ -209,15 +217,17 @@ def reconciliation_summary(spark, sf):
 SELECT job_id, sheet, coord, string_agg(leaf_id || ':' || review_status, ',' ORDER BY leaf_id, review_status) AS parts FROM enr GROUP BY 1, 2, 3) h ON h.job_id = k.job_id AND h.sheet = k.sheet AND h.coord = k.coord""", *CH)
 def provenance_matrix(spark, sf):
     parts = F.array_join(F.transform("components", lambda x: F.concat(x["leaf_id"], F.lit(":"), x["review_status"])), ",")
-    return a.provenance_matrix(_provenance(spark, sf), _enriched(spark, sf)).select("job_id", "sheet", "coord", "node_id", parts.alias("components"))
+    cells, review = _trail(spark, sf)
+    return a.provenance_matrix(r.provenance_build(cells), a.chain_review_enrich(r.source_chain(cells), review)).select("job_id", "sheet", "coord", "node_id", parts.alias("components"))
 
 
 @query("""SELECT * FROM (SELECT i.id AS item_id, CASE WHEN s.status = 'extraction_error' OR i.status = 'extraction_error' THEN 'extraction_error_recovery' WHEN i.status = 'manual_required' THEN 'manual_required_entry' WHEN i.value <> s.value OR i.label <> s.label THEN 'user_edit' END AS override_type,
-s.value AS original_value, i.value AS final_value, s.label AS original_label, i.label AS final_label, s.flags, coalesce(i.band, s.band) AS band, i.page FROM rv i LEFT JOIN scored s ON s.job_id = i.job_id AND s.record_index = i.record_index) WHERE override_type IS NOT NULL
-UNION ALL SELECT sheet || '!' || coord, 'manual_hardcode', NULL, content, NULL, 'hardcode_' || node_id, '', NULL, NULL FROM cells_ WHERE sheet = 'Reconciliation' AND kind = 'leaf' AND coord = 'B4'""", *R2, REVIEW, RV)
+s.value AS original_value, i.value AS final_value, s.label AS original_label, i.label AS final_label, i.status AS review_status, s.flags, coalesce(i.band, s.band) AS band, CASE WHEN s.status = 'extraction_error' THEN 'cell could not be parsed' END AS error_detail, i.job_id || '.pdf' AS source_file, i.page, i.x0, i.y0, i.x1, i.y1, false AS is_hardcode FROM rv i LEFT JOIN scored s ON s.job_id = i.job_id AND s.record_index = i.record_index) WHERE override_type IS NOT NULL
+UNION ALL SELECT sheet || '!' || coord, 'manual_hardcode', NULL, content, NULL, 'hardcode_' || node_id, 'manual_hardcode', 'manual_hardcode', 'manual_required', 'Manual hardcode per NFR2', i.source_file, i.page, i.x0, i.y0, i.x1, i.y1, true
+FROM cells_ c JOIN rows_ i ON i.job_id = c.job_id AND 'leaf_' || i.record_index || '_' || """ + _slug("i.leaf_label") + " = c.node_id WHERE sheet = 'Reconciliation' AND kind = 'leaf' AND coord = 'B4'", *R2, REVIEW, RV)
 def manual_overrides(spark, sf):
     typed = _provenance(spark, sf).where("sheet = 'Reconciliation' and kind_ = 'leaf' and coord = 'B4'").withColumn("node_id", F.concat(F.lit("hardcode_"), "node_id"))
-    out = a.manual_overrides(_review(spark, sf), scored(spark, sf), typed)
+    out = a.manual_overrides(_review(spark, sf), scored(spark, sf).withColumn("error_detail", F.when(F.col("status") == "extraction_error", "cell could not be parsed")), typed)
     return out.withColumn("flags", F.array_join("flags", ","))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from tallyspan.operators import review as v
 from tallyspan.operators import review_log
 from tallyspan.operators import scoring as s
 from tallyspan.operators import taxonomy as t
-from tallyspan.sources import intake
+from tallyspan.sources import corpus, intake
 from tallyspan.sources.fixtures import fixture, oracle
+from tallyspan.sources.scratch import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,11 +131,6 @@ def jobs_status_update(spark, sf):
     return intake.jobs_status(ev.select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.when(F.col("value") > 5, True).alias("model_ready")))
 
 
-@query("SELECT position, entry FROM fx_taxonomy", TAX)
-def taxonomy_scan(spark, sf):
-    return fixture(spark, sf, "fx_taxonomy")
-
-
 # ---- cells
 CELL2 = """cell AS (SELECT *, cell_idx = 0 AS is_header, cell_idx AS start_row, cell_idx % 7 AS start_col FROM fx_cells)"""
 _PY = lambda x: x.replace("'", "''")
@@ -277,7 +274,7 @@ def classification_candidates(spark, sf):
 _DICT = " ".join(f"WHEN contains(lower(trim(label)), '{k}') THEN '{n}'" for k, n in words.DICTIONARY)
 
 
-@query(f"SELECT label, CASE {_DICT} ELSE label END AS class, 0.98::DOUBLE AS confidence, count(*) AS n FROM fx_line_items GROUP BY 1, 2", ITEMS)
+@query(f"SELECT label, CASE {_DICT} ELSE trim(label) END AS class, 0.98::DOUBLE AS confidence, count(*) AS n FROM fx_line_items GROUP BY 1, 2", ITEMS)
 def dictionary_classifier(spark, sf):
     """Distinct labels are classified, then counted."""
     return t.dictionary_classifier(items(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))).select("label", "class", "confidence", "n")
@@ -320,14 +317,14 @@ def classification_counts(spark, sf):
     return t.classification_counts(base, t.classifier_responses(items(spark, sf)).join(sent, ["job_id", "record_index"], "left_semi"))
 
 
-NAMED = """named AS (SELECT job_id, record_index, CASE suppkey % 5 WHEN 0 THEN 'Total net income ' WHEN 1 THEN 'Restructuring, ' WHEN 2 THEN 'Litigation ' ELSE '' END || label AS label FROM fx_line_items)"""
-_ANSWERED = f"SELECT job_id, record_index, label, CASE {_DICT} ELSE label END AS resp_label, 0.98::DOUBLE AS resp_confidence, false AS is_error FROM named"
+NAMED = """named AS (SELECT job_id, record_index, CASE suppkey % 5 WHEN 0 THEN 'Total net income ' WHEN 1 THEN 'Restructuring, ' WHEN 2 THEN 'Litigation ' ELSE '' END || label || CASE suppkey % 5 WHEN 3 THEN '  ' ELSE '' END AS label FROM fx_line_items)"""
+_ANSWERED = f"SELECT job_id, record_index, label, CASE {_DICT} ELSE trim(label) END AS resp_label, 0.98::DOUBLE AS resp_confidence, false AS is_error, NULL::VARCHAR AS error_detail FROM named"
 
 
 def _named(spark, sf):
     k = F.col("suppkey") % 5
     start = F.when(k == 0, "Total net income ").when(k == 1, "Restructuring, ").when(k == 2, "Litigation ").otherwise("")
-    return items(spark, sf).select("job_id", "record_index", F.concat(start, "label").alias("label"))
+    return items(spark, sf).select("job_id", "record_index", F.concat(start, "label", F.when(k == 3, "  ").otherwise("")).alias("label"))
 
 
 @query(_ANSWERED, ITEMS, NAMED)
@@ -343,7 +340,7 @@ def classify_batches(spark, sf):
     def answer(labels):
         import pandas as pd
 
-        found = [next((name for key, name in known if key in x.strip().lower()), x) for x in labels]
+        found = [next((name for key, name in known if key in x.strip().lower()), x.strip()) for x in labels]
         return pd.DataFrame({"label": found, "confidence": 0.98})
 
     return t.classify(_named(spark, sf), t.batch_classifier(answer))
@@ -385,6 +382,54 @@ def taxonomy_append(spark, sf):
     return t.taxonomy_append(fixture(spark, sf, "fx_taxonomy"), spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("term")))
 
 
+# ---- scans of files that are written from the given tables
+@query(f"SELECT 'file' AS origin, position, entry FROM fx_taxonomy UNION ALL SELECT 'seed', (row_number() OVER () - 1)::INT, e FROM (VALUES {_SEEDS}) v(e)", TAX)
+def taxonomy_scan(spark, sf):
+    """The taxonomy as a JSON list in a file; a file that holds something else gives the seed."""
+    root, rows = f"{scratch_dir(spark)}/tallyspan-{uuid.uuid4().hex}", fixture(spark, sf, "fx_taxonomy")
+    whole = rows.agg(F.array_sort(F.collect_list(F.struct("position", "entry"))).alias("t"))
+    whole.select(F.to_json(F.col("t.entry"))).write.text(f"{root}/list")
+    whole.select(F.to_json(F.struct(F.col("t.entry").alias("entries")))).write.text(f"{root}/other")
+    read = [t.taxonomy_scan(spark, f"{root}/{name}").select(F.lit(origin).alias("origin"), "position", "entry") for name, origin in (("list", "file"), ("other", "seed"))]
+    return read[0].union(read[1])
+
+
+def _gt_files(spark, sf):
+    """A filing for each supplier, as a JSON document in a folder of its own, and a manifest that names most of them, last ones first, and a folder that is not there."""
+    root, k = f"{scratch_dir(spark)}/tallyspan-{uuid.uuid4().hex}", F.col("suppkey")
+    item = F.struct(
+        "value", "label", F.col("p_type").alias("normalized_label"), "page", F.struct("x0", "y0", "x1", "y1").alias("bbox"), F.concat("job_id", F.lit(".pdf")).alias("source_file"), (F.col("partkey") % 9 == 0).alias("is_optional"), F.lit(None).cast("string").alias("section")
+    )
+    rows = items(spark, sf).select("suppkey", F.struct("job_id", "record_index", item.alias("item")).alias("r"))
+    docs = rows.groupBy("suppkey").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["item"]).alias("ground_truth_items"))
+    about = F.struct(
+        k.cast("string").alias("filing_id"), F.concat(F.lit("Supplier "), k).alias("company_name"), F.lit("S").alias("ticker"), F.lit(2023).alias("fiscal_year"), F.lit("10-K").alias("filing_type"), F.lit(3).alias("page_count"), F.lit("Adjusted EBITDA").alias("target_metric")
+    )
+    docs = docs.select(F.concat(F.lit("filing "), k).alias("folder"), about.alias("metadata"), "ground_truth_items", (k * 1.5).alias("expected_reconciliation_total"))
+    docs.repartition("folder").write.partitionBy("folder").json(f"{root}/corpus")
+    named = spark.read.parquet(f"{sf}/supplier.parquet").where("s_suppkey % 4 <> 1").agg(F.reverse(F.array_sort(F.collect_list("s_suppkey"))).alias("ks"))
+    ids = F.concat(F.transform("ks", lambda s: F.concat(F.lit("filing "), s)), F.array(F.lit("filing gone")))
+    named.select(F.to_json(F.struct(ids.alias("filing_ids")))).write.text(f"{root}/manifest")
+    return corpus.gt_corpus_scan(spark, f"{root}/corpus", f"{root}/manifest", "*.json")
+
+
+NAMED_FILINGS = "named_filings AS (SELECT s_suppkey AS k, (row_number() OVER (ORDER BY s_suppkey DESC) - 1)::INT AS position FROM supplier WHERE s_suppkey % 4 <> 1)"
+
+
+@query("""SELECT suppkey::STRING AS job_id, (row_number() OVER (PARTITION BY suppkey ORDER BY job_id, record_index) - 1)::INT AS item_pos, value, label, p_type AS normalized_label, page, x0, y0, x1, y1, job_id || '.pdf' AS source_file, partkey % 9 = 0 AS is_optional
+FROM fx_line_items WHERE suppkey IN (SELECT k FROM named_filings)""", ITEMS, NAMED_FILINGS)
+def gt_corpus_scan(spark, sf):
+    out = _gt_files(spark, sf)[1]
+    return out.select("job_id", "item_pos", "value", "label", "normalized_label", "page", *[F.col("bbox")[b].alias(b) for b in ("x0", "y0", "x1", "y1")], "source_file", "is_optional")
+
+
+@query("""SELECT position, 'filing ' || k AS folder, x.suppkey IS NOT NULL AS is_known, x.suppkey::STRING AS filing_id, CASE WHEN x.suppkey IS NOT NULL THEN 3 END AS page_count, x.suppkey * 1.5::DOUBLE AS expected_total FROM named_filings LEFT JOIN (SELECT DISTINCT suppkey FROM fx_line_items) x ON x.suppkey = k
+UNION ALL SELECT (SELECT count(*) FROM named_filings)::INT, 'filing gone', false, NULL, NULL, NULL""", ITEMS, NAMED_FILINGS)
+def gt_corpus_filings(spark, sf):
+    """Filings in the manifest's order; the one without a folder is not known."""
+    return _gt_files(spark, sf)[0].select(F.col("order_key").cast("int").alias("position"), "folder", "is_known", "filing_id", "page_count", "expected_total")
+
+
 @query("""SELECT user_id AS client, event_id AS seq, n AS calls_60s, n > 2 AS over, d AS calls_24h, d > 20 AS over_day FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n,
   count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW) AS d FROM events)""")
 def call_rate_audit(spark, sf):
@@ -419,7 +464,7 @@ METRICS = """fd AS (SELECT job_id, count(*) FILTER (status = 'exact_match') AS t
 fs AS (SELECT job_id, count(*) AS extracted, count(*) FILTER (score < 0.95) AS not_auto FROM scored GROUP BY 1),
 fm0 AS (SELECT r.job_id, r.success, r.classification AS cells, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(gt_total, 0) AS gt_total, coalesce(gt_required, 0) AS gt_required, coalesce(extraction_errors, 0) AS extraction_errors,
   coalesce(classification_errors, 0) AS classification_errors, coalesce(extracted, 0) AS extracted, coalesce(not_auto, 0) AS not_auto, (NOT r.success OR r.classification = 0)::INT AS generation_errors,
-  coalesce(round_even(not_auto * 100 / nullif(extracted, 0)::DOUBLE, 2), 0) AS not_auto_percent FROM fx_runs r LEFT JOIN fd ON fd.job_id = r.job_id LEFT JOIN fs ON fs.job_id = r.job_id),
+  coalesce(round_even(not_auto * 100 / nullif(extracted, 0)::DOUBLE, 2), 0) AS not_auto_percent FROM (SELECT * FROM fx_runs WHERE job_id IN (SELECT job_id FROM fx_line_items)) r LEFT JOIN fd ON fd.job_id = r.job_id LEFT JOIN fs ON fs.job_id = r.job_id),
 fm1 AS (SELECT *, CASE WHEN (CASE WHEN gt_required > 0 THEN gt_required ELSE gt_total END) > 0 THEN round_even(tp * 100 / (CASE WHEN gt_required > 0 THEN gt_required ELSE gt_total END)::DOUBLE, 2) ELSE 100 END AS accuracy,
   coalesce(round_even(tp / nullif(tp + fp, 0)::DOUBLE, 4), 0) AS precision, coalesce(round_even(tp / nullif(tp + fn, 0)::DOUBLE, 4), 0) AS recall FROM fm0),
 fm AS (SELECT * EXCLUDE (success, cells), CASE WHEN precision + recall > 0 THEN round_even(2 * precision * recall / (precision + recall), 4) ELSE 0 END AS f1, not_auto_percent > 15 OR NOT success AS is_failed, accuracy >= 90 AS on_target FROM fm1)"""
@@ -471,7 +516,7 @@ def _runs(spark, sf):
 
 @query("SELECT * FROM fm", *E3)
 def filing_metrics(spark, sf):
-    return e.filing_metrics(e.item_diffs(*_sides(spark, sf)), _runs(spark, sf), scored(spark, sf).select("job_id", "score"))
+    return e.filing_metrics(e.item_diffs(*_sides(spark, sf)), _runs(spark, sf), scored(spark, sf).select("job_id", "score"), items(spark, sf))
 
 
 @query("""SELECT *, CASE WHEN micro_precision + micro_recall > 0 THEN round_even(2 * micro_precision * micro_recall / (micro_precision + micro_recall), 4) ELSE 0 END AS micro_f1, accuracy >= 90 AS on_target FROM (
@@ -580,12 +625,12 @@ R0, R1, R2 = (*N, SPOILED, INPUTS), (*N, SPOILED, INPUTS, NODES), (*N, SPOILED,
 
 
 def _inputs(spark, sf):
-    return r.formula_inputs(_confirmed(spark, sf))
+    return r.formula_inputs(_confirmed(normalized(spark, sf)))
 
 
-def _confirmed(spark, sf):
+def _confirmed(rows):
     k, c_ = F.col("partkey"), F.col
-    return normalized(spark, sf).withColumns(
+    return rows.withColumns(
         {
             "is_confirmed": c_("taxonomy_status") == "matched",
             "source_file": F.when(k % 47 == 1, " ").otherwise(F.concat("job_id", F.lit(".pdf"))),
@@ -610,7 +655,7 @@ def formula_input_errors(spark, sf):
 
 @query("""SELECT job_id, count(*) AS received, count(*) FILTER (band = 'auto_accepted' OR taxonomy_status = 'matched') AS confirmed, count(*) FILTER (NOT (band = 'auto_accepted' OR taxonomy_status = 'matched')) AS excluded FROM norm GROUP BY 1""", *N)
 def formula_input_counts(spark, sf):
-    return r.formula_input_counts(_confirmed(spark, sf))
+    return r.formula_input_counts(_confirmed(normalized(spark, sf)))
 
 
 @query("SELECT job_id, node_id, parent_id, kind, label, group_label, seq FROM nodes", *R1)

@@ -15,13 +15,14 @@ GT = f"metadata {GT_META}, ground_truth_items array<{GT_ITEM}>, expected_reconci
 LOG = "job_id string, record_index int, timestamp string, taxonomy_status string, resulting_state string, error_detail string, _corrupt_record string"
 
 
-def gt_corpus_scan(spark: SparkSession, root: str, manifest: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(filings, items) of root/<folder>/ground_truth.json: those the manifest names, in its order, else all by name.
+def gt_corpus_scan(spark: SparkSession, root: str, manifest: str | None = None, name: str = "ground_truth.json") -> tuple[DataFrame, DataFrame]:
+    """(filings, items) of root/<folder>/name: those the manifest names, in its order, else all by name. Of a folder key=value, as
+    a partitioned table has them, the value is the name.
 
     A folder that the manifest names and root lacks is a filing with is_known false and nothing else.
     """
-    raw = spark.read.schema(GT).option("multiLine", True).json(f"{root}/*/ground_truth.json")
-    raw = raw.withColumn("folder", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    raw = spark.read.schema(GT).option("multiLine", True).json(f"{root}/*/{name}")
+    raw = raw.withColumn("folder", F.url_decode(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^[^=]*=", "")))
     if manifest:
         named = spark.read.schema("filing_ids array<string>").option("multiLine", True).json(manifest)
         raw = named.select(F.posexplode("filing_ids").alias("position", "folder")).join(raw.withColumn("is_known", F.lit(True)), "folder", "left")

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tallyspan.operators import chain
+from tallyspan.operators import chain, reconcile
+from tallyspan.plans import audit_queries
 
 ROW = "job_id string, sheet string, coord string, node_id string, is_formula boolean, text string, place string"
 
@@ -62,3 +63,41 @@ def test_look_up_by_cell_and_id(spark):
 def test_letters(spark):
     df = spark.createDataFrame([("A",), ("Z",), ("AA",), ("AZ",), ("BA",), ("ZZ",), ("AAA",), ("XFD",), ("ZZZ",)], "s string")
     assert all(r.s == r.t for r in df.select("s", chain._letters(chain._column_number(F.col("s"))).alias("t")).collect())
+
+
+def test_a_model_of_many_leaves(spark):
+    """300,000 leaves of one job, a third of one label: places and formulas as plain counting gives them."""
+    n = 300_000
+    label = lambda k: "Hot" if k % 3 == 0 else f"Pair {k // 6}" if k % 3 == 1 else f"One {k}"
+    rows = spark.range(n).selectExpr(
+        "'j' as job_id", "int(id) as record_index", "case id % 3 when 0 then 'Hot' when 1 then concat('Pair ', id div 6) else concat('One ', id) end as leaf_label", "1 as page", "string(id) as value", "cast(null as string) as reason"
+    )
+    groups: dict = {}
+    for k in range(n):
+        groups.setdefault(label(k), []).append(k)
+    at, leaf_at, formulas, under_root = 3, {}, {}, []
+    for name, members in groups.items():  # in order of first appearance
+        for k in members:
+            leaf_at[k] = f"B{at}"
+            at += 1
+        if len(members) > 1:
+            formulas[f"B{at}"] = "=" + "+".join(leaf_at[k] for k in members)
+            under_root.append(f"B{at}")
+            at += 1
+        else:
+            under_root.append(leaf_at[members[0]])
+    formulas[f"B{at}"] = "=" + "+".join(under_root)
+    out = reconcile.model_cells(reconcile.formula_nodes(rows)).persist()
+    got = {r.coord: r.content for r in out.where("sheet = 'Reconciliation' and kind <> 'leaf'").collect()}
+    assert got == formulas
+    inputs = {r.coord: r.content for r in out.where("sheet = 'Source_Inputs'").collect()}
+    assert inputs == {f"B{k + 1}": str(k) for k in range(n)}
+    links = {r.coord: r.content for r in out.where("sheet = 'Reconciliation' and kind = 'leaf'").collect()}
+    assert links == {leaf_at[k]: f"=Source_Inputs!B{k + 1}" for k in range(n)}
+    out.unpersist()
+
+
+def test_trails_have_few_exchanges(spark):
+    for name in ("chain_rollup", "provenance_matrix", "chain_components"):
+        plan = audit_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") < 20 and plan.count("FileScan") <= 8, name

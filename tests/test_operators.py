@@ -207,3 +207,48 @@ def test_chain_of_every_cell(spark):
     refs = spark.createDataFrame([("j", " Reconciliation", "b3 "), ("j", "Reconciliation", "B99"), ("k", "Reconciliation", "B3")], "job_id string, sheet string, coord string")
     chain = {(r.job_id, r.coord): (r.is_found, r.leaf_id) for r in reconcile.source_chain_of(refs, cells_).collect()}
     assert chain == {("j", "B3"): (True, "leaf_0_net_income"), ("j", "B99"): (False, None), ("k", "B3"): (False, None)}
+
+
+def test_terms_of_one_prefix_use_all_partitions(spark):
+    n = 20_000
+    old = spark.createDataFrame([(0, "prefix 00017"), (4, "zz")], "position int, entry string")
+    terms = spark.range(n).selectExpr("concat('prefix ', lpad(cast(id as string), 5, '0')) as term").union(spark.createDataFrame([("zz",), (None,), ("aa",), ("aa",)], "term string"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = taxonomy.taxonomy_append(old, terms)
+        got = {r.entry: r.position for r in out.collect()}
+        tasks = [f for f in out.inputFiles()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {"prefix 00017": 0, "zz": 4, **{e: 5 + k for k, e in enumerate(sorted({"aa", *(f"prefix {k:05d}" for k in range(n) if k != 17)}))}}
+    assert len(tasks) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_classifier_may_raise_anything(spark):
+    rows = spark.createDataFrame([("a", 0, " Debt "), ("a", 1, None)], "job_id string, record_index int, label string")
+
+    def fails(batch):
+        raise KeyError("gone")
+
+    def loads():
+        raise OSError("no model")
+
+    def answers():
+        import pandas as pd
+
+        return lambda batch: pd.DataFrame({"label": batch.str.strip(), "confidence": 0.5})
+
+    for classifier, why in ((taxonomy.batch_classifier(fails), "KeyError: 'gone'"), (taxonomy.batch_classifier(factory=loads), "OSError: no model")):
+        assert {(r.is_error, r.error_detail, r.resp_label) for r in taxonomy.classify(rows.where("label is not null"), classifier).collect()} == {(True, why, None)}
+    assert taxonomy.classify(rows, taxonomy.dictionary_answer).where("label is null").first().error_detail == "answer is not valid"  # no label is no question
+    got = {r.record_index: (r.is_error, r.resp_label) for r in taxonomy.classify(rows.where("label is not null"), taxonomy.batch_classifier(factory=answers)).collect()}
+    assert got == {0: (False, "Debt")}
+    assert taxonomy.classify(rows, taxonomy.dictionary_answer).where("record_index = 0").first().resp_label == "Debt"
+
+
+def test_runs_of_unknown_filings_are_left_out(spark):
+    diffs = spark.createDataFrame([("a", "exact_match", False)], "job_id string, status string, is_optional boolean")
+    runs = spark.createDataFrame([("a", True, 1), ("x", False, 0)], "job_id string, success boolean, cells int")
+    scores = spark.createDataFrame([("a", 1.0)], "job_id string, score double")
+    assert [r.job_id for r in evaluate.filing_metrics(diffs, runs, scores, diffs).collect()] == ["a"]
+    assert evaluate.filing_metrics(diffs, runs, scores).count() == 2
