@@ -28,7 +28,7 @@ def table_title(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """
     text = strip(F.coalesce("text", F.lit("")))
     low = F.lower(text)
-    first = (F.col("start_row") == 0) & (F.length(text) > words.ALLOWED_TITLE_LENGTH) & contains_any(low, words.TITLE_WORDS)
+    first = F.coalesce(F.col("start_row").cast("string").try_cast("int") == 0, F.lit(False)) & (F.length(text) > words.ALLOWED_TITLE_LENGTH) & contains_any(low, words.TITLE_WORDS)
     head = F.col("is_header") & contains_any(low, words.HEADER_TITLE_WORDS)
     got = cells.groupBy("source_file", "table_idx").agg(F.min_by(F.when(first, text), F.when(first, F.col("cell_idx"))).alias("a"), F.min_by(F.when(head, text), F.when(head, F.col("cell_idx"))).alias("b"))
     number = F.concat(F.lit("Table "), (F.col("table_idx") + 1).cast("string"))
@@ -49,9 +49,14 @@ def reconciliation_tables(titles: DataFrame, metric: str = "") -> DataFrame:
 
 
 def header_label_path(cells: DataFrame) -> DataFrame:
-    """(source_file, table_idx, cell_idx, label): row headers, then column headers, joined by ' / '; data cells only.
+    """(source_file, table_idx, cell_idx, label) of the data cells, see labelled()."""
+    return labelled(cells).select("source_file", "table_idx", "cell_idx", "label")
 
-    cells: start_row, start_col, is_row_header, is_col_header, text.
+
+def labelled(cells: DataFrame) -> DataFrame:
+    """Data cells + label: row headers, then column headers, joined by ' / ', else the cell's text.
+
+    cells: source_file, table_idx, cell_idx, start_row, start_col, is_row_header, is_col_header, text.
     """
     table = ["source_file", "table_idx"]
 
@@ -64,7 +69,7 @@ def header_label_path(cells: DataFrame) -> DataFrame:
     out = data.join(heads("is_row_header", "start_row", "rh"), [*table, "start_row"], "left").join(heads("is_col_header", "start_col", "ch"), [*table, "start_col"], "left")
     none = F.array().cast("array<string>")
     path = F.array_join(F.concat(F.coalesce("rh", none), F.coalesce("ch", none)), " / ")
-    return out.select(*table, "cell_idx", F.when(path != "", path).otherwise(F.col("text")).alias("label"))
+    return out.withColumn("label", F.when(path != "", path).otherwise(F.col("text"))).drop("rh", "ch")
 
 
 def item_order(items: DataFrame) -> DataFrame:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyspan.operators import audit as a
 from tallyspan.operators import cells as c
 from tallyspan.operators import chain
 from tallyspan.operators import evaluate as e
+from tallyspan.operators import filing
 from tallyspan.operators import reconcile as r
 from tallyspan.operators import report as p
 from tallyspan.operators import review as v
-from tallyspan.plans.queries import D, E1, E3, ITEMS, JOBS, N, ORACLES, QUERIES, R0, R2, REVIEW, RUNS, S, _compared, _confirmed, _inputs, _num, _sides, _slug, items, normalized, query, scored
+from tallyspan.plans.queries import _DICT, D, E1, E3, ITEMS, JOBS, N, ORACLES, QUERIES, R0, R2, REVIEW, RUNS, S, TAX, _compared, _confirmed, _inputs, _num, _sides, _slug, items, normalized, query, scored
 from tallyspan.sources.fixtures import fixture, oracle
-from tallyspan.sources.scratch import stored
+from tallyspan.sources.scratch import scratch_dir, stored
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -341,7 +344,7 @@ def oversized_pages(spark, sf):
 @query("""SELECT j.job_id, coalesce(s.total, 0) AS total, coalesce(s.errors, 0) AS errors, coalesce(i.n, 0) AS inputs, coalesce(k.n, 0) AS cells, CASE WHEN i.n IS NULL THEN 'no confirmed items' WHEN j.target_metric <> 'Adjusted EBITDA' THEN 'metric is not supported' END AS reason
 FROM fx_jobs j LEFT JOIN (SELECT job_id, count(*) AS total, count(*) FILTER (status = 'extraction_error') AS errors FROM scored GROUP BY 1) s ON s.job_id = j.job_id
 LEFT JOIN (SELECT job_id, count(*) AS n FROM inputs WHERE reason IS NULL GROUP BY 1) i ON i.job_id = j.job_id LEFT JOIN (SELECT job_id, count(*) AS n FROM cells_ GROUP BY 1) k ON k.job_id = j.job_id""", *R2, JOBS)
-def batch_score_pipeline(spark, sf):
+def batch_job_summary(spark, sf):
     """Score, classify, normalize, build the tree and the model of every filing in one plan; a bad row fails itself alone."""
     inputs = _inputs(spark, sf)
     n = inputs.where("reason is null").groupBy("job_id").agg(F.count(F.lit(1)).alias("inputs"))
@@ -351,3 +354,56 @@ def batch_score_pipeline(spark, sf):
     for part in (rows, n, built):
         out = out.join(part, "job_id", "left")
     return out.fillna(0, ["total", "errors", "inputs", "cells"]).select("job_id", "total", "errors", "inputs", "cells", "reason")
+
+
+# ---- filings from their cells
+#: One table a job, two cells a row: the first row and column are headers. Some cells are malformed, some pages have no size.
+FILED = f"""grid2 AS (SELECT *, job_id || '.pdf' AS source_file, 0 AS table_idx, record_index AS cell_idx, record_index // 2 AS start_row, record_index % 2 AS start_col, record_index % 2 = 0 AS is_row_header, record_index < 2 AS is_col_header,
+  CASE WHEN record_index % 2 = 0 OR record_index < 2 THEN label WHEN partkey % 19 <> 0 THEN value END AS text, suppkey % 23 = 0 AND record_index >= 2 AND record_index % 2 = 1 AS bad_row FROM fx_line_items),
+path2 AS (SELECT g.* EXCLUDE (label, value, table_name, page, is_error), r.label || ' / ' || h.label AS path, h.table_name, coalesce(CASE WHEN g.partkey % 3 <> 0 THEN g.page END, CASE WHEN g.suppkey % 4 <> 0 THEN 7 END, 1) AS page, bad_row OR text IS NULL AS bad_cell
+  FROM grid2 g JOIN fx_line_items r ON r.job_id = g.job_id AND r.record_index = g.record_index - 1 JOIN (SELECT job_id, max(label) FILTER (record_index = 1) AS label, max(table_name) FILTER (record_index = 0) AS table_name FROM fx_line_items GROUP BY 1) h ON h.job_id = g.job_id WHERE NOT is_row_header AND NOT is_col_header),
+box2 AS (SELECT * EXCLUDE (x0, y0, x1, y1), {", ".join(f"CASE WHEN bad_cell THEN 0 WHEN partkey % 5 <> 0 THEN {b} WHEN suppkey % 2 = 0 THEN {b} + 1 WHEN partkey % 7 <> 0 THEN {b} + 2 ELSE 0 END::DOUBLE AS {b}" for b in c.BOX)},
+  page < 4 AND job_id::BIGINT % 10 <> 0 AS sized FROM path2),
+filed AS (SELECT * EXCLUDE (x0, y0, x1, y1, record_index), (row_number() OVER (PARTITION BY job_id ORDER BY page, y0, x0, cell_idx) - 1)::INT AS record_index, coalesce(text, '') AS value, CASE WHEN bad_cell THEN 'Error / Unparsed Cell' ELSE path END AS label, bad_cell OR NOT sized AS is_error,
+  {", ".join(f"CASE WHEN sized AND NOT bad_cell THEN round_even(greatest(0, least(1000, {b} / {612.0 if b[0] == 'x' else 792.0} * 1000)), 2) ELSE 0 END AS {b}" for b in c.BOX)} FROM box2)"""
+OF_FILED = [x.replace("FROM fx_line_items)", "FROM filed)") for x in S[1:]]
+RESP2 = f"resp AS (SELECT job_id, record_index, CASE {_DICT} ELSE trim(label) END AS resp_label, false AS is_error FROM scored WHERE status = 'ok' AND band <> 'manual_required')"
+TAGGED = """tagged AS (SELECT job_id, record_index, cell_idx, value, label, page, x0, y0, x1, y1, table_name, is_candidate, score, band, flags, status, normalized_label, taxonomy_status, CASE WHEN is_error THEN 'error' ELSE 'item' END AS outcome,
+  CASE WHEN bad_cell THEN 'cells' WHEN is_error THEN 'boxes' END AS stage, CASE WHEN bad_cell THEN 'cell could not be parsed' WHEN is_error THEN 'page has no size' END AS reason FROM norm)"""
+FILINGS = (ITEMS, FILED, *OF_FILED, TAX, RESP2, *N[-2:], TAGGED)
+_COLUMNS = ["job_id", "record_index", "cell_idx", "value", "label", "page", *c.BOX, "table_name", "is_candidate", "score", "band", "flags", "status", "normalized_label", "taxonomy_status", "outcome", "stage", "reason"]
+
+
+def _filing_cells(spark, sf):
+    k, s, i = F.col("partkey"), F.col("suppkey"), F.col("record_index")
+    head = (i % 2 == 0) | (i < 2)
+    rows = items(spark, sf).withColumns({"page_cell": F.when(k % 3 != 0, F.col("page")), "page_table": F.when(s % 4 != 0, F.lit(7)), "bbox_cell": _box(k % 5 != 0, 0), "bbox_prov": _box(s % 2 == 0, 1), "bbox_table": _box(k % 7 != 0, 2)})
+    return rows.select(
+        "job_id", F.concat("job_id", F.lit(".pdf")).alias("source_file"), F.lit(0).alias("table_idx"), i.alias("cell_idx"), F.when(head, F.col("label")).when(k % 19 != 0, F.col("value")).alias("text"),
+        F.when((s % 23 == 0) & ~head, "row x").otherwise(F.floor(i / 2).cast("string")).alias("start_row"), (i % 2).cast("string").alias("start_col"), (i % 2 == 0).alias("is_row_header"), (i < 2).alias("is_col_header"),
+        "page_cell", "page_table", "bbox_cell", "bbox_prov", "bbox_table",
+    )
+
+
+def _filing_rows(spark, sf, cells):
+    """Of cells that _filing_cells() made."""
+    first = items(spark, sf).where("record_index = 0")
+    tables = first.select(F.concat("job_id", F.lit(".pdf")).alias("source_file"), F.lit(0).alias("table_idx"), F.col("table_name").alias("caption"), F.lit(None).cast("string").alias("label"))
+    pages = F.explode(F.array(*[F.lit(p) for p in (1, 2, 3)])).alias("page")
+    dims = first.where("cast(job_id as bigint) % 10 <> 0").select(F.concat("job_id", F.lit(".pdf")).alias("source_file"), pages, F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
+    named = cells.select("source_file").distinct()
+    return filing.filing_rows(cells, dims, fixture(spark, sf, "fx_taxonomy"), tables=tables.join(named, "source_file", "left_semi"))
+
+
+@query("SELECT * FROM tagged", *FILINGS)
+def batch_score_pipeline(spark, sf):
+    """All filings from their cells to normalized records, written once by outcome; items and errors as they are read back."""
+    rows, good = _filing_rows(spark, sf, _filing_cells(spark, sf)), [F.array_join("flags", ",").alias(x) if x == "flags" else x for x in _COLUMNS]
+    found, errors = filing.write_filing_rows(rows, f"{scratch_dir(spark)}/tallyspan-{uuid.uuid4().hex}")
+    return found.union(errors).select(good)
+
+
+@query("""SELECT j.job_id, CASE WHEN coalesce(n, 0) = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN k IS NULL THEN 'no records' WHEN n = 0 THEN first END AS reason, coalesce(n, 0) AS items, coalesce(k - n, 0) AS errors FROM fx_jobs j LEFT JOIN (
+SELECT job_id, count(*) AS k, count(*) FILTER (outcome = 'item') AS n, arg_min(reason, record_index) FILTER (outcome = 'error') AS first FROM tagged GROUP BY 1) t USING (job_id)""", *FILINGS, JOBS)
+def filing_states(spark, sf):
+    return filing.filing_states(_jobs(spark, sf), _filing_rows(spark, sf, _filing_cells(spark, sf)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspan.functions import exprs as x
 from tallyspan.operators import drift as d
-from tallyspan.plans.audit_queries import ORACLES, QUERIES
+from tallyspan.plans.audit_queries import FILINGS, ORACLES, QUERIES, _filing_cells, _filing_rows
 from tallyspan.plans.queries import D, FOLD, ITEMS, JOBS, N, S, _compared, _num, action_items, items, normalized_items, query, scored
 from tallyspan.sources import corpus, intake, snapshots
 from tallyspan.sources.fixtures import fixture
@@ -50,6 +50,45 @@ def stream_decision_counts(spark, sf):
     return rows.groupBy("start", "state").agg(F.max("n").alias("n"))  # counts only grow: the last update is the largest
 
 
+LATE = f"""log AS (SELECT event_id, ts, epoch_ms(ts) AS ms, {STATE} AS state FROM events),
+mark AS (SELECT max(ms) - 120000 AS w FROM log WHERE event_id % 10 > 1),
+slid AS (SELECT event_id, state, (ms // 10000 - k) * 10000 AS start FROM log, (SELECT unnest(range(0, 6)) AS k)),
+kept AS (SELECT * FROM slid, mark WHERE event_id % 10 <> 0 OR start + 60000 > w)"""
+
+
+@query("SELECT make_timestamp(start * 1000) AS start, state, count(*) AS n FROM kept GROUP BY 1, 2", LATE)
+def stream_decision_counts_sliding(spark, sf):
+    """Windows of 60 s every 10 s, in three batches. What comes last is late: windows that the watermark of the first batch has left
+    behind don't count it any more (a batch drops by the watermark that its forerunner began with)."""
+    path = _folder(spark)
+    log = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.expr(STATE).alias("state"))
+    for some in ("event_id % 10 > 1", "event_id % 10 = 1", "event_id % 10 = 0"):
+        log.where(some).repartition(8).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 8).parquet(path)
+    rows = jobs.run_available(jobs.decision_counts(arriving, width="60 seconds", slide="10 seconds"), "update")
+    return rows.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "state").agg(F.max("n").alias("n"))
+
+
+GATED = """gated AS (SELECT *, CASE WHEN job_id::BIGINT % 13 = 0 THEN 'file is empty' WHEN job_id::BIGINT % 11 = 0 THEN 'file is not a PDF' END AS gate FROM fx_jobs)"""
+
+
+@query("""SELECT g.job_id, CASE WHEN gate IS NOT NULL OR coalesce(n, 0) = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN gate IS NOT NULL THEN gate WHEN k IS NULL THEN 'no records' WHEN n = 0 THEN first END AS reason,
+  CASE WHEN gate IS NULL THEN coalesce(n, 0) ELSE 0 END AS items, CASE WHEN gate IS NULL THEN coalesce(k - n, 0) ELSE 0 END AS dead FROM gated g LEFT JOIN (
+SELECT job_id, count(*) AS k, count(*) FILTER (outcome = 'item') AS n, arg_min(reason, record_index) FILTER (outcome = 'error') AS first FROM tagged GROUP BY 1) t USING (job_id)""", *FILINGS, JOBS, GATED)
+def stream_intake_jobs(spark, sf):
+    """Filings in batches, from the gate to normalized records: the last state of each job with its records and dead letters."""
+    k, root, path = F.col("job_id").cast("long"), _folder(spark), _folder(spark)
+    cells, listed = _filing_cells(spark, sf), fixture(spark, sf, "fx_jobs")
+    files = listed.select("job_id", "target_metric", F.when(k % 13 == 0, 0).otherwise(1000).cast("long").alias("length"), F.when(k % 11 == 0, "text").otherwise("%PDF").alias("head"))
+    files.repartition(16, "job_id").write.parquet(path)
+    arriving = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 6).parquet(path)
+    process = lambda accepted: _filing_rows(spark, sf, cells.join(accepted.select("job_id"), "job_id", "left_semi"))
+    jobs.intake_filings(arriving, root, process).start().awaitTermination()
+    found = spark.read.option("basePath", f"{root}/records").parquet(f"{root}/records").groupBy("job_id")
+    counts = found.agg(F.count_if(F.col("outcome") == "item").alias("items"), F.count_if(F.col("outcome") == "error").alias("dead"))
+    return jobs.filing_jobs(spark, root).join(counts, "job_id", "left").fillna(0, ["items", "dead"])
+
+
 @query("SELECT entity, metric, eval_seq, node, changed FROM node", *D)
 def stream_drift(spark, sf):
     """Filings in three batches by year: the state of a history lasts from one to the next."""

@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tallyspan.operators.filing import filing_states, write_filing_rows
 from tallyspan.operators.review_log import act
 from tallyspan.sources.intake import intake_gate
 from tallyspan.sources.scratch import scratch_dir
@@ -76,6 +77,50 @@ def intake(spark: SparkSession, path: str, done: str, checkpoint: str, process:
     return gated.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+STATES = "job_id string, phase int, status string, reason string, batch int"
+
+
+def intake_filings(files: DataFrame, root: str, process: Callable[[DataFrame], DataFrame]) -> DataStreamWriter:
+    """Filings as they arrive, from the file gate to tagged rows, with the state of each job; start() runs it.
+
+    files (job_id, length, head and what process needs) is the stream; process turns accepted files into rows as
+    filing_rows() gives them. Each batch appends to the status table: queued (or failed at the gate), extracting, then done or
+    failed; its rows go to the table of records by outcome, so those that fail are the dead letters. A filing without
+    any usable row fails alone. Where process itself raises, the batch's filings are marked failed and the stream stops. Every
+    folder carries the batch's number: a batch that is tried again replaces its own.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        gated = intake_gate(batch)
+        accepted, none = gated.where("reason is null").drop("reason"), F.lit(None).cast("string")
+
+        def states(df: DataFrame, phase: int) -> None:
+            df.write.mode("overwrite").parquet(f"{root}/status/batch={number}/phase={phase}")
+
+        at_gate = F.when(F.col("reason").isNull(), "queued").otherwise("failed")
+        states(gated.select("job_id", at_gate.alias("status"), "reason"), 0)
+        states(accepted.select("job_id", F.lit("extracting").alias("status"), none.alias("reason")), 1)
+        try:
+            found, errors = write_filing_rows(process(accepted), f"{root}/records/batch={number}")
+            states(filing_states(accepted, found.union(errors)).select("job_id", "status", "reason"), 2)
+        except Exception as e:
+            states(accepted.select("job_id", F.lit("failed").alias("status"), F.lit(f"{type(e).__name__}: {e}"[:500]).alias("reason")), 2)
+            raise
+
+    return files.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+
+
+def filing_jobs(spark: SparkSession, root: str) -> DataFrame:
+    """(job_id, status, reason): the latest state of each filing that intake_filings() has seen."""
+    seen = spark.read.schema(STATES).option("basePath", f"{root}/status").parquet(f"{root}/status")
+    return seen.groupBy("job_id").agg(F.max_by(F.struct("status", "reason"), F.struct("batch", "phase")).alias("s")).select("job_id", "s.*")
+
+
+def dropped(query: StreamingQuery) -> int:
+    """Rows that a stream has dropped as later than its watermark, as its state operators count them: after counts of one batch and window are added up."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
 START = {"status": "_s", "value": "_v", "label": "_l", "normalized_label": "_n", "band": "_b", "taxonomy_status": "_t"}
 
 
