@@ -3,12 +3,17 @@
 Tasks gather (key, owner, weight), deal them to buckets by key and send each bucket one row of
 packed arrays; a bucket's rows meet in one task, which sees every key with all its owners.
 Bucket sizes follow the data divided by the number of buckets, whatever single keys weigh.
+
+Beyond LANES buckets a row goes two ways: gathering tasks deal to lanes, each a set of buckets, and tasks
+that hold rows of one lane deal these to its buckets. So a row keeps about FLUSH / LANES keys at any number of buckets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyspan.llm.common import ship
 
@@ -17,13 +22,15 @@ ship(__name__)
 SCHEMA = "bucket int, keys binary, checks binary, owner_of binary, owners binary, weights binary"
 #: Keys that a task gathers before it sends them.
 FLUSH = 2_000_000
+#: Buckets that a task deals to at once.
+LANES = 1000
 
 
 class Gather:
     """Collects keys of owners; batches() yields packed rows."""
 
-    def __init__(self, buckets: int, flush: int = FLUSH):
-        self.buckets, self.flush = buckets, flush
+    def __init__(self, buckets: int, flush: int = FLUSH, lanes: int = LANES):
+        self.buckets, self.flush, self.lanes = buckets, flush, lanes
         self.clear()
 
     def clear(self) -> None:
@@ -47,11 +54,14 @@ class Gather:
         owners, weights = np.concatenate(self.owners).astype("<i8"), np.concatenate(self.weights).astype("<u1")
         self.clear()
         bucket = (keys % np.uint64(self.buckets)).astype(np.int32)
+        if self.lanes and self.buckets > self.lanes:
+            bucket %= np.int32(self.lanes)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        cuts = np.r_[0, np.flatnonzero(np.diff(bucket[order])) + 1, len(order)].tolist()
         rows: dict[str, list] = {k: [] for k in ("bucket", "keys", "checks", "owner_of", "owners", "weights")}
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            take = order[cuts[b] : cuts[b + 1]]
+        for x, y in zip(cuts, cuts[1:]):
+            take = order[x:y]
+            b = int(bucket[take[0]])
             own, local = np.unique(owner_of[take], return_inverse=True)
             one = (b, keys[take].tobytes(), checks[take].tobytes() if len(checks) else b"", local.astype("<u4").tobytes(), owners[own].tobytes(), weights[own].tobytes())
             for k, v in zip(rows, one):
@@ -60,6 +70,35 @@ class Gather:
         yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()], names=list(rows))
 
 
+def _to_buckets(buckets: int, flush: int):
+    """Rows of lanes, sorted by lane -> rows of buckets."""
+
+    def run(batches):
+        out, lane = Gather(buckets, flush, 0), None
+        for batch in batches:
+            for k, of in enumerate(batch.column("bucket").to_pylist()):
+                if of != lane:
+                    yield from out.batches(last=True)
+                    lane = of
+                row = {c: batch.column(c)[k].as_py() for c in ("keys", "checks", "owner_of", "owners", "weights")}
+                kinds = {"keys": "<u8", "checks": "<u4", "owner_of": "<u4", "owners": "<i8", "weights": "<u1"}
+                got = {c: np.frombuffer(v, kinds[c]) for c, v in row.items()}
+                out.add(got["keys"], got["checks"] if len(got["checks"]) else None, got["owner_of"], got["owners"], got["weights"])
+                yield from out.batches()
+        yield from out.batches(last=True)
+
+    return run
+
+
+def by_bucket(gathered: DataFrame, buckets: int, flush: int = FLUSH, lanes: int = LANES) -> DataFrame:
+    """Packed rows of buckets from what Gather(buckets) has dealt: a second hop where there are more buckets than lanes. Tasks of the
+    hop hold about a bucket's share of one lane each, so a hot lane is split, too."""
+    if buckets <= lanes:
+        return gathered
+    share = F.pmod(F.xxhash64("keys"), F.lit(-(-buckets // lanes)))
+    return gathered.repartition("bucket", share).sortWithinPartitions("bucket").mapInArrow(_to_buckets(buckets, flush), SCHEMA)
+
+
 def unpack(table: pa.Table):
     """keys, checks (or None), owners and weights, one entry for each key."""
     cols = {c: table.column(c).to_pylist() for c in ("keys", "checks", "owner_of", "owners", "weights")}

@@ -255,7 +255,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, buckets: int |
     if buckets is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(2 * shuffle_partitions(documents.sparkSession), -(-size // bucket))
-    symbols = rows.mapInArrow(_symbol_keys(window, buckets), blobs.SCHEMA)
+    symbols = blobs.by_bucket(rows.mapInArrow(_symbol_keys(window, buckets), blobs.SCHEMA), buckets)
     shared = symbols.groupBy("bucket").applyInArrow(blobs.repeated_keys, blobs.REPEATED)
     shared = shared.groupBy("owner").agg(F.collect_list("key").alias("keys"))
     # equal texts become one where they are read, before the exchange that the join uses too
@@ -268,7 +268,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, buckets: int |
     if not met.isEmpty():  # different texts of one owner: counted apart, with the keys of both, which does no harm
         apart = rows.join(met.select("owner"), "owner", "left_semi").groupBy("owner", "same").agg(*one).join(met, "owner")
         candidates = stored(candidates.unionByName(apart))
-    windows = candidates.mapInArrow(_window_keys(window, buckets), blobs.SCHEMA)
+    windows = blobs.by_bucket(candidates.mapInArrow(_window_keys(window, buckets), blobs.SCHEMA), buckets)
     repeated = windows.groupBy("bucket").applyInArrow(blobs.repeated_keys, blobs.REPEATED)
     return candidates, repeated.groupBy("owner").agg(F.collect_list("key").alias("keys"))
 

@@ -101,28 +101,39 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.select("src", resolved(F.col("src"), F.col("to")).alias("dst")).where("dst is not null").distinct()
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst): links between pages, and the redirect of every url that is a page's or a link's."""
-    links = stored(page_links(pages))
-    urls = pages.select("url").union(links.select("dst")).distinct()
-    redirects = urls.select(F.col("url").alias("src"), redirect_of(F.col("url")).alias("dst"))
-    return links.union(redirects).where("src <> dst")
+def named_urls(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """(url, n, name): every url of a page or a link, the number of its pages, and where sites redirect it, itself where
+    nowhere. A url of very many pages is one row from each task before any exchange."""
+    of_pages = pages.where("url is not null").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    urls = of_pages.union(links.select("dst", F.lit(0).cast("long")).distinct()).groupBy("url").agg(F.sum("n").alias("n"))
+    return urls.withColumn("name", F.coalesce(redirect_of(F.col("url")), F.col("url")))
+
+
+def name_edges(urls: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst): edges between the names of urls, from links, and from names that are urls with another name.
+
+    Urls of one name need no edge: they are one class by it. So only what links name goes into the components.
+    """
+    name = lambda c: F.coalesce(redirect_of(F.col(c)), F.col(c))
+    linked = links.select(name("src").alias("src"), name("dst").alias("dst"))
+    again = urls.select("name").distinct().where(redirect_of(F.col("name")) != F.col("name"))
+    again = again.join(urls.select(F.col("url").alias("name")), "name", "left_semi").select("name", redirect_of(F.col("name")))
+    return linked.union(again).where("src <> dst").distinct()
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, component): every page with its verdict."""
     url = F.col("url")
-    component = connected_components(link_edges(pages))
-    # per url first: a url of very many pages is one row from each task before any exchange
-    best = best_rule(host_of(url), path_of(url), rules)
-    urls = pages.where("url is not null").groupBy("url").agg(F.count(F.lit(1)).alias("n"))
-    urls = urls.withColumn("best", best).join(component, urls.url == component.node, "left")
-    urls = stored(urls.select("url", "n", "best", F.coalesce("component", "url").alias("component")))
+    links = stored(page_links(pages))
+    urls = stored(named_urls(pages, links).withColumn("best", best_rule(host_of(url), path_of(url), rules)))
+    component = connected_components(name_edges(urls, links)).withColumnsRenamed({"node": "name", "component": "first"})
+    urls = urls.join(component, "name", "left").withColumn("component", F.coalesce("first", "name")).drop("first")
     named = F.col("best.allow")
-    classes = urls.groupBy("component").agg(F.bool_or(named).alias("ca"), F.bool_or(~named).alias("cb"), F.count(F.lit(1)).alias("n"))
+    # a class is named by its least url or redirect; urls without a page say nothing on its verdict
+    classes = urls.groupBy("component").agg(F.bool_or(named & (F.col("n") > 0)).alias("ca"), F.bool_or(~named & (F.col("n") > 0)).alias("cb"), F.min(F.least("url", "name")).alias("least"), F.count(F.lit(1)).alias("n"))
     by_class = F.when(F.coalesce("cb", F.lit(False)) & ~F.coalesce("ca", F.lit(False)), "block").otherwise("allow")
-    of = join_by_class(urls.withColumnRenamed("n", "pages"), classes, "component", "url", urls.count())
-    of = of.select("url", F.col("best.rule").alias("rule"), F.coalesce(F.when(named, "allow").when(~named, "block"), by_class).alias("verdict"), "component", F.col("pages").alias("n"))
+    of = join_by_class(urls.where("n > 0").withColumnRenamed("n", "pages"), classes, "component", "url", urls.count())
+    of = of.select("url", F.col("best.rule").alias("rule"), F.coalesce(F.when(named, "allow").when(~named, "block"), by_class).alias("verdict"), F.col("least").alias("component"), F.col("pages").alias("n"))
     rows = pages.select("page_id", "url", F.monotonically_increasing_id().alias("place"))
     out = join_by_class(rows, of, "url", "place", rows.count())
     return out.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), "component")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspan.llm import bloom_lm, chat, common, embeddings, media, packing, quality, simhash, substring, urls
+from tallyspan.llm import blobs, bloom_lm, chat, common, embeddings, media, packing, quality, simhash, substring, urls
 from tallyspan.llm.queries import word_tokenizer
 
 LINK, REFRESH = '<link href="%s" rel="canonical">', '<meta http-equiv="refresh" content="0; url=%s">'
@@ -52,6 +52,38 @@ def test_runs_over_batches():
     assert sorted(x for x, _ in seen) == sorted(x for x in n if n[x] > 1) and all(len(i) == n[x] for x, i in seen)
 
 
+@pytest.mark.parametrize("buckets", [50, 100_000])
+def test_packed_rows_keep_their_size(spark, buckets):
+    """With far more buckets than a task deals to at once, rows pass two hops and stay long; counts are those of a dictionary."""
+    rng = np.random.default_rng(6)
+    n, lanes, flush = 400_000, 100, 200_000
+    keys = np.r_[rng.integers(0, 300_000, n), np.full(5000, 77)].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    owner, weight = rng.integers(0, 3000, len(keys)), rng.integers(1, 3, 3000).astype(np.uint8)
+
+    def gather(batches):
+        out = blobs.Gather(buckets, flush, lanes)
+        for batch in batches:
+            part = batch.column("id").to_numpy()
+            own, at = np.unique(owner[part], return_inverse=True)
+            out.add(keys[part], (keys[part] % np.uint64(1000)).astype("<u4"), at, own.astype(np.int64), weight[own])
+            yield from out.batches()
+        yield from out.batches(last=True)
+
+    dealt = spark.range(len(keys), numPartitions=2).mapInArrow(gather, blobs.SCHEMA)
+    if buckets > lanes:
+        first = [len(r.keys) // 8 for r in dealt.collect()]
+        assert sum(first) / len(first) > 1000
+    packed = blobs.by_bucket(dealt, buckets, flush, lanes).collect()
+    k = np.concatenate([np.frombuffer(r.keys, "<u8") for r in packed])
+    assert len(k) == len(keys) and all((np.frombuffer(r.keys, "<u8") % np.uint64(buckets) == r.bucket).all() for r in packed)
+    got = blobs.by_bucket(dealt, buckets, flush, lanes).groupBy("bucket").applyInArrow(blobs.repeated_keys, blobs.REPEATED)
+    total: dict = {}
+    for a, o in zip(keys.tolist(), owner.tolist()):
+        total[a] = total.get(a, 0) + int(weight[o])
+    want = {(o, int(np.int64(np.uint64(a).astype(np.int64)))) for a, o in zip(keys.tolist(), owner.tolist()) if total[a] >= 2}
+    assert Counter(map(tuple, got.collect())) == Counter(dict.fromkeys(want, 1))
+
+
 # ---- chat
 def test_chat_edges(spark):
     long = "x" * 300_000
@@ -69,6 +101,7 @@ PAGES = [
     (8, "https://c.net/a/", ""), (9, "http://c.net/z", ""), (10, "http://e.net/x/y/a.html", LINK % "../z/b.html"), (11, "http://www.e.net/x/z/b.html?utm_source=1", REFRESH % "?id=3&amp;k=1"), (12, "http://e.net/x/z/b?k=1&id=3", LINK % "//f.com/de/1"),
     (13, "https://f.com/de/1", ""), (14, "http://g.net/q", LINK % "h"), (15, "http://g.net/h", REFRESH % "http://f2.com/de/"), (16, "http://f2.com/de/", LINK % "http://i.org/ok"), (17, "http://i.org/ok", ""), (18, "http://j.net", LINK % "mailto:x"),
     (19, "http://c.net/a", ""), (None, "http://c.net/a#f", None), (20, "http://k.net/" + "p/" * 3000, "<p>" * 20000 + LINK % "./"),
+    (21, "http://www.www.x.net/a", ""), (22, "https://www.x.net/a", ""), (23, "https://x.net/a", None),
 ]
 
 
@@ -81,7 +114,9 @@ def test_urls_equal_their_sql_over_links(spark):
     assert Counter(map(tuple, got)) == Counter(cur.fetchall()) and [d[0] for d in cur.description] == df.sparkSession.createDataFrame(got).columns
     by = {r.page_id: r for r in got}
     assert [by[k].verdict for k in (5, 6, 8, 9, 10, 11, 12, 14, 15, 18)] == ["block"] * 3 + ["allow"] + ["block"] * 3 + ["allow"] * 3
-    assert by[10].component == by[13].component and urls.link_edges(df).count() > 10
+    assert by[10].component == by[13].component and by[21].component == by[22].component == by[23].component == "http://www.www.x.net/a"
+    links = urls.page_links(df)
+    assert links.count() > 6 and urls.name_edges(urls.named_urls(df, links), links).count() > 4
     assert urls.judge_pages(df.limit(0)).count() == 0
 
 
