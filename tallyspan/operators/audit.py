@@ -15,9 +15,12 @@ CELL, BOX = ["job_id", "sheet", "coord"], ("x0", "y0", "x1", "y1")
 
 
 def provenance_scan(provenance: DataFrame, refs: DataFrame) -> DataFrame:
-    """Records that refs (job_id, sheet, coord) point to; blanks around both and the case of coord do not matter."""
+    """The record that each of refs (job_id, sheet, coord) points to; blanks around both and the case of coord do not matter. Where
+    several records have one place, the first by seq, if there is one, else by node_id."""
     wanted = refs.select("job_id", strip(F.col("sheet")).alias("sheet"), F.upper(strip(F.col("coord"))).alias("coord")).distinct()
-    return provenance.join(wanted, CELL, "left_semi")
+    found = provenance.join(wanted, CELL, "left_semi")
+    first = Window.partitionBy(*CELL).orderBy(*(c for c in ("seq", "node_id") if c in provenance.columns))
+    return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def chain_leaf_pick(provenance: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspan.functions.exprs import accounting_number, is_blank, slug, strip
+from tallyspan.operators.numbering import numbered
 
 
 def formula_input_errors(items: DataFrame) -> DataFrame:
@@ -71,9 +72,12 @@ def formula_nodes(inputs: DataFrame, metric: str = "Adjusted EBITDA", carry: tup
     return rows.select("job_id", F.explode(kinds).alias("k")).select("job_id", "k.*")
 
 
-def _placed(nodes: DataFrame) -> DataFrame:
+def _placed(nodes: DataFrame, by_range: bool = False) -> DataFrame:
     """+ pos: a node's place in the reconciliation, groups before their totals, the root last."""
     rank = F.when(F.col("kind") == "leaf", 0).when(F.col("kind") == "aggregate", 1).otherwise(2)
+    if by_range:
+        rows = nodes.withColumns({"_root": (F.col("kind") == "root").cast("int"), "_rank": rank})
+        return numbered(rows, ["job_id"], ["_root", "first", "_rank", "seq"], "pos").drop("_root", "_rank")
     return nodes.withColumn("pos", F.row_number().over(Window.partitionBy("job_id").orderBy((F.col("kind") == "root").cast("int"), "first", rank, "seq")))
 
 
@@ -96,16 +100,22 @@ def reconciliation_total(inputs: DataFrame) -> DataFrame:
     return out.select("job_id", F.col("leaf_label").alias("label"), F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total"), "n", "unparsed")
 
 
-def model_cells(nodes: DataFrame) -> DataFrame:
+def model_cells(nodes: DataFrame, by_range: bool = False) -> DataFrame:
     """(job_id, sheet, coord, node_id, kind, group_label, content) and source where nodes have it: inputs from row 1 down, the reconciliation from row 3
     with groups before their totals. Children are those of the same group label.
 
     A child sends its place to its parent's group, where the parent itself is, so one aggregate a parent gives its formula and no
-    list is ever on another row: the work is linear in a job's nodes.
+    list is ever on another row: the work is linear in a job's nodes. Places come from a window by job, one task a job; with by_range,
+    for jobs of very many nodes, from ranges of nodes over many tasks, at the price of two stored tables.
     """
     kind, leaf = F.col("kind"), F.col("kind") == "leaf"
     coord = lambda n: F.concat(F.lit("B"), n.cast("string"))
-    placed = _placed(nodes).withColumns({"coord": coord(F.col("pos") + 2), "up": coord(F.row_number().over(Window.partitionBy("job_id", "kind").orderBy("seq")))})
+    placed = _placed(nodes, by_range)
+    if by_range:
+        placed = numbered(placed, ["job_id", "kind"], ["seq"], "up")
+    else:
+        placed = placed.withColumn("up", F.row_number().over(Window.partitionBy("job_id", "kind").orderBy("seq")))
+    placed = placed.withColumns({"coord": coord(F.col("pos") + 2), "up": coord(F.col("up"))})
     along = ["source", "label", "value"] if "source" in nodes.columns else []
     cell = lambda sheet, at, what: F.struct(F.lit(sheet).alias("sheet"), at.alias("coord"), "node_id", "kind", "group_label", what.alias("content"), *along)
     both = F.array(cell("Source_Inputs", F.col("up"), F.col("value")), cell("Reconciliation", F.col("coord"), F.concat(F.lit("=Source_Inputs!"), "up")))

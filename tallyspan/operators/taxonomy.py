@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspan.functions import words
 from tallyspan.functions.exprs import canonical_label, contains_any, is_blank, iso_utc, strip
-from tallyspan.sources.scratch import stored
+from tallyspan.operators.numbering import numbered
 
 
 def classification_candidates(scored: DataFrame, candidates_only: bool = True) -> DataFrame:
@@ -88,10 +88,10 @@ def classifier_response_check(raw: DataFrame) -> DataFrame:
     return raw.select("job_id", "record_index", F.when(ok, got["label"]).alias("label"), F.when(ok, got["confidence"]).alias("confidence"), (~ok).alias("is_error"), F.array_join(extra, ",").alias("extra_keys"))
 
 
-def classifier_responses(items: DataFrame) -> DataFrame:
-    """Answers of a stand-in classifier over items: by suppkey, right, shouted, by name, or an error."""
+def classifier_responses(items: DataFrame, *carry: Column) -> DataFrame:
+    """Answers of a stand-in classifier over items: by suppkey, right, shouted, by name, or an error. carry: more columns of items."""
     label, wrong = stand_in_answer()
-    return items.select("job_id", "record_index", label.alias("resp_label"), F.when(~wrong, 0.9).alias("resp_confidence"), wrong.alias("is_error"))
+    return items.select("job_id", "record_index", *carry, label.alias("resp_label"), F.when(~wrong, 0.9).alias("resp_confidence"), wrong.alias("is_error"))
 
 
 def stand_in_answer() -> tuple[Column, Column]:
@@ -213,21 +213,12 @@ def decision_log_build(responses: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 def taxonomy_append(taxonomy: DataFrame, terms: DataFrame) -> DataFrame:
-    """taxonomy with new terms at the end, once each, in order.
-
-    New terms are dealt by ranges and sorted within them, so terms of one prefix spread as others do. A term's
-    position is its place in its partition after the sizes of the partitions before: a row a partition is summed. The
-    partitions are stored, for both readings must see the same ranges.
-    """
+    """taxonomy with new terms at the end, once each, in order. New terms are numbered by ranges, so terms of one prefix spread as
+    others do."""
     new = terms.where(F.col("term").isNotNull()).select(F.col("term").alias("entry")).distinct().join(taxonomy.select("entry"), "entry", "left_anti")
-    place = F.monotonically_increasing_id()  # the partition's number above 33 bits, the row's below
-    ranges = new.repartitionByRange("entry").sortWithinPartitions("entry")
-    ranges = stored(ranges.select("entry", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     last = taxonomy.agg(F.coalesce(F.max("position"), F.lit(-1)).alias("last"))
-    rows = ranges.join(F.broadcast(starts.crossJoin(F.broadcast(last))), "part")
-    return taxonomy.select("position", "entry").union(rows.select((F.col("last") + F.col("start") + F.col("at") + 1).cast("int").alias("position"), "entry"))
+    rows = numbered(new.withColumn("_all", F.lit(0)), ["_all"], ["entry"], "at").crossJoin(F.broadcast(last))
+    return taxonomy.select("position", "entry").union(rows.select((F.col("last") + F.col("at")).cast("int").alias("position"), "entry"))
 
 
 def call_rate_audit(log: DataFrame, per_minute: int = 30, per_day: int = 1000) -> DataFrame:

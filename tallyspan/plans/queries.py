@@ -228,6 +228,11 @@ def confidence_band(spark, sf):
     return s.confidence_score(items(spark, sf)).groupBy(s.confidence_band(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT job_id, record_index, CASE WHEN raw_score >= 0.95 THEN 'auto_accepted' WHEN raw_score >= 0.65 THEN 'needs_review' ELSE 'manual_required' END AS band FROM raw", *S[:3])
+def confidence_band_rows(spark, sf):
+    return s.confidence_score(items(spark, sf)).select("job_id", "record_index", s.confidence_band(F.col("score")).alias("band"))
+
+
 @query("SELECT job_id, record_index, score, band, flags, status, is_candidate, table_name FROM scored", *S)
 def score_with_context(spark, sf):
     return scored(spark, sf).select("job_id", "record_index", "score", "band", F.array_join("flags", ",").alias("flags"), "status", "is_candidate", "table_name")
@@ -304,8 +309,7 @@ seed AS (SELECT v.e AS entry, {_canon('v.e')} AS k FROM (VALUES {_SEEDS}) v(e))"
 def classification_fallback(spark, sf):
     k = F.col("suppkey") % 5
     label = F.when(k == 1, "LEASE  adjustments!").when(k == 2, "stock based compensation").when(k == 3, "Litigation-Charges").otherwise(F.col("p_name"))
-    rows = t.classifier_responses(items(spark, sf)).join(items(spark, sf).select("job_id", "record_index", label.alias("label")), ["job_id", "record_index"])
-    out = t.classification_fallback(rows)
+    out = t.classification_fallback(t.classifier_responses(items(spark, sf), label.alias("label")))
     return out.select("job_id", "record_index", F.col("resp_label").alias("label"), F.col("resp_confidence").alias("confidence"), "is_error")
 
 
@@ -373,8 +377,8 @@ def metric_candidates(spark, sf):
   strftime(to_timestamp(1700000000 + i.partkey) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') AS timestamp, CASE WHEN r.is_error THEN 'timed out' END AS error_detail
 FROM resp r JOIN fx_line_items i USING (job_id, record_index) LEFT JOIN fx_taxonomy x ON x.entry = r.resp_label""", ITEMS, TAX, RESP)
 def decision_log_build(spark, sf):
-    more = items(spark, sf).select("job_id", "record_index", "label", F.timestamp_seconds(1_700_000_000 + F.col("partkey")).alias("asked_at"), F.lit("timed out").alias("error_detail"))
-    return t.decision_log_build(t.classifier_responses(items(spark, sf)).join(more, ["job_id", "record_index"]), fixture(spark, sf, "fx_taxonomy"))
+    more = (F.col("label"), F.timestamp_seconds(1_700_000_000 + F.col("partkey")).alias("asked_at"), F.lit("timed out").alias("error_detail"))
+    return t.decision_log_build(t.classifier_responses(items(spark, sf), *more), fixture(spark, sf, "fx_taxonomy"))
 
 
 @query("SELECT position, entry FROM fx_taxonomy UNION ALL SELECT cast((SELECT max(position) FROM fx_taxonomy) + row_number() OVER (ORDER BY n) AS int), n FROM (SELECT DISTINCT p_name AS n FROM part) WHERE n NOT IN (SELECT entry FROM fx_taxonomy)", TAX)

@@ -138,15 +138,17 @@ def stage_sink(spark, sf):
     return snapshots.read(spark, root, "scored")
 
 
-@query(f"SELECT user_id::STRING AS job_id, event_id::INT AS record_index, CASE event_type WHEN 'view' THEN 'matched' ELSE 'pending' END AS taxonomy_status, {STATE} AS resulting_state FROM events")
+@query(f"SELECT user_id::STRING AS job_id, event_id::INT AS record_index, CASE event_type WHEN 'view' THEN 'matched' ELSE 'pending' END AS taxonomy_status, {STATE} AS resulting_state, NULL AS malformed FROM events UNION ALL SELECT NULL, NULL, NULL, NULL, '{{broken ' || r_name FROM region")
 def decision_log_sink(spark, sf):
-    """Decisions written as lines of JSON and scanned again."""
+    """Decisions written as lines of JSON and scanned again, with blank and malformed lines among them."""
     path = _folder(spark)
     log = spark.read.parquet(f"{sf}/events.parquet").select(
         F.col("user_id").cast("string").alias("job_id"), F.col("event_id").cast("int").alias("record_index"), F.when(F.col("event_type") == "view", "matched").otherwise("pending").alias("taxonomy_status"), F.expr(STATE).alias("resulting_state")
     )
     corpus.decision_log_sink(log, path)
-    return corpus.decision_log_scan(spark, path).select(*log.columns)
+    broken = F.explode(F.array(F.lit(""), F.concat(F.lit("{broken "), "r_name"), F.lit("  ")))
+    spark.read.parquet(f"{sf}/region.parquet").select(broken.alias("value")).write.mode("append").text(path)
+    return corpus.decision_log_scan(spark, path).select(*log.columns, F.col("_corrupt_record").alias("malformed"))
 
 
 @query("SELECT entity, metric, arg_max(node, eval_seq) AS node, count(*) AS filings, count(*) FILTER (NOT is_baseline) AS edges FROM node GROUP BY 1, 2", *D)

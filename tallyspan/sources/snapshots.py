@@ -73,16 +73,23 @@ def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
     for name, df in tables.items():
         folder = f"{name}/{uuid.uuid4().hex}"
         df.write.parquet(f"{root}/{folder}")
-        now[name] = {"schema": df.schema.jsonValue(), "key": None, "folders": [folder]}
+        now[name] = {"schema": df.schema.jsonValue(), "key": None, "folders": [[folder]]}
     _publish(spark, root, was + 1, now)
     return was + 1
 
 
+def _buckets(spark: SparkSession, path: str) -> set[int]:
+    fs, p = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return {int(n.removeprefix("_bucket=")) for n in names if n.startswith("_bucket=")}
+
+
 def replace_keys(df: DataFrame, root: str, name: str, key: str = "job_id", buckets: int = BUCKETS) -> int:
-    """Replace the rows of the keys that df holds, all of them or none; rows of other keys stay.
+    """Replace the rows of the keys that df holds, all of them or none; rows of other keys stay. df is read once.
 
-    A table is cut into buckets by a hash of its key. Buckets that df's keys fall into are written anew, with the rows
-    of their other keys; the others keep their folders. The number of buckets is that of a table's first commit.
+    A table is cut into buckets by a hash of its key. df's rows go to a new folder; of the buckets that they fall into, the rows of
+    other keys are written anew beside them, and the other buckets keep their folders. The number of buckets is
+    that of a table's first commit.
     """
     spark = df.sparkSession
     was = latest(spark, root)
@@ -92,22 +99,27 @@ def replace_keys(df: DataFrame, root: str, name: str, key: str = "job_id", bucke
         raise ValueError(f"{name} has the key {old['key']} and the columns of its first commit")
     buckets = len(old["folders"]) if old else buckets
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    rows = df.withColumn("_bucket", bucket)
-    if old and any(old["folders"]):
-        touched = {r[0] for r in rows.select("_bucket").distinct().collect()}  # at most as many as there are buckets
-        folders = sorted({f for b, f in enumerate(old["folders"]) if f and b in touched})
-        if folders:
-            kept = spark.read.schema(df.schema).parquet(*[f"{root}/{f}" for f in folders])
-            rows = rows.unionByName(kept.join(df.select(key).distinct(), kept[key].eqNullSafe(df[key]), "left_anti").withColumn("_bucket", bucket))
-    else:
-        touched = set(range(buckets))
-    folder = f"{name}/{uuid.uuid4().hex}"
-    # large buckets are split over tasks; a task writes whole runs of buckets
-    rows.repartition("_bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(8))).sortWithinPartitions("_bucket").write.partitionBy("_bucket").parquet(f"{root}/{folder}")
-    fs, p = _fs(spark, f"{root}/{folder}")
-    made = {int(s.getPath().getName()[len("_bucket=") :]) for s in fs.listStatus(p) if s.getPath().getName().startswith("_bucket=")}
-    new = [f"{folder}/_bucket={b}" if b in made else None for b in range(buckets)]
-    now[name] = {"schema": df.schema.jsonValue(), "key": key, "folders": [new[b] if b in touched else old["folders"][b] for b in range(buckets)]}
+
+    def written(rows: DataFrame) -> str:
+        folder = f"{name}/{uuid.uuid4().hex}"
+        # a large bucket is split over tasks; a task writes whole runs of buckets
+        rows = rows.withColumn("_bucket", bucket).repartition("_bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(8)))
+        rows.sortWithinPartitions("_bucket").write.partitionBy("_bucket").parquet(f"{root}/{folder}")
+        return folder
+
+    new = written(df)
+    touched = _buckets(spark, f"{root}/{new}")
+    folders = [list(f) for f in old["folders"]] if old else [[] for _ in range(buckets)]
+    before = [f"{root}/{f}" for b in sorted(touched) for f in folders[b]]
+    kept, stays = None, set()
+    if before:
+        mine = spark.read.schema(df.schema).parquet(f"{root}/{new}").select(key).distinct()
+        others = spark.read.schema(df.schema).parquet(*before)
+        kept = written(others.join(mine, others[key].eqNullSafe(mine[key]), "left_anti"))
+        stays = _buckets(spark, f"{root}/{kept}")
+    for b in touched:
+        folders[b] = [f"{new}/_bucket={b}", *([f"{kept}/_bucket={b}"] if b in stays else [])]
+    now[name] = {"schema": df.schema.jsonValue(), "key": key, "folders": folders}
     _publish(spark, root, was + 1, now)
     return was + 1
 
@@ -117,7 +129,7 @@ def read(spark: SparkSession, root: str, name: str, version: int | None = None)
     from pyspark.sql.types import StructType
 
     about = _manifest(spark, root, latest(spark, root) if version is None else version)[name]
-    schema, folders = StructType.fromJson(about["schema"]), [f for f in about["folders"] if f]
+    schema, folders = StructType.fromJson(about["schema"]), [f for bucket in about["folders"] for f in bucket]
     if not folders:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*[f"{root}/{f}" for f in folders])
@@ -126,7 +138,7 @@ def read(spark: SparkSession, root: str, name: str, version: int | None = None)
 def vacuum(spark: SparkSession, root: str, keep: int = 1) -> int:
     """Remove the folders that none of the last manifests names, and older manifests; how many folders went. Not beside a commit."""
     versions = _versions(spark, root)
-    used = {"/".join(f.split("/")[:2]) for v in versions[-keep:] for t in _manifest(spark, root, v).values() for f in t["folders"] if f}
+    used = {"/".join(f.split("/")[:2]) for v in versions[-keep:] for t in _manifest(spark, root, v).values() for bucket in t["folders"] for f in bucket}
     fs, top = _fs(spark, root)
     gone = 0
     for table in fs.listStatus(top):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyspan.operators import chain, reconcile
+from tallyspan.operators import audit, chain, reconcile
 from tallyspan.plans import audit_queries
 
 ROW = "job_id string, sheet string, coord string, node_id string, is_formula boolean, text string, place string"
@@ -60,6 +60,13 @@ def test_look_up_by_cell_and_id(spark):
     assert got[("j", "urn:provenance:k:S:A1")][:2] == (False, chain.NO_ID) and got[("none", "x")][:2] == (False, chain.NO_JOB)
 
 
+def test_first_record_of_a_place(spark):
+    rows = [("j", "S", "B2", "leaf_9", 2), ("j", "S", "B2", "leaf_1", 7), ("j", "S", "B3", "leaf_2", 1)]
+    p = spark.createDataFrame(rows, "job_id string, sheet string, coord string, node_id string, seq int")
+    refs = spark.createDataFrame([("j", "\u00a0S\t", " b2"), ("j", "S", "B2")], "job_id string, sheet string, coord string")
+    assert [r.node_id for r in audit.provenance_scan(p, refs).collect()] == ["leaf_9"]
+
+
 def test_letters(spark):
     df = spark.createDataFrame([("A",), ("Z",), ("AA",), ("AZ",), ("BA",), ("ZZ",), ("AAA",), ("XFD",), ("ZZZ",)], "s string")
     assert all(r.s == r.t for r in df.select("s", chain._letters(chain._column_number(F.col("s"))).alias("t")).collect())
@@ -97,6 +104,19 @@ def test_a_model_of_many_leaves(spark):
     out.unpersist()
 
 
+def test_places_by_range_equal_windows(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 10 = 3, 'k', 'j') as job_id", "int(id) as record_index", "if(id % 4 = 0, 'Hot', concat('L', id % 977)) as leaf_label", "1 as page", "string(id) as value", "cast(null as string) as reason")
+    nodes = reconcile.formula_nodes(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = reconcile.model_cells(nodes, by_range=True)
+        got, tables = sorted(map(str, out.collect())), out.inputFiles()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted(map(str, reconcile.model_cells(nodes).collect()))
+    assert len(tables) >= int(spark.conf.get("spark.sql.shuffle.partitions"))  # the last numbering's ranges, of one large job
+
+
 def test_trails_have_few_exchanges(spark):
     for name in ("chain_rollup", "provenance_matrix", "chain_components"):
         plan = audit_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
