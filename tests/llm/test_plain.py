@@ -135,3 +135,40 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
     assert all(r.n == r.end <= 2048 for r in packed) and sum(r.n for r in packed) == again.agg(F.sum("length")).first()[0]
     assert len(packed) <= math.ceil(sum(r.n for r in packed) / 2048) + 1
     assert mixing.MOST == 2.0
+
+
+def test_thresholds_equal_a_plain_version(spark):
+    """Means and quantiles of each language's fresh trusted documents, shrunk to those of all; then who stays."""
+    rng = np.random.default_rng(8)
+    langs = ["en"] * 160 + ["de"] * 60 + [None] * 30 + ["fr"] * 5
+    docs = [(i, zipf(rng, int(rng.integers(5, 80))), lang) for i, lang in enumerate(langs)]
+    docs += [(300 + i, " ".join(f"z{j}#" for j in range(30)), lang) for i, lang in enumerate(["en", "de", None, "fr", "xx"])] + [(400, None, "en"), (401, "", "xx")]
+    labels = [(i, 1, 0) for i in range(0, 240, 2)] + [(1, 1, 1), (3, 0, 0), (4, 0, 0)]  # 1 is toxic, 3 bad, 4 labelled both ways
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(df, lab, max_docs=60).collect()}
+    trusted = {i for i, q, x in labels if q == 1 and x == 0} - {1, 3, 4}
+    fitting = {r.doc_id for r in quality.fitting_ids(df, quality.trusted_ids(lab), 60, quality.MAX_CHARS).collect()}
+    assert len(fitting) <= 60 and fitting <= trusted
+    model = quality.fit(df.where(F.col("doc_id").isin(*fitting)).select("text"))
+    nll = {r.doc_id: (r.lang, r.nll, r.n_tokens) for r in quality.surprisals(df, model).collect()}
+    fresh = [nll[i] for i in trusted - fitting]
+    assert fresh
+
+    def shrunk(value):
+        """value of some (lang, nll, tokens), by language."""
+        every, out = value(fresh), {}
+        for lang in {x[0] for x in nll.values()}:
+            own = [x for x in fresh if x[0] == lang]
+            out[lang] = ((len(own) * value(own) if own else 0.0) + quality.SHRINK * every) / (len(own) + quality.SHRINK)
+        return out
+
+    mean = shrunk(lambda rows: sum(x[1] for x in rows) / sum(x[2] for x in rows))
+    smooth = lambda x: math.exp((x[1] + quality.PRIOR * mean[x[0]]) / (x[2] + quality.PRIOR))
+    limit = shrunk(lambda rows: sorted(map(smooth, rows))[math.ceil(quality.QUANTILE * len(rows)) - 1])
+    assert len(got) == len(docs)
+    for i, x in nll.items():
+        assert math.isclose(got[i].perplexity, smooth(x), rel_tol=1e-6) and math.isclose(got[i].threshold, limit[x[0]], rel_tol=1e-6), i
+        assert got[i].keep == (got[i].perplexity <= got[i].threshold)
+    assert not any(got[i].keep for i in range(300, 305)) and got[400].keep and got[401].keep
+    assert all(r.keep and r.threshold is None for r in quality.judge(df, lab.limit(0)).collect())
