@@ -100,16 +100,17 @@ def manual_overrides(review: DataFrame, scored: DataFrame, provenance: DataFrame
     rows = out.select(
         c("id").alias("item_id"), kind.alias("override_type"), c("was.value").alias("original_value"), c("value").alias("final_value"), c("was.label").alias("original_label"), c("label").alias("final_label"),
         c("status").alias("review_status"), F.coalesce(has("flags").cast("array<string>"), c("was.flags")).alias("flags"), F.coalesce(c("band"), c("was.band")).alias("band"),
-        F.coalesce(has("error_detail").cast("string"), c("was.error_detail")).alias("error_detail"), has("source_file").cast("string").alias("source_file"), c("page").alias("page"), *BOX, F.lit(False).alias("is_hardcode"),
+        F.coalesce(has("error_detail").cast("string"), c("was.error_detail")).alias("error_detail"), has("source_file").cast("string").alias("source_file"), c("page").alias("page"), *[has(b).cast("double").alias(b) for b in BOX], F.lit(False).alias("is_hardcode"),
     )
     # Fixed values of the audit data set: marks of a cell that was typed in, and the box of a whole page.
     mark, band, detail, whole = "manual_hardcode", "manual_required", "Manual hardcode per NFR2", {"x0": 0.0, "y0": 0.0, "x1": 1000.0, "y1": 1000.0}
-    spot = c("target.selector.refinedBy.coordinates")
-    page = F.regexp_extract("target.selector.value", "page=([0-9]+)", 1).try_cast("int")
+    target = lambda path, kind: c("target" + path) if "target" in provenance.columns else F.lit(None).cast(kind)
+    spot = target(".selector.refinedBy.coordinates", "struct<x0: double, y0: double, x1: double, y1: double>")
+    page = F.regexp_extract(target(".selector.value", "string"), "page=([0-9]+)", 1).try_cast("int")
     typed = provenance.where(c("node_id").startswith("hardcode_")).select(
         F.concat("sheet", F.lit("!"), "coord").alias("item_id"), F.lit(mark).alias("override_type"), none.alias("original_value"), c("body.value").alias("final_value"), none.alias("original_label"),
         c("node_id").alias("final_label"), F.lit(mark).alias("review_status"), F.array(F.lit(mark)).alias("flags"), F.lit(band).alias("band"), F.lit(detail).alias("error_detail"),
-        c("target.source").alias("source_file"), F.coalesce(page, F.lit(1)).alias("page"), *[F.coalesce(spot[b], F.lit(v)).alias(b) for b, v in whole.items()], F.lit(True).alias("is_hardcode"),
+        target(".source", "string").alias("source_file"), F.coalesce(page, F.lit(1)).alias("page"), *[F.coalesce(spot[b], F.lit(v)).alias(b) for b, v in whole.items()], F.lit(True).alias("is_hardcode"),
     )
     return rows.where("override_type is not null").unionByName(typed)
 

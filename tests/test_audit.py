@@ -49,7 +49,8 @@ def test_overrides_order(spark):
     review = review.selectExpr("*", "if(record_index = 0, array('g'), null) as flags", "cast(null as string) as band", "1 as page")
     prov = spark.createDataFrame([("j", "Model", "B7", "hardcode_1", ("12",)), ("j", "Model", "B8", "leaf_1_x", ("1",))], "job_id string, sheet string, coord string, node_id string, body struct<value:string>")
     rows = audit.manual_overrides(review, scored, prov).collect()
-    assert {r.item_id: (r.flags, r.band, r.page) for r in rows} == {"j_0": (["g"], "needs_review", 1), "j_2": (["f"], "needs_review", 1), "j_3": (["f"], "needs_review", 1), "Model!B7": ([], None, None)}
+    assert {r.item_id: (r.flags, r.band, r.page) for r in rows} == {"j_0": (["g"], "needs_review", 1), "j_2": (["f"], "needs_review", 1), "j_3": (["f"], "needs_review", 1), "Model!B7": (["manual_hardcode"], "manual_required", 1)}
+    assert {r.item_id: (r.x0, r.y1, r.is_hardcode) for r in rows}["Model!B7"] == (0.0, 1000.0, True)
     got = {r.item_id: (r.override_type, r.final_value) for r in rows}
     assert got == {"j_0": ("user_edit", "2"), "j_2": ("manual_required_entry", "1"), "j_3": ("extraction_error_recovery", "5"), "Model!B7": ("manual_hardcode", "12")}
 

@@ -172,9 +172,9 @@ def test_drift_by_metric(spark):
 
 
 def test_run_available_twice(spark):
-    """Two runs have folders of their own; a sink that is run again replaces its buckets alone."""
+    """Two runs have folders of their own; a sink that is run again replaces its keys alone."""
     rows = spark.createDataFrame([(i, i % 3) for i in range(9)], "k int, b int")
-    from tallyspan.sources import intake
+    from tallyspan.sources import intake, snapshots
     from tallyspan.sources.scratch import scratch_dir
 
     root = f"{scratch_dir(spark)}/sink-{uuid.uuid4().hex}"
@@ -182,9 +182,9 @@ def test_run_available_twice(spark):
     for _ in range(2):
         out = jobs.run_available(spark.readStream.schema(rows.schema).parquet(root + "/in").where("b = 1"))
         assert sorted(r.k for r in out.collect()) == [1, 4, 7]
-    intake.stage_sink(rows, root + "/t", "b")
-    intake.stage_sink(rows.where("b = 1").selectExpr("k + 100 AS k", "b"), root + "/t", "b")
-    assert sorted(r.k for r in spark.read.parquet(root + "/t").collect()) == [0, 2, 3, 5, 6, 8, 101, 104, 107]
+    intake.stage_sink(rows, root + "/t", "stage", "b")
+    intake.stage_sink(rows.where("b = 1").selectExpr("k + 100 AS k", "b"), root + "/t", "stage", "b")
+    assert sorted(r.k for r in snapshots.read(spark, root + "/t", "stage").collect()) == [0, 2, 3, 5, 6, 8, 101, 104, 107]
 
 
 def test_run_available_with_a_chain(spark, tmp_path):
