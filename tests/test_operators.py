@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tallyspan.operators import audit, cells, drift, evaluate, reconcile, review, scoring, taxonomy
+from tallyspan.plans import audit_queries
 from tallyspan.streaming import jobs
 
 
@@ -252,3 +253,16 @@ def test_runs_of_unknown_filings_are_left_out(spark):
     scores = spark.createDataFrame([("a", 1.0)], "job_id string, score double")
     assert [r.job_id for r in evaluate.filing_metrics(diffs, runs, scores, diffs).collect()] == ["a"]
     assert evaluate.filing_metrics(diffs, runs, scores).count() == 2
+
+
+def test_every_run_has_its_metrics(spark):
+    """A run of a filing without line items is a filing with nothing found: it counts in the metrics and in the report's tables."""
+    sf, q = "/root/testdata/sf0.001", audit_queries.QUERIES
+    runs = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("cast(o_orderkey as string) as job_id", "o_orderstatus")
+    empty = runs.join(spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("cast(l_orderkey as string) as job_id"), "job_id", "left_anti")
+    assert empty.count() > 0
+    per = q["filing_metrics"](spark, sf)
+    assert per.count() == runs.count() and {r.job_id for r in per.where("extracted = 0").collect()} == {r.job_id for r in empty.collect()}
+    assert q["corpus_metrics"](spark, sf).first().filings == runs.count()
+    failed = {r.job_id for r in q["report_failed_filings"](spark, sf).collect()}
+    assert {r.job_id for r in empty.where("o_orderstatus = 'P'").collect()} <= failed
