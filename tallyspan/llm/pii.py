@@ -19,12 +19,12 @@ spans stay as they are.
 The potentials are fitted by pseudo-likelihood on the driver, on at most SAMPLE distinct texts of at most
 MAX_CHARS characters, drawn by hash. Each of their base spans is written once more in a form that no pattern
 matches, and next to it a made-up number or name in the same form is added as "outside"; so a form alone
-says nothing and the weights of the edges have to carry the label. Without any base span in the sample nothing is added.
+says nothing and the weights of the edges have to carry the label. Texts of the sample without base spans are practice, too: all their
+words are "outside". Without any base span in the sample nothing is added.
 
 Defined results: null text is empty, without spans; equal texts get equal spans, repeated rows one result
 each; a null doc_id is kept; an empty table gives an empty result; extra columns, whatever their names, are
-ignored by private_data() and kept by redact(). A text without any base span gets no added one: no edge of it
-carries a label. Scanning is linear in a text's length; a very long text
+ignored by private_data() and kept by redact(). The field runs over every text, with or without base spans. Scanning is linear in a text's length; a very long text
 is one graph, whose memory follows the number of its words with a digit or an @.
 """
 
@@ -224,8 +224,7 @@ def all_spans(batch_texts: list[str], field: Field | None) -> list[tuple[list, l
     for k, text in enumerate(batch_texts):
         base = base_spans(text)
         out.append((base, []))
-        if base and field is not None:
-            # without a base span no edge carries a label, so the words of such a text stay outside
+        if field is not None:
             g.add(text, k, base)
     if not g.start:
         return out
@@ -292,11 +291,10 @@ def practice(text: str) -> tuple[str, list[tuple[int, int, int]], list[tuple[int
 
 def fit(sample: list[str], steps: int = 400, rate: float = 0.1, prior: float = 0.05) -> Field | None:
     """Potentials of the largest pseudo-likelihood on the practice texts; None where no text has a base span."""
-    g, y = Graph(), []
+    g, y, bases = Graph(), [], 0
     for k, text in enumerate(sorted(sample)):
         text, base, more = practice(text)
-        if not base:
-            continue
+        bases += len(base)
         first = len(g.start)
         g.add(text, k, base)
         y += [0] * (len(g.start) - first)
@@ -304,7 +302,7 @@ def fit(sample: list[str], steps: int = 400, rate: float = 0.1, prior: float = 0
         for kind, a, b in more:
             for i in range(int(np.searchsorted(starts, a)), int(np.searchsorted(starts, b))):
                 y[first + i] = 1 + kind
-    if not y:
+    if not bases:
         return None
     fixed = np.array(g.label)
     y = np.where(fixed >= 0, fixed, y)

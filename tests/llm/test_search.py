@@ -223,3 +223,15 @@ def test_private_data_edges(spark, field):
     assert pii.private_data(df.limit(0)).count() == 0 and pii.fit(["no 12 data"]) is None
     assert pii.private_data(df.where("doc_id = 2")).first().spans == ""
     assert pii.sample_texts(df) == [texts[3]]  # the others are longer than 20,000 characters or hold neither a digit nor an @
+
+
+def test_texts_without_base_spans_go_through_the_field_too():
+    """A field that takes every number of ten digits for a phone finds it where no pattern finds anything."""
+    unary = np.zeros((pii._SHAPES, pii.LABELS))
+    unary[12 + int(np.searchsorted(pii._SIZES, 10)), 1 + pii.KINDS.index("phone")] = 5
+    sure = pii.Field(unary, np.zeros((1 + pii.SKIPS, pii.LABELS, pii.LABELS)))
+    texts = ["call 2225550000 now", "no 12 data", "mail a@b.cd or 2225550000"]
+    assert pii.all_spans(texts, sure) == [([], [(3, 5, 15)]), ([], []), ([(0, 5, 11)], [(3, 15, 25)])]
+    # and texts without base spans are practice: their repeated numbers are nobody's
+    field = pii.fit([t for t, _ in mentions(1, 400)] + [f"no {k}{k}27243074273{k}51 and {k}{k}27243074273{k}51" for k in range(10, 60)])
+    assert pii.all_spans(["X 5927243074273351 " * 5], field) == [([], [])]
