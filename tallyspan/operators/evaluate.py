@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspan.functions import words
 from tallyspan.functions.exprs import accounting_number, bbox_iou, percent, ratio, same_value, strip
 from tallyspan.operators.matching import matched_pages
+from tallyspan.sources.scratch import stored
 
 
 def truth(items: DataFrame) -> DataFrame:
@@ -35,11 +36,15 @@ def extracted(items: DataFrame) -> DataFrame:
     return items.select("job_id", "page", F.explode(both).alias("r")).select("job_id", "page", "r.*")
 
 
-def match_candidates(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFrame:
+#: Items of a page that meet all its records in one join; pages with more go by keys.
+MOST_BY_PAGE = 256
+
+
+def match_candidates(gt: DataFrame, ext: DataFrame, iou: float = 0.5, most: int = MOST_BY_PAGE) -> DataFrame:
     """All pairs on one page of one filing that can match, with a score.
 
-    Three keyed joins, of amounts (or texts) in neighbouring buckets, of labels, and of boxes in a grid cell; each pair
-    comes from the first that finds it, so nothing is made distinct afterwards.
+    On pages of at most ``most`` items each item meets all records of its page: one join, each side sent once, and at most ``most``
+    comparisons a record. Pages with more items, if there are any, go by three keyed joins.
     """
     gt = gt.withColumns({"gt_num": accounting_number(F.col("gt_value")), "_gl": F.lower(strip(F.col("gt_label")))})
     ext = ext.withColumns({"num": accounting_number(F.col("value")), "_el": F.lower(strip(F.col("label")))})
@@ -48,6 +53,21 @@ def match_candidates(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFra
         "value_eq": same_value(F.col("gt_value"), F.col("value"), F.col("gt_num"), F.col("num")),
         "label_eq": F.coalesce(F.col("_gl") == F.col("_el"), F.lit(False)),
     }
+    columns = [*[c for c in gt.columns if c != "_gl"], *[c for c in ext.columns if c not in ("_el", "job_id", "page")], *facts]
+    page = ["job_id", "page"]
+    large = stored(gt.groupBy(*page).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*page))
+    some = not large.isEmpty()
+    small = gt.join(large, page, "left_anti") if some else gt
+    pairs = small.join(ext, page).withColumns(facts).where((F.col("iou") >= iou) | F.col("value_eq") | F.col("label_eq")).select(columns)
+    if some:
+        pairs = pairs.union(_by_keys(gt.join(large, page, "left_semi"), ext.join(large, page, "left_semi"), facts, iou).select(columns))
+    return pairs.withColumn("score", F.col("iou") * 2 + F.col("value_eq").cast("int") * 2 + F.col("label_eq").cast("int"))
+
+
+def _by_keys(gt: DataFrame, ext: DataFrame, facts: dict[str, Column], iou: float) -> DataFrame:
+    """Pairs from three keyed joins, of amounts (or texts) in neighbouring buckets, of labels, and of boxes in a grid cell; each pair
+    comes from the first that finds it, so nothing is made distinct afterwards.
+    """
     # two buckets are as wide as the tolerance, so equal amounts are in the same or the next one
     at = lambda number, text, by: F.when(number.isNull(), F.concat(F.lit("t"), F.coalesce(F.lower(strip(text)), F.lit("")), text.isNull().cast("string"))).otherwise(F.concat(F.lit("n"), (F.floor(number * 500).cast("double") + by).cast("string")))
     mine = F.explode(F.array_distinct(F.array(*[at(F.col("gt_num"), F.col("gt_value"), k) for k in (-1, 0, 1)])))
@@ -57,9 +77,7 @@ def match_candidates(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFra
     one = (F.col("_cell.i") == _cell(F.greatest("gx0", "x0"))) & (F.col("_cell.j") == _cell(F.greatest("gy0", "y0")))  # of the cells that two boxes share, the one where their overlap begins
     by_box = gt.withColumn("_cell", cells("g")).join(ext.withColumn("_cell", cells("")), ["job_id", "page", "_cell"]).where(one).withColumns(facts)
     by_box = by_box.where((F.col("iou") >= iou) & ~F.col("value_eq") & ~F.col("label_eq"))
-    columns = [*[c for c in gt.columns if c != "_gl"], *[c for c in ext.columns if c not in ("_el", "job_id", "page")], *facts]
-    pairs = by_value.select(columns).union(by_label.select(columns)).union(by_box.select(columns))
-    return pairs.withColumn("score", F.col("iou") * 2 + F.col("value_eq").cast("int") * 2 + F.col("label_eq").cast("int"))
+    return by_value.drop("_key").unionByName(by_label.drop("_key")).unionByName(by_box.drop("_cell"))
 
 
 #: Side of a grid cell in thousandths of a page.

@@ -109,3 +109,15 @@ def test_large_page_equals_a_plain_loop_in_spark(spark):
             assert len(pairs) == len(can) and {(p.item_pos, p.record_index) for p in pairs} == can
     empty = frames(spark, [], [])
     assert evaluate.item_diffs(*empty).count() == 0 and evaluate.match_candidates(*empty).count() == 0
+
+
+def test_candidates_of_small_pages_take_one_join(spark):
+    """Each side is sent once; pages of more items go by keys and give the same pairs."""
+    gt = spark.createDataFrame([("a", 1 + i % 2, i, ["10", "(10)", "x", None][i % 4], f"L{i % 3}", "c", False, 0.0, i * 5.0, 60.0, i * 5.0 + 15) for i in range(40)], "job_id string, page int, item_pos int, gt_value string, gt_label string, gt_class string, is_optional boolean, gx0 double, gy0 double, gx1 double, gy1 double")
+    ext = spark.createDataFrame([("a", 1 + i % 2, i, ["10.0005", "-10", "X ", None][i % 4], f"l{i % 5}", "c", 0.0, i * 5.0, 60.0, i * 5.0 + 14) for i in range(50)], "job_id string, page int, record_index int, value string, label string, class string, x0 double, y0 double, x1 double, y1 double")
+    small = evaluate.match_candidates(gt, ext)
+    got = sorted(map(repr, small.collect()))
+    assert got and got == sorted(map(repr, evaluate.match_candidates(gt, ext, most=1).collect()))
+    some = gt.where("page = 1 or item_pos < 10")  # one page by keys, one whole
+    assert sorted(map(repr, evaluate.match_candidates(some, ext, most=10).collect())) == sorted(map(repr, evaluate.match_candidates(some, ext).collect()))
+    assert small._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
