@@ -121,3 +121,13 @@ def test_trails_have_few_exchanges(spark):
     for name in ("chain_rollup", "provenance_matrix", "chain_components"):
         plan = audit_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") < 20 and plan.count("FileScan") <= 8, name
+
+
+def test_nodes_meet_in_as_many_tasks_as_asked(spark):
+    """What one task sorts follows the number given, not that of the session; the nodes are the same."""
+    rows = [(f"j{i % 9}", f"L{i % 4}", i, 1, "1", None) for i in range(60)]
+    inputs = spark.createDataFrame(rows, "job_id string, leaf_label string, record_index int, page int, value string, reason string")
+    few = reconcile.formula_nodes(inputs, tasks=3)
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, reconcile.formula_nodes(inputs).collect()))
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert ", 3), REPARTITION_BY_NUM" in plan

@@ -33,3 +33,12 @@ def test_text(spark):
     assert one(spark, x.canonical_label(F.lit("  Stock-Based (Comp) "))) == "stock based comp"
     assert one(spark, x.slug(F.lit("Café – net"))) == "café_net"
     assert one(spark, x.percent(F.lit(1), F.lit(0))) == 0.0
+
+
+def test_strip_equals_the_pattern_for_every_sign(spark):
+    """Every sign at either end, alone and doubled, against the pattern (?U)\\s."""
+    signs = [chr(k) for k in range(1, 0x3100) if not 0xD800 <= k < 0xE000] + ["　 ", " \n", "\x1c", "\U0001f600", ""]
+    df = spark.createDataFrame([(s + "a" + s + "b" + s,) for s in signs] + [(s + s,) for s in signs] + [(None,)], "c string")
+    same = df.select((x.strip(F.col("c")).eqNullSafe(F.regexp_replace("c", r"(?U)^\s+|\s+$", ""))).alias("ok"))
+    assert same.where("not ok").count() == 0
+    assert "regexp" not in df.select(x.strip(F.col("c")))._jdf.queryExecution().optimizedPlan().toString().lower()
