@@ -29,33 +29,38 @@ def decision_counts(log: DataFrame, late: str = "2 minutes", width: str = "1 min
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _History(StatefulProcessor):
-    """The last set and node number of one entity and metric."""
+class _Histories(StatefulProcessor):
+    """The last set and node number of each entity and metric of a bucket: one call and one state row for many histories."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "labels string, node int")
+        self.last = handle.getValueState("last", "entity array<string>, metric array<string>, labels array<string>, node array<int>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
-        labels, node = self.last.get() if self.last.exists() else ("", 0)
+        held = self.last.get()
+        last = {(e, m): (labels, node) for e, m, labels, node in zip(*held)} if held else {}
         out = []
-        for r in pd.concat(list(rows)).sort_values("eval_seq").itertuples():
-            changed = node == 0 or r.labels != labels
-            node += int(changed)
-            labels = r.labels
-            out.append((*key, int(r.eval_seq), node, changed))
-        self.last.update((labels, node))
+        arrived = pd.concat(list(rows)).sort_values("eval_seq")
+        for entity, metric, seq, now in zip(*(arrived[c].tolist() for c in ("entity", "metric", "eval_seq", "labels"))):
+            labels, node = last.get((entity, metric), ("", 0))
+            changed = node == 0 or now != labels
+            last[entity, metric] = (now, node + int(changed))
+            out.append((entity, metric, int(seq), node + int(changed), changed))
+        self.last.update(tuple(map(list, zip(*[(*k, *v) for k, v in last.items()]))))
         yield pd.DataFrame(out, columns=["entity", "metric", "eval_seq", "node", "changed"])
 
     def close(self) -> None:
         pass
 
 
-def drift(sets: DataFrame) -> DataFrame:
-    """(entity, metric, eval_seq, node, changed) as filings arrive, as drift_nodes() gives them; state is one small row a history
-    and never expires. sets (entity, metric, eval_seq, labels): a filing's sorted labels. Sets the session's state store."""
+def drift(sets: DataFrame, buckets: int = 256) -> DataFrame:
+    """(entity, metric, eval_seq, node, changed) as filings arrive, as drift_nodes() gives them; state is one small entry a history
+    and never expires. Histories are dealt to so many buckets, for calls into Python cost far more than their rows: a batch makes at
+    most one call a bucket, however many histories it has. sets (entity, metric, eval_seq, labels): a filing's sorted labels. Sets
+    the session's state store."""
     sets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    rows = sets.select("entity", "metric", "eval_seq", F.to_json("labels").alias("labels"))
-    return rows.groupBy("entity", "metric").transformWithStateInPandas(_History(), "entity string, metric string, eval_seq int, node int, changed boolean", "Append", "None")
+    bucket = F.pmod(F.xxhash64("entity", "metric"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = sets.select(bucket, "entity", "metric", "eval_seq", F.to_json("labels").alias("labels"))
+    return rows.groupBy("bucket").transformWithStateInPandas(_Histories(), "entity string, metric string, eval_seq int, node int, changed boolean", "Append", "None")
 
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
