@@ -26,18 +26,28 @@ def table_title(cells: DataFrame, tables: DataFrame | None = None) -> DataFrame:
 
     cells hold start_row and is_header; tables (source_file, table_idx, caption, label), where there are any.
     """
+    a, b = _titled()
+    got = cells.groupBy("source_file", "table_idx").agg(a.alias("a"), b.alias("b"))
+    number = F.concat(F.lit("Table "), (F.col("table_idx") + 1).cast("string"))
+    if tables is None:
+        return got.select("source_file", "table_idx", F.coalesce("a", "b", number).alias("title"))
+    out = tables.select("source_file", "table_idx", _named().alias("named")).join(got, ["source_file", "table_idx"], "full")
+    return out.select("source_file", "table_idx", F.coalesce("named", "a", "b", number).alias("title"))
+
+
+def _titled() -> tuple[Column, Column]:
+    """A table's first titled cell of row 0 and its first titled header cell, as aggregates."""
     text = strip(F.coalesce("text", F.lit("")))
     low = F.lower(text)
     first = F.coalesce(F.col("start_row").cast("string").try_cast("int") == 0, F.lit(False)) & (F.length(text) > words.ALLOWED_TITLE_LENGTH) & contains_any(low, words.TITLE_WORDS)
     head = F.col("is_header") & contains_any(low, words.HEADER_TITLE_WORDS)
-    got = cells.groupBy("source_file", "table_idx").agg(F.min_by(F.when(first, text), F.when(first, F.col("cell_idx"))).alias("a"), F.min_by(F.when(head, text), F.when(head, F.col("cell_idx"))).alias("b"))
-    number = F.concat(F.lit("Table "), (F.col("table_idx") + 1).cast("string"))
-    if tables is None:
-        return got.select("source_file", "table_idx", F.coalesce("a", "b", number).alias("title"))
+    return tuple(F.min_by(F.when(is_, text), F.when(is_, F.col("cell_idx"))) for is_ in (first, head))
+
+
+def _named() -> Column:
+    """What a table's caption or label calls it, null where neither does."""
     caption, label = (F.nullif(strip(F.col(c)), F.lit("")) for c in ("caption", "label"))
-    named = F.coalesce(caption, F.when(~F.lower("label").isin("table", "data_table"), label))
-    out = tables.select("source_file", "table_idx", named.alias("named")).join(got, ["source_file", "table_idx"], "full")
-    return out.select("source_file", "table_idx", F.coalesce("named", "a", "b", number).alias("title"))
+    return F.coalesce(caption, F.when(~F.lower("label").isin("table", "data_table"), label))
 
 
 def reconciliation_tables(titles: DataFrame, metric: str = "") -> DataFrame:
@@ -58,18 +68,40 @@ def labelled(cells: DataFrame) -> DataFrame:
 
     cells: source_file, table_idx, cell_idx, start_row, start_col, is_row_header, is_col_header, text.
     """
+    return _in_tables(cells, {})
+
+
+def titled_cells(cells: DataFrame, tables: DataFrame | None = None, metric: str = "") -> DataFrame:
+    """labelled() + table_name and named, the title that table_title() gives the cell's table and whether that is a candidate; both
+    null for a cell without file or table. The cells are read once."""
+    a, b = _titled()
+    table = Window.partitionBy("source_file", "table_idx")
+    out = _in_tables(cells.withColumn("is_header", F.col("is_row_header") | F.col("is_col_header")), {"_a": a.over(table), "_b": b.over(table)})
+    title = [F.col("_a"), F.col("_b"), F.concat(F.lit("Table "), (F.col("table_idx") + 1).cast("string"))]
+    if tables is not None:
+        out = out.join(tables.select("source_file", "table_idx", _named().alias("_named")), ["source_file", "table_idx"], "left")
+        title.insert(0, F.col("_named"))
+    known = F.col("source_file").isNotNull() & F.col("table_idx").isNotNull()
+    out = reconciliation_tables(out.withColumn("title", F.coalesce(*title)), metric)
+    named = {"table_name": F.when(known, F.col("title")), "named": F.when(known, F.col("is_candidate"))}
+    return out.withColumns(named).drop("title", "is_candidate", "is_header", "_a", "_b", "_named")
+
+
+def _in_tables(cells: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """Data cells + label and more, windows over all cells of a table. One exchange by table serves all windows, so cells are made once."""
     table = ["source_file", "table_idx"]
 
-    def heads(flag: str, line: str, name: str) -> DataFrame:
-        rows = cells.where(F.col(flag) & (strip(F.col("text")) != ""))
-        listed = rows.groupBy(*table, line).agg(F.array_sort(F.collect_list(F.struct("cell_idx", strip(F.col("text")).alias("t")))).alias("h"))
-        return listed.select(*table, line, F.transform("h", lambda x: x["t"]).alias(name))
-
-    data = cells.where("not is_row_header and not is_col_header")
-    out = data.join(heads("is_row_header", "start_row", "rh"), [*table, "start_row"], "left").join(heads("is_col_header", "start_col", "ch"), [*table, "start_col"], "left")
-    none = F.array().cast("array<string>")
-    path = F.array_join(F.concat(F.coalesce("rh", none), F.coalesce("ch", none)), " / ")
-    return out.withColumn("label", F.when(path != "", path).otherwise(F.col("text"))).drop("rh", "ch")
+    def heads(flag: str, line: str) -> Column:
+        """The headers of a cell's line; none for a line without number."""
+        text = strip(F.col("text"))
+        listed = F.collect_list(F.when(F.col(flag) & (text != ""), F.struct("cell_idx", text.alias("t")))).over(Window.partitionBy(*table, line))
+        whole = F.col(line).isNotNull() & F.col(table[0]).isNotNull() & F.col(table[1]).isNotNull()
+        return F.when(whole, F.transform(F.array_sort(listed), lambda x: x["t"])).otherwise(F.array().cast("array<string>"))
+
+    rows = cells.repartition(*table).withColumn("_rh", heads("is_row_header", "start_row")).withColumn("_ch", heads("is_col_header", "start_col"))
+    out = rows.withColumns(more).where("not is_row_header and not is_col_header")
+    path = F.array_join(F.concat("_rh", "_ch"), " / ")
+    return out.withColumn("label", F.when(path != "", path).otherwise(F.col("text"))).drop("_rh", "_ch")
 
 
 def item_order(items: DataFrame) -> DataFrame:

@@ -21,19 +21,16 @@ def filing_rows(cells: DataFrame, dims: DataFrame, terms: DataFrame, classifier:
     cells (job_id, source_file, table_idx, cell_idx, text, start_row, start_col, is_row_header, is_col_header, page_cell, page_table,
     bbox_cell, bbox_prov, bbox_table); dims (source_file, page, width, height); terms, the taxonomy; tables, captions
     for table_title(). Labels come from headers, noise is dropped, a malformed cell or a page without size makes an error row and
-    stops nothing else; a classifier's error sends a record aside, too. Errors keep their place in the filing's order.
+    stops nothing else; cells are read once, in one exchange by table; a classifier's error sends a record aside, too. Errors keep their place in the filing's order.
     """
-    titles = c.reconciliation_tables(c.table_title(cells.withColumn("is_header", F.col("is_row_header") | F.col("is_col_header")), tables), metric)
-    rows = c.cell_error_rows(c.cell_location(c.labelled(cells)))
+    spots = ["page_cell", "page_table", "bbox_cell", "bbox_prov", "bbox_table"]
+    rows = c.cell_error_rows(c.titled_cells(c.cell_location(cells).drop(*spots), tables, metric))
     rows = rows.where(F.col("is_error") | ~c.is_noise(F.col("text"))).withColumnRenamed("is_error", "bad_cell")
-    titles = titles.select("source_file", "table_idx", F.col("title").alias("table_name"), F.col("is_candidate").alias("named"))
-    rows = c.item_order(rows.join(titles, ["source_file", "table_idx"], "left"))
+    rows = c.item_order(rows)
     rows = c.bbox_normalize(rows, dims).withColumnRenamed("is_error", "bad_page")
     rows = rows.withColumns({"is_error": F.col("bad_cell") | F.col("bad_page"), "value": F.coalesce("text", F.lit(""))} | {b: F.when(F.col("bad_cell"), 0.0).otherwise(F.col(b)) for b in c.BOX})
     scored = scoring.score_with_context(rows).withColumn("is_candidate", F.coalesce("named", F.lit(False)))
-    asked = taxonomy.classification_candidates(scored, candidates_only).select("job_id", "record_index", "label")
-    answers = taxonomy.classify(asked, classifier).select("job_id", "record_index", "resp_label", F.col("is_error").alias("is_error_resp"), F.col("error_detail").alias("bad_answer"))
-    done = taxonomy.normalize_answered(scored.join(answers, ["job_id", "record_index"], "left"), terms)
+    done = taxonomy.normalize_answered(taxonomy.with_answers(scored, classifier, candidates_only), terms)
     stage = F.when(F.col("bad_cell"), "cells").when(F.col("bad_page"), "boxes").when(F.col("bad_answer").isNotNull(), "classification")
     reason = F.when(F.col("bad_cell"), NO_CELL).when(F.col("bad_page"), NO_PAGE).otherwise(F.col("bad_answer"))
     return done.select(*RECORD, F.when(stage.isNull(), "item").otherwise("error").alias("outcome"), stage.alias("stage"), reason.alias("reason"))

@@ -1,9 +1,16 @@
-"""Streams call Python by bucket: what grows with the input grows once."""
+"""Inputs are read once, however many steps use them, and streams call Python by bucket: what grows with the input grows once."""
 
-from tallyspan.operators import drift
+from test_filing import world
+
+from tallyspan.operators import drift, filing, taxonomy
 from tallyspan.streaming import jobs
 
 
+def readings(df, column):
+    """How often the plan reads the table that has this column."""
+    return sum("Relation [" in line and column in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
 def test_drift_state_is_by_bucket(spark, tmp_path):
     rows = [(f"e{k}", m, y, f"l{(k * 7 + y * (k % 3)) % 5}") for k in range(300) for m in ("a", None) for y in range(6)]
     sets = drift.locked_labels(spark.createDataFrame(rows, "entity string, metric string, eval_seq int, normalized_label string"))
@@ -17,3 +24,16 @@ def test_drift_state_is_by_bucket(spark, tmp_path):
         seen += spark.read.parquet(str(tmp_path / f"out{lo}/*")).collect()
     want = drift.drift_nodes(drift.drift_compare(sets)).select("entity", "metric", "eval_seq", "node", "changed").collect()
     assert sorted(map(str, seen)) == sorted(map(str, want)) and len(seen) == 3600
+
+
+def test_filings_read_their_cells_once(spark, tmp_path):
+    cells, dims, terms = world(spark)
+    cells.write.parquet(str(tmp_path / "cells"))
+    rows = filing.filing_rows(spark.read.parquet(str(tmp_path / "cells")), dims, terms)
+    assert readings(rows, "is_row_header") == 1
+    ask = taxonomy.batch_classifier(lambda labels: __import__("pandas").DataFrame({"label": ["Interest Expense"] * len(labels), "confidence": 0.9}))
+    plain = lambda c: taxonomy.dictionary_answer(c)  # noqa: E731  without the mark, so by distinct labels
+    both = [sorted(map(str, filing.filing_rows(cells, dims, terms, f).collect())) for f in (taxonomy.dictionary_answer, plain)]
+    assert both[0] == both[1]
+    (one,) = filing.filing_rows(cells, dims, terms, ask).where("outcome = 'item'").collect()
+    assert one.normalized_label == "Interest Expense" and one.table_name == "Reconciliation of EBITDA"
