@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspan.functions import words
 from tallyspan.functions.exprs import accounting_number, bbox_iou, percent, ratio, same_value, strip
-from tallyspan.operators.matching import matched_pages
+from tallyspan.operators.matching import matched_pages, matched_sides
 from tallyspan.sources.scratch import stored
 
 
@@ -20,6 +20,21 @@ def truth(items: DataFrame) -> DataFrame:
 
 def extracted(items: DataFrame) -> DataFrame:
     """Disturbed copies of the truth, with extra rows: what an extractor might return. One pass over items."""
+    both = F.array(*_extracts())
+    return items.select("job_id", "page", F.explode(both).alias("r")).where("r is not null").select("job_id", "page", "r.*")
+
+
+def both_sides(items: DataFrame) -> DataFrame:
+    """truth() and extracted() in one table, as matched_sides() takes them, from one reading of items."""
+    box = ("x0", "y0", "x1", "y1")
+    side = lambda side, pos, kind, optional, src: F.struct(F.lit(side).alias("side"), src(pos).alias("pos"), src("value").alias("value"), src("label").alias("label"), src(kind).alias("class"), optional.alias("is_optional"), *[src(b).alias(b) for b in box])
+    theirs = [F.when(r.isNotNull(), side(1, "record_index", "class", F.lit(False), lambda n, r=r: r[n])) for r in _extracts()]
+    rows = F.explode(F.array(side(0, "record_index", "p_type", F.col("partkey") % 9 == 0, F.col), *theirs)).alias("r")
+    return items.select("job_id", "page", rows).where("r is not null").select("job_id", "page", "r.*")
+
+
+def _extracts() -> tuple[Column, Column]:
+    """What an extractor might return for an item: a disturbed copy, and an extra row; either may be null."""
     k = F.col("partkey")
     shift = F.when(k % 5 == 0, 40.0).otherwise(0.0)
     index = F.col("record_index") * 2
@@ -32,8 +47,7 @@ def extracted(items: DataFrame) -> DataFrame:
         (index + 1).alias("record_index"), F.lit("1").alias("value"), F.lit("Extra").alias("label"), F.lit("Extra").alias("class"),
         F.lit(900.0).alias("x0"), F.lit(900.0).alias("y0"), F.lit(960.0).alias("x1"), F.lit(915.0).alias("y1"),
     )
-    both = F.array_compact(F.array(F.when(k % 11 != 0, real), F.when(k % 17 == 0, extra)))
-    return items.select("job_id", "page", F.explode(both).alias("r")).select("job_id", "page", "r.*")
+    return F.when(k % 11 != 0, real), F.when(k % 17 == 0, extra)
 
 
 #: Items of a page that meet all its records in one join; pages with more go by keys.
@@ -136,6 +150,12 @@ def spurious_items(ext: DataFrame, matches: DataFrame) -> DataFrame:
     return ext.join(matches, ["job_id", "page", "record_index"], "left_anti")
 
 
+def unmatched(sides: DataFrame, side: int, iou: float = 0.5) -> DataFrame:
+    """Rows of matched_sides() that found no partner: missed items of side 0, spurious records of side 1. The matching names them
+    itself, so neither side is read again."""
+    return matched_sides(sides, iou).where(F.col("record_index" if side == 0 else "item_pos").isNull())
+
+
 def large_pages(gt: DataFrame, ext: DataFrame, least: int) -> DataFrame:
     """(job_id, page, n): pages of more than least rows, each the work of one task in matched_pages()."""
     sides = gt.select("job_id", "page").union(ext.select("job_id", "page"))

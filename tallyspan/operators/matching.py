@@ -318,13 +318,18 @@ def matched_pages(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFrame:
     """
     sides = (gt, 0, "item_pos", "gt_value", "gt_label", "gt_class", F.col("is_optional"), "g"), (ext, 1, "record_index", "value", "label", "class", F.lit(False), "")
     rows = [
-        df.select(
-            "job_id", "page", F.lit(side).alias("side"), F.col(pos).cast("int").alias("pos"), F.lower(strip(F.col(value))).alias("text"), accounting_number(F.col(value)).alias("amount"),
-            F.lower(strip(F.col(label))).alias("label"), F.col(kind).alias("class"), optional.alias("is_optional"), *[F.col(box + c).cast("double").alias(c) for c in _KEYS[3:]],
-        )
+        df.select("job_id", "page", F.lit(side).alias("side"), F.col(pos).alias("pos"), F.col(value).alias("value"), F.col(label).alias("label"), F.col(kind).alias("class"), optional.alias("is_optional"), *[F.col(box + c).alias(c) for c in _KEYS[3:]])
         for df, side, pos, value, label, kind, optional, box in sides
     ]
-    rows = rows[0].unionByName(rows[1])
+    return matched_sides(rows[0].unionByName(rows[1]), iou)
+
+
+def matched_sides(rows: DataFrame, iou: float = 0.5) -> DataFrame:
+    """matched_pages() of both sides in one table (job_id, page, side, pos, value, label, class, is_optional, x0..y1): side 0 is the truth, 1 the records."""
+    rows = rows.select(
+        "job_id", "page", "side", F.col("pos").cast("int").alias("pos"), F.lower(strip(F.col("value"))).alias("text"), accounting_number(F.col("value")).alias("amount"), F.lower(strip(F.col("label"))).alias("label"),
+        "class", "is_optional", *[F.col(c).cast("double").alias(c) for c in _KEYS[3:]],
+    )
     rows = rows.repartition("job_id", "page").sortWithinPartitions("job_id", "page", "side", "pos")
     kind = lambda c: rows.schema[c].dataType.simpleString()
     return rows.mapInArrow(
