@@ -1,10 +1,15 @@
 """Inputs are read once, however many steps use them, and streams call Python by bucket: what grows with the input grows once."""
 
+import pytest
+from pyspark.sql import functions as F
 from test_filing import world
 
-from tallyspan.operators import drift, filing, taxonomy
+from tallyspan.operators import drift, evaluate, filing, taxonomy
+from tallyspan.plans import stream_queries
 from tallyspan.streaming import jobs
 
+SF = "/root/testdata/sf0.001"
+
 
 def readings(df, column):
     """How often the plan reads the table that has this column."""
@@ -37,3 +42,19 @@ def test_filings_read_their_cells_once(spark, tmp_path):
     assert both[0] == both[1]
     (one,) = filing.filing_rows(cells, dims, terms, ask).where("outcome = 'item'").collect()
     assert one.normalized_label == "Interest Expense" and one.table_name == "Reconciliation of EBITDA"
+
+
+@pytest.mark.parametrize(("name", "most"), [("spurious_items", 1), ("missed_items", 1), ("batch_job_summary", 0), ("manual_overrides", 0), ("report_metadata", 1)])
+def test_line_items_are_read_once(spark, name, most):
+    assert readings(stream_queries.QUERIES[name](spark, SF), "l_linenumber") <= most
+
+
+def test_unmatched_equals_the_joins(spark):
+    rows = stream_queries.items(spark, SF)
+    gt, ext = evaluate.truth(rows), evaluate.extracted(rows)
+    matches = evaluate.greedy_match(gt, ext)
+    both = evaluate.both_sides(rows)
+    missed = evaluate.missed_items(gt, matches).select("job_id", "page", F.col("item_pos"))
+    spurious = evaluate.spurious_items(ext, matches).select("job_id", "page", "record_index")
+    assert sorted(evaluate.unmatched(both, 0).select("job_id", "page", "item_pos").collect()) == sorted(missed.collect())
+    assert sorted(evaluate.unmatched(both, 1).select("job_id", "page", "record_index").collect()) == sorted(spurious.collect())
