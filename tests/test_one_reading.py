@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from test_filing import world
 
 from tallyspan.operators import drift, evaluate, filing, taxonomy
-from tallyspan.plans import stream_queries
+from tallyspan.plans import queries, stream_queries
 from tallyspan.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,10 @@ def test_unmatched_equals_the_joins(spark):
     spurious = evaluate.spurious_items(ext, matches).select("job_id", "page", "record_index")
     assert sorted(evaluate.unmatched(both, 0).select("job_id", "page", "item_pos").collect()) == sorted(missed.collect())
     assert sorted(evaluate.unmatched(both, 1).select("job_id", "page", "record_index").collect()) == sorted(spurious.collect())
+
+
+def test_documents_are_shuffled_once(spark):
+    docs = queries._gt_docs(spark, SF)
+    assert docs.count() == docs.select("folder").distinct().count() > 0
+    docs.collect()
+    assert "hashpartitioning(suppkey" in (plan := docs._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(folder" not in plan
