@@ -33,7 +33,6 @@ unseen words; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +48,24 @@ ship(__name__)
 FOLDS, HELD_OUT = 7, 2
 LOG_BASE, HASHES = 1.5, 5
 FREQUENT_WORDS = 300_000
-#: Bytes of text to a chunk, and to a bucket of n-grams.
-CHUNK, BUCKET = 8_000_000, 32_000_000
+#: Bytes of text to a chunk, to a bucket of n-grams, and that a task counts words of at a time.
+CHUNK, BUCKET, COUNTED = 8_000_000, 32_000_000, 32_000_000
 END = ""  # no word is empty
 _START = np.uint64(0x53544152545F5F31)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def words_of(text) -> tuple[pa.Array, np.ndarray]:
+    """The lower-case words of texts (null: none), one text after the other, and how many each has."""
+    text = pc.fill_null(text, "").cast(pa.large_string())
+    if isinstance(text, pa.ChunkedArray):
+        text = text.combine_chunks()
+    # a fresh copy: ascii_lower() misreads a slice after a cast
+    text = text.take(pa.array(np.arange(len(text))))
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    words = parts.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # blanks at either end leave empty parts
+    before = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))]
+    return words.filter(full), np.diff(before[parts.offsets.to_numpy()])
 
 
 def is_held_out(ident: str = "doc_id", folds: int = FOLDS, fold: int = HELD_OUT):
@@ -67,18 +76,23 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(word, n): exact counts of every training token, the end token as the empty word."""
 
     def run(batches):
-        held: Counter = Counter()
+        held, size = [], 0
 
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            words, sizes = words_of(pa.chunked_array(held))
+            got = words.value_counts()
+            word, n = got.field("values").cast(pa.string()), got.field("counts")
+            word, n = pa.concat_arrays([word, pa.array([END])]), pa.concat_arrays([n, pa.array([len(sizes)])])
+            return pa.RecordBatch.from_arrays([word, n], names=["word", "n"])
 
         for batch in batches:
-            for t in texts(batch):
-                held.update(words_of(t))
-                held[b""] += 1
-                if len(held) > 400_000:
-                    yield rows()
-                    held.clear()
+            if not batch.num_rows:
+                continue
+            held.append(batch.column("text"))
+            size += held[-1].nbytes
+            if size > COUNTED:
+                yield rows()
+                held, size = [], 0
         if held:
             yield rows()
 
@@ -100,17 +114,20 @@ VALUE = level_values(120)
 
 
 class Tokens:
-    """Token names of a few texts, each with its end token, and the names of its pairs."""
-
-    def __init__(self, all_words: list[list[bytes]]):
-        sizes = np.array([len(w) + 1 for w in all_words], np.int64)
-        digest, end = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(b"")
-        self.names = np.fromiter((x for w in all_words for x in [*map(digest, w), end]), np.uint64, int(sizes.sum()))
-        self.text_of = np.repeat(np.arange(len(all_words)), sizes)
-        self.context = np.roll(self.names, 1)
-        self.first = np.cumsum(sizes) - sizes
-        self.context[self.first] = _START
-        self.pairs = mix(self.context, self.names)
+    """Tokens of a few texts, each with its end token. ``words`` has the distinct words and the end, ``code`` leads
+    from tokens to them; ``names`` has their names in order, ``word`` leads from tokens to them."""
+
+    def __init__(self, text):
+        words, sizes = words_of(text)
+        coded = words.dictionary_encode()
+        self.words = [*coded.dictionary.cast(pa.large_binary()).to_pylist(), END.encode()]
+        ends = np.cumsum(sizes)
+        self.code = np.insert(coded.indices.to_numpy(), ends, len(self.words) - 1).astype(np.int64)
+        self.text_of = np.repeat(np.arange(len(sizes)), sizes + 1)
+        self.first = ends - sizes + np.arange(len(sizes))
+        names = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
+        self.names, name_of = np.unique(names, return_inverse=True)
+        self.word = name_of[self.code]
 
 
 def in_chunks(flagged: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -166,49 +183,63 @@ class _Of:
 
 class Distinct:
     """The distinct n-grams of a chunk by kind, in the order in which a chunk and its buckets name them:
-    by bucket, then context, then name. ``at`` leads from tokens to them."""
+    by bucket, then the context's name, then the word's. ``at`` leads from words' names to words, from tokens to pairs."""
 
     def __init__(self, t: Tokens, buckets: Buckets):
         self.keys, self.at, self.bucket = {}, {}, {}
-        keys, at = np.unique(t.names, return_inverse=True)
-        self._put(1, keys, at, (keys % np.uint64(buckets.n)).astype(np.int32), keys)
-        keys, one, at = np.unique(t.pairs, return_index=True, return_inverse=True)
-        self.context = t.context[one]
-        order = self._put(2, keys, at, buckets.of_pairs(self.context, keys), self.context)
-        self.context = self.context[order]
-        self.first = np.ones(len(keys), bool)  # where a context of a bucket begins
+        self._put(1, t.names, (t.names % np.uint64(buckets.n)).astype(np.int32))
+        # pairs as whole numbers that stand in the order of (context, word)
+        contexts, place = np.unique(np.r_[t.names, _START], return_inverse=True)
+        context = np.roll(place[t.word], 1)
+        context[t.first] = place[-1]
+        both = context * len(t.names) + t.word
+        order = np.argsort(both)
+        both = both[order]
+        new = np.ones(len(both), bool)
+        new[1:] = both[1:] != both[:-1]
+        at = np.empty(len(both), np.int64)
+        at[order] = np.cumsum(new) - 1
+        context, word = np.divmod(both[new], len(t.names))
+        context, names = contexts[context], t.names[word]
+        order, place = self._put(2, names, buckets.of_pairs(context, mix(context, names)))
+        self.at[2] = place[at]
+        self.context, self.word = context[order], self.at[1][word[order]]
+        self.first = np.ones(len(order), bool)  # where a context of a bucket begins
         self.first[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[2][1:] != self.bucket[2][:-1])
 
-    def _put(self, kind: int, keys: np.ndarray, at: np.ndarray, bucket: np.ndarray, context: np.ndarray) -> np.ndarray:
-        order = np.lexsort((keys, context, bucket))
+    def _put(self, kind: int, keys: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # small whole numbers are sorted by their digits
+        order = np.argsort(bucket.astype(np.int16) if len(bucket) and bucket.max() < 1 << 15 else bucket, kind="stable")
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
-        self.keys[kind], self.at[kind], self.bucket[kind] = keys[order], place[at], bucket[order]
-        return order
+        self.keys[kind], self.at[kind], self.bucket[kind] = keys[order], place, bucket[order]
+        return order, place
 
 
 COUNTS = "chunk long, bucket int, kind int, keys binary, counts binary, contexts binary, sizes binary"
 
 
 def ngram_counts(chunks: DataFrame, shared) -> DataFrame:
-    """(chunk, bucket, kind, keys, counts, contexts, sizes): packed words (kind 1) and pairs (kind 2, by context) of a
-    chunk with their training counts, which are 0 for those of held-out texts only. A chunk may send several rows."""
+    """(chunk, bucket, kind, keys, counts, contexts, sizes): packed names of the words (kind 1) and of the pairs' words
+    (kind 2, by context) of a chunk with their training counts, which are 0 for those of held-out texts only. A chunk may send several rows."""
 
     def run(batches):
         buckets = shared.value
         for batch in batches:
-            raw, of = texts(batch), batch.column("chunk").to_numpy()
+            text, of = batch.column("text"), batch.column("chunk").to_numpy()
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
             for a, b in zip(edges, edges[1:]):
                 if a == b:
                     continue
-                t = Tokens([words_of(x) for x in raw[a:b]])
+                t = Tokens(text.slice(a, b - a))
                 d = Distinct(t, buckets)
+                of_kind = {1: d.at[1][t.word], 2: d.at[2]}
+                counted = train[a:b][t.text_of]
                 rows: dict[str, list] = {k: [] for k in ("bucket", "kind", "keys", "counts", "contexts", "sizes")}
                 for kind in (1, 2):
                     keys = d.keys[kind]
-                    n = np.bincount(d.at[kind], train[a:b][t.text_of], len(keys)).astype("<u4")
+                    n = np.bincount(of_kind[kind], counted, len(keys)).astype("<u4")
                     cuts = np.r_[0, np.flatnonzero(np.diff(d.bucket[kind])) + 1, len(keys)]
                     for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                         contexts = sizes = b""
@@ -225,12 +256,10 @@ def ngram_counts(chunks: DataFrame, shared) -> DataFrame:
     return chunks.select("chunk", "text", "held_out").mapInArrow(run, COUNTS)
 
 
-def positions(keys: np.ndarray, level: int, kind: int, bits: int, hashes: int) -> np.ndarray:
-    """(hashes, n) bit numbers of keys at a level."""
+def positions(keys: np.ndarray, level: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place of keys at a level, and the step to their next ones, before they are folded to the filter's bits."""
     h = mix(keys, np.full(len(keys), level * 4 + kind, np.uint64))
-    step = (mix(h, keys) >> np.uint64(20)) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        return np.stack([(h + np.uint64(i) * step) % np.uint64(bits) for i in range(hashes)]).astype(np.int64)
+    return h, (mix(h, keys) >> np.uint64(20)) | np.uint64(1)
 
 
 class Segment:
@@ -242,18 +271,21 @@ class Segment:
         self.bits = max(1 << 16, 8 * math.ceil(int(level.sum(dtype=np.int64)) * hashes / math.log(2) / 8 * 1.05))
         bit = np.zeros(self.bits, bool)
         for q in range(1, self.top + 1):
-            bit[positions(keys[level >= q], q, kind, self.bits, hashes).ravel()] = True
+            h, step = positions(keys[level >= q], q, kind)
+            for _ in range(hashes):
+                bit[h % np.uint64(self.bits)] = True
+                h += step
         self.raw = np.packbits(bit, bitorder="little")
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Levels by repeated membership probes; 0 where the lowest is absent."""
         out, live = np.zeros(len(keys), np.uint8), np.arange(len(keys))
         for q in range(1, self.top + 1):
-            where = positions(keys[live], q, self.kind, self.bits, self.hashes)
-            for k in range(self.hashes):  # each further hash is read only where the ones before were set
-                bit = where[k]
-                ok = (self.raw[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                live, where = live[ok], where[:, ok]
+            h, step = positions(keys[live], q, self.kind)
+            for _ in range(self.hashes):  # each further hash is read only where the ones before were set
+                bit = h % np.uint64(self.bits)
+                ok = (self.raw[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                live, h, step = live[ok], h[ok] + step[ok], step[ok]
             if not len(live):
                 break
             out[live] = q
@@ -272,14 +304,28 @@ def filter_answers(counts: DataFrame, shared, hashes: int = HASHES) -> DataFrame
         kind = key[1].as_py()
         bytes_of = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
         parts = bytes_of("keys", "<u8")
-        keys, one, at = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-        n = np.bincount(at, np.concatenate(bytes_of("counts", "<u4"))).astype(np.int64)
+        keys, counts = np.concatenate(parts), np.concatenate(bytes_of("counts", "<u4"))
+        if kind == 2:
+            contexts, sizes = (np.concatenate(bytes_of(c, k)) for c, k in (("contexts", "<u8"), ("sizes", "<u4")))
+            names, of = np.unique(contexts, return_inverse=True)
+            of = np.repeat(of, sizes)
+            order = np.lexsort((keys, of))
+        else:
+            of = np.zeros(len(keys), np.int64)
+            order = np.argsort(keys)
+        keys, of = keys[order], of[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.cumsum(new) - 1
+        keys, of = keys[new], of[new]  # in the order in which chunks name them
+        if kind == 2:
+            keys = mix(names[of], keys)
+        n = np.bincount(at, counts).astype(np.int64)
         seen = np.flatnonzero(n)
         level = level_of(n[seen])
         got = Segment(keys[seen], level, kind, hashes).level(keys)
         if kind == 2:
-            each = [np.repeat(c, k) for c, k in zip(bytes_of("contexts", "<u8"), bytes_of("sizes", "<u4"))]
-            names, of = np.unique(np.concatenate(each)[one], return_inverse=True)
             sums = np.stack([np.bincount(of[seen], VALUE[level], len(names)), np.bincount(of[seen], minlength=len(names))], axis=1)
             hot, _ = shared.value.is_hot(names)
         ends = np.cumsum([len(x) for x in parts])
@@ -288,9 +334,8 @@ def filter_answers(counts: DataFrame, shared, hashes: int = HASHES) -> DataFrame
             mine.setdefault(c, []).append(x)
         levels, told = [], []
         for x in mine.values():
-            x = np.unique(np.concatenate(x))
+            x = x[0] if len(x) == 1 else np.unique(np.concatenate(x))
             if kind == 2:
-                x = x[np.argsort(of[x], kind="stable")]  # keys are in order, so this is by context, then name
                 own = of[x]
                 told.append(sums[own[np.r_[True, own[1:] != own[:-1]]]].astype("<f4").tobytes())
             else:
@@ -343,6 +388,7 @@ def score_tokens(word: np.ndarray, pair: np.ndarray, z: np.ndarray, t: np.ndarra
 
 
 SCORED = "doc_id long, owner binary, held_out boolean, n_tokens long, score double, part double, known long, word string, tf long"
+NAMES = [x.split()[0] for x in SCORED.split(", ")]
 
 
 def hot_contexts(counts: DataFrame, total: int, buckets: int) -> Buckets:
@@ -389,39 +435,35 @@ def score_documents(
     spread = spark.sparkContext.broadcast(hot_sums(per, buckets.hot))
 
     def score(left, right):
-        exact, raw, of = known.value, texts(left), _Of(shared).value
-        ids, held = left.column("doc_id").to_pylist(), left.column("held_out").to_pylist()
+        exact, of = known.value, _Of(shared).value
         right = right.sort_by("bucket")
         kinds = right.column("kind").to_pylist()
         told = lambda c, kind: b"".join([v for k, v in zip(kinds, right.column(c).to_pylist()) if k == kind])
-        words = [words_of(x) for x in raw]
-        t = Tokens(words)
+        t = Tokens(left.column("text"))
         d = Distinct(t, of)
-        word, pair = (VALUE[np.frombuffer(told("levels", k), np.uint8)][d.at[k]] for k in (1, 2))
+        word, pair = (VALUE[np.frombuffer(told("levels", k), np.uint8)] for k in (1, 2))
         sums = np.frombuffer(told("sums", 2), "<f4").reshape(-1, 2).astype(np.float64)[np.cumsum(d.first) - 1]
         hot, at = of.is_hot(d.context)
         sums[hot] = spread.value[at[hot]]
-        z, n = sums[d.at[2]].T
-        scores = np.bincount(t.text_of, score_tokens(word, pair, z, n, singles, whole, types), len(words))
-        out = {k: [] for k in ("doc_id", "owner", "held_out", "n_tokens", "score", "part", "known", "word", "tf")}
-        for i, w in enumerate(words):
-            owner = xxhash.xxh3_128_digest(raw[i])
-            tf = Counter(w)
-            tf[b""] += 1
-            part, sure, rare = 0.0, 0, []
-            for x, n in tf.items():
-                c = exact.get(x)
-                if c is None:
-                    rare.append((x.decode(), n))
-                else:
-                    part += n * math.log10(c + 1)
-                    sure += n
-            rows = [(ids[i], owner, held[i], len(w) + 1, float(scores[i]), part, sure, None, None)]
-            rows += [(None, owner, None, None, None, None, None, x, n) for x, n in rare]
-            for k, v in zip(out, zip(*rows)):
-                out[k].extend(v)
-        types_ = (pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int64())
-        return pa.table([pa.array(v, k) for v, k in zip(out.values(), types_)], names=list(out))
+        p = score_tokens(word[d.word], pair, *sums.T, singles, whole, types)
+        total_of = lambda each: np.bincount(t.text_of, each, left.num_rows)
+        n = np.array([exact.get(w, 0) for w in t.words], np.int64)[t.code]
+        rare = n == 0
+        # the rare words of each text and how often it has them
+        rare, tf = np.unique(t.text_of[rare] * len(t.words) + t.code[rare], return_counts=True)
+        text, code = np.divmod(rare, len(t.words))
+        owner = pa.array([xxhash.xxh3_128_digest(x) for x in texts(left)], pa.binary())
+        docs = {
+            "doc_id": left.column("doc_id"),
+            "owner": owner,
+            "held_out": left.column("held_out"),
+            "n_tokens": pa.array(np.bincount(t.text_of, minlength=left.num_rows)),
+            "score": pa.array(total_of(p[d.at[2]])),
+            "part": pa.array(total_of(np.log10(n + 1.0))),
+            "known": pa.array(total_of(n > 0).astype(np.int64)),
+        }
+        rest = {"owner": owner.take(pa.array(text)), "word": pa.array(t.words, pa.large_binary()).take(pa.array(code)).cast(pa.string()), "tf": pa.array(tf)}
+        return pa.concat_tables([pa.table(docs), pa.table(rest)], promote_options="default").select(NAMES)
 
     asked = answers.where("chunk is not null").select("chunk", "bucket", "kind", "levels", "sums")
     scored = stored(flagged.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(score, SCORED))

@@ -242,6 +242,27 @@ def test_lm_without_training_text(spark, n):
     assert len(got) == n and all((r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) for r in got)
 
 
+def test_lm_names_a_word_of_a_chunk_once(monkeypatch):
+    """Slices, nulls, other blanks than ASCII's and hot contexts; one digest for each distinct word, not for each token."""
+    rng, digest, calls = np.random.default_rng(3), bloom_lm.xxhash.xxh64_intdigest, []
+    odd = ["".join(chr(c) for c in rng.choice([0, 9, 10, 11, 12, 13, 28, 31, 32, 32, 65, 97, 0x85, 0xA0, 0xC9, 0x2003], rng.integers(0, 40))) for _ in range(300)]
+    text = pa.array([*odd, None, "", " \t", "A a b", *["the one the other"] * 50])
+    monkeypatch.setattr(bloom_lm.xxhash, "xxh64_intdigest", lambda x: calls.append(x) or digest(x))
+    for part in (text, text.slice(100, 230), text.slice(310), pa.chunked_array([text.slice(7, 90), text.slice(303, 9)])):
+        want = [(x or "").encode().lower().split() for x in part.to_pylist()]
+        flat = [w for words in want for w in [*words, b""]]
+        calls.clear()
+        t = bloom_lm.Tokens(part)
+        assert sorted(calls) == sorted({*flat}) and [t.words[k] for k in t.code] == flat
+        assert t.text_of.tolist() == [i for i, words in enumerate(want) for _ in range(len(words) + 1)]
+        names = np.array([digest(w) for w in flat], np.uint64)
+        before = np.array([bloom_lm._START if k == 0 else digest(words[k - 1]) for words in want for k in range(len(words) + 1)], np.uint64)
+        hot = np.sort(np.array([digest(b"the"), digest(b"a")], np.uint64))
+        d = bloom_lm.Distinct(t, bloom_lm.Buckets(7, hot, np.full(2, 3, np.uint64)))
+        assert (d.context[d.at[2]] == before).all() and (d.keys[2][d.at[2]] == names).all() and (d.keys[1][d.word][d.at[2]] == names).all()
+        assert (np.lexsort((d.keys[2], d.context, d.bucket[2])) == np.arange(len(d.keys[2]))).all()  # the order in which buckets answer
+
+
 def test_texts_of_one_hash_stay_apart(spark, monkeypatch):
     """With a 64-bit hash that is the same for all texts, only the whole key tells them apart."""
     shared = words(0, 60)
