@@ -16,6 +16,7 @@ nulls last. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from unicodedata import normalize
@@ -33,8 +34,10 @@ ship(__name__)
 LENGTH, END_ID = 2048, 0
 #: Share of its bins that a round must free for another one to follow.
 GAIN = 0.01
-#: Pieces to a group, groups that one round makes one of at most, words a task remembers, distinct words looked up at a time.
-GROUP, FAN_IN, REMEMBERED, AT_ONCE = 40_000, 32, 900_000, 60_000
+#: Pieces to a group, groups that one round makes one of at most, words a task remembers.
+GROUP, FAN_IN, REMEMBERED = 40_000, 32, 900_000
+#: Distinct words that wait to be learnt, words of all texts that wait for them, words in one text for the tokenizer.
+AT_ONCE, WAITING, IN_TEXT = 60_000, 500_000, 200
 #: ASCII marks that may follow the letters of a word.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -73,8 +76,8 @@ class WordIds:
             self._keep(part, np.array(got.ids, "<u4").tobytes(), np.searchsorted(of, np.arange(1, len(part) + 1)))
 
     def _letters(self, words: list[bytes]) -> None:
-        for a in range(0, len(words), 1000):
-            part = words[a : a + 1000]
+        for a in range(0, len(words), IN_TEXT):
+            part = words[a : a + IN_TEXT]
             (got,) = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
             ends = np.flatnonzero(self.is_end[ids]) + 1
@@ -84,15 +87,14 @@ class WordIds:
                 self._apart(part)
 
     def learn(self, words: set[bytes]) -> None:
+        """Find the ids of those words that are not known."""
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
-        marked, letters, apart = [], set(), set()
-        for w in words:
-            if w in known:
-                continue
-            stem = w.rstrip(MARKS)
-            low = stem.lower()
+        known, words = self.known, list(words.difference(self.known))
+        marked, letters, apart = ([], [], []), set(), set()
+        lower = b" ".join(words).lower().split()  # words hold no blanks, and lower case is as long
+        stems = [x.rstrip(MARKS) for x in lower]
+        for w, x, low in zip(words, lower, stems):
             # the tokenizer composes and folds before it parts, which can turn a letter into letter and mark
             if not low.isalpha() and not normalize("NFC", low.decode()).lower().isalpha():
                 apart.add(w)
@@ -100,31 +102,39 @@ class WordIds:
             if low not in known:
                 letters.add(low)
             if low != w:
-                tail = w[len(stem) :]
-                marked.append((w, low, tail))
+                tail = x[len(low) :]
+                for held, v in zip(marked, (w, low, tail)):
+                    held.append(v)
                 if tail and tail not in known:
                     apart.add(tail)
         self._letters(list(letters))
         self._apart(list(apart))
-        for w, low, tail in marked:
+        for w, low, tail in zip(*marked):
             known[w] = known[low] + known[tail] if tail else known[low]
 
-    def of(self, all_words: list[list[bytes]]):
-        """Little-endian ids of each text, in blocks of texts whose words fit the memory."""
-        block, need = [], set()
-        for words in [*all_words, None]:
-            if words is None or len(need) > AT_ONCE:
-                self.learn(need)
-                for w in block:
-                    try:
-                        yield b"".join([self.known[x] for x in w])
-                    except KeyError:
-                        self.learn(set(w))
-                        yield b"".join([self.known[x] for x in w])
-                block, need = [], set()
+    def of(self, all_words):
+        """Little-endian ids of each text, in blocks of texts whose words are learnt together."""
+        block, need, waiting = [], set(), 0
+        for words in itertools.chain(all_words, [None]):
             if words is not None:
                 block.append(words)
                 need.update(words)
+                waiting += len(words)
+            if words is None or len(need) > AT_ONCE or waiting > WAITING:
+                self.learn(need)
+                for w in block:
+                    yield b"".join(map(self.known.__getitem__, w))
+                block, need, waiting = [], set(), 0
+
+
+def word_ids(path: str) -> WordIds:
+    """The words that this Python worker has met in any task; a module that travels with a job is new in each task."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_tallyspan_word_ids", {})
+    if path not in held:
+        held[path] = WordIds(path)
+    return held[path]
 
 
 def _whole_text_ids(tokenizer, text: bytes) -> bytes:
@@ -136,14 +146,14 @@ def pieces(documents: DataFrame, tokenizer: str, length: int = LENGTH, end_id: i
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         special = [t.content.encode() for t in ids.tokenizer.get_added_tokens_decoder().values()]
         for batch in batches:
             rows = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             raw = texts(batch)
             # a special token is found in the whole text, before words are told apart
             odd = {i for i, t in enumerate(raw) if b"<|" in t and any(s in t for s in special)}
-            streams = ids.of([[] if i in odd else t.split() for i, t in enumerate(raw)])
+            streams = ids.of([] if i in odd else t.split() for i, t in enumerate(raw))
             for i, (doc, stream) in enumerate(zip(batch.column("doc_id").to_pylist(), streams)):
                 stream = (_whole_text_ids(ids.tokenizer, raw[i]) if i in odd else stream) + end
                 for k, a in enumerate(range(0, len(stream), 4 * length)):

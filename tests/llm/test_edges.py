@@ -147,6 +147,36 @@ def test_embedding_edges(spark):
 
 
 # ---- packing
+def test_word_ids_hold_few_texts(monkeypatch):
+    monkeypatch.setattr(packing, "AT_ONCE", 40)
+    monkeypatch.setattr(packing, "WAITING", 300)
+    monkeypatch.setattr(packing, "IN_TEXT", 7)
+    ids, taken = packing.WordIds(word_tokenizer(), most=100), 0
+    rng = np.random.default_rng(2)
+    odd = ["The", "the", "don't", "A.B", "x\u0338<", "İ.", "'s", "ab,", "AB!", "Éa.", "12", "..."]
+    texts = [[] if i % 9 == 0 else [odd[k] if k < len(odd) else f"{'wqz'[k % 3]}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in rng.integers(0, 300, 30)] for i in range(120)]
+
+    def stream():
+        nonlocal taken
+        for words in texts:
+            taken += 1
+            yield [w.encode() for w in words]
+
+    for i, got in enumerate(ids.of(stream())):
+        assert np.frombuffer(got, "<u4").tolist() == ids.tokenizer.encode(" ".join(texts[i]), add_special_tokens=False).ids
+        assert taken - i <= 20  # a block's texts wait, not all
+    assert i == taken - 1 == 119
+
+
+def test_tasks_of_a_worker_share_the_words():
+    from pyspark import cloudpickle
+
+    one, two = (cloudpickle.loads(cloudpickle.dumps(packing.word_ids))(word_tokenizer()) for _ in range(2))  # as two tasks get it
+    assert one is two
+    list(one.of([[b"Once", b"more,"]]))
+    assert {b"Once", b"more,"} <= set(two.known)
+
+
 def test_packing_keeps_large_ids_beside_nulls(spark):
     top = 1 << 60
     df = spark.createDataFrame([(top + i, words(i, 30)) for i in range(40)] + [(None, "no id")] * 3 + [(None, None)], "doc_id long, text string").selectExpr("*", "1 as grp", "2 as final")
