@@ -5,7 +5,8 @@ parameters max_docs and max_chars - gives trigram counts; counts and their conte
 sharded by key and joined to discounted probabilities and back-off weights in Spark. The
 finished tables, whose size the sample bounds, are cut into shards by the context's last
 word; a task joins its documents' n-grams to each shard in turn and sums log-probabilities by
-document, so no n-gram of the corpus is shuffled.
+document, so no n-gram of the corpus is shuffled. The driver hands on one shard of bounded size at a time and holds
+no other: words go out as one sorted column, which tasks number, and shapes are counted in tasks.
 
 A document is rejected where its perplexity exceeds its language's threshold: a high
 quantile over the trusted documents of the language that the model was not fitted on. At every
@@ -25,17 +26,21 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspan.llm.common import LOWER, UPPER, join_by_class, ship, stored, texts
+from tallyspan.llm.common import LOWER, UPPER, drop_stored, join_by_class, ship, stored, texts
 
 ship(__name__)
 
 #: The sample that the model is fitted on: at most so many documents of at most so many characters.
 MAX_DOCS, MAX_CHARS = 5_000, 20_000
 QUANTILE, SHRINK = 0.995, 50
-SHARDS, BITS = 8, 21
+#: Shards at least, and about how many rows of the tables one holds at most.
+SHARDS, SHARD_ROWS = 8, 500_000
+BITS = 21
 #: Tokens at the language's mean that a document's perplexity is smoothed with: a few words tell little.
 PRIOR = 30
 SHAPES, START, END = 4, 4, 5  # ids below SHAPES are unknown words by shape; words follow END
@@ -96,27 +101,39 @@ def fitting_ids(documents: DataFrame, trusted: DataFrame, max_docs: int = MAX_DO
     return of.join(F.broadcast(taken), same, "left_semi").select("doc_id", "lang").distinct()
 
 
-def vocabulary(sample: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
-    """Ids of the words that the sample holds twice or more, and how many others it holds of each
+def vocabulary(sample: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """The words that the sample holds twice or more, in the order of their ids, and how many others it holds of each
     shape; bounded by the sample."""
     words = sample.select(F.explode(F.split(F.translate("text", UPPER, LOWER), r"[ \t\n\x0B\f\r]+")).alias("w"))
-    got = words.where("w <> ''").groupBy("w").count().toArrow()
-    w, n = got.column("w").cast(pa.binary()).to_pylist(), got.column("count").to_pylist()
-    ids = {x: i for i, x in enumerate(sorted(x for x, k in zip(w, n) if k > 1), END + 1)}
-    once = np.bincount([shape(x) for x, k in zip(w, n) if k == 1], minlength=SHAPES)
-    return ids, once
+    counted = stored(words.where("w <> ''").groupBy("w").count())
+
+    def run(batches):
+        for batch in batches:
+            n = np.bincount([shape(w) for w in texts(batch, "w")], minlength=SHAPES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES), pa.int32()), pa.array(n.astype(np.int64))], names=["shape", "n"])
+
+    once = np.zeros(SHAPES, np.int64)
+    for k, n in counted.where("count = 1").select("w").mapInArrow(run, "shape int, n long").groupBy("shape").agg(F.sum("n")).collect():
+        once[k] = n
+    w = counted.where("count > 1").select("w").toArrow().column("w").cast(pa.binary()).combine_chunks()
+    drop_stored(counted)
+    return w.take(pc.sort_indices(w)), once
+
+
+def numbered(words: pa.Array) -> dict[bytes, int]:
+    """The ids of vocabulary()'s words, made in the task."""
+    return {w: i for i, w in enumerate(words.to_pylist(), END + 1)}
 
 
 def ids_of(text: bytes, ids: dict[bytes, int]) -> list[int]:
     return [ids[w] if w in ids else shape(w) for w in words_of(text)]
 
 
-def trigram_counts(sample: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+def trigram_counts(sample: DataFrame, words: Broadcast) -> DataFrame:
     """(u, v, w, n) over the sample."""
-    known = sample.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches):
-        known_ids = known.value
+        known_ids = numbered(words.value)
         for batch in batches:
             keys = []
             for t in texts(batch):
@@ -153,53 +170,73 @@ def discounted(counts: DataFrame, context: list[str], d: tuple[float, float, flo
 
 
 def fit(sample: DataFrame) -> dict | None:
-    """Model tables as arrays; None without a sample. Their size is bounded by the sample's."""
-    ids, once = vocabulary(sample)
-    if len(ids) + END >= 1 << BITS:
+    """Model tables as arrays, the words and the shards as broadcasts; None without a sample. Their size is bounded by the sample's."""
+    spark: SparkSession = sample.sparkSession
+    words, once = vocabulary(sample)
+    size = len(words) + END + 1
+    if size > 1 << BITS:
         raise ValueError(f"the sample has more words than {BITS} bits can name; take a smaller max_docs or max_chars")
-    three = stored(trigram_counts(sample, ids))
+    shared = spark.sparkContext.broadcast(words)
+    three = stored(trigram_counts(sample, shared))
     two = three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n"))  # in how many contexts a pair goes on
     two = stored(two)
     one = two.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    rows = one.collect()  # the vocabulary
-    if not rows:
+    rows = one.toArrow()  # the vocabulary
+    if not rows.num_rows:
         return None
-    size = len(ids) + END + 1
     n = np.zeros(size)
-    for w, k in rows:
-        n[w] = k
+    n[rows.column("w").to_numpy()] = rows.column("n").to_numpy()
     d = discounts(one)
     cut = np.where(n == 1, d[0], np.where(n == 2, d[1], d[2])) * (n > 0)
     p1 = (n - cut) / n.sum() + cut.sum() / n.sum() / (size - 1)  # START is never next
-    spark: SparkSession = sample.sparkSession
     p_one = spark.createDataFrame(pa.table({"w": np.arange(size), "p": p1}))
     two_rows, two_gamma = discounted(two, ["v"], discounts(two))
     two_p = two_rows.join(two_gamma, "v").join(p_one, "w").select("v", "w", (F.col("alpha") + F.col("gamma") * F.col("p")).alias("p"))
     three_rows, three_gamma = discounted(three, ["u", "v"], discounts(three))
     two_p = stored(two_p)
     three_p = three_rows.join(three_gamma, ["u", "v"]).join(two_p, ["v", "w"]).select(
-        (F.shiftleft("u", 2 * BITS) + F.shiftleft("v", BITS) + F.col("w")).alias("k"), F.log(F.col("alpha") + F.col("gamma") * F.col("p")).cast("float").alias("logp")
+        "v", (F.shiftleft("u", 2 * BITS) + F.shiftleft("v", BITS) + F.col("w")).alias("k"), F.log(F.col("alpha") + F.col("gamma") * F.col("p")).cast("float").alias("logp")
     )
-    pair = F.shiftleft("v", BITS) + F.col("w")
     tables = {
-        "two": two_p.select(pair.alias("k"), F.log("p").cast("float").alias("logp")),
-        "back2": three_gamma.select((F.shiftleft("u", BITS) + F.col("v")).alias("k"), F.log("gamma").cast("float").alias("logp")),
+        "two": two_p.select("v", (F.shiftleft("v", BITS) + F.col("w")).alias("k"), F.log("p").cast("float").alias("logp")),
+        "back2": three_gamma.select("v", (F.shiftleft("u", BITS) + F.col("v")).alias("k"), F.log("gamma").cast("float").alias("logp")),
         "three": three_p,
     }
+    got = two_gamma.toArrow()  # the vocabulary
     back1 = np.zeros(size, np.float32)
-    for v, g in two_gamma.collect():  # the vocabulary
-        back1[v] = np.log(g)
-    model = {"ids": ids, "one": np.log(p1).astype(np.float32), "back1": back1, "spread": np.log(np.maximum(once, 1)), "shards": [{} for _ in range(SHARDS)]}
-    middle = {"two": lambda k: k >> BITS, "back2": lambda k: k & ((1 << BITS) - 1), "three": lambda k: k >> BITS & ((1 << BITS) - 1)}
-    for name, t in tables.items():
-        got = t.toArrow()
-        k, logp = got.column("k").to_numpy(), got.column("logp").to_numpy()
-        of = middle[name](k) % SHARDS
-        for s in range(SHARDS):
-            take = np.flatnonzero(of == s)
-            take = take[np.argsort(k[take])]
-            model["shards"][s][name] = (k[take], logp[take])
-    return model
+    back1[got.column("v").to_numpy()] = np.log(got.column("gamma").to_numpy())
+    return {"words": shared, "one": np.log(p1).astype(np.float32), "back1": back1, "spread": np.log(np.maximum(once, 1)), "shards": shards_of(tables)}
+
+
+def shards_of(tables: dict[str, DataFrame]) -> list[Broadcast]:
+    """The tables (v, k, logp) in shards by v, each {table: (sorted k, logp)}. The driver reads a shard, sends it out and lets it go."""
+    names = sorted(tables)
+    every = None
+    for i, name in enumerate(names):
+        t = tables[name].select("v", "k", "logp", F.lit(i).cast("byte").alias("of"))
+        every = t if every is None else every.union(t)
+    every = stored(every)
+    n = max(SHARDS, -(-every.count() // SHARD_ROWS))
+    out = [every.sparkSession.sparkContext.broadcast(_sorted_shard(every.where(F.pmod("v", F.lit(n)) == s), names)) for s in range(n)]
+    drop_stored(every)
+    return out
+
+
+def _sorted_shard(rows: DataFrame, names: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    got = rows.select("k", "logp", "of").toArrow()
+    k, logp, of = (got.column(c).to_numpy() for c in ("k", "logp", "of"))
+    out = {}
+    for i, name in enumerate(names):
+        take = np.flatnonzero(of == i)
+        take = take[np.argsort(k[take])]
+        out[name] = (k[take], logp[take])
+    return out
+
+
+def release(model: dict | None) -> None:
+    """Free a model that nothing reads any more."""
+    for x in [model["words"], *model["shards"]] if model else []:
+        x.destroy()
 
 
 def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,10 +255,11 @@ def log_probs(u: np.ndarray, v: np.ndarray, w: np.ndarray, model: dict) -> np.nd
     An unknown word has its shape's probability, shared by as many words as the sample held once.
     """
     out = np.empty(len(w), np.float64)
-    of = v % SHARDS
+    of = v % len(model["shards"])
     order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(SHARDS + 1))
-    for s, shard in enumerate(model["shards"]):
+    cuts = np.searchsorted(of[order], np.arange(len(model["shards"]) + 1))
+    for s, shared in enumerate(model["shards"]):
+        shard = shared.value
         at = order[cuts[s] : cuts[s + 1]]
         a, b, c = u[at], v[at], w[at]
         seen, p = _found(shard["three"], a << 2 * BITS | b << BITS | c)
@@ -246,12 +284,13 @@ def surprisals(documents: DataFrame, model: dict | None) -> DataFrame:
     if model is None:
         n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1
         return documents.select("doc_id", "lang", "digest", "check", n.cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("nll"))
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    words, shards = model["words"], model["shards"]
+    shared = documents.sparkSession.sparkContext.broadcast({k: model[k] for k in ("one", "back1", "spread")})
     own = ["doc_id", "lang", "digest", "check"]
 
     def run(batches):
-        m = shared.value
-        ids = m["ids"]
+        m = shared.value | {"shards": shards}
+        ids = numbered(words.value)
         for batch in batches:
             raw = texts(batch)
             sums, sizes = [], []
@@ -292,7 +331,9 @@ def judged(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, ma
     chosen = F.broadcast(fitting.toDF("_id", "_lang"))
     sample = documents.where(F.length("text") <= max_chars).join(chosen, (F.col("doc_id") == F.col("_id")) & F.col("lang").eqNullSafe(F.col("_lang")), "left_semi")
     sample = stored(sample.select("text"))
-    scored = stored(surprisals(documents, fit(sample)))
+    model = fit(sample)
+    scored = stored(surprisals(documents, model))
+    release(model)
     fresh = trusted.join(F.broadcast(fitting.select("doc_id")), "doc_id", "left_anti")
     held = scored.where("nll is not null").join(fresh, "doc_id", "left_semi")
     # the mean surprise of a token by language, then quantiles of the smoothed perplexity

@@ -69,6 +69,22 @@ def test_perplexity_equals_a_plain_model(spark):
         assert abs(r.nll - want) < 1e-3 * max(1, want), (r.doc_id, r.nll, want)
 
 
+def test_driver_holds_one_shard_of_the_model_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    sample = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 300, 60)), "en") for i in range(200)], "doc_id long, text string, lang string")
+    scores = lambda m: sorted(map(tuple, quality.surprisals(sample, m).select("doc_id", "n_tokens", "nll").collect()))
+    want = scores(quality.fit(sample.select("text")))
+    frame, got = type(sample), []
+    for name in ("toArrow", "collect"):
+        monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name): [x := f(self), got.append(getattr(x, "num_rows", None) or len(x))][0])
+    monkeypatch.setattr(quality, "SHARD_ROWS", 1_500, raising=False)
+    model = quality.fit(sample.select("text"))
+    held, most = sum(got), max(got)
+    monkeypatch.undo()
+    assert held > 25_000 and most < 3_000 and len(model["shards"]) > quality.SHARDS
+    assert scores(model) == want
+
+
 def plain_stages(rows, kept):
     """Documents (doc_id, text, lang, source, n_chars) after near-dedup, substring dedup and mixing, from those kept."""
     docs = sorted((r for r in rows if kept(r)), key=lambda r: (r[0] is None, r[0] or 0))
