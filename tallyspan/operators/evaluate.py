@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,12 @@ def extracted(items: DataFrame) -> DataFrame:
     return items.select("job_id", "page", F.explode(both).alias("r")).where("r is not null").select("job_id", "page", "r.*")
 
 
-def both_sides(items: DataFrame) -> DataFrame:
-    """truth() and extracted() in one table, as matched_sides() takes them, from one reading of items."""
+def both_sides(items: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """truth() and extracted() in one table, as matched_sides() takes them, from one reading of items. Columns named in carry are the
+    items' own, null on records."""
     box = ("x0", "y0", "x1", "y1")
-    side = lambda side, pos, kind, optional, src: F.struct(F.lit(side).alias("side"), src(pos).alias("pos"), src("value").alias("value"), src("label").alias("label"), src(kind).alias("class"), optional.alias("is_optional"), *[src(b).alias(b) for b in box])
+    own = lambda side: [(F.col(c) if side == 0 else F.when(F.lit(False), F.col(c))).alias(c) for c in carry]
+    side = lambda side, pos, kind, optional, src: F.struct(F.lit(side).alias("side"), src(pos).alias("pos"), src("value").alias("value"), src("label").alias("label"), src(kind).alias("class"), optional.alias("is_optional"), *[src(b).alias(b) for b in box], *own(side))
     theirs = [F.when(r.isNotNull(), side(1, "record_index", "class", F.lit(False), lambda n, r=r: r[n])) for r in _extracts()]
     rows = F.explode(F.array(side(0, "record_index", "p_type", F.col("partkey") % 9 == 0, F.col), *theirs)).alias("r")
     return items.select("job_id", "page", rows).where("r is not null").select("job_id", "page", "r.*")
@@ -119,8 +123,17 @@ def _status(value_eq: Column, class_: Column, gt_class: Column, iou: Column, lea
 
 def match_status(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFrame:
     """Every item and record once, as matched_pages() has them, with the status."""
+    return _with_status(matched_pages(gt, ext, iou), iou)
+
+
+def match_status_of(sides: DataFrame, iou: float = 0.5, carry: Sequence[str] = ()) -> DataFrame:
+    """match_status() of both_sides()."""
+    return _with_status(matched_sides(sides, iou, carry), iou)
+
+
+def _with_status(matched: DataFrame, iou: float) -> DataFrame:
     found = F.when(F.col("is_match"), _status(F.col("value_eq"), F.col("class"), F.col("gt_class"), F.col("iou"), iou))
-    return matched_pages(gt, ext, iou).withColumn("status", found.when(F.col("record_index").isNull(), "missed_item").otherwise("spurious_item"))
+    return matched.withColumn("status", found.when(F.col("record_index").isNull(), "missed_item").otherwise("spurious_item"))
 
 
 def failure_pattern(diffs: DataFrame) -> DataFrame:
@@ -164,19 +177,28 @@ def large_pages(gt: DataFrame, ext: DataFrame, least: int) -> DataFrame:
 
 def item_diffs(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFrame:
     """Matched, missed and spurious items with status and failure pattern: one exchange, by page."""
-    rows = match_status(gt, ext, iou)
+    return _diffs(match_status(gt, ext, iou))
+
+
+def item_diffs_of(sides: DataFrame, iou: float = 0.5, carry: Sequence[str] = ()) -> DataFrame:
+    """item_diffs() of both_sides(), from one reading, with the columns that it carries."""
+    return _diffs(match_status_of(sides, iou, carry), carry)
+
+
+def _diffs(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     amount = lambda c: F.when(F.col("is_match"), F.col(c)).alias(c)
-    return failure_pattern(rows.select(*[amount(c) if c in ("gt_num", "num") else c for c in DIFF])).select(*DIFF, "pattern")
+    return failure_pattern(rows.select(*[amount(c) if c in ("gt_num", "num") else c for c in DIFF], *carry)).select(*DIFF, "pattern", *carry)
 
 
 LEAST_ACCURACY, MOST_FLAGGED = 90, 15
 
 
-def filing_metrics(diffs: DataFrame, runs: DataFrame, scored: DataFrame, filings: DataFrame | None = None) -> DataFrame:
+def filing_metrics(diffs: DataFrame, runs: DataFrame, scored: DataFrame | None = None, filings: DataFrame | None = None) -> DataFrame:
     """One row for each run (job_id, success, cells); a run without diffs has nothing to find. Where filings (job_id) are given,
     runs of others are left out.
 
-    scored (job_id, score) gives the share of records that people must see.
+    scored (job_id, score) gives the share of records that people must see; without it diffs carry the score of each item, so
+    that items are read once.
     """
     if filings is not None:
         runs = runs.join(filings.select("job_id").distinct(), "job_id", "left_semi")
@@ -189,10 +211,12 @@ def filing_metrics(diffs: DataFrame, runs: DataFrame, scored: DataFrame, filings
         F.count_if((s != "spurious_item") & ~F.col("is_optional")).alias("gt_required"),
         F.count_if(s.isin("value_mismatch", "localization_error", "spurious_item") | ((s == "missed_item") & ~F.col("is_optional"))).alias("extraction_errors"),
         F.count_if(s == "classification_mismatch").alias("classification_errors"),
+        *([F.count_if(F.col("item_pos").isNotNull()).alias("extracted"), F.count_if(F.col("item_pos").isNotNull() & (F.col("score") < 0.95)).alias("not_auto")] if scored is None else []),
     )
-    counts = [c for c in per.columns if c != "job_id"]
-    seen = scored.groupBy("job_id").agg(F.count(F.lit(1)).alias("extracted"), F.count_if(F.col("score") < 0.95).alias("not_auto"))
-    out = runs.select("job_id", "success", "cells").join(per, "job_id", "left").join(seen, "job_id", "left").fillna(0, [*counts, "extracted", "not_auto"])
+    out = runs.select("job_id", "success", "cells").join(per, "job_id", "left")
+    if scored is not None:
+        out = out.join(scored.groupBy("job_id").agg(F.count(F.lit(1)).alias("extracted"), F.count_if(F.col("score") < 0.95).alias("not_auto")), "job_id", "left")
+    out = out.fillna(0, [c for c in out.columns if c not in ("job_id", "success", "cells")])
     whole = F.when(F.col("gt_required") > 0, F.col("gt_required")).otherwise(F.col("gt_total"))
     out = out.withColumns(
         {

@@ -8,18 +8,19 @@ of the label; with overlap the same holds box by box, so an item looks at the he
 the boxes it touches, found by grid cell, the largest overlap first. Amounts within the tolerance of each other are
 equal, so a pool's amounts are a sorted list with a tree of least indices above it.
 
-Spark deals the rows to tasks by page, sorted; a task streams them and holds one page at a time.
+Spark deals the rows to tasks by page, or leaves them where they are dealt by job, sorted; a task streams them and holds one page at a time.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections.abc import Sequence
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspan.functions.exprs import accounting_number, strip
@@ -269,7 +270,7 @@ def _whole_pages(batches):
         yield held
 
 
-def _matched(least: float):
+def _matched(least: float, carry: Sequence[str] = ()):
     def run(batches):
         for t in _whole_pages(batches):
             jobs, pages, sides = t["job_id"].to_pylist(), t["page"].to_pylist(), t["side"].to_pylist()
@@ -305,6 +306,7 @@ def _matched(least: float):
                 "job_id": t["job_id"].take(at), "page": t["page"].take(at), "item_pos": t["pos"].take(i), "record_index": t["pos"].take(r), "gt_num": t["amount"].take(i), "num": t["amount"].take(r),
                 "gt_class": t["class"].take(i), "class": t["class"].take(r), "is_optional": t["is_optional"].take(at), "iou": pa.array(overlaps, pa.float64()), "value_eq": pa.array(values, pa.bool_()), "is_match": both,
             }
+            cols |= {c: t[c].take(at) for c in carry}
             yield from pa.table(cols).to_batches()
 
     return run
@@ -324,15 +326,17 @@ def matched_pages(gt: DataFrame, ext: DataFrame, iou: float = 0.5) -> DataFrame:
     return matched_sides(rows[0].unionByName(rows[1]), iou)
 
 
-def matched_sides(rows: DataFrame, iou: float = 0.5) -> DataFrame:
-    """matched_pages() of both sides in one table (job_id, page, side, pos, value, label, class, is_optional, x0..y1): side 0 is the truth, 1 the records."""
+def matched_sides(rows: DataFrame, iou: float = 0.5, carry: Sequence[str] = ()) -> DataFrame:
+    """matched_pages() of both sides in one table (job_id, page, side, pos, value, label, class, is_optional, x0..y1): side 0 is the truth, 1 the records.
+    Rows that are dealt by job are not sent again. Columns named in carry come along: the item's, and the record's where no item takes it."""
     rows = rows.select(
         "job_id", "page", "side", F.col("pos").cast("int").alias("pos"), F.lower(strip(F.col("value"))).alias("text"), accounting_number(F.col("value")).alias("amount"), F.lower(strip(F.col("label"))).alias("label"),
-        "class", "is_optional", *[F.col(c).cast("double").alias(c) for c in _KEYS[3:]],
+        "class", "is_optional", *[F.col(c).cast("double").alias(c) for c in _KEYS[3:]], *carry,
     )
-    rows = rows.repartition("job_id", "page").sortWithinPartitions("job_id", "page", "side", "pos")
+    # a page's rows side by side in their order, as the window needs them
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("job_id", "page").orderBy("side", "pos")))
     kind = lambda c: rows.schema[c].dataType.simpleString()
     return rows.mapInArrow(
-        _matched(iou),
-        f"job_id {kind('job_id')}, page {kind('page')}, item_pos int, record_index int, gt_num double, num double, gt_class string, class string, is_optional boolean, iou double, value_eq boolean, is_match boolean",
+        _matched(iou, carry),
+        f"job_id {kind('job_id')}, page {kind('page')}, item_pos int, record_index int, gt_num double, num double, gt_class string, class string, is_optional boolean, iou double, value_eq boolean, is_match boolean" + "".join(f", `{c}` {kind(c)}" for c in carry),
     )

@@ -65,3 +65,24 @@ def test_documents_are_shuffled_once(spark):
     assert docs.count() == docs.select("folder").distinct().count() > 0
     docs.collect()
     assert "hashpartitioning(suppkey" in (plan := docs._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(folder" not in plan
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_pages_are_matched_where_the_items_lie(spark):
+    """Items are dealt by job once, before their columns are made; matching, scores and sums of a job read them there."""
+    for name in ("greedy_match", "match_status", "item_diffs", "missed_items"):
+        df = queries.QUERIES[name](spark, SF)
+        assert exchanges(df) == 1 and readings(df, "l_orderkey") == 1, name
+    for name in ("filing_metrics", "corpus_metrics", "report_failed_filings", "report_layers"):
+        df = stream_queries.QUERIES[name](spark, SF)
+        assert exchanges(df) <= 3 and readings(df, "l_orderkey") == 1, name  # the others are of sums by job and of runs
+
+
+def test_carried_scores_count_as_scored_records_do(spark):
+    rows, runs = queries.scored(spark, SF), queries._runs(spark, SF)
+    apart = evaluate.filing_metrics(evaluate.item_diffs(evaluate.truth(rows), evaluate.extracted(rows)), runs, rows.select("job_id", "score"))
+    got, want = (sorted(map(str, df.select(sorted(df.columns)).collect())) for df in (queries.QUERIES["filing_metrics"](spark, SF), apart))
+    assert got == want and len(got) > 100
