@@ -131,3 +131,23 @@ def test_nodes_meet_in_as_many_tasks_as_asked(spark):
     assert sorted(map(repr, few.collect())) == sorted(map(repr, reconcile.formula_nodes(inputs).collect()))
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert ", 3), REPARTITION_BY_NUM" in plan
+
+
+def test_walks_equal_joins(spark):
+    """Cells of any depth, cycles, ranges and places of several records, walked by job and joined: the same rows."""
+    rows = []
+    for j in range(3):
+        for k in range(1, 16):
+            to = [f"S{(k * 7 + i * j) % 3}!B{(k * (i + 3) + j) % 18}" for i in range((k + j) % 4)] + (["b2:C4"] if k % 9 == j % 9 else [])
+            rows.append((f"j{j}", f"S{k % 3}", f"B{k}", f"n{k}", bool(to), "=" + "+".join(to) if to else "1", "p" if k % 2 else None))
+        rows += [(f"j{j}", "S1", "B4", "twin", False, "1", "p"), (f"j{j}", "S1", "B7", "twin", True, "=B1+$B$1", "p")]
+    p = prov(spark, rows)
+    every = lambda df: sorted(map(repr, df.collect()))
+    mixed = p.unionByName(prov(spark, INPUTS + [("j", "R", "B1", "agg_sbc", True, "leaf_3_sbc", None)]))
+    assert every(chain.source_chain_text(mixed)) == every(chain.source_chain_text(mixed, most=0))
+
+
+def test_text_chains_send_items_and_nothing_else(spark):
+    for name, most in (("source_chain_text", 0), ("source_chain_text_of", 9), ("source_chain_by_id", 9)):
+        plan = audit_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most, name
