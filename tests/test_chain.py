@@ -151,3 +151,23 @@ def test_text_chains_send_items_and_nothing_else(spark):
     for name, most in (("source_chain_text", 0), ("source_chain_text_of", 9), ("source_chain_by_id", 9)):
         plan = audit_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") <= most, name
+
+
+def test_lists_by_job_equal_joins(spark):
+    """Reviewed items and records of a job, handed on as lists or joined by key: the same rows, repeated ids and absent ones included."""
+    cells = [(f"j{j}", "S", f"B{k}", f"leaf_{k % 7}_x") for j in range(4) for k in range(11 * (j % 3) + 2)] + [("none", "S", "B1", "leaf_0_x"), ("j1", "S", "B99", "odd")]
+    link = spark.createDataFrame(cells, "job_id string, sheet string, coord string, leaf_id string")
+    review = spark.createDataFrame([(f"j{j}_{k % 5}", f"j{j}", "locked", f"{k}", f"L{j}") for j in range(3) for k in range(6)], "id string, job_id string, status string, value string, label string")
+    leaves = spark.createDataFrame([(f"j{j}", f"leaf_{k}_x", "f", k, 0.0, 0.0, 1.0, 1.0) for j in range(4) for k in range(1, 7)], "job_id string, leaf_id string, source_file string, page int, x0 double, y0 double, x1 double, y1 double")
+    rows = [sorted(map(repr, audit.chain_components(link, leaves, review, most).collect())) for most in (0, 6, 256)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > len(cells)
+    places = link.select("job_id", "sheet", "coord").union(spark.createDataFrame([("j0", None, "B1"), ("j0", "S", "B500")], "job_id string, sheet string, coord string"))
+    parts = audit.chain_review_enrich(link, review)
+    rows = [sorted(map(repr, audit.provenance_matrix(places, parts, most).collect())) for most in (0, 20, 256)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == len(cells) + 2
+
+
+def test_trails_send_nothing_after_their_tables(spark):
+    for name, most in (("chain_components", 0), ("chain_review_enrich", 0), ("provenance_matrix", 0)):
+        plan = audit_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most, name
