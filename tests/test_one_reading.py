@@ -86,3 +86,8 @@ def test_carried_scores_count_as_scored_records_do(spark):
     apart = evaluate.filing_metrics(evaluate.item_diffs(evaluate.truth(rows), evaluate.extracted(rows)), runs, rows.select("job_id", "score"))
     got, want = (sorted(map(str, df.select(sorted(df.columns)).collect())) for df in (queries.QUERIES["filing_metrics"](spark, SF), apart))
     assert got == want and len(got) > 100
+
+
+def test_ground_truth_files_are_packed(spark):
+    files = queries.QUERIES["gt_corpus_filings"](spark, SF).inputFiles()
+    assert sum(f.endswith(".json.gz") for f in files) > 5 and not any(f.endswith(".json") for f in files)
